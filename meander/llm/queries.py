@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash_dedup, packing, quality_rules
+from . import decontaminate, line_dedup, minhash_dedup, packing, quality_rules
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.query,
         "op2_packing": packing.query,
+        "op4_line_dedup": line_dedup.query,
         "op5_minhash_dedup": minhash_dedup.query,
         "op8_quality_rules": quality_rules.query,
     }
