@@ -169,7 +169,7 @@ def _search(index: Index, text: pa.Array, percent: int) -> list[tuple[int, int,
     """(row, item, start word, words, similarity, distance): the best window of each row and item_id that is similar enough."""
     best: dict[tuple[int, int], tuple] = {}
     for i, j in kernels.blocks(text):
-        data, off = kernels.raw(text[i:j])
+        data, off = kernels.raw(pc.utf8_lower(text[i:j]))
         starts, ends, rows = kernels.word_bounds(data, off)
         if not len(starts) or not index.classes:
             continue
@@ -204,7 +204,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, radius)
             for batch in batches:
-                found = _search(index, pc.utf8_lower(kernels.text_array(batch.column(1))), percent)
+                found = _search(index, kernels.text_array(batch.column(1)), percent)
                 ids = batch.column(0).cast(pa.int64()).take(pa.array([f[0] for f in found], pa.int64()))
                 rest = [pa.array([f[k] for f in found], t) for k, t in ((1, pa.int64()), (2, pa.int64()), (3, pa.int64()), (4, pa.float64()), (5, pa.int32()))]
                 yield pa.RecordBatch.from_arrays([ids, *rest], ["doc_id", "item_id", "start_word", "n_words", "similarity", "hamming"])
@@ -227,7 +227,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
             index = Index(items, radius)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
-                keep[[f[0] for f in _search(index, pc.utf8_lower(kernels.text_array(batch.column(where))), percent)]] = False
+                keep[[f[0] for f in _search(index, kernels.text_array(batch.column(where)), percent)]] = False
                 yield batch.filter(pa.array(keep))
 
         return run

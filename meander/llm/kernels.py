@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer document is handled alone.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 500_000
 _U = np.uint64
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -47,7 +47,8 @@ def powers(n: int) -> np.ndarray:
 
 def text_array(column: pa.Array) -> pa.Array:
     """The column as large strings, null as empty."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    return pc.fill_null(column, "") if column.null_count else column
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -70,10 +71,10 @@ def blocks(column: pa.Array, most: int = BLOCK_BYTES) -> Iterator[tuple[int, int
         i = min(j, n)
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and per row the offset of its first word (n+1 values)."""
+def word_bounds(data: np.ndarray, off: np.ndarray, gap: np.ndarray = _GAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and per row the offset of its first word (n+1 values). gap: the bytes between words."""
     ink = np.zeros(len(data) + 1, bool)
-    ink[:-1] = ~_GAP[data]
+    ink[:-1] = ~gap[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     edge = off[1:-1][off[1:-1] < len(data)]
@@ -124,9 +125,9 @@ def shingles(h: np.ndarray, rows: np.ndarray, size: int = 5) -> tuple[np.ndarray
 
 
 def shingle_sets(column: pa.Array, size: int = 5) -> Iterator[np.ndarray]:
-    """Per row the sorted distinct shingle hashes of its words."""
+    """Per row the sorted distinct shingle hashes of its words, A-Z lower-cased."""
     for i, j in blocks(column):
-        data, off = raw(column[i:j])
+        data, off = raw(pc.ascii_lower(column[i:j]))
         starts, ends, rows = word_bounds(data, off)
         s, at = shingles(word_hashes(data, starts, ends), rows, size)
         for a, b in zip(at[:-1], at[1:]):

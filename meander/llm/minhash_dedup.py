@@ -7,11 +7,12 @@
 2. 32 bands of 4 components are bucket keys. In each bucket all members are
    compared with its leader, the member with the most bucket-mates overall:
    a star, not all pairs. Links count only after a check on the full sets.
-3. Union-find groups the links. Where a bucket still holds several components,
-   members are paired across them - but only those whose sets can reach the
-   similarity: of a set with u elements found in no other candidate, a partner
-   of similarity p % has at most (100 size - (100 + p) u) / p elements. These
-   pairs, too, are checked on the full sets, and the grouping is repeated.
+3. Union-find groups the links. Documents in a bucket that still holds several
+   components are compared across them, by prefix filtering: a set's shingles are
+   ordered from the rarest; two sets that share nothing before rank r of either
+   share at most size - r, which bounds the size of a partner. Only pairs that
+   share a shingle, are of different components and meet both bounds are checked
+   on the full sets; the bounds lose none. The grouping is then repeated.
 
 A pair of similarity 0.75 shares no band with a chance under 6e-6; for it to
 be lost, it must also not be joined through others.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels, shared
@@ -75,7 +76,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, text = batch.column(0), pc.ascii_lower(kernels.text_array(batch.column(1)))
+        ids, text = batch.column(0), kernels.text_array(batch.column(1))
         for i, j in kernels.blocks(text):
             sets = list(kernels.shingle_sets(text[i:j], WORDS))
             n = np.array([len(s) for s in sets], np.int64)
@@ -93,7 +94,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _check(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = (pc.ascii_lower(kernels.text_array(batch.column(c))) for c in (2, 3))
+            left, right = (kernels.text_array(batch.column(c)) for c in (2, 3))
             keep = []
             for x, y in zip(kernels.shingle_sets(left, WORDS), kernels.shingle_sets(right, WORDS)):
                 at = np.searchsorted(x, y)
@@ -106,12 +107,22 @@ def _check(percent: int):
 
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        text = pc.ascii_lower(kernels.text_array(batch.column(1)))
+        text = kernels.text_array(batch.column(1))
         for i, j in kernels.blocks(text, 500_000):
             sets = list(kernels.shingle_sets(text[i:j], WORDS))
             n = np.array([len(s) for s in sets])
-            nodes = np.repeat(batch.column(0)[i:j].to_numpy(), n)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(np.concatenate(sets).view(np.int64) if n.sum() else np.zeros(0, np.int64)), pa.array(np.repeat(n, n))], ["node", "shingle", "size"])
+            flat = np.concatenate(sets)
+            own = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            columns = [np.repeat(batch.column(0)[i:j].to_numpy(), n), np.repeat(own, n), flat.view(np.int64), np.repeat(n, n)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "own", "shingle", "size"])
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """The rows whose shingle still joins two components, among rows whose bounds some other row may meet."""
+    bounds = rows.groupBy("shingle").agg(F.min("size").alias("least"), F.max("most").alias("widest"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    rows = rows.join(bounds.where("lo <> hi"), "shingle").where("least <= most AND size <= widest").select(*rows.columns)
+    several = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return rows.join(several.select("shingle"), "shingle", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -146,21 +157,18 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     placed = members.join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
     open_ = shared.saved(placed.join(mixed, "key", "left_semi"), "open")
-    sets = texts.join(open_.select("node").distinct(), "node", "left_semi").mapInArrow(_explode_sets, "node long, shingle long, size long")
-    rare = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node"), F.min("size").alias("size")).where("n = 1")
-    rare = rare.groupBy("node").agg(F.count("*").alias("u"), F.min("size").alias("size"), F.max("size").alias("top"))
-    bound = signed.groupBy(F.col("doc_id").alias("node")).agg(F.min("n_shingles").alias("size"), F.max("n_shingles").alias("top"))
-    bound = open_.select("node").distinct().join(bound, "node").join(rare.select("node", "u"), "node", "left")
-    # a document with several texts is not narrowed by what is rare in them
-    most = (100 * F.col("top") - F.when(F.col("size") == F.col("top"), F.coalesce("u", F.lit(0))).otherwise(0) * (100 + percent)) / percent
-    bound = bound.select("node", "size", most.alias("most"))
-    sized = open_.join(bound, "node")
-    reach = sized.groupBy("key").agg(F.min("size").alias("least"), F.max("most").alias("widest"))
-    live = sized.join(reach, "key").where("least <= most AND size <= widest")
-    several = live.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    live = shared.saved(live.join(several, "key", "left_semi").select("key", "node", "component", "size", "most"), "live")
+    within = open_.select("node", "component").distinct()
+    sets = texts.join(within.select("node"), "node", "left_semi").mapInArrow(_explode_sets, "node long, own long, shingle long, size long")
+    sets = shared.saved(sets, "sets")
+    common = sets.groupBy("shingle").agg(F.count("*").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("node", "own").orderBy("n", "shingle")) - 1
+    ranked = sets.join(common, "shingle").withColumn("rank", rank)
+    # what a set has from this shingle on limits the size of a partner that shares nothing rarer
+    ranked = ranked.withColumn("most", (100 * F.col("size") - (100 + percent) * F.col("rank")) / percent)
+    ranked = ranked.where(f"n > 1 AND 100 * most >= {percent} * size").join(within, "node")
+    live = shared.saved(_several(ranked.select("shingle", "node", "component", "size", "most")), "live")
     x, y = live.alias("x"), live.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & (F.col("y.size") <= F.col("x.most")) & (F.col("x.size") <= F.col("y.most")))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & (F.col("y.size") <= F.col("x.most")) & (F.col("x.size") <= F.col("y.most")))
     pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, percent)
