@@ -6,18 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, line_dedup, minhash_dedup, packing, quality_rules
+from . import chat_format, decontaminate, line_dedup, minhash_dedup, packing, quality_classifier, quality_rules, toxicity, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.query,
         "op2_packing": packing.query,
+        "op3_toxicity": toxicity.query,
         "op4_line_dedup": line_dedup.query,
         "op5_minhash_dedup": minhash_dedup.query,
+        "op6_url_filter": url_filter.query,
+        "op7_warc": warc.query,
         "op8_quality_rules": quality_rules.query,
+        "op9_quality_classifier": quality_classifier.query,
+        "op10_chat_format": chat_format.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_warc": warc.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL}
