@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meander.llm import quality_rules, shared
+from meander.llm import decontaminate, line_dedup, minhash_dedup, packing, quality_rules, shared
 
+#: (name, function of session, documents so far and table folder). All but the last return the columns of documents.
 STAGES = [
     ("quality_rules", quality_rules.stage),
+    ("line_dedup", line_dedup.stage),
+    ("minhash_dedup", minhash_dedup.stage),
+    ("decontaminate", decontaminate.stage),
+    ("packing", packing.stage),
 ]
 
 #: The learned rules and the packing are not expressible in SQL; tests compare each stage with brute force.
