@@ -47,34 +47,42 @@ _FILES = "file string, shard int, records long, bytes long, sha256 string"
 _READ = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
+def _digested(pages: DataFrame) -> DataFrame:
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
+    return own.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "size": F.octet_length("html").cast("long")})
+
+
 def classified(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, size, first): first is the response's page_id of a revisit, else null."""
-    html = F.coalesce("html", F.lit(""))
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"))
-    own = own.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "size": F.octet_length("html").cast("long")})
-    first = own.where(F.col("size") >= REVISIT).groupBy("digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n"))
-    joined = own.join(first.where("_n > 1").drop("_n"), "digest", "left")
-    again = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
-    return joined.withColumn("first", again).drop("_first")
+    """(page_id, url, html, digest, size, first): first is the response's page_id of a revisit, else null.
+
+    Who revisits whom is decided, and written, without the payloads.
+    """
+    own = _digested(pages)
+    narrow = own.select("page_id", "digest", "size").where(F.col("size") >= REVISIT)
+    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    again = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
+    again = shared.saved(again, "revisits")
+    found = again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
+    return own.join(found, F.expr("digest = _d AND page_id <=> _p"), "left").drop("_p", "_d")
 
 
 def sharded(records: DataFrame) -> DataFrame:
     """``records`` with their shard, sorted within it."""
-    low, high = records.agg(F.min("page_id"), F.max("page_id")).first()
+    sizes = records.select("page_id", "size", "first")
+    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
     if low is None:
         low = high = 0
     width = (high - low) // BUCKETS + 1
     bucket = F.coalesce(F.expr(f"CAST((page_id - {low}L) div {width}L AS int)"), F.lit(0))
-    sizes = records.groupBy(bucket.alias("b")).agg(F.sum(F.when(F.col("first").isNull(), F.col("size")).otherwise(0) + 500)).collect()
     by_bucket = np.zeros(BUCKETS, np.int64)
-    for b, n in sizes:
+    for b, n in sizes.groupBy(bucket.alias("b")).agg(F.sum(F.when(F.col("first").isNull(), F.col("size")).otherwise(0) + 500)).collect():
         by_bucket[b] = n
     before = np.cumsum(by_bucket) - by_bucket
     shard = before // max(SHARD, int(by_bucket.sum()) // SHARDS)
     used = np.flatnonzero(by_bucket).tolist()
     table = records.sparkSession.createDataFrame([(b, int(shard[b])) for b in used], "_bucket int, shard int")  # BUCKETS rows at most
     dealt = records.withColumn("_bucket", bucket).join(F.broadcast(table), "_bucket").drop("_bucket")
-    return dealt.repartitionByRange(int(shard[used].max()) + 1 if used else 1, "shard").sortWithinPartitions("shard", "page_id", "digest", "url")
+    return dealt.repartitionById(int(shard[used].max()) + 1 if used else 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
 
 
 def record(page_id, url, payload: bytes, digest: str, size: int, first) -> bytes:
@@ -139,7 +147,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
         if file:
             yield manifest(now, file.close())
 
-    ready = sharded(shared.saved(classified(pages), "warc-records")).select("shard", "page_id", "url", F.when(F.col("first").isNull(), F.col("html")).otherwise("").alias("html"), "digest", "size", "first")
+    ready = sharded(classified(pages)).select("shard", "page_id", "url", F.when(F.col("first").isNull(), F.col("html")).otherwise("").alias("html"), "digest", "size", "first")
     ready.mapInArrow(files, _FILES).write.parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(_FILES).parquet(f"{folder}/_manifest")
 
