@@ -11,7 +11,9 @@ put together again.
    prefix or suffix, so only lines that share one with some other line (first of
    a length on a coarse grid, then of half the exact length) go on. This loses
    no pair; it spares the mass of lines their neighbourhoods.
-3. Each such line emits the hashes of all its one-deletion variants. A variant
+3. Each such line is cut into windows; where all outside a window equals another
+   line's, the edit must be inside it, so the line emits the hashes of all its
+   one-deletion variants in that window. A variant
    equal to another line is a removal; the same variant with the same gap is a
    replacement. So each hash stands for lines that are within one edit of the
    earliest with that hash: one candidate per member, never all pairs. The edit
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-MIN_CHARS = 12
+MIN_CHARS, WINDOW = 12, 16
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -50,6 +52,16 @@ def _shared_ends(t: Column, n: Column, exact: bool) -> Column:
     return F.array_distinct(F.array(*out))
 
 
+def _windows(lines: DataFrame) -> DataFrame:
+    """(place, key, inside, longer) per window of (place, t): key stands for all outside it, for the line's length and the one below."""
+    sized = lines.withColumn("n", F.length("t")).select("place", "t", "n", F.explode(F.array("n", F.col("n") - 1)).alias("m"))
+    sized = sized.withColumn("count", F.greatest(F.lit(2), F.expr(f"m div {WINDOW}")).cast("int"))
+    cut = sized.select("place", "t", "n", "m", "count", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("j"))
+    cut = cut.withColumns({"a": F.expr("CAST((j * m) div count AS int)"), "b": F.expr("CAST(((j + 1) * m) div count AS int)")})
+    key = F.expr("xxhash64(m, j, substr(t, 1, a), substr(t, n - m + b + 1))")
+    return cut.select("place", key.alias("key"), F.expr("substr(t, a + 1, n - m + b - a)").alias("inside"), F.expr("m < n").alias("longer"))
+
+
 def _paired(rows: DataFrame, keys: Column, *ids: str) -> DataFrame:
     """The distinct ``ids`` of rows that share a key with another row."""
     keyed = rows.select(*ids, F.explode(keys).alias("key"))
@@ -76,16 +88,19 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     near = texts.alias("a").join(close.alias("c"), F.expr("a.row = c.row AND a.pos = c.pos AND a.id <=> c.id"), "left_semi")
     near = shared.saved(near.select(F.struct("id", "row", "pos").alias("place"), "t"), "near")
 
-    gap = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("i"), F.concat(F.substr(t, F.lit(1), i - 1), F.substr(t, i + 1)).alias("v")))
-    variants = F.concat(
-        F.array(F.struct(F.xxhash64(F.lit(0), "t").alias("key"), F.lit(0).alias("role"))),  # the line itself
-        F.transform(gap, lambda x: F.struct(F.xxhash64(F.lit(0), x.v).alias("key"), F.lit(1).alias("role"))),  # a character less
-        F.transform(gap, lambda x: F.struct(F.xxhash64(x.i, x.v).alias("key"), F.lit(2).alias("role"))),  # one at i replaced
+    # the windows of about WINDOW characters outside which a line equals some other
+    parts = shared.saved(_windows(near), "windows")
+    parts = shared.saved(parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "windows")
+    size = F.length("inside")
+    gap = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("i"), F.concat(F.substr("inside", F.lit(1), i - 1), F.substr("inside", i + 1)).alias("v")))
+    variant = lambda label, text, role: F.struct(F.xxhash64("key", label, text).alias("variant"), F.lit(role).alias("role"))
+    variants = F.when(F.col("longer"), F.transform(gap, lambda x: variant(F.lit(0), x.v, 1))).otherwise(  # a character less
+        F.concat(F.array(variant(F.lit(0), F.col("inside"), 0)), F.transform(gap, lambda x: variant(x.i, x.v, 2)))  # the line itself; the one at i replaced
     )
-    emitted = near.select("place", F.explode(variants).alias("x")).select("place", "x.*").distinct()
-    groups = emitted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.when(F.col("role") == 0, F.col("place"))).alias("own"), F.min(F.when(F.col("role") != 0, F.col("place"))).alias("other")).where("n > 1")
+    emitted = parts.select("place", F.explode(F.array_distinct(variants)).alias("x")).select("place", "x.*")
+    groups = emitted.groupBy("variant").agg(F.count("*").alias("n"), F.min(F.when(F.col("role") == 0, F.col("place"))).alias("own"), F.min(F.when(F.col("role") != 0, F.col("place"))).alias("other")).where("n > 1")
     earlier = F.when(F.col("role") == 1, F.col("own")).otherwise(F.col("other"))
-    found = emitted.join(groups, "key").select("place", earlier.alias("earlier")).where("earlier < place").distinct()
+    found = emitted.join(groups, "variant").select("place", earlier.alias("earlier")).where("earlier < place").distinct()
     found = found.join(near, "place").join(near.select(F.col("place").alias("earlier"), F.col("t").alias("u")), "earlier")
     gone = found.where(F.levenshtein("t", "u", 1) >= 0).select("place.*").distinct()
 
