@@ -121,5 +121,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: the documents with their remaining lines (and the length of what remains)."""
-    out = dedup_lines(docs).withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast("long"))
-    return out.select(*docs.columns)
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))  # so that no column is mistaken for a count
+    out = dedup_lines(rows)
+    new = {"text": F.col("text"), "n_chars": F.length(F.coalesce("text", F.lit(""))).cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])

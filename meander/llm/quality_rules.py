@@ -188,4 +188,5 @@ def query(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
     rules = fit(docs, shared.table(spark, sf_dir, "labels"))
-    return judge(docs, rules).where("kept").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no column is mistaken for a statistic
+    return judge(rows, rules).where("kept").select("row.*")
