@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     home = classes.join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))
     home = shared.saved(home, "homes")
     out = signed.join(home, ["h1", "h2"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
