@@ -1,13 +1,14 @@
 """Benchmark decontamination: SimHash windows, multi-index Hamming blocks, exact check.
 
-Each benchmark item of n words has a 64-bit SimHash of its first w words, where
-w is its size class (n itself up to 16, then steps of about one eighth). Every
-run of w words of every document is fingerprinted the same way, by sliding sums
-over whole texts. Words weigh 1 to 3 by length. Fingerprints within ``RADIUS``
+Each benchmark item of n words has 64-bit SimHashes of its first and its last w
+words, where w is the size class of half the item (steps of about one eighth
+above 16; items of up to 8 words are taken whole): a changed word leaves one of
+the two as it was. Every run of w words of every document is fingerprinted the
+same way, by sliding sums over whole texts. Words weigh 1 to 3 by length. Fingerprints within ``RADIUS``
 bits of an item's are found through four 16-bit blocks: one block of the two
 must differ in at most RADIUS // 4 bits, and all keys that near are in the index
 (pigeonhole), so none within the radius is missed. A candidate counts if the n
-words from its start are similar enough to the item: weighted Jaccard over the
+words at the item's place are similar enough to it: weighted Jaccard over the
 multisets of 5-word shingles, a shingle weighing the sum of its words' weights,
 100 * intersection >= 75 * union, in integers.
 
@@ -15,8 +16,8 @@ Items go to the tasks in blocks of ``ITEMS_PER_PASS``; documents are never
 shuffled.
 
 Edge cases: texts are lower-cased; null and empty texts or items match nothing;
-a text or item of under five words is one shingle; a window at the end of a text
-is cut there (but holds w words at least); repeated documents are judged one by
+a text or item of under five words is one shingle; a window that
+reaches over an end of the text is cut there (but holds w words at least); repeated documents are judged one by
 one; repeated items count once per item_id; empty tables give empty results;
 extra columns pass through ``clean`` and are ignored by ``leaks``.
 """
@@ -41,8 +42,10 @@ _FOUND = "doc_id long, item_id long, start_word long, n_words long, similarity d
 
 
 def size_class(n: int) -> int:
-    """The window size for items of n words: n up to 16, then the largest step below n."""
-    w = 16
+    """The window size for items of n words: all of up to 8, else half of them; above 16 the largest step below."""
+    if n <= 8:
+        return n
+    w, n = 16, (n + 1) // 2
     if n <= w:
         return n
     while (more := w + max(1, w // 8)) <= n:
@@ -102,6 +105,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
         self.radius, self.items, by_class = radius, [], {}
+        places: list[tuple[int, int]] = []
         for item_id, text in items:
             column = pc.utf8_lower(kernels.text_array(pa.array([text], pa.string())))
             data, off = kernels.raw(column)
@@ -110,8 +114,10 @@ class Index:
                 continue
             h, weights = kernels.word_hashes(data, starts, ends), _weights(starts, ends)
             w = size_class(len(h))
-            mark = Sums(h[:w], weights[:w], w).windows(w)[0]
-            by_class.setdefault(w, []).append((mark, len(self.items)))
+            ends_of = Sums(h, weights, w).windows(w)[[0, -1][: 1 + (w < len(h))]]
+            for mark, shift in zip(ends_of, (0, len(h) - w)):
+                by_class.setdefault(w, []).append((mark, len(places)))
+                places.append((len(self.items), shift))
             self.items.append((item_id, len(h), weighted_shingles(h, weights)))
         flips = radius // BLOCKS
         self.classes = {}
@@ -123,13 +129,15 @@ class Index:
                 at = np.searchsorted(keys, np.arange(65537))
                 blocks.append((at[1:] > at[:-1], at, np.array([x for _, x in pairs])))
             self.classes[w] = blocks
-        self.marks = np.zeros(len(self.items), np.uint64)
+        #: Per fingerprint: itself, its item, and where in the item it begins.
+        self.marks = np.zeros(len(places), np.uint64)
+        self.item_of, self.shift = (np.array([p[k] for p in places], np.int64) for k in (0, 1))
         for marks in by_class.values():
             for m, x in marks:
                 self.marks[x] = m
 
     def candidates(self, w: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All (window, item, distance) of class w within the radius."""
+        """All (window, fingerprint, distance) of class w within the radius."""
         keys = np.ascontiguousarray(found.view(np.uint16).reshape(-1, BLOCKS).T)
         at_all, item_all, far_all = [], [], []
         for b, (used, at, items) in enumerate(self.classes[w]):
@@ -144,7 +152,7 @@ class Index:
             item_all.append(item[ok])
             far_all.append(far[ok])
         at, item, far = map(np.concatenate, (at_all, item_all, far_all))
-        _, one = np.unique(at * max(1, len(self.items)) + item, return_index=True)
+        _, one = np.unique(at * max(1, len(self.marks)) + item, return_index=True)
         return at[one], item[one], far[one]
 
 
@@ -179,16 +187,16 @@ def _search(index: Index, text: pa.Array, percent: int) -> list[tuple[int, int,
         for w in index.classes:
             at, item, far = index.candidates(w, sums.windows(w))
             inside = at + w <= rows[row_of[at] + 1]
-            for a, x, d in zip(at[inside].tolist(), item[inside].tolist(), far[inside].tolist()):
-                row = int(row_of[a])
+            row, x = row_of[at[inside]], index.item_of[item[inside]]
+            for r, x, a, d in sorted(set(zip(row.tolist(), x.tolist(), (at[inside] - index.shift[item[inside]]).tolist(), far[inside].tolist()))):
                 item_id, n, want = index.items[x]
-                end = min(a + n, int(rows[row + 1]))
+                a, end = max(a, int(rows[r])), min(a + n, int(rows[r + 1]))
                 both, either = overlap(weighted_shingles(h[a:end], weights[a:end]), want)
                 if 100 * both >= percent * either:
-                    found = (both / either, -(a - int(rows[row])), n, d)
-                    if found > best.get((i + row, item_id), ()):
-                        best[i + row, item_id] = found
-    return [(row, item_id, -m, n, s, d) for (row, item_id), (s, m, n, d) in best.items()]
+                    found = (both / either, -(a - int(rows[r])), n, -d)
+                    if found > best.get((i + r, item_id), ()):
+                        best[i + r, item_id] = found
+    return [(row, item_id, -m, n, s, -d) for (row, item_id), (s, m, n, d) in best.items()]
 
 
 def _passes(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
