@@ -66,12 +66,13 @@ class IntervalWindow:
     width: timedelta
     origin: datetime = EPOCH
 
+    def __post_init__(self):
+        if self.width < timedelta(microseconds=1):
+            raise ValueError("a window needs a positive width")
+
     @property
     def us(self) -> int:
-        n = self.width // timedelta(microseconds=1)
-        if n <= 0:
-            raise ValueError("a window needs a positive width")
-        return n
+        return self.width // timedelta(microseconds=1)
 
     def index(self, t: Column) -> Column:
         since = micros(t) - (self.origin - EPOCH) // timedelta(microseconds=1)
