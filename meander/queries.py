@@ -306,20 +306,20 @@ def _six_hours(spark, sf) -> DataFrame:
     return _events(spark, sf).groupBy("event_type", rule.start(F.col("ts")).alias("at")).agg(F.avg("value").alias("v"))
 
 
-def _forcing(kind: str, **options):
+def _forcing(kind: str, hours: int = 4, **options):
     def run(spark, sf):
         f = getattr(resample, kind)
-        hours = 3 if kind == "hold" else 4
-        return _round(f(_six_hours(spark, sf), ["event_type"], "at", "v", START, HOURS(6), Schedule(START, END, HOURS(hours)), **options)) if kind != "conservative" or options else resample.conservative(_six_hours(spark, sf), ["event_type"], "at", "v", START, HOURS(6), Schedule(START, END, HOURS(4))).withColumn("value", F.round(F.col("value") + 1e-7, 5))
+        out = f(_six_hours(spark, sf), ["event_type"], "at", "v", START, HOURS(6), Schedule(START, END, HOURS(hours)), **options)
+        return out.withColumn("value", F.round(F.col("value") + 1e-7, 6))
 
     return run
 
 
 _PART = "(least((step + 1) * 4, (i + 1) * 6) - greatest(step * 4, i * 6))"
-query("d8_conservative", f"SELECT event_type, step, CASE WHEN sum({_PART}) = 4 THEN round(sum(v * {_PART}) / sum({_PART}) + 1e-7, 5) END AS value FROM ({_SIX_SQL}), ({_FOUR_STEPS_SQL}) WHERE step * 4 < (i + 1) * 6 AND i * 6 < (step + 1) * 4 GROUP BY ALL")(_forcing("conservative"))
-query("d8_conservative_accumulated", f"SELECT event_type, step, round(sum(v * {_PART} / 6.0) / 14400, 6) AS value FROM ({_SIX_SQL}), ({_FOUR_STEPS_SQL}) WHERE step * 4 < (i + 1) * 6 AND i * 6 < (step + 1) * 4 GROUP BY ALL")(_forcing("conservative", accumulated=True))
-query("d9_hold", f"SELECT event_type, step, round(v, 6) AS value FROM ({_SIX_SQL}), (SELECT unnest(generate_series(0, 239)) AS step) WHERE step // 2 = i")(_forcing("hold"))
-query("d10_linear", f"WITH s AS ({_SIX_SQL}), t AS (SELECT step, (step * 4 + 2) / 6.0 AS m FROM ({_FOUR_STEPS_SQL})) SELECT a.event_type, step, round(CASE WHEN m = floor(m) THEN a.v ELSE a.v * (1 - m + floor(m)) + b.v * (m - floor(m)) END, 6) AS value FROM t JOIN s a ON a.i = floor(m) LEFT JOIN s b ON b.event_type = a.event_type AND b.i = floor(m) + 1 WHERE m = floor(m) OR b.v IS NOT NULL")(_forcing("linear"))
+query("d8_conservative", f"SELECT event_type, step, CASE WHEN sum({_PART}) = 4 THEN round(sum(v * {_PART}) / sum({_PART}) + 1e-7, 6) END AS value FROM ({_SIX_SQL}), ({_FOUR_STEPS_SQL}) WHERE step * 4 < (i + 1) * 6 AND i * 6 < (step + 1) * 4 GROUP BY ALL")(_forcing("conservative"))
+query("d8_conservative_accumulated", f"SELECT event_type, step, round(sum(v * {_PART} / 6.0) / 14400 + 1e-7, 6) AS value FROM ({_SIX_SQL}), ({_FOUR_STEPS_SQL}) WHERE step * 4 < (i + 1) * 6 AND i * 6 < (step + 1) * 4 GROUP BY ALL")(_forcing("conservative", accumulated=True))
+query("d9_hold", f"SELECT event_type, step, round(v + 1e-7, 6) AS value FROM ({_SIX_SQL}), (SELECT unnest(generate_series(0, 239)) AS step) WHERE step // 2 = i")(_forcing("hold", 3))
+query("d10_linear", f"WITH s AS ({_SIX_SQL}), t AS (SELECT step, (step * 4 + 2) / 6.0 AS m FROM ({_FOUR_STEPS_SQL})) SELECT a.event_type, step, round(CASE WHEN m = floor(m) THEN a.v ELSE a.v * (1 - m + floor(m)) + b.v * (m - floor(m)) END + 1e-7, 6) AS value FROM t JOIN s a ON a.i = floor(m) LEFT JOIN s b ON b.event_type = a.event_type AND b.i = floor(m) + 1 WHERE m = floor(m) OR b.v IS NOT NULL")(_forcing("linear"))
 
 # --- spatial mappings --------------------------------------------------------------------------------------------------
 
@@ -364,13 +364,16 @@ def _(spark, sf):
     return mapped.groupBy("target_id").agg(F.round(F.avg("value"), 3).alias("value"))
 
 
-_RECT = (F.pmod(F.col("s_suppkey") * 7, F.lit(45)) + F.col("s_suppkey") % 10 / 10, F.pmod(F.col("s_suppkey") * 3, F.lit(35)) + F.col("s_suppkey") % 7 / 8)
+def _corner() -> tuple[Column, Column]:
+    return F.pmod(F.col("s_suppkey") * 7, F.lit(45)) + F.col("s_suppkey") % 10 / 10, F.pmod(F.col("s_suppkey") * 3, F.lit(35)) + F.col("s_suppkey") % 7 / 8
+
+
 _RECT_SQL = "SELECT s_suppkey AS target_id, (s_suppkey * 7) % 45 + (s_suppkey % 10) / 10.0::DOUBLE AS x0, (s_suppkey * 3) % 35 + (s_suppkey % 7) / 8.0::DOUBLE AS y0 FROM supplier"
 
 
 @query("d11_rectangle_overlap", f"WITH c AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 49)) AS i), (SELECT unnest(generate_series(0, 39)) AS j)), o AS (SELECT target_id, j * 50 + i AS source, (least(x0 + 3.3, i + 1) - greatest(x0, i)) * (least(y0 + 2.6, j + 1) - greatest(y0, j)) AS weight FROM ({_RECT_SQL}) JOIN c ON i < x0 + 3.3 AND i + 1 > x0 AND j < y0 + 2.6 AND j + 1 > y0) SELECT target_id, source, round(weight / sum(weight) OVER (PARTITION BY target_id), 6) AS weight FROM o WHERE weight > 1e-9")
 def _(spark, sf):
-    x, y = _RECT
+    x, y = _corner()
     targets = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("target_id"), x.alias("xmin"), (x + 3.3).alias("xmax"), y.alias("ymin"), (y + 2.6).alias("ymax"))
     return _round(mapping.rectangle_overlap(targets, _GRID).where("weight > 1e-9").drop("coverage"))
 
