@@ -388,16 +388,16 @@ def _(spark, sf):
     return _GLOBE.cells(points, "lon", "lat").select("c_custkey", "source")
 
 
-@query("d14_pixel_aggregation", "SELECT s_suppkey AS target_id, CAST((l_partkey % 40) * 50 + l_orderkey % 50 AS BIGINT) AS source, round(sum(l_quantity), 6) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_suppkey % 2 = 0 GROUP BY ALL")
+@query("d14_pixel_aggregation", "SELECT s_suppkey AS target_id, CAST((l_partkey % 40) * 50 + l_orderkey % 50 AS BIGINT) AS source, round(sum(l_quantity), 6) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0 GROUP BY ALL")
 def _(spark, sf):
     pixels = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("pixel_target"), (F.col("l_orderkey") % 50 + 0.5).alias("x"), (F.col("l_partkey") % 40 + 0.5).alias("y"), F.col("l_quantity").alias("area"))
-    targets = _t(spark, sf, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").alias("target_id"))
+    targets = _t(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("target_id"))
     return _round(mapping.pixel_mapping(pixels, targets, _GRID))
 
 
-@query("c12_source_mask", f"WITH m AS ({_MAP_SQL}), v AS (SELECT *, source % 3 <> 0 AS ok FROM m), s AS (SELECT *, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN ok THEN weight END) OVER (PARTITION BY target_id) AS g FROM v) SELECT target_id, source, round(weight * a / g, 6) AS weight FROM s WHERE ok")
+@query("c12_source_mask", f"WITH m AS ({_MAP_SQL}), v AS (SELECT m.*, p_size > 10 AS ok FROM m JOIN part ON p_partkey - 1 = source), s AS (SELECT *, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN ok THEN weight END) OVER (PARTITION BY target_id) AS g FROM v) SELECT target_id, source, round(weight * a / g, 6) AS weight FROM s WHERE ok")
 def _(spark, sf):
-    valid = _t(spark, sf, "part").select((F.col("p_partkey") - 1).alias("source")).where("source % 3 <> 0")
+    valid = _t(spark, sf, "part").where("p_size > 10").select((F.col("p_partkey") - 1).alias("source"))
     return _round(mapping.with_source_mask(_weights(spark, sf), valid, _GRID, "drop"))
 
 
@@ -412,9 +412,9 @@ def _(spark, sf):
     return mapping.centers(_weights(spark, sf), _GRID).select("target_id", F.col("cx").cast("long").alias("cx"), F.col("cy").cast("long").alias("cy"))
 
 
-@query("c4_local_mapping", f"SELECT CAST(position AS BIGINT) AS position, target_id, source, weight FROM ({_MAP_SQL}) JOIN (SELECT s_suppkey AS target_id, row_number() OVER (ORDER BY s_suppkey DESC) - 1 AS position FROM supplier WHERE s_suppkey % 10 = 0) USING (target_id) WHERE weight <> 0")
+@query("c4_local_mapping", f"SELECT CAST(position AS BIGINT) AS position, target_id, source, weight FROM ({_MAP_SQL}) JOIN (SELECT s_suppkey AS target_id, row_number() OVER (ORDER BY s_suppkey DESC) - 1 AS position FROM supplier WHERE s_acctbal > 8000) USING (target_id) WHERE weight <> 0")
 def _(spark, sf):
-    wanted = lookup.with_positions(_t(spark, sf, "supplier").where("s_suppkey % 10 = 0").select((-F.col("s_suppkey")).alias("n")), "n").select("position", (-F.col("n")).alias("target_id"))
+    wanted = lookup.with_positions(_t(spark, sf, "supplier").where("s_acctbal > 8000").select((-F.col("s_suppkey")).alias("n")), "n").select("position", (-F.col("n")).alias("target_id"))
     return mapping.local(_weights(spark, sf), wanted).select("position", "target_id", "source", "weight")
 
 
@@ -449,10 +449,11 @@ def _(spark, sf):
     return tables.listed(found)
 
 
-@query("a16_missing_steps", "SELECT CAST(h AS TIMESTAMP) AS time, 'missing' AS problem FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS h) WHERE NOT EXISTS (SELECT 1 FROM events WHERE date_trunc('hour', ts) = h AND user_id < 20)")
+@query("a16_missing_steps", "SELECT CAST(h AS TIMESTAMP) AS time, 'missing' AS problem FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:50:00', INTERVAL 10 MINUTE)) AS h) WHERE h NOT IN (SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') FROM events)")
 def _(spark, sf):
-    hours = _events(spark, sf).where("user_id < 20").select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t")).distinct()
-    return timeline_problems(hours, "t", Schedule(START, END, HOURS(1)))
+    ten = timedelta(minutes=10)
+    times = _events(spark, sf).select(IntervalWindow(ten).start(F.col("ts")).alias("t")).distinct()
+    return timeline_problems(times, "t", Schedule(START, END, ten))
 
 
 @query("a17_time_keys", "SELECT strftime(o_orderdate, '%Y%m%d') AS by_day, strftime(o_orderdate, '%Y_%m') AS by_month, strftime(o_orderdate, '%Y') AS by_year, count(*) AS n FROM orders GROUP BY ALL")
@@ -482,9 +483,9 @@ def _(spark, sf):
     return _t(spark, sf, "customer").join(wanted, "c_nationkey", "left_semi").select("c_custkey", "c_name")
 
 
-@query("c5_selection_order", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS position, s_suppkey, s_name FROM supplier WHERE s_suppkey % 3 = 0")
+@query("c5_selection_order", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS position, s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
 def _(spark, sf):
-    return lookup.with_positions(_t(spark, sf, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", "s_name"), "s_suppkey").select("position", "s_suppkey", "s_name")
+    return lookup.with_positions(_t(spark, sf, "supplier").where("s_acctbal > 0").select("s_suppkey", "s_name"), "s_suppkey").select("position", "s_suppkey", "s_name")
 
 
 @query("c6_time_range", "SELECT event_id, ts FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-06'")
@@ -514,10 +515,10 @@ def _(spark, sf):
 # --- joins and references ----------------------------------------------------------------------------------------------
 
 
-@query("d1_positions", "SELECT o_orderkey, CASE WHEN o_custkey % 2 = 0 THEN (SELECT count(*) FROM customer WHERE c_custkey % 2 = 0 AND c_custkey < o_custkey) ELSE -1 END AS position FROM orders")
+@query("d1_positions", "SELECT o_orderkey, coalesce(position, -1) AS position FROM orders LEFT JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer WHERE c_acctbal > 0) ON c_custkey = o_custkey")
 def _(spark, sf):
-    half = lookup.with_positions(_t(spark, sf, "customer").where("c_custkey % 2 = 0").select("c_custkey"), "c_custkey")
-    return lookup.positions_of(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", half, "c_custkey").select("o_orderkey", "position")
+    some = lookup.with_positions(_t(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey"), "c_custkey")
+    return lookup.positions_of(_t(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", some, "c_custkey").select("o_orderkey", "position")
 
 
 @query("d2_references", "SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -527,9 +528,9 @@ def _(spark, sf):
     return orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "c_nationkey")
 
 
-@query("d3_inverse_reference", "WITH r AS (SELECT s_nationkey, max(s_suppkey) AS p FROM supplier WHERE s_nationkey % 2 = 0 GROUP BY ALL) SELECT n_nationkey, coalesce(p, -1) AS position FROM nation LEFT JOIN r ON s_nationkey = n_nationkey")
+@query("d3_inverse_reference", "WITH r AS (SELECT s_nationkey, max(s_suppkey) AS p FROM supplier WHERE s_acctbal > 5000 GROUP BY ALL) SELECT n_nationkey, coalesce(p, -1) AS position FROM nation LEFT JOIN r ON s_nationkey = n_nationkey")
 def _(spark, sf):
-    rows = _t(spark, sf, "supplier").where("s_nationkey % 2 = 0").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("p"))
+    rows = _t(spark, sf, "supplier").where("s_acctbal > 5000").groupBy("s_nationkey").agg(F.max("s_suppkey").alias("p"))
     return lookup.inverse_reference(_t(spark, sf, "nation"), "n_nationkey", lookup.require_unique(rows, "s_nationkey"), "s_nationkey", "p")
 
 
@@ -749,3 +750,220 @@ def _(spark, sf):
     out = windows.two_level_stream(source, ["user_id"], "ts", "value", "1 day", "5 days", ["max_mean", "min_max"])
     windows.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
     return _round(spark.read.parquet(f"{folder}/out"))
+
+
+# --- further scans, sinks and checks -----------------------------------------------------------------------------------
+
+
+@query("a10_mapping_round_trip", f"SELECT target_id, source, round(weight, 6) AS weight FROM ({_MAP_SQL})")
+def _(spark, sf):
+    from .sources import mapping_table
+
+    path = f"{_shared(spark)}/mapping-{_unique()}"
+    mapping_table.save_mapping(_weights(spark, sf), path)
+    return _round(mapping_table.load_mapping(spark, path))
+
+
+@query("a12_rank_files", "SELECT CAST(o_custkey % 4 AS INTEGER) AS rank, o_custkey, round(sum(o_totalprice), 4) AS total FROM orders WHERE year(o_orderdate) = 1994 GROUP BY ALL")
+def _(spark, sf):
+    path = f"{_shared(spark)}/ranks-{_unique()}"
+    tables.write_by_time(_t(spark, sf, "orders").withColumn("rank", (F.col("o_custkey") % 4).cast("int")), path, "o_orderdate", "year", "rank")
+    found = tables.read_by_time(spark, path, None, "o_orderdate", "year", datetime(1994, 1, 1), datetime(1995, 1, 1))
+    return found.groupBy("rank", "o_custkey").agg(F.round(F.sum("o_totalprice"), 4).alias("total"))
+
+
+@query("a21_time_slots", "WITH s AS (SELECT unnest(generate_series(0, 29)) AS step) SELECT slot, step < 30 AS is_valid, spin AS is_spin_up FROM (SELECT c * 5 + step AS slot, step, true AS spin FROM s, (SELECT unnest([0, 1]) AS c) WHERE step < 5 UNION ALL SELECT 10 + step, step, false FROM s)")
+def _(spark, sf):
+    steps = with_spin_up(Schedule(START, END, HOURS(24)).frame(spark), 4, 2)
+    return steps.select("slot", (F.col("step") < 30).alias("is_valid"), (F.col("phase") == "spin_up").alias("is_spin_up"))
+
+
+@query("b4_best_k_split", _RANKED_SQL.format("mean_ DESC", "round(mean_, 6)").replace("WHERE k < 3", "WHERE k = 1"))
+def _(spark, sf):
+    out = statistics.two_level(_events(spark, sf), ["user_id"], "ts", "value", DAY, _FIVE, ["max3_mean"])
+    path = f"{_shared(spark)}/best-{_unique()}"
+    statistics.ranked(out, ["user_id", "outer_start"], "max3_mean").write.partitionBy("k").parquet(path)
+    return _round(spark.read.parquet(path).where("k = 1").select("user_id", "outer_start", F.col("k").cast("long").alias("k"), "value"))
+
+
+@query("b11_dense_frames", "SELECT CAST(t AS BIGINT) AS t, 8000 AS bytes, n FROM (SELECT unnest([0, 1, 2]) AS t), (SELECT count(*) AS n FROM part WHERE p_partkey <= 2000)")
+def _(spark, sf):
+    from .sources import mapping_table
+
+    inside = _frames(spark, sf).where("source < 2000")
+    frames = mapping_table.dense_frames(inside, "t", "source", "x", 2000, -9999.0)
+    held = inside.groupBy("t").agg(F.count("*").alias("n"))
+    return frames.select("t", F.octet_length("frame").alias("bytes")).join(held, "t")
+
+
+@query("c3_dropped", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
+def _(spark, sf):
+    return lookup.projected(_t(spark, sf, "customer"), skip=["c_nationkey", "c_acctbal"])
+
+
+@query("c15_outside_dropped", "SELECT p_partkey, CAST(floor(p_size) + 50 * floor(p_retailprice - 900) AS BIGINT) AS source FROM part WHERE p_size <= 50 AND p_retailprice BETWEEN 900 AND 940 AND p_size < 50 AND p_retailprice < 940")
+def _(spark, sf):
+    points = _t(spark, sf, "part").where("p_size <> 50 AND p_retailprice <> 940").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") - 900).alias("y"))
+    return _GRID.cells(points, "x", "y").select("p_partkey", "source")
+
+
+@query("c17_gather", "WITH p AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS position, c_custkey, c_acctbal FROM customer) SELECT a.c_custkey, b.c_acctbal AS gathered FROM p a JOIN p b ON b.position = (a.position * 7 + 3) % (SELECT count(*) FROM customer)")
+def _(spark, sf):
+    placed = lookup.with_positions(_t(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    size = _t(spark, sf, "customer").count()
+    index = placed.select("c_custkey", ((F.col("position") * 7 + 3) % size).alias("position"))
+    return index.join(placed.select("position", F.col("c_acctbal").alias("gathered")), "position").select("c_custkey", "gathered")
+
+
+@query("d18_same_points", "SELECT o_custkey, round(sum(o_totalprice), 4) AS total, count(*) AS n FROM orders GROUP BY ALL")
+def _(spark, sf):
+    orders = _t(spark, sf, "orders")
+    total = orders.groupBy("o_custkey").agg(F.round(F.sum("o_totalprice"), 4).alias("total"))
+    return lookup.aligned(total, [orders.groupBy("o_custkey").agg(F.count("*").alias("n"))], "o_custkey")
+
+
+@query("d20_local_order", "SELECT row_number() OVER (ORDER BY s_suppkey DESC) - 1 AS position, s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey % 4 ELSE 0 END AS shift FROM supplier")
+def _(spark, sf):
+    order = lookup.with_positions(_t(spark, sf, "supplier").select((-F.col("s_suppkey")).alias("n")), "n").select("position", (-F.col("n")).alias("s_suppkey"))
+    shifts = _t(spark, sf, "supplier").where("s_suppkey % 3 = 0").select("s_suppkey", (F.col("s_suppkey") % 4).alias("shift"))
+    return order.join(shifts, "s_suppkey", "left").select("position", "s_suppkey", F.coalesce("shift", F.lit(0).cast("long")).alias("shift"))
+
+
+@query("d22_targets", "SELECT c_custkey, CASE WHEN c_custkey IN (3, 5, 8) THEN 1.5::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer")
+def _(spark, sf):
+    customer, targets = _t(spark, sf, "customer"), spark.createDataFrame([(3,), (5,), (8,)], "c_custkey long")
+    lookup.require_references(lookup.require_unique(targets, "c_custkey"), "c_custkey", customer, "c_custkey")
+    return lookup.updated(customer, "c_acctbal", 1.5, targets, "c_custkey").select("c_custkey", "c_acctbal")
+
+
+@query("d25_resharded_state", "SELECT c_custkey, CAST(c_custkey % 3 AS INTEGER) AS rank, round(c_acctbal, 6) AS value FROM customer")
+def _(spark, sf):
+    path = f"{_shared(spark)}/state-{_unique()}"
+    saved = _t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 5).cast("int").alias("rank"), F.col("c_acctbal").alias("value"))
+    saved.write.partitionBy("rank").parquet(path)
+    now = _t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 3).cast("int").alias("rank"))
+    return _round(lookup.aligned(now, [spark.read.parquet(path).drop("rank")], "c_custkey"))
+
+
+@query("g5_not_increasing", "SELECT user_id, count(*) AS n FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE value <= b GROUP BY ALL")
+def _(spark, sf):
+    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts"))
+    return _events(spark, sf).withColumn("b", before).where("value <= b").groupBy("user_id").agg(F.count("*").alias("n"))
+
+
+@query("g6_integer_runs", "WITH k AS (SELECT DISTINCT l_suppkey, l_partkey // 10 AS p FROM lineitem), r AS (SELECT *, p - row_number() OVER (PARTITION BY l_suppkey ORDER BY p) AS g FROM k) SELECT l_suppkey, min(p) AS low, max(p) AS high FROM r GROUP BY l_suppkey, g")
+def _(spark, sf):
+    keys = _t(spark, sf, "lineitem").select("l_suppkey", F.expr("l_partkey div 10").alias("p")).distinct()
+    island = keys.withColumn("g", F.col("p") - F.row_number().over(Window.partitionBy("l_suppkey").orderBy("p")))
+    return island.groupBy("l_suppkey", "g").agg(F.min("p").alias("low"), F.max("p").alias("high")).drop("g")
+
+
+@query("h1_concatenated_shards", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL")
+def _(spark, sf):
+    orders = _t(spark, sf, "orders").select("o_orderkey", F.year("o_orderdate").cast("long").alias("y"))
+    return lookup.merged({k: orders.where(F.col("o_orderkey") % 3 == k) for k in range(3)}, "o_orderkey").groupBy("y").agg(F.count("*").alias("n"))
+
+
+@query("i4_lerp", "SELECT l_orderkey, l_linenumber, round(l_discount + 0.25 * (l_tax - l_discount) + 1e-9, 6) AS v FROM lineitem")
+def _(spark, sf):
+    out = expressions.with_virtual(_t(spark, sf, "lineitem"), {"v": "l_discount + 0.25 * (l_tax - l_discount)"})
+    return out.select("l_orderkey", "l_linenumber", F.round(F.col("v") + 1e-9, 6).alias("v"))
+
+
+@query("i6_unravelled", "SELECT p_partkey, p_partkey // 40 AS x, p_partkey % 40 AS y FROM part")
+def _(spark, sf):
+    return results.unravelled(_t(spark, sf, "part").select("p_partkey"), "p_partkey", 40)
+
+
+@query("k1_registered_function", "SELECT l_orderkey, l_linenumber, round(l_quantity * (1 - l_discount) * 3 + 1e-9, 6) AS v FROM lineitem")
+def _(spark, sf):
+    from .functions.registry import Registry, Signature
+
+    r = Registry()
+    r.register(Signature("net", {"l_quantity": "double", "l_discount": "double"}, "double", ("factor",)), lambda l_quantity, l_discount, factor: l_quantity * (1 - l_discount) * factor)
+    out = r.apply(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), "net", "v", factor=3.0)
+    return out.select("l_orderkey", "l_linenumber", F.round(F.col("v") + 1e-9, 6).alias("v"))
+
+
+@query("k6_adhoc_request", f"WITH a AS (SELECT user_id, CAST({_5DAYS_SQL} AS TIMESTAMP) AS outer_start, date_trunc('day', ts) AS i, avg(value / 2 + 1) AS m FROM events GROUP BY ALL) SELECT user_id, outer_start, round(max(m) + 1e-7, 6) AS half_max_mean, round(min(m) + 1e-7, 6) AS half_min_mean FROM a GROUP BY ALL")
+def _(spark, sf):
+    from .plans.schema import request
+
+    wanted = request({"max_mean": [{"half": "value / 2 + 1"}], "min_mean": [("half", "value / 2 + 1")]})
+    df = expressions.with_virtual(_events(spark, sf), {alias: text for _, alias, text in wanted})
+    out = statistics.two_level(df, ["user_id"], "ts", "half", DAY, _FIVE, [op for op, _, _ in wanted])
+    return out.select("user_id", "outer_start", *[F.round(F.col(op) + 1e-7, 6).alias(f"half_{op}") for op, _, _ in wanted])
+
+
+@query("l2_conformed", "SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, 0.5::DOUBLE AS rough FROM customer")
+def _(spark, sf):
+    from .plans.schema import Field, check_model, conformed
+
+    fields = [Field("c_custkey", "int", "coordinate"), Field("c_nationkey", "int", "reference", "nation.n_nationkey"), Field("c_acctbal", "float"), Field("rough", "float", default=0.5), Field("extra", "float", depends_on=("other",))]
+    customer = conformed(_t(spark, sf, "customer"), fields)
+    check_model({"customer": customer, "nation": _t(spark, sf, "nation")}, {"customer": [f for f in fields if f.name != "extra"], "nation": [Field("n_nationkey", "idx", "coordinate")]})
+    return customer
+
+
+@query("l5_shard", "SELECT s_suppkey, n_regionkey AS \"group\" FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE n_regionkey % 2 = 1")
+def _(spark, sf):
+    groups = lookup.lineage(_t(spark, sf, "supplier"), [("s_nationkey", _t(spark, sf, "nation"), "n_nationkey", "n_regionkey")])
+    ranks = _t(spark, sf, "region").select(F.col("r_regionkey").alias("group"), (F.col("r_regionkey") % 2).alias("rank"))
+    return groups.join(ranks, "group").where("rank = 1").select("s_suppkey", "group")
+
+
+@query("m2_loss_overlay", f"WITH d AS ({_DAILY_SQL}), g AS (SELECT DISTINCT user_id, t FROM d, (SELECT unnest(generate_series(0, 29)) AS t)) SELECT g.user_id, g.t AS step, round(d.v, 6) AS v FROM g LEFT JOIN d ON d.user_id = g.user_id AND d.step = g.t + g.user_id % 3")
+def _(spark, sf):
+    daily = _daily(spark, sf)
+    shifts = daily.select("user_id", (F.col("user_id") % 3).alias("shift")).distinct()
+    return _round(resample.shifted(daily, "user_id", "step", "v", shifts, 30, None))
+
+
+@query("m4_windowed_overlays", f"WITH d AS ({_DAILY_SQL}), w AS (SELECT user_id, s AS window_start, step - s AS \"offset\", v FROM d, (SELECT unnest(generate_series(0, 25, 5)) AS s) WHERE step >= s AND step < s + 5) SELECT w.user_id, window_start, w.\"offset\", round(w.v, 6) AS v, round(coalesce(l.v, 0), 6) AS later FROM w LEFT JOIN d l ON l.user_id = w.user_id AND l.step = window_start + w.\"offset\" + w.user_id % 5")
+def _(spark, sf):
+    daily = _daily(spark, sf)
+    shifts = daily.select("user_id", (F.col("user_id") % 5).alias("shift")).distinct()
+    later = resample.shifted(daily, "user_id", "step", "v", shifts, 30).withColumnRenamed("v", "later")
+    return _round(resample.sliding(daily.join(later, ["user_id", "step"]), "step", 30, 5).drop("step"))
+
+
+@query("m7_mask_targets", "SELECT p_partkey AS target_id, (p_partkey % 50)::DOUBLE AS xmin, (p_partkey % 50 + 1)::DOUBLE AS xmax, (p_partkey // 50)::DOUBLE AS ymin, (p_partkey // 50 + 1)::DOUBLE AS ymax FROM part WHERE p_size > 40")
+def _(spark, sf):
+    cells = _t(spark, sf, "part").where("p_size > 40").select(F.col("p_partkey").alias("target_id"), (F.col("p_partkey") % 50).alias("i"), F.expr("p_partkey div 50").alias("j"))
+    (a, b), (c, d) = _GRID.x.edges(F.col("i")), _GRID.y.edges(F.col("j"))
+    return cells.select("target_id", a.alias("xmin"), b.alias("xmax"), c.alias("ymin"), d.alias("ymax"))
+
+
+@query("m10_plan_summary", "SELECT c_custkey AS target, CASE WHEN c_custkey % 3 = 0 THEN 'SET' ELSE 'ADD' END AS kind, count(*) AS steps FROM customer, (SELECT unnest([0, 1, 2]) AS i) WHERE i = 0 OR c_custkey % 3 <> 0 GROUP BY ALL")
+def _(spark, sf):
+    kind = F.when(F.col("c_custkey") % 3 == 0, "SET").otherwise("ADD")
+    plans = _t(spark, sf, "customer").select(F.col("c_custkey").alias("target"), F.col("c_nationkey").alias("start_step"), kind.alias("kind"), F.col("c_acctbal").alias("x"), F.lit(3).alias("active_steps"))
+    return parameters.expanded(plans).groupBy("target", "kind").agg(F.count("*").alias("steps"))
+
+
+@query("m13_missing_files", "SELECT strftime(h, '%Y%m%d') AS time_key FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-10', INTERVAL 1 DAY)) AS h) WHERE NOT EXISTS (SELECT 1 FROM events WHERE date_trunc('day', ts) = h)")
+def _(spark, sf):
+    needed = Schedule(datetime(2023, 12, 30), datetime(2024, 1, 11), HOURS(24)).frame(spark).select(tables.time_key(F.col("start"), "day").alias("time_key"))
+    there = _events(spark, sf).select(tables.time_key(F.col("ts"), "day").alias("time_key")).distinct()
+    return needed.join(there, "time_key", "left_anti")
+
+
+@query("j1_managed_steps", f"SELECT user_id, round(sum(value) + 1e-7, 5) AS total, 29 AS last_step FROM events GROUP BY ALL")
+def _(spark, sf):
+    from .streaming import windows
+    from .streaming.steps import StepRunner
+
+    folder = f"{_shared(spark)}/steps-{_unique()}"
+    step = F.datediff("ts", F.lit(START.date())).cast("long")
+    for k in range(3):  # three files of ten whole steps each, in order
+        _events(spark, sf).withColumn("step", step).where(F.expr(f"step div 10 = {k}")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    initial = _events(spark, sf).select("user_id").distinct().withColumn("total", F.lit(0.0))
+
+    def advance(state: DataFrame, batch: DataFrame) -> DataFrame:
+        added = batch.groupBy("user_id").agg(F.sum("value").alias("added"))
+        return state.join(added, "user_id", "left").select("user_id", (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"))
+
+    runner = StepRunner(spark, folder, initial, advance)
+    source = windows.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
+    query_ = runner.run(source)
+    return runner.state(query_.lastProgress["batchId"]).select("user_id", F.round(F.col("total") + 1e-7, 5).alias("total"), F.col("last_step").cast("int").alias("last_step"))
