@@ -241,3 +241,103 @@ def test_ordered_steps(spark):
 
 def test_every_step(spark):
     assert EveryStep().start(F.lit(T(1))) is not None
+
+
+def test_schemas(spark):
+    from meander.plans import schema
+
+    df = spark.createDataFrame([(1, None, 2.5)], "k int, x double, y double")
+    fields = [schema.Field("k", "int", "coordinate"), schema.Field("x", "float", default=7.0), schema.Field("z", "bool", default=True)]
+    assert schema.conformed(df, fields).first()[:] == (1, 7.0, True)
+    for bad in ([schema.Field("y", "int")], [schema.Field("missing", "float")]):
+        with pytest.raises(lookup.IntegrityError):
+            schema.conformed(df, bad)
+    with pytest.raises(Exception, match="CAST_OVERFLOW|overflow"):
+        schema.conformed(spark.createDataFrame([(2**40,)], "k long"), [schema.Field("k", "idx")]).collect()
+    for make in (lambda: schema.Field("a", "text"), lambda: schema.Field("a", "int", "reference")):
+        with pytest.raises(ValueError):
+            make()
+    assert schema.namespace({"river": ["depth", "id"], "lake": ["id"]}, ["total"]) == {"river.depth": "river.depth", "river.id": "river.id", "lake.id": "lake.id", "depth": "river.depth", "total": "total"}
+    with pytest.raises(ValueError):
+        schema.request({"mean": ["a", "a"]})
+    with pytest.raises(ValueError):
+        schema.request({"mean": [("q", "a")], "max": [("q", "b")]})
+
+
+def test_managed_steps_resume_and_refuse_gaps(spark, tmp_path):
+    from meander.streaming.steps import StepRunner
+
+    def put(*steps):
+        spark.createDataFrame([(s, float(s)) for s in steps], "step long, x double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+
+    put(0, 1)
+    initial = spark.createDataFrame([(0.0,)], "total double")
+    advance = lambda state, batch: state.join(F.broadcast(batch.agg(F.sum("x").alias("x")))).select((F.col("total") + F.col("x")).alias("total"))
+    runner = StepRunner(spark, f"{tmp_path}/run", initial, advance)
+    run = lambda: runner.run(windows.file_stream(spark, f"{tmp_path}/in", "step long, x double"))
+    run()
+    put(2)
+    last = run().lastProgress["batchId"]
+    assert runner.state(last).first()[:] == (3.0, 2)
+    put(4)
+    with pytest.raises(Exception, match="do not follow"):
+        run()
+
+
+def test_dense_frames(spark):
+    from meander.sources import mapping_table
+
+    df = spark.createDataFrame([(1, 0, 5.0), (1, 3, float("nan")), (2, 2, 6.0)], "t long, i long, v double")
+    got = {r.t: np.frombuffer(r.frame, "<f4").tolist() for r in mapping_table.dense_frames(df, "t", "i", "v", 4, -1.0).collect()}
+    assert got == {1: [5.0, -1.0, -1.0, -1.0], 2: [-1.0, -1.0, 6.0, -1.0]}
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    rows = [(1, datetime(2024, 1, 1) + timedelta(hours=7 * i), float(i % 11), 1.0) for i in range(60)]
+    samples(spark, rows).repartitionByRange(4, "t").sortWithinPartitions("t").write.parquet(f"{tmp_path}/in")
+    source = windows.file_stream(spark, f"{tmp_path}/in", "point long, t timestamp_ntz, x double, w double", 10)
+    out = windows.two_level_stream(source, ["point"], "t", "x", "1 day", "5 days", ["max_mean", "last_first", "sum_min"])
+    windows.run_to_table(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    five = IntervalWindow(timedelta(days=5))
+    batch = statistics.two_level(samples(spark, rows), ["point"], "t", "x", DAY, five, ["max_mean", "last_first", "sum_min"], drop_after=rows[-1][1])
+    got = sorted(spark.read.parquet(f"{tmp_path}/out").collect())
+    want = sorted(batch.select("point", "outer_start", "n_inner", "max_mean", "last_first", "sum_min").collect())
+    assert got == want and len(got) == 4
+    with pytest.raises(ValueError):
+        windows.two_level_stream(source, ["point"], "t", "x", "1 day", "5 days", ["argmax_mean"])
+
+
+def classic_file(records, lats, lons, values):
+    """The bytes of a small NetCDF classic file with a record dimension, written out by hand."""
+    import struct
+
+    i = lambda *x: struct.pack(f">{len(x)}i", *x)
+    pad = lambda b: b + b"\0" * (-len(b) % 4)
+    name = lambda s: i(len(s)) + pad(s.encode())
+    text = lambda k, v: name(k) + i(2, len(v)) + pad(v.encode())
+    ny, nx = len(lats), len(lons)
+    variables = [("time", [0], i(12, 1) + text("units", "hours since 2024-01-01"), 6, 8), ("lat", [1], i(0, 0), 6, 8 * ny), ("lon", [2], i(0, 0), 5, 4 * nx), ("q", [0, 1, 2], i(12, 2) + name("_FillValue") + i(3, 1) + pad(struct.pack(">h", -1)) + name("scale_factor") + i(6, 1) + struct.pack(">d", 0.5), 3, -(-2 * ny * nx // 4) * 4)]
+
+    def head(begins):
+        out = b"CDF\x01" + i(len(records)) + i(10, 3) + name("time") + i(0) + name("lat") + i(ny) + name("lon") + i(nx) + i(0, 0) + i(11, 4)
+        for (n, dims, attributes, kind, size), begin in zip(variables, begins):
+            out += name(n) + i(len(dims), *dims) + attributes + i(kind, size, begin)
+        return out
+
+    base = len(head([0] * 4))
+    fixed = struct.pack(f">{ny}d", *lats) + struct.pack(f">{nx}f", *lons)
+    first = base + len(fixed)
+    body = b"".join(struct.pack(">d", t) + pad(struct.pack(f">{ny * nx}h", *v)) for t, v in zip(records, values))
+    return head([first, base, base + 8 * ny, first + 8]) + fixed + body
+
+
+def test_netcdf_classic(spark, tmp_path):
+    from meander.sources import netcdf
+
+    (tmp_path / "a.nc").write_bytes(classic_file([0.0, 6.0], [10.0, 20.0, 30.0], [1.0], [[2, 4, -1], [6, 8, 10]]))
+    out = netcdf.variable(spark, str(tmp_path), "q", ("time", "lat", "lon")).collect()
+    got = {(r.time, r.lat, r.lon): r.value for r in out}
+    assert len(got) == 6 and got[T(1), 20.0, 1.0] == 2.0 and got[T(1, 6), 30.0, 1.0] == 5.0 and np.isnan(got[T(1), 30.0, 1.0])
+    (tmp_path / "b.nc").write_bytes(b"HDF file")
+    with pytest.raises(Exception, match="NetCDF classic"):
+        netcdf.variable(spark, str(tmp_path), "q", ("time", "lat", "lon")).collect()
