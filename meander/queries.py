@@ -967,3 +967,85 @@ def _(spark, sf):
     source = windows.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
     query_ = runner.run(source)
     return runner.state(query_.lastProgress["batchId"]).select("user_id", F.round(F.col("total") + 1e-7, 5).alias("total"), F.col("last_step").cast("int").alias("last_step"))
+
+
+# --- compositions ------------------------------------------------------------------------------------------------------
+
+
+@query("a15_times_by_rank", "SELECT CAST(o_custkey % 4 AS BIGINT) AS rank, count(DISTINCT year(o_orderdate)) AS years FROM orders GROUP BY ALL")
+def _(spark, sf):
+    kept = _t(spark, sf, "orders").select((F.col("o_custkey") % 4).alias("rank"), YEAR.start(F.col("o_orderdate")).alias("t"), "o_custkey").distinct()
+    tables.check_ranks(kept, 4, "t", "o_custkey")
+    return kept.groupBy("rank").agg(F.count_distinct("t").alias("years"))
+
+
+@query("c11_factor_after_aggregation", "SELECT event_type, date_diff('day', TIMESTAMP '2024-01-01', date_trunc('day', ts)) AS block, round(max(value) / 1000 + 1e-9, 6) AS top FROM events GROUP BY ALL")
+def _(spark, sf):
+    out = resample.time_aggregated(_events(spark, sf), ["event_type"], "ts", "value", START, HOURS(24), {"top": "max"}, 1000.0)
+    return out.withColumn("top", F.round(F.col("top") + 1e-9, 6))
+
+
+@query("c16_first_frame_mask", f"WITH m AS ({_MAP_SQL}), v AS (SELECT m.*, p_size <= 40 AS ok FROM m JOIN part ON p_partkey - 1 = source), s AS (SELECT *, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN ok THEN weight END) OVER (PARTITION BY target_id) AS g FROM v), w AS (SELECT target_id, source, weight * a / g AS weight FROM s WHERE ok) SELECT t, target_id, round(sum(weight * x), 3) AS value FROM w JOIN ({_FRAMES_SQL}) USING (source) GROUP BY ALL")
+def _(spark, sf):
+    """Sources without a value in the first frame are taken out of the mapping."""
+    size = _t(spark, sf, "part").select((F.col("p_partkey") - 1).alias("source"), "p_size")
+    frames = _frames(spark, sf).join(size, "source").withColumn("x", F.when(F.col("p_size") > 40, F.lit(float("nan"))).otherwise(F.col("x")))
+    valid = frames.where("t = 0 AND NOT isnan(x)").select("source")
+    out = mapping.apply_mapping(frames, mapping.with_source_mask(_weights(spark, sf), valid, _GRID, "drop"), "t", "source", "x")
+    return out.withColumn("value", F.round("value", 3))
+
+
+@query("d15_point_mapping", "SELECT c_custkey AS target_id, CAST((c_custkey * 3 % 40) * 50 + c_custkey * 7 % 50 AS BIGINT) AS source, 1.0::DOUBLE AS weight FROM customer")
+def _(spark, sf):
+    points = _t(spark, sf, "customer").select(F.col("c_custkey").alias("target_id"), (F.col("c_custkey") * 7 % 50 + 0.25).alias("x"), (F.col("c_custkey") * 3 % 40 + 0.75).alias("y"))
+    return _GRID.cells(points, "x", "y").select("target_id", "source", F.lit(1.0).alias("weight"))
+
+
+@query("d16_range_lookup", "SELECT event_id, name FROM events JOIN (SELECT unnest(['a', 'b', 'c']) AS name, unnest([TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-11 12:00:00']) AS s, unnest([TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-11 12:00:00', TIMESTAMP '2024-01-29']) AS e) ON ts >= s AND ts < e")
+def _(spark, sf):
+    rule = ExplicitWindows((("a", datetime(2024, 1, 2), datetime(2024, 1, 5)), ("b", datetime(2024, 1, 10), datetime(2024, 1, 11, 12)), ("c", datetime(2024, 1, 11, 12), datetime(2024, 1, 29))))
+    return rule.attach(_events(spark, sf), "ts", "name").select("event_id", "name")
+
+
+@query("e7_levels", "SELECT label, level, round(avg(x) + 1e-9, 5) AS mean, round(max(x) + 1e-9, 5) AS max FROM (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS level, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
+def _(spark, sf):
+    levels = _t(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("level", "x")).withColumn("x", F.col("x").cast("double"))
+    return levels.groupBy("label", F.col("level").cast("long").alias("level")).agg(F.round(F.avg("x") + 1e-9, 5).alias("mean"), F.round(F.max("x") + 1e-9, 5).alias("max"))
+
+
+@query("g1_best_samples", "SELECT user_id, k, value FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts) - 1 AS k FROM events) WHERE k < 5")
+def _(spark, sf):
+    order = Window.partitionBy("user_id").orderBy(F.desc("value"), "ts")
+    best = _events(spark, sf).withColumn("r", F.row_number().over(order)).where("r <= 5")
+    return best.select("user_id", (F.col("r") - 1).cast("long").alias("k"), "value")
+
+
+@query("h4_range_intersection", "SELECT event_type, greatest(min(ts), TIMESTAMP '2024-01-10') AS low, least(max(ts), TIMESTAMP '2024-01-20') AS high FROM events GROUP BY ALL")
+def _(spark, sf):
+    at = lambda d: F.lit(datetime(2024, 1, d)).cast("timestamp_ntz")
+    return _events(spark, sf).groupBy("event_type").agg(F.greatest(F.min("ts"), at(10)).alias("low"), F.least(F.max("ts"), at(20)).alias("high"))
+
+
+@query("j15_output_after_spin_up", f"SELECT user_id, step - 10 AS step, round(sum(v) OVER (PARTITION BY user_id ORDER BY step), 5) AS total FROM ({_DAILY_SQL}) QUALIFY step >= 10")
+def _(spark, sf):
+    running = F.sum("v").over(Window.partitionBy("user_id").orderBy("step"))
+    return _daily(spark, sf).withColumn("total", F.round(running, 5)).where("step >= 10").select("user_id", (F.col("step") - 10).alias("step"), "total")
+
+
+@query("m5_mapped_variables", f"SELECT target_id, round(sum(weight * p_retailprice), 4) AS price, round(sum(weight * p_size), 4) AS size FROM ({_MAP_SQL}) JOIN part ON p_partkey - 1 = source GROUP BY ALL")
+def _(spark, sf):
+    part = _t(spark, sf, "part").select(F.lit(0).alias("t"), (F.col("p_partkey") - 1).alias("source"), "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    weights = _weights(spark, sf)
+    one = lambda c, n: mapping.apply_mapping(part, weights, "t", "source", c).select("target_id", F.round("value", 4).alias(n))
+    return lookup.aligned(one("p_retailprice", "price"), [one("p_size", "size")], "target_id")
+
+
+@query("m9_set_value", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal FROM supplier")
+def _(spark, sf):
+    supplier = _t(spark, sf, "supplier")
+    return lookup.updated(supplier, "s_acctbal", 0.0, supplier.where("s_acctbal < 0"), "s_suppkey").select("s_suppkey", "s_acctbal")
+
+
+@query("m12_all_coordinates", "SELECT DISTINCT p_partkey // 40 AS x, p_partkey % 40 AS y FROM part")
+def _(spark, sf):
+    return results.unravelled(_t(spark, sf, "part"), "p_partkey", 40).select("x", "y").distinct()
