@@ -27,7 +27,7 @@ def from_day_number(n: Column, calendar: str) -> Column:
     """struct(year, month, day)."""
     size = {"360_day": 360, "noleap": 365}[calendar]
     rest = F.pmod(n, F.lit(size)).cast("int")
-    year = F.expr("1") * ((n - rest) / size).cast("int")
+    year = ((n - rest) / size).cast("int")
     if calendar == "360_day":
         month, day = (rest - rest % 30) / 30 + 1, rest % 30 + 1
     else:

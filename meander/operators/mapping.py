@@ -126,7 +126,6 @@ def local(mapping: DataFrame, wanted: DataFrame) -> DataFrame:
 def centers(mapping: DataFrame, grid: Grid) -> DataFrame:
     """(target_id, cx, cy): weighted mean cell, around the circle where x is periodic; rounded half to even."""
     ix, iy = F.col("source") % grid.x.n, F.expr(f"source div {grid.x.n}")
-    total = F.sum("weight")
     w = F.when(F.sum("weight").over(Window.partitionBy("target_id")) != 0, F.col("weight")).otherwise(1.0)
     cells = mapping.withColumns({"_x": ix, "_y": iy, "_w": w})
     if grid.x.period is not None:
@@ -135,7 +134,6 @@ def centers(mapping: DataFrame, grid: Grid) -> DataFrame:
         cx = F.pmod(F.bround(angle / turn), F.lit(float(grid.x.n)))
     else:
         cx = F.bround(F.sum(F.col("_w") * F.col("_x")) / F.sum("_w"))
-    del total
     return cells.groupBy("target_id").agg(cx.cast("int").alias("cx"), F.bround(F.sum(F.col("_w") * F.col("_y")) / F.sum("_w")).cast("int").alias("cy"))
 
 

@@ -11,14 +11,14 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.temporal import EPOCH, Schedule, at_micros, micros
+from ..plans.temporal import EPOCH, Schedule, micros
 
 
 def _us(x) -> int:
     return (x - EPOCH if isinstance(x, datetime) else x) // timedelta(microseconds=1)
 
 
-def _steps(schedule: Schedule, source, spark) -> DataFrame:
+def _steps(schedule: Schedule, spark) -> DataFrame:
     return schedule.frame(spark).withColumns({"_s": micros(F.col("start")), "_e": micros(F.col("end"))})
 
 
@@ -29,7 +29,7 @@ def conservative(df: DataFrame, points: list[str], time: str, value: str, start:
     Steps that the source doesn't wholly cover get null (for rates of means).
     """
     us, first = _us(interval), _us(start)
-    steps = _steps(schedule, df, df.sparkSession)
+    steps = _steps(schedule, df.sparkSession)
     lo, hi = F.expr(f"(_s - {first}L) div {us}L"), F.expr(f"(_e - 1L - {first}L) div {us}L")
     touched = steps.select("step", "_s", "_e", F.explode(F.sequence(lo, hi)).alias("_i"))
     part = F.least(F.col("_e"), F.lit(first + us) + F.col("_i") * us) - F.greatest(F.col("_s"), F.lit(first) + F.col("_i") * us)
@@ -50,7 +50,7 @@ def _name(time: str) -> str:
 def hold(df: DataFrame, points: list[str], time: str, value: str, start: datetime, interval: timedelta, schedule: Schedule) -> DataFrame:
     """(points, step, value): the value of the one source interval that holds the step; a step across a border is an error."""
     us, first = _us(interval), _us(start)
-    steps = _steps(schedule, df, df.sparkSession)
+    steps = _steps(schedule, df.sparkSession)
     lo, hi = F.expr(f"(_s - {first}L) div {us}L"), F.expr(f"(_e - 1L - {first}L) div {us}L")
     checked = F.when(lo == hi, lo).otherwise(F.raise_error(F.concat(F.lit("a step crosses a source border: step "), F.col("step").cast("string"))).cast("long"))
     steps = steps.select("step", checked.alias("_i"))
@@ -61,7 +61,7 @@ def hold(df: DataFrame, points: list[str], time: str, value: str, start: datetim
 def linear(df: DataFrame, points: list[str], time: str, value: str, start: datetime, interval: timedelta, schedule: Schedule) -> DataFrame:
     """(points, step, value): between the two samples around each step's middle; none past the last sample."""
     us, first = _us(interval), _us(start)
-    steps = _steps(schedule, df, df.sparkSession)
+    steps = _steps(schedule, df.sparkSession)
     middle = (F.col("_s") + F.col("_e")) / 2 - first
     left = F.floor(middle / us)
     steps = steps.select("step", left.alias("_l"), (middle / us - left).alias("_f"))
@@ -139,6 +139,3 @@ def common_spans(runs: DataFrame, group: str) -> DataFrame:
 def nan_sum(x: Column) -> Column:
     """A sum that skips NaN; null when there is nothing else."""
     return F.sum(F.when(~F.isnan(x), x))
-
-
-__all__ = ["at_micros", "conservative", "hold", "linear", "time_aggregated", "increments", "shifted", "sliding", "chunked", "values_or_zero", "longest_runs", "common_spans", "nan_sum"]

@@ -74,10 +74,6 @@ class IntervalWindow:
     def us(self) -> int:
         return self.width // timedelta(microseconds=1)
 
-    def index(self, t: Column) -> Column:
-        since = micros(t) - (self.origin - EPOCH) // timedelta(microseconds=1)
-        return F.floor(since / self.us) if self.us >= 1 << 52 else ((since - F.pmod(since, F.lit(self.us))) / self.us).cast("long")
-
     def start(self, t: Column) -> Column:
         since = micros(t) - (self.origin - EPOCH) // timedelta(microseconds=1)
         return at_micros(micros(t) - F.pmod(since, F.lit(self.us)))
@@ -100,7 +96,7 @@ class ExplicitWindows:
                 raise ValueError("windows must be ordered, not empty and not overlapping")
 
     def attach(self, df: DataFrame, time: str, name: str = "window", start: str = "window_start") -> DataFrame:
-        table = df.sparkSession.createDataFrame(list(self.windows), f"_n string, _s timestamp_ntz, _e timestamp_ntz")
+        table = df.sparkSession.createDataFrame(list(self.windows), "_n string, _s timestamp_ntz, _e timestamp_ntz")
         joined = df.join(F.broadcast(table), (F.col(time) >= F.col("_s")) & (F.col(time) < F.col("_e")))  # a parameter's few rows
         return joined.withColumn(name, F.col("_n")).withColumn(start, F.col("_s")).drop("_n", "_s", "_e")
 
@@ -188,5 +184,5 @@ def source_interval(df: DataFrame, time: str) -> DataFrame:
     edges = part.groupBy("block").agg(F.min("us").alias("lo"), F.max("us").alias("hi"))  # a row a month
     across = edges.select((F.lead("lo").over(Window.orderBy("block")) - F.col("hi")).alias("gap"))
     gaps = inner.select("gap").unionByName(across).where("gap > 0")
-    least = gaps.agg(F.min("gap").alias("interval_us"))
-    return gaps.join(F.broadcast(least)).groupBy("interval_us").agg(F.min(F.col("gap") % F.col("interval_us") == 0).alias("regular"))
+    least = gaps.agg(F.min("gap")).first()[0]
+    return gaps.groupBy(F.lit(least).cast("long").alias("interval_us")).agg(F.min(F.col("gap") % least == 0).alias("regular"))
