@@ -323,22 +323,22 @@ query("d10_linear", f"WITH s AS ({_SIX_SQL}), t AS (SELECT step, (step * 4 + 2)
 
 # --- spatial mappings --------------------------------------------------------------------------------------------------
 
-#: A grid of 50 x 40 cells; part p_partkey is cell p_partkey - 1.
+#: A grid of 50 x 40 cells; part p_partkey is cell p_partkey.
 _GRID = mapping.Grid(mapping.Axis(0.0, 1.0, 50), mapping.Axis(0.0, 1.0, 40))
 _GLOBE = mapping.Grid(mapping.Axis(-180.0, 7.2, 50, 360.0), mapping.Axis(-90.0, 4.5, 40), geographic=True)
-_MAP_SQL = "SELECT l_suppkey AS target_id, l_partkey - 1 AS source, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL"
+_MAP_SQL = "SELECT l_suppkey AS target_id, l_partkey AS source, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL"
 
 
 def _weights(spark, sf) -> DataFrame:
-    return _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("target_id"), (F.col("l_partkey") - 1).alias("source")).agg(F.sum("l_quantity").alias("weight"))
+    return _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("target_id"), F.col("l_partkey").alias("source")).agg(F.sum("l_quantity").alias("weight"))
 
 
 def _frames(spark, sf) -> DataFrame:
     """(t, source, x): three frames over the parts."""
-    return _t(spark, sf, "part").select(F.explode(F.expr("array(0L, 1L, 2L)")).alias("t"), (F.col("p_partkey") - 1).alias("source"), F.col("p_retailprice").alias("p")).select("t", "source", (F.col("p") * (F.col("t") + 1)).alias("x"))
+    return _t(spark, sf, "part").select(F.explode(F.expr("array(0L, 1L, 2L)")).alias("t"), F.col("p_partkey").alias("source"), F.col("p_retailprice").alias("p")).select("t", "source", (F.col("p") * (F.col("t") + 1)).alias("x"))
 
 
-_FRAMES_SQL = "SELECT CAST(t AS BIGINT) AS t, p_partkey - 1 AS source, p_retailprice * (t + 1) AS x FROM part, (SELECT unnest([0, 1, 2]) AS t)"
+_FRAMES_SQL = "SELECT CAST(t AS BIGINT) AS t, p_partkey AS source, p_retailprice * (t + 1) AS x FROM part, (SELECT unnest([0, 1, 2]) AS t)"
 
 
 @query("d7_apply_mapping", f"SELECT t, s_suppkey AS target_id, round(coalesce(sum(weight * x), 0), 4) AS value FROM (SELECT unnest([0, 1, 2])::BIGINT AS t) CROSS JOIN supplier LEFT JOIN ({_MAP_SQL}) m ON m.target_id = s_suppkey LEFT JOIN ({_FRAMES_SQL}) f USING (t, source) GROUP BY ALL")
@@ -395,9 +395,9 @@ def _(spark, sf):
     return _round(mapping.pixel_mapping(pixels, targets, _GRID))
 
 
-@query("c12_source_mask", f"WITH m AS ({_MAP_SQL}), v AS (SELECT m.*, p_size > 10 AS ok FROM m JOIN part ON p_partkey - 1 = source), s AS (SELECT *, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN ok THEN weight END) OVER (PARTITION BY target_id) AS g FROM v) SELECT target_id, source, round(weight * a / g, 6) AS weight FROM s WHERE ok")
+@query("c12_source_mask", f"WITH m AS ({_MAP_SQL}), v AS (SELECT m.*, p_size > 10 AS ok FROM m JOIN part ON p_partkey = source), s AS (SELECT *, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN ok THEN weight END) OVER (PARTITION BY target_id) AS g FROM v) SELECT target_id, source, round(weight * a / g, 6) AS weight FROM s WHERE ok")
 def _(spark, sf):
-    valid = _t(spark, sf, "part").where("p_size > 10").select((F.col("p_partkey") - 1).alias("source"))
+    valid = _t(spark, sf, "part").where("p_size > 10").select(F.col("p_partkey").alias("source"))
     return _round(mapping.with_source_mask(_weights(spark, sf), valid, _GRID, "drop"))
 
 
@@ -786,7 +786,7 @@ def _(spark, sf):
     return _round(spark.read.parquet(path).where("k = 1").select("user_id", "outer_start", F.col("k").cast("long").alias("k"), "value"))
 
 
-@query("b11_dense_frames", "SELECT CAST(t AS BIGINT) AS t, 8000 AS bytes, n FROM (SELECT unnest([0, 1, 2]) AS t), (SELECT count(*) AS n FROM part WHERE p_partkey <= 2000)")
+@query("b11_dense_frames", "SELECT CAST(t AS BIGINT) AS t, 8000 AS bytes, n FROM (SELECT unnest([0, 1, 2]) AS t), (SELECT count(*) AS n FROM part WHERE p_partkey < 2000)")
 def _(spark, sf):
     from .sources import mapping_table
 
@@ -985,10 +985,10 @@ def _(spark, sf):
     return out.withColumn("top", F.round(F.col("top") + 1e-9, 6))
 
 
-@query("c16_first_frame_mask", f"WITH m AS ({_MAP_SQL}), v AS (SELECT m.*, p_size <= 40 AS ok FROM m JOIN part ON p_partkey - 1 = source), s AS (SELECT *, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN ok THEN weight END) OVER (PARTITION BY target_id) AS g FROM v), w AS (SELECT target_id, source, weight * a / g AS weight FROM s WHERE ok) SELECT t, target_id, round(sum(weight * x), 3) AS value FROM w JOIN ({_FRAMES_SQL}) USING (source) GROUP BY ALL")
+@query("c16_first_frame_mask", f"WITH m AS ({_MAP_SQL}), v AS (SELECT m.*, p_size <= 40 AS ok FROM m JOIN part ON p_partkey = source), s AS (SELECT *, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN ok THEN weight END) OVER (PARTITION BY target_id) AS g FROM v), w AS (SELECT target_id, source, weight * a / g AS weight FROM s WHERE ok) SELECT t, target_id, round(sum(weight * x), 3) AS value FROM w JOIN ({_FRAMES_SQL}) USING (source) GROUP BY ALL")
 def _(spark, sf):
     """Sources without a value in the first frame are taken out of the mapping."""
-    size = _t(spark, sf, "part").select((F.col("p_partkey") - 1).alias("source"), "p_size")
+    size = _t(spark, sf, "part").select(F.col("p_partkey").alias("source"), "p_size")
     frames = _frames(spark, sf).join(size, "source").withColumn("x", F.when(F.col("p_size") > 40, F.lit(float("nan"))).otherwise(F.col("x")))
     valid = frames.where("t = 0 AND NOT isnan(x)").select("source")
     out = mapping.apply_mapping(frames, mapping.with_source_mask(_weights(spark, sf), valid, _GRID, "drop"), "t", "source", "x")
@@ -1032,9 +1032,9 @@ def _(spark, sf):
     return _daily(spark, sf).withColumn("total", F.round(running, 5)).where("step >= 10").select("user_id", (F.col("step") - 10).alias("step"), "total")
 
 
-@query("m5_mapped_variables", f"SELECT target_id, round(sum(weight * p_retailprice), 4) AS price, round(sum(weight * p_size), 4) AS size FROM ({_MAP_SQL}) JOIN part ON p_partkey - 1 = source GROUP BY ALL")
+@query("m5_mapped_variables", f"SELECT target_id, round(sum(weight * p_retailprice), 4) AS price, round(sum(weight * p_size), 4) AS size FROM ({_MAP_SQL}) JOIN part ON p_partkey = source GROUP BY ALL")
 def _(spark, sf):
-    part = _t(spark, sf, "part").select(F.lit(0).alias("t"), (F.col("p_partkey") - 1).alias("source"), "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
+    part = _t(spark, sf, "part").select(F.lit(0).alias("t"), F.col("p_partkey").alias("source"), "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
     weights = _weights(spark, sf)
     one = lambda c, n: mapping.apply_mapping(part, weights, "t", "source", c).select("target_id", F.round("value", 4).alias(n))
     return lookup.aligned(one("p_retailprice", "price"), [one("p_size", "size")], "target_id")
@@ -1049,3 +1049,41 @@ def _(spark, sf):
 @query("m12_all_coordinates", "SELECT DISTINCT p_partkey // 40 AS x, p_partkey % 40 AS y FROM part")
 def _(spark, sf):
     return results.unravelled(_t(spark, sf, "part"), "p_partkey", 40).select("x", "y").distinct()
+
+
+@query("a3_raw_frames", f"SELECT CAST(t AS VARCHAR) AS file, source // 50 AS y, source % 50 AS x, round(CAST(x AS FLOAT)::DOUBLE / 10 + 1e-7, 4) AS value FROM ({_FRAMES_SQL}) WHERE source < 2000")
+def _(spark, sf):
+    """Grids as raw bytes, and back."""
+    from .sources import binary, mapping_table
+
+    inside = _frames(spark, sf).where("source < 2000").withColumn("source", F.col("source").cast("int"))
+    held = mapping_table.dense_frames(inside, "t", "source", "x", 2000, -9999.0)
+    cells = binary.decoded(held.select(F.col("t").cast("string").alias("path"), F.col("frame").alias("content")), 40, 50, factor=10.0)
+    return cells.where("value > -999").select("file", "y", "x", F.round(F.col("value") + 1e-7, 4).alias("value"))
+
+
+@query("a8_active_points", "SELECT (p_partkey % 50) * 40 + p_partkey // 50 AS point_id FROM part WHERE p_size <> 7")
+def _(spark, sf):
+    from .sources import binary
+
+    value = F.when(F.col("p_size") == 7, -9999).otherwise(F.col("p_size"))
+    cells = _t(spark, sf, "part").select((F.col("p_partkey") % 50).alias("x"), F.expr("p_partkey div 50").alias("y"), value.alias("value"))
+    return binary.active_points(cells, 40)
+
+
+@query("c10_clipped", "SELECT c_custkey, greatest(c_acctbal, 0.0) AS v FROM customer")
+def _(spark, sf):
+    return _t(spark, sf, "customer").select("c_custkey", resample.values_or_zero(F.col("c_acctbal"), clip_negative=True).alias("v"))
+
+
+@query("d19_gauges_by_point", f"SELECT n_nationkey, step, round(sum(v), 5) AS v FROM ({_DAILY_SQL}) JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
+def _(spark, sf):
+    at = _t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("n_nationkey"))
+    return _daily(spark, sf).join(at, "user_id").groupBy("n_nationkey", "step").agg(F.round(resample.nan_sum(F.col("v")), 5).alias("v"))
+
+
+@query("j4_strict_order", f"SELECT user_id, step FROM (SELECT user_id, step, lag(step) OVER (PARTITION BY user_id ORDER BY step) AS b FROM ({_DAILY_SQL})) WHERE step <> b + 1")
+def _(spark, sf):
+    """Steps that don't follow the one before."""
+    before = F.lag("step").over(Window.partitionBy("user_id").orderBy("step"))
+    return _daily(spark, sf).withColumn("b", before).where("step <> b + 1").select("user_id", "step")

@@ -36,6 +36,8 @@ def dense_frames(df: DataFrame, time: str, index: str, value: str, size: int, fi
                     if frame is not None:
                         out.append((now, frame.tobytes()))
                     now, frame = t, np.full(size, fill, dtype)
+                if not 0 <= i < size:
+                    raise ValueError(f"{index} {i} is not in a grid of {size}")
                 if v is not None and np.isfinite(v):
                     frame[i] = v
             if out:

@@ -290,6 +290,8 @@ def test_dense_frames(spark):
     df = spark.createDataFrame([(1, 0, 5.0), (1, 3, float("nan")), (2, 2, 6.0)], "t long, i long, v double")
     got = {r.t: np.frombuffer(r.frame, "<f4").tolist() for r in mapping_table.dense_frames(df, "t", "i", "v", 4, -1.0).collect()}
     assert got == {1: [5.0, -1.0, -1.0, -1.0], 2: [-1.0, -1.0, 6.0, -1.0]}
+    with pytest.raises(Exception, match="not in a grid"):
+        mapping_table.dense_frames(df, "t", "i", "v", 3, -1.0).collect()
 
 
 def test_stream_equals_batch(spark, tmp_path):
