@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -15,10 +16,12 @@ WORD_GAP = r"[ \t\n\x0B\f\r]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only if unset (local tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="spark-meander-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return (folder or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
+
+
+@functools.cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-meander-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
