@@ -209,6 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     """One row per document and item found in it, with the place of the best window."""
 
     def search(items):
+        @kernels.tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, radius)
             for batch in batches:
@@ -231,6 +232,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     where = docs.columns.index("text")
 
     def without(items):
+        @kernels.tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(items, radius)
             for batch in batches:

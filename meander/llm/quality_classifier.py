@@ -152,6 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> AdditiveM
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     """(doc_id, score) of every whole text."""
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = features.features(kernels.text_array(batch.column(1)))

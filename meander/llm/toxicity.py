@@ -187,6 +187,7 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> set[int]:
     """Hashes of the words that explain the toxic documents (greedy cover)."""
 
+    @kernels.tidied
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, t in _texts(batch.column(1)):
@@ -228,6 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
         return model
     toxic = np.array(sorted(_lexicon(sample, n1, n0)), np.int64).view(np.uint64)
 
+    @kernels.tidied
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, feats, ys = [], [], []
@@ -251,6 +253,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
     found = sorted(sample.mapInArrow(windows, "doc_id long, f array<long>, y array<long>").collect())  # 5 windows a document at most
     model = train([(np.array(r[1]).reshape(5, -1), np.array(r[2])) for r in found])
 
+    @kernels.tidied
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.concatenate([np.zeros((0, 2)), *(_summary(model, t) for _, t in _texts(batch.column(1)))])
@@ -264,6 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
 def tag(docs: DataFrame, model: Field, spans: bool = True) -> DataFrame:
     """(doc_id, score, spans): every whole text's score and, if asked for, its toxic spans."""
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             scores, found = [np.zeros(0)], []
