@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from . import kernels, shared
 
 LENGTH, UNIT, END_ID = 2048, 8, 1
-#: Pieces ranked by one task at once, about.
-RANKED = 200_000
+#: Pieces of a class that are ranked together, about: a class may hold much of all rows.
+RANKED = 1_000
 
 
 @functools.lru_cache(2)
@@ -57,6 +57,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * keep_ids
     types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * keep_ids
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)
         for batch in batches:
