@@ -32,14 +32,25 @@ def require_references(df: DataFrame, key: str, target: DataFrame, target_key: s
     return df
 
 
+#: Rows that are ranked in one window, about.
+RANKED = 1_000_000
+
+
 def with_positions(df: DataFrame, key: str, position: str = "position") -> DataFrame:
-    """``df`` with each key's place in key order, from 0: ranks within ranges of keys, plus the sizes of those before."""
-    ranges = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    dealt = df.repartitionByRange(int(ranges), key).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"), F.min(key).alias("_low"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a partition
-    inner = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return dealt.withColumn("_r", inner).join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(position, (F.col("_r") + F.col("_before")).cast("long")).drop("_part", "_r", "_before")
+    """``df`` with each integer key's place in key order, from 0: ranks within key ranges, plus the sizes of those before.
+
+    Ranges are equal stretches of keys, so the same row falls into the same one whenever it is computed again.
+    """
+    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
+    if low is None:
+        return df.withColumn(position, F.lit(None).cast("long"))
+    width = (high - low) // (n // RANKED + 1) + 1
+    dealt = df.withColumn("_part", F.expr(f"(`{key}` - {low}L) div {width}L"))
+    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per RANKED rows
+    before = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    return dealt.withColumn("_r", rank).join(before, "_part").withColumn(position, (F.col("_r") + F.col("_before")).cast("long")).drop("_part", "_r", "_before")
 
 
 def positions_of(df: DataFrame, key: str, target: DataFrame, target_key: str, miss: int = -1) -> DataFrame:

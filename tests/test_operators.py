@@ -343,3 +343,11 @@ def test_netcdf_classic(spark, tmp_path):
     (tmp_path / "b.nc").write_bytes(b"HDF file")
     with pytest.raises(Exception, match="NetCDF classic"):
         netcdf.variable(spark, str(tmp_path), "q", ("time", "lat", "lon")).collect()
+
+
+def test_positions_over_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(lookup, "RANKED", 10)
+    keys = sorted({(k * 7919) % 1000 - 500 for k in range(130)})
+    df = spark.createDataFrame([(k,) for k in reversed(keys)], "k long")
+    assert [r.position for r in lookup.with_positions(df, "k").orderBy("k").collect()] == list(range(len(keys)))
+    assert lookup.with_positions(df.limit(0), "k").collect() == []
