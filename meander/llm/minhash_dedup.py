@@ -74,6 +74,7 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return kernels.mix(key).view(np.int64)
 
 
+@kernels.tidied
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, text = batch.column(0), kernels.text_array(batch.column(1))
@@ -92,6 +93,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _check(percent: int):
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left, right = (kernels.text_array(batch.column(c)) for c in (2, 3))
@@ -105,6 +107,7 @@ def _check(percent: int):
     return run
 
 
+@kernels.tidied
 def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = kernels.text_array(batch.column(1))
@@ -119,10 +122,13 @@ def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _several(rows: DataFrame) -> DataFrame:
     """The rows whose shingle still joins two components, among rows whose bounds some other row may meet."""
+    # written, so that both sides of the join are plain exchanges and a frequent shingle's rows can be split
+    rows = shared.saved(rows, "prefixes")
     bounds = rows.groupBy("shingle").agg(F.min("size").alias("least"), F.max("most").alias("widest"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    rows = rows.join(bounds.where("lo <> hi"), "shingle").where("least <= most AND size <= widest").select(*rows.columns)
+    bounds = shared.saved(bounds.where("lo <> hi"), "bounds")
+    rows = rows.join(bounds, "shingle").where("least <= most AND size <= widest").select(*rows.columns)
     several = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return rows.join(several.select("shingle"), "shingle", "left_semi")
+    return rows.join(shared.saved(several.select("shingle"), "several"), "shingle", "left_semi")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
