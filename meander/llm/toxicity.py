@@ -1,16 +1,17 @@
 """Toxicity: a linear-chain conditional random field over tokens.
 
 Tokens are runs of letters and digits, lower-cased; a line is a chain of two
-states (clean, toxic). Token labels come from document labels: words that are
-found in toxic learning documents far more often than in others are chosen:
-the common ones, and greedily more until they explain the toxic documents; their occurrences there are
-labelled toxic, all other tokens clean. The field (hashed features of a word,
-its neighbours, its first and last letters, and state transitions) is trained
-on windows of these documents by gradient steps on the exact log-likelihood.
+states (clean, toxic). Token labels come from document labels: of words and
+beginnings of words (4 to 7 bytes, also as found at least twice in a document),
+those that toxic learning documents hold far more often than others are chosen:
+the common ones, and greedily more until they explain the toxic documents. Their
+occurrences there are labelled toxic, all other tokens clean. The field (hashed
+features of a word, its neighbours, beginnings and end, and state transitions) is
+trained on windows of these documents by gradient steps on the exact log-likelihood.
 
 Every token's marginal comes from forward-backward over its whole line. A
-document's score is a logistic function of its largest marginal and of the
-expected number of toxic tokens, calibrated on the learning documents. ``tag``
+document's score is a logistic function of its largest marginal, of the
+expected number of toxic tokens and of the number of tokens, calibrated on the learning documents. ``tag``
 also gives the offending spans (code points, end exclusive).
 
 Labels are learned from at most ``LEARN_ROWS`` documents (those with the
@@ -36,9 +37,11 @@ from . import kernels, shared
 from .quality_classifier import judged, learning_rows
 
 LEARN_ROWS, THRESHOLD = 8192, 0.3
-#: Candidate words for token labels at most; windows are of so many tokens to each side.
-CANDIDATES, AROUND = 2000, 12
-_BITS = 18
+#: Candidate words and beginnings for token labels at most; windows are of so many tokens to each side.
+CANDIDATES, AROUND = 1000, 12
+_BITS, _BEGINNINGS = 18, (4, 5, 6, 7)
+_TWICE = np.uint64(0xC2B2AE3D27D4EB4F)
+_FEATURES = 5 + len(_BEGINNINGS)
 _MASK = np.uint64((1 << _BITS) - 1)
 _GAP = np.ones(256, bool)
 _GAP[128:] = False
@@ -54,7 +57,15 @@ class Tokens:
     ends: np.ndarray
     rows: np.ndarray  # first token of each row, n+1 values
     chains: np.ndarray  # first token of each chain (a line with tokens), and the end
-    features: np.ndarray  # (5, tokens) table indexes
+    features: np.ndarray  # (_FEATURES, tokens) table indexes
+    beginnings: np.ndarray  # (lengths, tokens) hashes
+
+    def units(self, a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The words and longer words' beginnings among tokens a to b: distinct hashes, which of them each is, counts, and its token."""
+        size = self.ends[a:b] - self.starts[a:b]
+        at = [np.arange(a, b), *(np.flatnonzero(size > n) + a for n in _BEGINNINGS)]
+        found = np.concatenate([self.hashes[at[0]], *(h[i] for h, i in zip(self.beginnings, at[1:]))])
+        return *np.unique(found, return_inverse=True, return_counts=True), np.concatenate(at)
 
 
 def tokens(text: pa.Array) -> Tokens:
@@ -72,8 +83,9 @@ def tokens(text: pa.Array) -> Tokens:
     for k in range(3):
         head = head * np.uint64(257) + data[np.minimum(starts + k, ends - 1)]
         tail = tail * np.uint64(257) + data[np.maximum(ends - 1 - k, starts)]
-    kinds = [kernels.mix(x + np.uint64(k << 56)) for k, x in enumerate((before, after, head, tail), 1)]
-    return Tokens(h, starts, ends, rows, chains, np.stack([h & _MASK, *(x & _MASK for x in kinds)]).astype(np.int64))
+    beginnings = np.stack([kernels.word_hashes(data, starts, np.minimum(starts + n, ends)) for n in _BEGINNINGS])
+    kinds = [kernels.mix(x + np.uint64(k << 56)) for k, x in enumerate((before, after, head, tail, *beginnings), 1)]
+    return Tokens(h, starts, ends, rows, chains, np.stack([h & _MASK, *(x & _MASK for x in kinds)]).astype(np.int64), beginnings)
 
 
 def log_odds(unary: np.ndarray, moves: np.ndarray, chains: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,10 +115,10 @@ def log_odds(unary: np.ndarray, moves: np.ndarray, chains: np.ndarray) -> tuple[
 
 @dataclass
 class Field:
-    tables: np.ndarray  # (5, 2 ** _BITS)
+    tables: np.ndarray  # (_FEATURES, 2 ** _BITS)
     bias: float
     moves: np.ndarray
-    #: Calibration of a document's score: constant, logit of the largest marginal, log of the expected count.
+    #: Calibration of a document's score: constant, logit of the largest marginal, logs of the expected and the full count.
     scale: np.ndarray
 
     def marginals(self, t: Tokens) -> np.ndarray:
@@ -116,8 +128,8 @@ class Field:
 
 
 def train(chains: list[tuple[np.ndarray, np.ndarray]], epochs: int = 40, rate: float = 0.5, shrink: float = 1e-5) -> Field:
-    """Adagrad on the conditional log-likelihood. chains: (features (5, n), labels (n)) each."""
-    model = Field(np.zeros((5, 1 << _BITS), np.float32), -4.0, np.zeros((2, 2)), np.array([0.0, 1.0, 0.0]))
+    """Adagrad on the conditional log-likelihood. chains: (features (_FEATURES, n), labels (n)) each."""
+    model = Field(np.zeros((_FEATURES, 1 << _BITS), np.float32), -4.0, np.zeros((2, 2)), np.array([0.0, 1.0, 0.0, 0.0]))
     if not chains:
         return model
     feats = np.concatenate([f for f, _ in chains], axis=1)
@@ -162,10 +174,10 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
 
 
 def _summary(model: Field, t: Tokens) -> np.ndarray:
-    """Per row: logit of the largest marginal, log of the expected number of toxic tokens."""
+    """Per row: logit of the largest marginal, logs of the expected number of toxic tokens and of all."""
     logit = model.marginals(t)
     n = np.diff(t.rows)
-    out = np.column_stack([np.full(len(n), -30.0), np.full(len(n), np.log(1e-6))])
+    out = np.column_stack([np.full(len(n), -30.0), np.full(len(n), np.log(1e-6)), np.log1p(n)])
     full = np.flatnonzero(n)
     if len(full):
         out[full, 0] = np.maximum.reduceat(logit, t.rows[:-1][full])
@@ -185,36 +197,41 @@ def _calibrated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> set[int]:
-    """Hashes of the words that explain the toxic documents (greedy cover)."""
-
-    @kernels.tidied
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, t in _texts(batch.column(1)):
-                sets = [np.unique(t.hashes[a:b]) for a, b in zip(t.rows[:-1], t.rows[1:])]
-                n = [len(s) for s in sets]
-                rows = np.repeat(np.arange(len(n)) + i, n)
-                words = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(words), batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], ["word", "doc_id", "label"])
-
-    held = sample.mapInArrow(distinct, "word long, doc_id long, label int")
-    counts = held.groupBy("word").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
+    """Hashes of the words and beginnings (for "at least twice" with ``_TWICE``) that explain the toxic documents."""
+
+    def found(only: np.ndarray | None):
+        @kernels.tidied
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, t in _texts(batch.column(1)):
+                    sets = []
+                    for a, b in zip(t.rows[:-1], t.rows[1:]):
+                        unit, _, count, _ = t.units(a, b)
+                        unit = np.concatenate([unit, unit[count > 1] ^ _TWICE])
+                        sets.append(unit if only is None else unit[np.isin(unit, only)])
+                    rows = np.repeat(np.arange(len(sets)) + i, [len(s) for s in sets])
+                    units = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(units), batch.column(0).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], ["unit", "doc_id", "label"])
+
+        return sample.mapInArrow(run, "unit long, doc_id long, label int")
+
+    counts = found(None).groupBy("unit").agg(F.sum("label").alias("n1"), F.sum(1 - F.col("label")).alias("n0"))
     odds = F.log((F.col("n1") + 0.5) / (n_toxic + 1)) - F.log((F.col("n0") + 0.5) / (n_clean + 1))
-    strong = counts.where((F.col("n1") >= 3) & (odds > 3)).orderBy(F.desc(odds * F.sqrt("n1")), "word").limit(CANDIDATES).select("word")
-    pairs = held.where("label = 1").join(F.broadcast(strong), "word").select("word", "doc_id").collect()  # both sides bounded
+    strong = counts.where((F.col("n1") >= 3) & (odds > 2.5)).orderBy(F.desc(odds * F.sqrt("n1")), "unit").limit(CANDIDATES).select("unit")
+    only = np.sort(np.array([r[0] for r in strong.collect()], np.int64).view(np.uint64))
     docs: dict[int, set] = {}
-    for word, doc_id in pairs:
-        docs.setdefault(word, set()).add(doc_id)
-    # words of many toxic documents, and those that explain documents the others leave unexplained
-    chosen = {w for w, d in docs.items() if len(d) >= max(3, n_toxic / 12)}
-    known = set().union(*(docs[w] for w in chosen))
-    docs = {w: d - known for w, d in docs.items() if w not in chosen}
+    for unit, doc_id, _ in found(only).where("label = 1").collect():  # CANDIDATES times the sample's documents at most
+        docs.setdefault(unit, set()).add(doc_id)
+    # those of many toxic documents, and those that explain documents the others leave unexplained
+    chosen = {u for u, d in docs.items() if len(d) >= max(3, n_toxic / 12)}
+    known = set().union(*(docs[u] for u in chosen))
+    docs = {u: d - known for u, d in docs.items() if u not in chosen}
     while docs:
-        word = max(docs, key=lambda w: (len(docs[w]), w))
-        if len(gain := docs.pop(word)) < max(3, n_toxic // 100):
+        unit = max(docs, key=lambda u: (len(docs[u]), u))
+        if len(gain := docs.pop(unit)) < max(3, n_toxic // 100):
             break
-        chosen.add(word)
-        docs = {w: d - gain for w, d in docs.items()}
+        chosen.add(unit)
+        docs = {u: d - gain for u, d in docs.items()}
     return chosen
 
 
@@ -225,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
     if not n1 or not n0:
         model = train([])
         share = (n1 + 1) / (n1 + n0 + 2)
-        model.scale = np.array([np.log(share / (1 - share)), 0.0, 0.0])
+        model.scale = np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0])
         return model
     toxic = np.array(sorted(_lexicon(sample, n1, n0)), np.int64).view(np.uint64)
 
@@ -234,11 +251,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
         for batch in batches:
             rows, feats, ys = [], [], []
             for i, t in _texts(batch.column(1)):
-                label = np.isin(t.hashes, toxic)
+                label = np.zeros(len(t.hashes), bool)
                 for r, (a, b) in enumerate(zip(t.rows[:-1], t.rows[1:])):
                     if a == b:
                         continue
                     is_toxic = batch.column(2)[i + r].as_py() == 1
+                    unit, which, count, token = t.units(a, b)
+                    hit = np.isin(unit, toxic) | ((count > 1) & np.isin(unit ^ _TWICE, toxic))
+                    label[token[hit[which]]] = True
                     marked = np.flatnonzero(label[a:b]) + a
                     centres = marked[:: max(1, len(marked) // 4)][:4].tolist() + [a + int(t.hashes[a] % np.uint64(b - a))]
                     for c in centres:
@@ -251,16 +271,16 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
             yield pa.RecordBatch.from_arrays([ids, pa.array(feats, pa.list_(pa.int64())), pa.array(ys, pa.list_(pa.int64()))], ["doc_id", "f", "y"])
 
     found = sorted(sample.mapInArrow(windows, "doc_id long, f array<long>, y array<long>").collect())  # 5 windows a document at most
-    model = train([(np.array(r[1]).reshape(5, -1), np.array(r[2])) for r in found])
+    model = train([(np.array(r[1]).reshape(_FEATURES, -1), np.array(r[2])) for r in found])
 
     @kernels.tidied
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([np.zeros((0, 2)), *(_summary(model, t) for _, t in _texts(batch.column(1)))])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1]), batch.column(2)], ["doc_id", "top", "sum", "label"])
+            x = np.concatenate([np.zeros((0, 3)), *(_summary(model, t) for _, t in _texts(batch.column(1)))])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column(2)], ["doc_id", "top", "sum", "n", "label"])
 
-    got = np.array(sorted(sample.mapInArrow(summaries, "doc_id long, top double, sum double, label int").collect()), float).reshape(-1, 4)
-    model.scale = _calibrated(got[:, 1:3], got[:, 3])
+    got = np.array(sorted(sample.mapInArrow(summaries, "doc_id long, top double, sum double, n double, label int").collect()), float).reshape(-1, 5)
+    model.scale = _calibrated(got[:, 1:4], got[:, 4])
     return model
 
 
