@@ -6,12 +6,15 @@ the longest wins: the longest host, then the longest path. The rules of a url
 are looked up by its host's suffixes, not by trying all rules.
 
 Urls that rules allow and block are the two corpora of a variable-order Markov
-model over bytes: all of them are counted, by (order, context and byte), hashed
-into tables of ``2 ** BITS`` cells per order, so the model's size is fixed while
-its counts grow with the corpus. Probabilities are interpolated from order 0 up
-(Witten-Bell). A url's statistic is the difference of the two log-likelihoods a
-byte; it is blocked below a threshold calibrated on all ruled urls: the one of
-the fewest balanced errors over a histogram of their statistics.
+model over bytes. All of them are counted, by exact (order, context and byte), in
+a table in the shared folder that grows with the corpus: nothing is hashed,
+capped or collected. Probabilities are interpolated from order 0 up
+(Witten-Bell), so a byte's log-ratio depends on it and the ORDER bytes before it
+alone; it is computed once for each such run that occurs, and urls are scored by
+joining theirs with it. A url's statistic is the mean log-ratio of its bytes; it
+is blocked below a threshold calibrated on all ruled urls: the one of the fewest
+balanced errors over a histogram of their statistics. Equal urls are scored once
+and count as often as they occur.
 
 Edge cases: null urls, and those without ``://``, have an empty host and path,
 fit no rule and are scored as empty (statistic 0); repeated rows are judged one
@@ -22,17 +25,20 @@ either class has no ruled url, all others are allowed.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels, shared
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-ORDER, BITS = 5, 16
+ORDER = 5
+#: Bits of a symbol in a key: 0 stands before the url's begin, 1 to 256 for a byte. ORDER + 1 of them fit a long.
+SYMBOL = 9
+#: Log-ratios are summed as integers of this unit, so that sums do not depend on the order of rows.
+UNIT = 2.0**-32
 #: Cells of the calibration histogram, over statistics from -SPAN to SPAN.
 CELLS, SPAN = 2000, 10.0
 _LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -63,107 +69,117 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return cut.withColumn("_best", best).select("page_id", "url", "host", "path", F.concat("_best.host", "_best.path").alias("rule"), F.col("_best.verdict").alias("ruled"))
 
 
-def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per byte: the cell of its context and of context and byte, for each order (ORDER + 1 rows); and the row of each byte."""
+def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per byte: the key of it (lowest symbol) and the ORDER before it, and its row."""
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
     at = np.arange(len(data)) - off[:-1][row]
-    context = np.zeros(len(data), np.uint64)
-    full, ctx = np.empty((ORDER + 1, len(data)), np.int64), np.empty((ORDER + 1, len(data)), np.int64)
-    for k in range(ORDER + 1):
-        if k:
-            back = np.where(at >= k, data[np.maximum(np.arange(len(data)) - k, 0)], 0).astype(np.uint64)
-            context = context * np.uint64(257) + back + np.uint64(1)
-        seed = kernels.mix(context + np.uint64(k << 56))
-        ctx[k] = seed >> np.uint64(64 - BITS)
-        full[k] = kernels.mix(seed + data.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - BITS)
-    return ctx, full, row
-
-
-@dataclass
-class Ratio:
-    """counts[class, kind, order, cell]; kind 0: context, 1: context and byte, 2: distinct bytes after the context."""
-
-    counts: np.ndarray
-    threshold: float = 0.0
-
-    def statistics(self, urls: pa.Array) -> np.ndarray:
-        out = [np.zeros(0)]
-        for i, j in kernels.blocks(urls):
-            data, off = kernels.raw(urls[i:j])
-            ctx, full, row = _grams(data, off)
-            difference = np.zeros(len(data))
-            for sign, (context, both, kinds) in zip((1, -1), self.counts):
-                p = np.full(len(data), 1 / 256)
-                for k in range(ORDER + 1):
-                    n, t = context[k][ctx[k]], kinds[k][ctx[k]]
-                    p = np.where(n > 0, (np.minimum(both[k][full[k]], n) + t * p) / np.maximum(n + t, 1e-9), p)
-                difference += sign * np.log(p)
-            total = np.bincount(row, difference, j - i)
-            out.append(total / np.maximum(np.diff(off), 1))
-        return np.concatenate(out)
+    gram = data.astype(np.int64) + 1
+    for k in range(1, ORDER + 1):
+        gram[k:] += np.where(at[k:] >= k, data[:-k].astype(np.int64) + 1, 0) << (SYMBOL * k)
+    return gram, row
 
 
-def counts(ruled: DataFrame) -> np.ndarray:
-    """Counts over all of ``ruled`` (url, allowed): summed by cell in Spark, at most 4 * (ORDER + 1) * 2 ** BITS rows."""
+def _context(key: Column | str) -> Column:
+    return F.shiftright(key, SYMBOL)
+
+
+def distinct_urls(ruled: DataFrame) -> DataFrame:
+    """(id, url, allowed, copies) of ``ruled`` (url, allowed or null), null urls as empty; written, so that ids stay."""
+    urls = ruled.groupBy(F.coalesce("url", F.lit("")).alias("url")).agg(F.first("allowed").alias("allowed"), F.count("*").alias("copies"))
+    return shared.saved(urls.select(F.monotonically_increasing_id().alias("id"), "url", "allowed", "copies"), "urls")
+
+
+def model_counts(urls: DataFrame) -> DataFrame:
+    """(order, key, good, bad): how often allowed and blocked urls have each byte after each context, over all runs that ``urls`` have."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            urls, allowed = kernels.text_array(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j in kernels.blocks(urls):
-                ctx, full, row = _grams(*kernels.raw(urls[i:j]))
-                side = np.where(allowed[i:j][row], 0, 1)
-                order = np.arange(ORDER + 1)[:, None]
-                pair = np.stack([ctx, full], -1) + ((side * (ORDER + 1) + order) << BITS)[..., None]
-                key, n = np.unique((pair[..., 0] << 32) | pair[..., 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key >> 32), pa.array(key & 0xFFFFFFFF), pa.array(n)], ["context", "both", "n"])
-
-    found = ruled.select("url", "allowed").mapInArrow(count, "context long, both long, n long")
-    grams = found.groupBy("context", "both").agg(F.sum("n").alias("n"))
-    contexts = grams.groupBy(F.lit(0).alias("kind"), F.col("context").alias("cell")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
-    pairs = grams.groupBy(F.lit(1).alias("kind"), F.col("both").alias("cell")).agg(F.sum("n").alias("n"), F.lit(0).cast("long").alias("kinds"))
-    table = np.zeros((3, 2 * (ORDER + 1) << BITS))
-    for r in contexts.unionByName(pairs).toLocalIterator():
-        table[r[0], r[1]] = r[2]
-        if r[0] == 0:
-            table[2, r[1]] = r[3]
-    return table.reshape(3, 2, ORDER + 1, 1 << BITS).transpose(1, 0, 2, 3).astype(np.float32)
-
-
-def scored(pages: DataFrame, model: Ratio) -> DataFrame:
-    """``pages`` with the column ``statistic``."""
-    names = pages.columns
-    held = pages.sparkSession.sparkContext.broadcast(model)  # of a fixed size: 6 * (ORDER + 1) * 2 ** BITS floats
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            text = kernels.text_array(batch.column(0))
+            good, bad = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
+            for i, j in kernels.blocks(text):
+                gram, row = _grams(*kernels.raw(text[i:j]))
+                key, which = np.unique(gram, return_inverse=True)
+                sums = [np.zeros(len(key), np.int64) for _ in range(2)]
+                for out, n in zip(sums, (good, bad)):
+                    np.add.at(out, which, n[i:j][row])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *sums)], ["gram", "good", "bad"])
+
+    side = lambda name, held: F.when(held, F.col("copies")).otherwise(0).alias(name)
+    found = urls.select("url", side("good", F.col("allowed")), side("bad", ~F.col("allowed"))).mapInArrow(count, "gram long, good long, bad long")
+    grams = found.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("gram").bitwiseAND(F.lit((1 << SYMBOL * (k + 1)) - 1)).alias("key")) for k in range(ORDER + 1)]))
+    each = grams.select(orders.alias("_"), "good", "bad").select("_.*", "good", "bad")
+    return shared.saved(each.groupBy("order", "key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-counts")
+
+
+def counts(ruled: DataFrame) -> np.ndarray:
+    """The size of the model of ``ruled`` (url, allowed): [class; bytes, bytes after a context, distinct contexts and bytes; order]."""
+    sums = [F.sum(c) for c in ("good", "bad")] + [F.count_if(F.col(c) > 0) for c in ("good", "bad")]
+    out = np.zeros((2, 3, ORDER + 1))
+    for r in model_counts(distinct_urls(ruled)).groupBy("order").agg(*sums).collect():  # a row an order
+        out[:, 0, r[0]] = out[:, 1, r[0]] = r[1:3]
+        out[:, 2, r[0]] = r[3:5]
+    return out
+
+
+def log_ratios(model: DataFrame) -> DataFrame:
+    """(gram, ratio): the log-ratio, in UNIT, of each run of the highest order in ``model``."""
+    same = Window.partitionBy("order", _context("key"))  # at most 256 rows, one a byte
+    step = []
+    for c in ("good", "bad"):
+        # p = add + times * (the probability one order lower)
+        n, kinds = F.sum(c).over(same), F.sum((F.col(c) > 0).cast("long")).over(same)
+        step += [F.when(n > 0, F.col(c) / (n + kinds)).otherwise(0.0).alias(f"add_{c}"), F.when(n > 0, kinds / (n + kinds)).otherwise(1.0).alias(f"times_{c}")]
+    steps = shared.saved(model.select("order", "key", *step), "url-steps")
+    p = lambda c, low: (F.col(f"add_{c}") + F.col(f"times_{c}") * low).alias(f"p_{c}")
+    below = steps.where("order = 0").select("key", p("good", F.lit(1 / 256)), p("bad", F.lit(1 / 256)))
+    for k in range(1, ORDER + 1):
+        low = below.select(F.col("key").alias("_low"), F.col("p_good").alias("_good"), F.col("p_bad").alias("_bad"))
+        here = steps.where(F.col("order") == k).withColumn("_low", F.col("key").bitwiseAND(F.lit((1 << SYMBOL * k) - 1)))
+        below = here.join(low, "_low").select("key", p("good", F.col("_good")), p("bad", F.col("_bad")))
+    return below.select(F.col("key").alias("gram"), F.round((F.log("p_good") - F.log("p_bad")) / UNIT).cast("long").alias("ratio"))
+
+
+def scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
+    """``urls`` with the column ``statistic``."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = held.value.statistics(kernels.text_array(batch.column(names.index("url"))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values)], [*names, "statistic"])
+            text = kernels.text_array(batch.column(1))
+            for i, j in kernels.blocks(text):
+                gram, row = _grams(*kernels.raw(text[i:j]))
+                key, which = np.unique(gram, return_inverse=True)
+                pair, n = np.unique((row << 32) | which, return_counts=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array((pair >> 32) + i)), pa.array(key[pair & 0xFFFFFFFF]), pa.array(n)], ["id", "gram", "n"])
 
-    return pages.mapInArrow(run, pages.select("*", F.lit(0.0).alias("statistic")).schema)
+    grams = urls.select("id", "url").mapInArrow(runs, "id long, gram long, n long")
+    sums = grams.join(ratios, "gram").groupBy("id").agg(F.sum(F.col("n") * F.col("ratio")).alias("_sum"))
+    mean = F.coalesce(F.col("_sum") * F.lit(UNIT) / F.octet_length("url"), F.lit(0.0))
+    return urls.join(sums, "id", "left").select(*urls.columns, mean.alias("statistic"))
 
 
-def fit(ruled: DataFrame) -> Ratio:
-    """Learn from all urls with a rule (url, ruled)."""
-    known = ruled.where("ruled IS NOT NULL").select("url", (F.col("ruled") == "allow").alias("allowed"))
-    model = Ratio(counts(known))
+def calibrated(urls: DataFrame) -> float:
+    """The threshold, from all ``urls`` with a rule (allowed, copies, statistic)."""
     cell = F.least(F.greatest(F.floor((F.col("statistic") + SPAN) * (CELLS / (2 * SPAN))), F.lit(0)), F.lit(CELLS - 1))
-    histogram = scored(known, model).groupBy(cell.cast("int").alias("cell"), "allowed").count().collect()
+    histogram = urls.where("allowed IS NOT NULL").groupBy(cell.cast("int").alias("cell"), "allowed").agg(F.sum("copies")).collect()
     good, bad = np.zeros(CELLS), np.zeros(CELLS)
     for r in histogram:
         (good if r[1] else bad)[r[0]] += r[2]
     if not good.sum() or not bad.sum():
-        return Ratio(model.counts, -np.inf)
+        return -np.inf
     # cut below cell k: allowed urls lost, blocked urls let through
     lost = np.concatenate([[0], np.cumsum(good)]) / good.sum() + 1 - np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
     best = np.flatnonzero(lost == lost.min())
-    return Ratio(model.counts, float(best[len(best) // 2] * 2 * SPAN / CELLS - SPAN))
+    return float(best[len(best) // 2] * 2 * SPAN / CELLS - SPAN)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     ruled = with_rule(pages, rules)
-    model = fit(ruled)
-    verdict = F.coalesce("ruled", F.when(F.col("statistic") < F.lit(model.threshold), "block").otherwise("allow"))
-    return scored(ruled, model).select("page_id", "host", "path", "rule", verdict.alias("verdict"), "statistic")
+    urls = distinct_urls(ruled.select("url", (F.col("ruled") == "allow").alias("allowed")))
+    urls = shared.saved(scored(urls, log_ratios(model_counts(urls))), "url-scores")
+    verdict = F.coalesce("ruled", F.when(F.col("statistic") < F.lit(calibrated(urls)), "block").otherwise("allow"))
+    found = ruled.withColumn("_url", F.coalesce("url", F.lit(""))).join(urls.select(F.col("url").alias("_url"), "statistic"), "_url")
+    return found.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "statistic")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Learned operators on held-out rows; archives and chats by round trip and DuckDB."""
 
+import collections
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -110,6 +112,44 @@ def test_counts_follow_the_corpus(spark):
     assert np.allclose(twice[:, :2], 2 * once[:, :2]) and np.allclose(twice[:, 2], once[:, 2])
 
 
+def test_url_statistics_are_exact(spark):
+    """More distinct contexts than any table of 65,536 cells holds, NUL bytes and repeated urls, against counts in dicts."""
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé0123456789\x00") for _ in range(rng.randrange(20, 60)))
+    urls = [f"http://{rng.choice(('a.example.net/en/', 'b.net/', 'c.com/'))}{text()}" for _ in range(3000)]
+    urls += urls[:200] + [urls[0]] * 50 + ["", None, "\x00\x00"]
+    order = url_filter.ORDER
+    grams = lambda u: [((-1,) * order + tuple(u))[k : k + order + 1] for k in range(len(u))]
+    n, seen = collections.Counter(), collections.defaultdict(set)
+    for u in urls:
+        rule = rule_brute(u)[2]
+        if rule:
+            side = next(v for v, h, p in url_filter.RULES if h + p == rule) == "allow"
+            for g in grams(u.encode()):
+                for k in range(order + 1):
+                    context = (side, g[order - k : order])
+                    n[context] += 1
+                    n[*context, g[-1]] += 1
+                    seen[context].add(g[-1])
+    assert sum(len(c) == 2 and len(c[1]) == order for c in n) > 65536
+
+    def statistic(u):
+        total = 0.0
+        for g in grams(u):
+            p = {True: 1 / 256, False: 1 / 256}
+            for side in p:
+                for k in range(order + 1):
+                    c = (side, g[order - k : order])
+                    if n[c]:
+                        p[side] = (n[*c, g[-1]] + len(seen[c]) * p[side]) / (n[c] + len(seen[c]))
+            total += np.log(p[True]) - np.log(p[False])
+        return total / max(1, len(u))
+
+    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    assert len(got) == len(urls)
+    assert np.allclose([r.statistic for r in got], [statistic((urls[r.page_id] or "").encode()) for r in got], rtol=0, atol=1e-8)
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "x" * 150), (2, None, "x" * 150), (None, "u\nv", "x" * 150), (3, "b%0Ac", None), (4, "c", ""), (5, "d", "y" * 99), (6, "d", "y" * 99), (1, "http://a", "x" * 150), (7, "é", "é" * 200_000)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
