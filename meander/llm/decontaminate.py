@@ -12,6 +12,13 @@ words at the item's place are similar enough to it: weighted Jaccard over the
 multisets of 5-word shingles, a shingle weighing the sum of its words' weights,
 100 * intersection >= 75 * union, in integers.
 
+Fingerprints alone would miss windows with changes in both of an item's ends. So
+each item also has anchors: its heaviest shingles, up to more than 100 - PERCENT
+percent of its weight. A window without any of them shares too little, so that
+each similar window holds one; every window around a found anchor is compared by
+running counts. Items of under five words need none: they are one shingle, and
+its fingerprint is found at distance 0. Together no similar window is missed.
+
 Items go to the tasks in blocks of ``ITEMS_PER_PASS``; documents are never
 shuffled.
 
@@ -19,7 +26,9 @@ Edge cases: texts are lower-cased; null and empty texts or items match nothing;
 a text or item of under five words is one shingle; a window that
 reaches over an end of the text is cut there (but holds w words at least); repeated documents are judged one by
 one; repeated items count once per item_id; empty tables give empty results;
-extra columns pass through ``clean`` and are ignored by ``leaks``.
+extra columns pass through ``clean`` and are ignored by ``leaks``. ``hamming`` is the
+distance of the nearer of the item's two fingerprints at the window; it exceeds
+RADIUS where an anchor alone led there.
 """
 
 from __future__ import annotations
@@ -101,11 +110,14 @@ class Sums:
 
 
 class Index:
-    """The items of one pass, by size class and 16-bit block."""
+    """The items of one pass, by size class and 16-bit block, and by anchor."""
 
-    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS):
+    def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, percent: int = PERCENT):
         self.radius, self.items, by_class = radius, [], {}
         places: list[tuple[int, int]] = []
+        anchors: list[tuple[int, int]] = []
+        #: Per item: its size class, and the places of its fingerprints.
+        self.width, self.places_of = [], []
         for item_id, text in items:
             column = pc.utf8_lower(kernels.text_array(pa.array([text], pa.string())))
             data, off = kernels.raw(column)
@@ -115,10 +127,15 @@ class Index:
             h, weights = kernels.word_hashes(data, starts, ends), _weights(starts, ends)
             w = size_class(len(h))
             ends_of = Sums(h, weights, w).windows(w)[[0, -1][: 1 + (w < len(h))]]
+            self.width.append(w)
+            self.places_of.append(range(len(places), len(places) + len(ends_of)))
             for mark, shift in zip(ends_of, (0, len(h) - w)):
                 by_class.setdefault(w, []).append((mark, len(places)))
                 places.append((len(self.items), shift))
-            self.items.append((item_id, len(h), weighted_shingles(h, weights)))
+            bag = weighted_shingles(h, weights)
+            if len(h) >= WORDS:
+                anchors += [(k, len(self.items)) for k in anchors_of(bag, percent)]
+            self.items.append((item_id, len(h), bag))
         flips = radius // BLOCKS
         self.classes = {}
         for w, marks in sorted(by_class.items()):
@@ -135,6 +152,12 @@ class Index:
         for marks in by_class.values():
             for m, x in marks:
                 self.marks[x] = m
+        self.anchors = np.array([k for k, _ in anchors], np.uint64)
+        order = np.argsort(self.anchors, kind="stable")
+        self.anchors, self.anchor_item = self.anchors[order], np.array([x for _, x in anchors], np.int64)[order]
+        #: By the highest 20 bits: whether an anchor begins with them.
+        self.begun = np.zeros(1 << 20, bool)
+        self.begun[self.anchors >> np.uint64(44)] = True
 
     def candidates(self, w: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (window, fingerprint, distance) of class w within the radius."""
@@ -156,6 +179,75 @@ class Index:
         return at[one], item[one], far[one]
 
 
+    def anchored(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (place in ``shingles``, item) where an anchor of the item is."""
+        at = np.flatnonzero(self.begun[shingles >> np.uint64(44)])
+        first, last = (np.searchsorted(self.anchors, shingles[at], side) for side in ("left", "right"))
+        n = last - first
+        return np.repeat(at, n), self.anchor_item[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+
+
+def anchors_of(bag: Counter, percent: int) -> list[int]:
+    """The heaviest shingles, so many that windows without all of them are less than ``percent`` similar."""
+    total, out, held = sum(bag.values()), [], 0
+    for k, v in sorted(bag.items(), key=lambda x: (-x[1], x[0])):
+        if 100 * held > (100 - percent) * total:
+            break
+        out.append(k)
+        held += v
+    return out
+
+
+def _best_start(lo: int, hi: int, n: int, want: Counter, s: list[int], weight: list[int], percent: int) -> tuple[int, int, int] | None:
+    """(intersection, union, start) of the most similar window of n words, if similar enough; the first of equals.
+
+    Windows begin at lo to hi and are cut to the text; s, weight: its shingles and their weights.
+    """
+    have, both, total, wanted, found = dict.fromkeys(want, 0), 0, 0, sum(want.values()), None
+    left = right = max(0, lo)
+    for a in range(lo, hi + 1):
+        end = min(a + n - WORDS + 1, len(s))
+        while right < end:
+            k, v = s[right], weight[right]
+            total += v
+            if k in have:
+                both += v if have[k] < want[k] else 0
+                have[k] += v
+            right += 1
+        while left < a:
+            k, v = s[left], weight[left]
+            total -= v
+            if k in have:
+                have[k] -= v
+                both -= v if have[k] < want[k] else 0
+            left += 1
+        either = total + wanted - both
+        if 100 * both >= percent * either and (found is None or both * found[1] > found[0] * either):
+            found = both, either, a
+    return found
+
+
+def _around(index: Index, s: np.ndarray, s_rows: np.ndarray, rows: np.ndarray) -> dict[int, list[tuple[int, int, int, int]]]:
+    """By size class: (row, item, first start, last start) of all runs of windows that hold an anchor; starts are counted in the row."""
+    at, item = index.anchored(s)
+    if not len(at):
+        return {}
+    row = np.searchsorted(s_rows, at, "right") - 1
+    n, w = (np.array(x, np.int64)[item] for x in ([x[1] for x in index.items], index.width))
+    place, size = at - s_rows[row], (rows[1:] - rows[:-1])[row]
+    lo, hi = np.maximum(place + WORDS - n, w - n), np.minimum(place, size - w)
+    ok = (lo <= hi) & (size >= WORDS)
+    out: dict[int, list] = {}
+    last = None
+    for r, x, a, z in sorted(zip(*(v[ok].tolist() for v in (row, item, lo, hi)))):
+        if last and last[:2] == [r, x] and a <= last[3] + 1:
+            last[3] = max(last[3], z)
+        else:
+            last = [r, x, a, z]
+            out.setdefault(index.width[x], []).append(last)
+    return out
+
+
 def weighted_shingles(h: np.ndarray, weights: np.ndarray) -> Counter:
     """Each 5-word shingle's count times the weight of its words."""
     s, _ = kernels.shingles(h, np.array([0, len(h)]), WORDS)
@@ -184,8 +276,25 @@ def _search(index: Index, text: pa.Array, percent: int) -> list[tuple[int, int,
         h, weights = kernels.word_hashes(data, starts, ends), _weights(starts, ends)
         sums = Sums(h, weights, max(index.classes))
         row_of = np.repeat(np.arange(j - i), np.diff(rows))
+        s, s_rows = kernels.shingles(h, rows, WORDS)
+        around = _around(index, s, s_rows, rows)
         for w in index.classes:
-            at, item, far = index.candidates(w, sums.windows(w))
+            marks = sums.windows(w)
+            for r, x, lo, hi in around.get(w, ()):
+                item_id, n, want = index.items[x]
+                size, b = int(rows[r + 1] - rows[r]), max(0, lo)
+                e = min(hi + n, size) - WORDS + 1
+                weight = sums.weight[rows[r] + b + WORDS : rows[r] + e + WORDS] - sums.weight[rows[r] + b : rows[r] + e]
+                top = _best_start(lo - b, hi - b, n, want, s[s_rows[r] + b : s_rows[r] + e].tolist(), weight.tolist(), percent)
+                if top:
+                    both, either, a = top[0], top[1], top[2] + b
+                    a = 0 if a < 0 and a + n > size else a  # cut at both ends: the whole text either way
+                    there = [(a + int(index.shift[k]), k) for k in index.places_of[x]]
+                    d = min(int(np.bitwise_count(marks[rows[r] + at] ^ index.marks[k])) for at, k in there if 0 <= at <= size - w)
+                    found = (both / either, -max(a, 0), n, -d)
+                    if found > best.get((i + r, item_id), ()):
+                        best[i + r, item_id] = found
+            at, item, far = index.candidates(w, marks)
             inside = at + w <= rows[row_of[at] + 1]
             row, x = row_of[at[inside]], index.item_of[item[inside]]
             for r, x, a, d in sorted(set(zip(row.tolist(), x.tolist(), (at[inside] - index.shift[item[inside]]).tolist(), far[inside].tolist()))):
@@ -211,7 +320,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     def search(items):
         @kernels.tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(items, radius)
+            index = Index(items, radius, percent)
             for batch in batches:
                 found = _search(index, kernels.text_array(batch.column(1)), percent)
                 ids = batch.column(0).cast(pa.int64()).take(pa.array([f[0] for f in found], pa.int64()))
@@ -234,7 +343,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, radius:
     def without(items):
         @kernels.tidied
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = Index(items, radius)
+            index = Index(items, radius, percent)
             for batch in batches:
                 keep = np.ones(batch.num_rows, bool)
                 keep[[f[0] for f in _search(index, kernels.text_array(batch.column(where)), percent)]] = False

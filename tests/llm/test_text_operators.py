@@ -138,6 +138,29 @@ def test_leaks(spark):
     assert decontaminate.clean(d, b.limit(0)).count() == len(docs)
 
 
+def test_leaks_with_changed_edges(spark):
+    """First and last words of weight 3 changed, further random changes, cut and turned items: all that brute force finds."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.choice((2, 4, 9))))
+    long = lambda: "".join(rng.choice("abcdefghij") for _ in range(12))
+    items = [(k, " ".join([long(), *(word() for _ in range(n - 2)), long()])) for k, n in enumerate((7, 10, 15, 20, 20, 22, 24, 30, 34, 40, 59, 120))]
+    docs = []
+    for _, item in items:
+        for change in range(8):
+            w = item.split()
+            w[0], w[-1] = long(), long()
+            for _ in range(change % 3):
+                w[rng.randrange(len(w))] = word()
+            w = w[len(w) // 2 :] + w[: len(w) // 2] if change == 5 else w[len(w) // 6 :] if change == 6 else w
+            docs.append((len(docs), " ".join([word() for _ in range(25 * (change % 4 > 0))] + w + [word() for _ in range(15 * (change % 4 < 3 and change != 6))])))
+    want = leak_brute(docs, items)
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.leaks(d, b).collect()
+    assert len(want) > 30 and {(r.doc_id, r.item_id) for r in found} == want
+    assert any(r.hamming > decontaminate.RADIUS for r in found)
+    assert {r.doc_id for r in decontaminate.clean(d, b).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
 def test_hamming_blocks_miss_nothing():
     rng = np.random.default_rng(2)
     index = decontaminate.Index([(k, " ".join(f"w{rng.integers(500)}" for _ in range(20))) for k in range(6)])
