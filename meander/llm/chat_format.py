@@ -9,15 +9,18 @@ written in a text can never become a reserved id; so that the plain string is
 unambiguous, too, such strings are escaped: a marker in a text gets a backslash
 after its first character, and so do escaped markers, which makes it reversible.
 
-Texts are escaped and encoded where they lie; a conversation's segments are then
-shuffled together, sorted by turn and streamed through a task that keeps only
-running sums: offsets and the loss mask (assistant texts, without markers) are
-prefix sums of segment lengths. No conversation is held as a whole.
+Texts are escaped and encoded where they lie, and written. A turn's place in its
+conversation's sequence is a running sum of lengths, and its loss mask a running
+sum of segment lengths: turns are summed within ranges of ``RANGE`` turn numbers,
+and ranges within their conversation, so that a long conversation is many tasks'.
+Reading back decodes turn by turn, too; only its digests, which are sequential,
+stream each conversation's texts through one task, in order and in bounded memory.
 
 Edge cases: a null text or role is empty; turns of equal number are ordered by
 role and text; rows that repeat are formatted as often; rows without conv_id
 form one conversation without id; an empty table gives an empty result; extra
-columns are ignored.
+columns of any name are ignored. Texts may be of any length and hold any run of
+blanks (see ``packing.Encoder``).
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels, packing, shared
@@ -37,6 +40,8 @@ from . import kernels, packing, shared
 MARKERS = ("<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<<ROLE>>", "<</ROLE>>")
 #: Reserved ids follow those of the tokenizer (50,257 of byte_bpe_50k.json).
 FIRST_ID = 50257
+#: Turn numbers summed together.
+RANGE = 1024
 _ID = {m: FIRST_ID + k for k, m in enumerate(MARKERS)}
 _MARKED = re.compile("|".join(rf"({re.escape(m[0])})(\\*)({re.escape(m[1:])})" for m in MARKERS))
 _ESCAPED = re.compile("|".join(rf"({re.escape(m[0])})\\(\\*)({re.escape(m[1:])})" for m in MARKERS))
@@ -65,18 +70,28 @@ def segments(role: str, text: str, first: bool) -> list[tuple[bool, str, bool]]:
 def encoded(conversations: DataFrame, tokenizer: str) -> DataFrame:
     """(conv_id, turn, role, text, escaped and encoded): ids and mask of each turn, without the opening marker."""
 
+    @kernels.tidied
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = packing.encoder(tokenizer)
         for batch in batches:
             roles, texts = (kernels.text_array(batch.column(k)).to_pylist() for k in (2, 3))
-            ids, masks = [], []
+            ids, masks = [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+            sizes = []
             for role, text in zip(roles, texts):
                 parts = segments(escape(role) if role not in ("user", "system", "assistant") else role, escape(text), False)
-                tokens = [[_ID[x]] if marker else code.encode_ordinary(x) for marker, x, _ in parts]
-                ids.append(np.array([t for part in tokens for t in part], np.int32))
-                masks.append(np.repeat([loss for _, _, loss in parts], [len(t) for t in tokens]).astype(bool))
-            kinds = pa.list_(pa.int32()), pa.list_(pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), pa.array(ids, kinds[0]), pa.array(masks, kinds[1])], ["conv_id", "turn", "role", "text", "ids", "mask"])
+                tokens = [np.array([_ID[x]], np.int32) if marker else code.ids(x, special=False).astype(np.int32) for marker, x, _ in parts]
+                # 1 where a segment's loss begins, -1 where it ends: the running sum is the mask
+                ends = np.cumsum([0] + [len(t) for t in tokens])
+                edge = np.zeros(ends[-1] + 1, np.int8)
+                for (_, _, loss), a, b in zip(parts, ends[:-1], ends[1:]):
+                    edge[a] += loss
+                    edge[b] -= loss
+                ids += tokens
+                masks.append(np.cumsum(edge[:-1]).astype(bool))
+                sizes.append(int(ends[-1]))
+            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            columns = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (ids, masks)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), *columns], ["conv_id", "turn", "role", "text", "ids", "mask"])
 
     source = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return source.mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, mask array<boolean>")
@@ -87,62 +102,32 @@ def format_chats(conversations: DataFrame, tokenizer: str) -> DataFrame:
 
     The parts of a conversation, in order, are its token sequence and loss mask.
     """
-
-    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, part, at = object(), 0, 0
-        for batch in batches:
-            parts, offsets, ids, masks = [], [], [], []
-            for conv_id, i, m in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                if conv_id != now:
-                    now, part, at, i, m = conv_id, 0, 0, [_ID["<s>"], *i], [False, *m]
-                parts.append(part)
-                offsets.append(at)
-                ids.append(i)
-                masks.append(m)
-                part, at = part + 1, at + len(i)
-            columns = [batch.column(0), pa.array(parts, pa.int64()), pa.array(offsets, pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(masks, pa.list_(pa.bool_()))]
-            yield pa.RecordBatch.from_arrays(columns, ["conv_id", "part", "offset", "ids", "mask"])
-
-    turns = encoded(conversations, tokenizer)
-    ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "ids", "mask").mapInArrow(splice, "conv_id long, part long, offset long, ids array<int>, mask array<boolean>")
-
-
-class _Reader:
-    """Reads one conversation back from its tokens, turn by turn, keeping digests only."""
-
-    def __init__(self, conv_id):
-        self.conv_id, self.turns, self.chars, self.loss_chars = conv_id, 0, 0, 0
-        self.all, self.loss = hashlib.sha256(), hashlib.sha256()
-
-    def part(self, code, ids: list[int], mask: list[bool]) -> None:
-        """One turn's tokens: runs between reserved ids are texts."""
-        texts, marks, run, loss = [], [], [], []
-        for i, m in zip(ids, mask):
-            if i >= FIRST_ID:
-                marks.append(MARKERS[i - FIRST_ID])
-                texts.append(run)
-                run = []
-            else:
-                run.append(i)
-            if m:
-                loss.append(i)
-        decode = lambda x: code.decode_bytes(x).decode()
-        got = [decode(x) for x in texts]
-        self.chars += sum(map(len, got)) + sum(map(len, marks))
-        if marks[0] == "<s>":
-            marks, got = marks[1:], got[1:]
-        # what stands before each marker: user and system texts end at the second, assistant's at the first
-        role, text = {"[INST]": ("user", got[-1]), "<<SYS>>": ("system", got[-1]), "</s>": ("assistant", got[0])}.get(marks[0], (unescape(got[1]) if len(got) > 1 else "", got[-1]))
-        self.turns += 1
-        self.all.update(f"{role}\n{unescape(text)}\n".encode())
-        if loss:
-            said = unescape(decode(loss))
-            self.loss_chars += len(said)
-            self.loss.update(said.encode())
-
-    def row(self) -> tuple:
-        return self.conv_id, self.turns, self.all.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
+    turns = encoded(conversations, tokenizer).withColumn("_range", F.expr(f"turn div {RANGE} - IF(turn % {RANGE} < 0, 1, 0)"))
+    turns = shared.saved(turns.withColumn("_size", F.size("ids").cast("long")), "turns")
+    ranges = turns.groupBy("conv_id", "_range").agg(F.count("*").alias("_n"), F.sum("_size").alias("_sum"))
+    earlier = Window.partitionBy("conv_id").orderBy("_range")  # nulls first, as turns are
+    ranges = ranges.select(F.col("conv_id").alias("_c"), F.col("_range").alias("_r"), (F.sum("_n").over(earlier) - F.col("_n")).alias("_parts"), (F.sum("_sum").over(earlier) - F.col("_sum")).alias("_offset"))
+    own = Window.partitionBy("conv_id", "_range").orderBy("turn", "role", "text", F.monotonically_increasing_id()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = turns.withColumns({"_n": F.count("*").over(own) - 1, "_before": F.sum("_size").over(own) - F.col("_size")})
+    placed = placed.join(ranges, F.expr("conv_id <=> _c AND _range <=> _r")).withColumn("part", F.col("_parts") + F.col("_n"))
+    first = F.col("part") == 0
+    opened = lambda marker, column: F.when(first, F.concat(F.array(F.lit(marker)), column)).otherwise(F.col(column))
+    offset = F.when(first, F.lit(0)).otherwise(F.col("_offset") + F.col("_before") + 1)  # after the opening marker
+    return placed.select("conv_id", "part", offset.cast("long").alias("offset"), opened(_ID["<s>"], "ids").alias("ids"), opened(False, "mask").alias("mask"))
+
+
+def _turn(code: packing.Encoder, ids: np.ndarray, mask: np.ndarray) -> tuple[str, str, int]:
+    """(what is hashed of a turn, its loss text, characters) of one turn's tokens: runs between reserved ids are texts."""
+    at = np.flatnonzero(ids >= FIRST_ID)
+    marks = [MARKERS[i - FIRST_ID] for i in ids[at].tolist()]
+    edges = np.concatenate([[-1], at, [len(ids)]]).tolist()
+    got = [code.text(ids[a + 1 : b]) for a, b in zip(edges[:-1], edges[1:])]
+    chars = sum(map(len, got)) + sum(map(len, marks))
+    if marks[0] == "<s>":
+        marks, got = marks[1:], got[1:]
+    # what stands before each marker: user and system texts end at the second, assistant's at the first
+    role, text = {"[INST]": ("user", got[1]), "<<SYS>>": ("system", got[1]), "</s>": ("assistant", got[0])}.get(marks[0], (unescape(got[1]), got[2] if len(got) > 2 else ""))
+    return f"{role}\n{unescape(text)}\n", unescape(code.text(ids[mask])), chars
 
 
 def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
@@ -150,21 +135,37 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, reader = packing.encoder(tokenizer), None
+    @kernels.tidied
+    def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = packing.encoder(tokenizer)
+        for batch in batches:
+            ids, masks = (batch.column(k) for k in (2, 3))
+            at = ids.offsets.to_numpy()
+            flat, mask = ids.values.to_numpy(), masks.values.to_numpy(zero_copy_only=False)
+            shift = masks.offsets[0].as_py() - int(at[0])
+            got = [_turn(code, flat[a:b], mask[a + shift : b + shift]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([g[k] for g in got], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64())))], ["conv_id", "part", "said", "loss", "chars"])
+
+    def digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, turns, chars, loss_chars, every, loss = None, 0, 0, 0, None, None
         for batch in batches:
             done = []
-            for conv_id, part, ids, mask in zip(*(batch.column(k).to_pylist() for k in range(4))):
+            for conv_id, part, said, lost, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if part == 0:
-                    if reader:
-                        done.append(reader.row())
-                    reader = _Reader(conv_id)
-                reader.part(code, ids, mask)
+                    if turns:
+                        done.append((now, turns, every.hexdigest(), loss_chars, loss.hexdigest(), chars))
+                    now, turns, chars, loss_chars, every, loss = conv_id, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+                every.update(said.encode())
+                loss.update(lost.encode())
+                turns, chars, loss_chars = turns + 1, chars + n, loss_chars + len(lost)
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names)
-        if reader:
-            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(reader.row(), types)], names)
+        if turns:
+            last = (now, turns, every.hexdigest(), loss_chars, loss.hexdigest(), chars)
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(last, types)], names)
 
-    return formatted.select("conv_id", "part", "ids", "mask").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    texts = formatted.select("conv_id", "part", "ids", "mask").mapInArrow(decoded, "conv_id long, part long, said string, loss string, chars long")
+    ordered = texts.repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    return ordered.mapInArrow(digested, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,55 +1,88 @@
 """Packing by cutting-stock column generation.
 
 Documents are tokenised in the tasks and cut at multiples of the sequence
-length; what remains of each is a piece. Lengths, rounded up to ``UNIT`` tokens,
-form a histogram of at most 256 classes: that alone reaches the driver. There, a
-linear program over patterns (how many pieces of each class share a sequence)
-is solved by column generation: revised simplex for the master problem, an
-unbounded-knapsack dynamic program to price new patterns. Rounded-down pattern
-counts, and a first-fit packing of the few pieces left over, give a table of
-slots. Pieces are ranked within their class (in buckets of bounded size, whose
-counts give each bucket's first rank) and the n-th piece takes the n-th slot.
+length; what remains of each is a piece. Lengths, up to 64 tokens exact and then
+rounded up a little (``CLASSES``), form a histogram of at most 320 classes: that
+alone reaches the driver. There, a linear program over patterns (how many pieces
+of each class share a sequence) is solved by column generation: revised simplex
+for the master problem, an unbounded-knapsack dynamic program to price new
+patterns. Short pieces enter it in groups that fill whole units of ``UNIT``
+tokens. Rounded-down pattern counts, and a first-fit packing of the few pieces
+left over, give a table of slots. Pieces are ranked within their class (in buckets
+of bounded size, whose counts give each bucket's first rank) and the n-th piece
+takes the n-th slot.
 
 Edge cases: a null or empty text is just the end id; repeated rows are packed
-one by one; an empty table gives an empty result; extra columns are ignored.
-The encoder is tiktoken, built from the vocabulary of the given ``tokenizers``
-file: the ids are the same, and it is four times as fast. Special tokens in a
-text become their ids, as ``tokenizers`` does by default.
+one by one; an empty table gives an empty result; extra columns of any name are
+ignored. The encoder is tiktoken, built from the vocabulary of the given
+``tokenizers`` file: the ids are the same, and it is four times as fast. Texts
+with a run of ``BLANKS`` blanks, which overflow its pattern matcher, are encoded
+by ``tokenizers`` itself. Special tokens in a text become their ids, as
+``tokenizers`` does by default.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels, shared
 
 LENGTH, UNIT, END_ID = 2048, 8, 1
-#: Pieces of a class that are ranked together, about: a class may hold much of all rows.
-RANKED = 1_000
+#: (longest piece, lengths are rounded up to, pieces in a group): a group fills whole units, whatever its class.
+CLASSES = ((64, 1, 8), (128, 4, 2), (None, 8, 1))
+#: Pieces of a class that are ranked together, about, and buckets whose counts are summed together: a class may hold much of all rows.
+RANKED, SUMMED = 200, 1_000
+#: A run of so many blanks is left to ``tokenizers``.
+BLANKS = 100_000
+_BLANK_RUN = re.compile(r"\s{%d}" % BLANKS)
 
 
-@functools.lru_cache(2)
-def encoder(path: str):
-    """A byte-level BPE with the vocabulary of a ``tokenizers`` file."""
-    import public_tokenizers
-    import tiktoken
+class Encoder:
+    """A byte-level BPE with the vocabulary of a ``tokenizers`` file; the ids are those of ``tokenizers`` for any text."""
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["content"]: t["id"] for t in model["added_tokens"] if t["special"]}
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
+        ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+        self.fast = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    @functools.cached_property
+    def whole(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
-    with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    special = {t["content"]: t["id"] for t in model["added_tokens"] if t["special"]}
-    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(byte[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    def ids(self, text: str, special: bool = True) -> np.ndarray:
+        """The ids of ``text``; special tokens in it become their ids, or, if not ``special``, are text like any other."""
+        if len(text) >= BLANKS and _BLANK_RUN.search(text):
+            self.whole.encode_special_tokens = not special
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+        return self.fast.encode_to_numpy(text, allowed_special="all" if special else set(), disallowed_special=())
+
+    def text(self, ids) -> str:
+        return self.fast.decode_bytes(ids).decode()
+
+
+@functools.lru_cache(2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -65,7 +98,7 @@ def pieces(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int =
             for i, j in kernels.blocks(text):
                 out: list[tuple] = []
                 for doc_id, t in zip(doc_ids[i:j].to_pylist(), text[i:j].to_pylist()):
-                    ids = np.append(code.encode_to_numpy(t, allowed_special="all"), np.uint32(end_id)).astype("<u4")
+                    ids = np.append(code.ids(t), np.uint32(end_id)).astype("<u4")
                     for at in range(0, len(ids), length):
                         part = ids[at : at + length]
                         out.append((doc_id, at, len(part), zlib.crc32(part.tobytes()), len(ids), part.astype(np.int32))[: len(names)])
@@ -169,60 +202,80 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
     return [(basis[:, k], x[k]) for k in range(len(sizes)) if cost[k] > 0]
 
 
-def slots(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
+def class_of(length: Column) -> Column:
+    """The longest length of a piece's class."""
+    out = F.ceil(length / CLASSES[-1][1]) * CLASSES[-1][1]
+    for longest, step, _ in reversed(CLASSES[:-1]):
+        out = F.when(length <= longest, F.ceil(length / step) * step).otherwise(out)
+    return out.cast("int")
+
+
+def slots(histogram: dict[int, int], length: int) -> list[tuple[int, int, int, int, int]]:
     """(class, first rank, end rank, first sequence, slots of the class per sequence) for a histogram of classes."""
     if not histogram:
         return []
-    sizes = np.array(sorted(histogram))
-    demand = np.array([histogram[s] for s in sizes.tolist()], float)
+    group_of = {c: max(1, min(next(g for longest, _, g in CLASSES if longest is None or c <= longest), length // (4 * c))) for c in histogram}
+    classes = sorted(histogram, key=lambda c: (c * group_of[c], c))
+    group = np.array([group_of[c] for c in classes])
+    sizes, pieces_of = -(-np.array(classes) * group // UNIT), np.array([histogram[c] for c in classes])
     plan: Counter = Counter()
-    for pattern, times in column_generation(sizes, demand, capacity):
-        if n := int(times + 1e-6):
-            plan[tuple(pattern.astype(int).tolist())] += n
-    left = demand.astype(np.int64) - sum((np.array(p) * n for p, n in plan.items()), np.zeros(len(sizes), np.int64))
+    some = np.flatnonzero(pieces_of >= group)  # classes with a whole group
+    if len(some):
+        for pattern, times in column_generation(sizes[some], (pieces_of // group)[some].astype(float), length // UNIT):
+            if n := int(times + 1e-6):
+                full = np.zeros(len(classes), np.int64)
+                full[some] = pattern.astype(np.int64) * group[some]
+                plan[tuple(full.tolist())] += n
+    left = pieces_of - sum((np.array(p) * n for p, n in plan.items()), np.zeros(len(classes), np.int64))
     bins: list[tuple[int, Counter]] = []
-    for k in reversed(range(len(sizes))):  # what rounding left over: first fit, longest first
+    for k in sorted(range(len(classes)), key=lambda k: -classes[k]):  # what rounding left over: first fit, longest first
         for _ in range(max(0, int(left[k]))):
-            at = next((i for i, (room, _) in enumerate(bins) if room >= sizes[k]), None)
+            at = next((i for i, (room, _) in enumerate(bins) if room >= classes[k]), None)
             if at is None:
-                bins.append((capacity, Counter()))
+                bins.append((length, Counter()))
                 at = len(bins) - 1
-            bins[at] = (bins[at][0] - int(sizes[k]), bins[at][1] + Counter({k: 1}))
+            bins[at] = (bins[at][0] - classes[k], bins[at][1] + Counter({k: 1}))
     for _, held in bins:
-        plan[tuple(held[k] for k in range(len(sizes)))] += 1
-    rank, sequence, out = [0] * len(sizes), 0, []
+        plan[tuple(held[k] for k in range(len(classes)))] += 1
+    rank, sequence, out = [0] * len(classes), 0, []
     for pattern, n in sorted(plan.items()):
         for k, a in enumerate(pattern):
             if a:
-                out.append((int(sizes[k]), rank[k], rank[k] + a * n, sequence, a))
+                out.append((classes[k], rank[k], rank[k] + a * n, sequence, a))
                 rank[k] += a * n
         sequence += n
     return out
 
 
-def assign(parts: DataFrame, length: int = LENGTH, unit: int = UNIT) -> DataFrame:
-    """``parts`` (a written table, as it is read three times) with sequence_id and offset."""
+def assign(parts: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``parts`` (a written table with a number ``_row`` of each row, as it is read three times) with sequence_id and offset."""
+    if length % UNIT:
+        raise ValueError(f"the sequence length must be a multiple of {UNIT}")
     spark = parts.sparkSession
-    sized = parts.withColumn("_class", F.ceil(F.col("length") / unit).cast("int"))
-    histogram = {r[0]: r[1] for r in sized.groupBy("_class").count().collect()}  # length / unit rows at most
-    table = spark.createDataFrame(slots(histogram, length // unit), "_class int, _from long, _to long, _first long, _per long")
+    sized = parts.withColumn("_class", class_of(F.col("length")))
+    histogram = {r[0]: r[1] for r in sized.groupBy("_class").count().collect()}  # the classes of CLASSES at most
+    table = spark.createDataFrame(slots(histogram, length), "_class int, _from long, _to long, _first long, _per long")
     split = spark.createDataFrame([(c, -(-n // RANKED)) for c, n in histogram.items()], "_class int, _buckets int")
-    order = [F.col("doc_id"), F.col("start"), F.col("ids_crc32")]
-    put = sized.join(F.broadcast(split), "_class").withColumn("_bucket", F.expr("pmod(xxhash64(doc_id, start), _buckets)"))
-    counts = put.groupBy("_class", "_bucket").count()
-    counts = counts.withColumn("_before", F.sum("count").over(Window.partitionBy("_class").orderBy("_bucket")) - F.col("count")).drop("count")
-    ranked = put.withColumn("_n", F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy(*order)))
-    ranked = ranked.join(counts, ["_class", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1).drop("_before", "_n", "_buckets", "_bucket")
+    put = sized.join(F.broadcast(split), "_class").withColumn("_bucket", F.expr("pmod(xxhash64(_row), _buckets)")).drop("_buckets")
+    # the first rank of each bucket: those of earlier groups of buckets, and of earlier buckets of its group
+    counts = put.groupBy("_class", "_bucket").count().withColumn("_group", F.floor(F.col("_bucket") / SUMMED))
+    groups = counts.groupBy("_class", "_group").agg(F.sum("count").alias("_all"))
+    groups = groups.select("_class", "_group", (F.sum("_all").over(Window.partitionBy("_class").orderBy("_group")) - F.col("_all")).alias("_earlier"))
+    inside = F.sum("count").over(Window.partitionBy("_class", "_group").orderBy("_bucket")) - F.col("count")
+    counts = counts.withColumn("_inside", inside).join(groups, ["_class", "_group"]).select("_class", "_bucket", (F.col("_earlier") + F.col("_inside")).alias("_before"))
+    ranked = put.withColumn("_n", F.row_number().over(Window.partitionBy("_class", "_bucket").orderBy("doc_id", "start", "_row")))
+    ranked = ranked.join(counts, ["_class", "_bucket"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1).drop("_before", "_n", "_bucket")
     placed = ranked.join(F.broadcast(table.withColumnRenamed("_class", "_slot")), F.expr("_class = _slot AND _rank >= _from AND _rank < _to"))
     placed = placed.withColumn("sequence_id", F.expr("_first + (_rank - _from) div _per"))
     before = Window.partitionBy("sequence_id").orderBy(F.desc("_class"), "_rank")
     placed = placed.withColumn("offset", F.sum("length").over(before) - F.col("length"))
-    return placed.select(*parts.columns, "sequence_id", "offset")
+    return placed.select(*[c for c in parts.columns if c != "_row"], "sequence_id", "offset")
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, unit: int = UNIT, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """Every piece of every document with its place in a sequence of at most ``length`` tokens."""
-    return assign(shared.saved(pieces(docs, tokenizer, length, end_id, keep_ids), "pieces"), length, unit)
+    numbered = pieces(docs, tokenizer, length, end_id, keep_ids).withColumn("_row", F.monotonically_increasing_id())
+    return assign(shared.saved(numbered, "pieces"), length)
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:

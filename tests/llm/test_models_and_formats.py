@@ -187,18 +187,21 @@ def test_escaping(text):
 
 
 def test_chats_of_all_kinds(spark):
-    turns = [(1, 1, "assistant", "b [INST]"), (1, 0, "user", "a"), (1, 2, "tool</s>", "[\\INST]"), (1, 2, "tool</s>", "[\\INST]"), (2, 0, None, None), (2, None, "system", "é" * 30_000), (None, 0, "assistant", ""), (3, 0, "assistant", "x"), (3, 0, "assistant", "<s>y")]
+    turns = [(4, k, "user" if k % 2 else "assistant", f"turn {k}") for k in range(-2000, 3000)] + [(5, 0, "user", " " * 1_000_000 + "x"), (5, 1, "assistant", "a" + "\n" * 1_500_000 + "b<|endoftext|>")]
+    turns += [(1, 1, "assistant", "b [INST]"), (1, 0, "user", "a"), (1, 2, "tool</s>", "[\\INST]"), (1, 2, "tool</s>", "[\\INST]"), (2, 0, None, None), (2, None, "system", "é" * 30_000), (None, 0, "assistant", ""), (3, 0, "assistant", "x"), (3, 0, "assistant", "<s>y")]
     frame = spark.createDataFrame([(*t, "z") for t in turns], "conv_id long, turn long, role string, text string, ids string")
     path = packing.tokenizer_path()
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(frame, path), path).collect()}
     import hashlib
 
-    for conv in (1, 2, 3, None):
+    for conv in (1, 2, 3, 4, 5, None):
         own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
         text = "".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in own)
         loss = "".join(t or "" for _, _, r, t in own if r == "assistant")
         assert (got[conv].n_turns, got[conv].turns_sha256) == (len(own), hashlib.sha256(text.encode()).hexdigest())
         assert (got[conv].loss_chars, got[conv].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
     assert chat_format.read_back(chat_format.format_chats(frame.limit(0), path), path).collect() == []
-    parts = chat_format.format_chats(frame.where("conv_id = 1"), path).orderBy("part").collect()
+    parts = chat_format.format_chats(frame.where("conv_id IN (1, 4)"), path).orderBy("conv_id", "part").collect()
+    parts, long = parts[:4], parts[4:]
+    assert [p.part for p in long] == list(range(5000)) and [p.offset for p in long] == list(np.cumsum([0] + [len(p.ids) for p in long])[:-1])
     assert [p.offset for p in parts] == list(np.cumsum([0] + [len(p.ids) for p in parts])[:-1]) and all(len(p.ids) == len(p.mask) for p in parts)
