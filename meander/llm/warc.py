@@ -1,13 +1,16 @@
 """WARC archives: a deterministic sharded writer, and a reader.
 
-Records are dealt to shards by ranges of page_id whose borders follow from a
-histogram of payload bytes over equal id ranges (at most ``BUCKETS`` of them
-reach the driver), so they don't depend on how the input is partitioned. Each
-shard is sorted and streamed into gzip files (one member per record, fixed
-headers, no clock), rolled at ``ROLL`` compressed bytes. A task writes each file
-under a temporary name and renames it when complete; names and contents are the
-same in every attempt. The manifest, a table of all files with their digests, is
-written last, and readers take the files it names.
+Records are range-sorted by (page_id, digest) into shards of about ``SHARD`` bytes.
+The borders follow the data: ids, digests and sizes alone are sorted, running sums
+of their bytes give the keys at which a shard is full, and only those keys (at most
+``SHARDS``) reach the driver. They depend on the records, not on how the input is
+partitioned, so an outlying id, a repeated one or many null ids fill no shard of
+their own beyond equal records. Each shard is sorted and streamed into gzip files
+(one member per record, fixed headers, no clock), rolled at ``ROLL`` compressed
+bytes. A task writes each file under a temporary name and renames it when
+complete; names and contents are the same in every attempt. The manifest, a table
+of all files with their digests, is written last, and readers take the files it
+names, one task a file.
 
 Payloads of ``REVISIT`` bytes or more are kept once: the record of the smallest
 page_id is the response, others are revisits of it (with the HTTP header alone).
@@ -27,18 +30,21 @@ import gzip
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
-import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import kernels, shared
+from . import shared
 
-#: Bytes per rolled file (compressed) and per shard (payloads, at least); equal id ranges; most shards; bytes from which payloads are kept once.
-ROLL, SHARD, BUCKETS, SHARDS, REVISIT = 32 << 20, 32 << 20, 1 << 14, 10_000, 100
+#: Bytes per rolled file (compressed) and per shard (records, at least); most shards; bytes from which payloads are kept once; most tasks that read.
+ROLL, SHARD, SHARDS, REVISIT, READERS = 32 << 20, 32 << 20, 10_000, 100, 20_000
+#: Bytes of a record besides its payload, about.
+OVERHEAD = 500
 #: Fixed values of the format.
 VERSION, DATE = "WARC/1.1", "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -52,37 +58,49 @@ def _digested(pages: DataFrame) -> DataFrame:
     return own.withColumns({"digest": F.sha2(F.encode("html", "UTF-8"), 256), "size": F.octet_length("html").cast("long")})
 
 
-def classified(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, digest, size, first): first is the response's page_id of a revisit, else null.
+def classified(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Who revisits whom, decided and written without the payloads.
 
-    Who revisits whom is decided, and written, without the payloads.
+    The records (page_id, digest, cost, first) and the distinct revisits (page_id, digest, first) among them; first is
+    the response's page_id, null for responses.
     """
-    own = _digested(pages)
-    narrow = own.select("page_id", "digest", "size").where(F.col("size") >= REVISIT)
-    first = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
-    again = narrow.join(first, "digest").where(~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "first").distinct()
-    again = shared.saved(again, "revisits")
-    found = again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
-    return own.join(found, F.expr("digest = _d AND page_id <=> _p"), "left").drop("_p", "_d")
+    narrow = shared.saved(_digested(pages).select("page_id", "digest", "size"), "digests")
+    first = narrow.where(F.col("size") >= REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    first = shared.saved(first, "firsts")  # so that both sides of the join are plain exchanges and a hot payload's rows can be split
+    other = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
+    known = narrow.join(first, "digest", "left").select("page_id", "digest", "size", other.alias("first"))
+    known = shared.saved(known.select("page_id", "digest", (F.when(F.col("first").isNull(), F.col("size")).otherwise(0) + OVERHEAD).alias("cost"), "first"), "records")
+    return known, shared.saved(known.where("first IS NOT NULL").select("page_id", "digest", "first").distinct(), "revisits")
+
+
+def borders(known: DataFrame, shard: int = SHARD) -> list[tuple[bool, int, str]]:
+    """The keys (page_id is not null, page_id, digest) from which on, in order, each further shard begins."""
+    cost = known.agg(F.sum("cost")).first()[0] or 0
+    shard = max(shard, -(-cost // SHARDS))
+    key = [F.col("page_id").isNotNull().alias("k0"), F.coalesce("page_id", F.lit(0)).alias("k1"), F.col("digest").alias("k2")]
+    grouped = known.groupBy(*key).agg(F.sum("cost").alias("cost"))
+    parts = shared.saved(grouped.orderBy("k0", "k1", "k2").withColumn("part", F.spark_partition_id()), "sorted")
+    sums = dict(parts.groupBy("part").agg(F.sum("cost")).collect())  # one row a partition
+    before, at = [], 0
+    for part in sorted(sums):
+        before.append((part, at))
+        at += sums[part]
+    before = known.sparkSession.createDataFrame(before, "part int, before long")
+    up_to = F.col("before") + F.sum("cost").over(Window.partitionBy("part").orderBy("k0", "k1", "k2"))
+    summed = parts.join(F.broadcast(before), "part").withColumn("up_to", up_to)
+    full = summed.where(f"up_to - cost > 0 AND (up_to - 1) div {shard} > (up_to - cost - 1) div {shard}")
+    return sorted((r[0], r[1], r[2]) for r in full.select("k0", "k1", "k2").collect())  # SHARDS rows at most
+
+
+def sharded(records: DataFrame, starts: list[tuple[bool, int, str]]) -> DataFrame:
+    """``records`` with their shard, sorted within it."""
 
+    @F.pandas_udf("int")
+    def shard_of(known: pd.Series, page_id: pd.Series, digest: pd.Series) -> pd.Series:
+        return pd.Series([bisect_right(starts, k) for k in zip(known.tolist(), page_id.tolist(), digest.tolist())], dtype="int32")
 
-def sharded(records: DataFrame) -> DataFrame:
-    """``records`` with their shard, sorted within it."""
-    sizes = records.select("page_id", "size", "first")
-    low, high = sizes.agg(F.min("page_id"), F.max("page_id")).first()
-    if low is None:
-        low = high = 0
-    width = (high - low) // BUCKETS + 1
-    bucket = F.coalesce(F.expr(f"CAST((page_id - {low}L) div {width}L AS int)"), F.lit(0))
-    by_bucket = np.zeros(BUCKETS, np.int64)
-    for b, n in sizes.groupBy(bucket.alias("b")).agg(F.sum(F.when(F.col("first").isNull(), F.col("size")).otherwise(0) + 500)).collect():
-        by_bucket[b] = n
-    before = np.cumsum(by_bucket) - by_bucket
-    shard = before // max(SHARD, int(by_bucket.sum()) // SHARDS)
-    used = np.flatnonzero(by_bucket).tolist()
-    table = records.sparkSession.createDataFrame([(b, int(shard[b])) for b in used], "_bucket int, shard int")  # BUCKETS rows at most
-    dealt = records.withColumn("_bucket", bucket).join(F.broadcast(table), "_bucket").drop("_bucket")
-    return dealt.repartitionById(int(shard[used].max()) + 1 if used else 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
+    dealt = records.withColumn("shard", shard_of(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), "digest"))
+    return dealt.repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "digest", "url")
 
 
 def record(page_id, url, payload: bytes, digest: str, size: int, first) -> bytes:
@@ -125,7 +143,7 @@ class _File:
         return self.name, self.records, self.bytes, self.sha.hexdigest()
 
 
-def write_warc(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, shard: int = SHARD) -> DataFrame:
     """Write the archives of ``pages`` (page_id, url, html) to a new folder; returns the manifest."""
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +165,10 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL) -> DataFrame:
         if file:
             yield manifest(now, file.close())
 
-    ready = sharded(classified(pages)).select("shard", "page_id", "url", F.when(F.col("first").isNull(), F.col("html")).otherwise("").alias("html"), "digest", "size", "first")
+    known, again = classified(pages)
+    found = again.select(F.col("page_id").alias("_p"), F.col("digest").alias("_d"), "first")
+    own = _digested(pages).join(found, F.expr("digest = _d AND page_id <=> _p"), "left").drop("_p", "_d")
+    ready = sharded(own, borders(known, shard)).select("shard", "page_id", "url", F.when(F.col("first").isNull(), F.col("html")).otherwise("").alias("html"), "digest", "size", "first")
     ready.mapInArrow(files, _FILES).write.parquet(f"{folder}/_manifest")
     return pages.sparkSession.read.schema(_FILES).parquet(f"{folder}/_manifest")
 
@@ -211,7 +232,8 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate(kinds)], names)
 
     manifest = spark.read.schema(_FILES).parquet(f"{folder}/_manifest").select("file", "records")
-    return manifest.repartition("file").mapInArrow(rows, _READ)
+    # dealt in turn, not by size: a row here is a file to read
+    return manifest.repartition(max(1, min(manifest.count(), READERS))).mapInArrow(rows, _READ)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -164,6 +164,28 @@ def test_warc_round_trip(spark):
     assert warc.read_warc(spark, empty).collect() == []
 
 
+def test_warc_shards_follow_the_data(spark):
+    """Outlying and extreme ids, one repeated id, many null ids, one hot payload: shards stay even, and many tasks read."""
+    rows = [(k, f"u{k}", f"{k} " * 400) for k in range(300)] + [(2**63 - 1, "far", "z" * 900), (-(2**63), "low", "z" * 900)]
+    rows += [(77, f"v{k}", f"again {k} " * 200) for k in range(300)] + [(None, None, f"none {k} " * 200) for k in range(300)] + [(1000 + k, "hot", "h" * 2000) for k in range(300)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, shard int")
+    files = [warc.write_warc(p, warc.shared.new_path(spark, "warc"), shard=50_000).collect() for p in (pages, pages.repartition(7))]
+    assert sorted(files[0]) == sorted(files[1])
+    per = collections.Counter()
+    for f in files[0]:
+        per[f.shard] += f.records
+    assert len(per) > 20 and max(per.values()) < 150 and sum(per.values()) == len(rows)
+    folder = warc.shared.new_path(spark, "warc")
+    warc.write_warc(pages, folder, shard=50_000)
+    read = warc.read_warc(spark, folder)
+    assert read.rdd.getNumPartitions() == len(files[0]) and read.select(F.spark_partition_id()).distinct().count() > 20
+    first = {}
+    for i, _, h in rows:
+        first[h] = min(first.get(h, i), i, key=lambda x: (x is None, x))
+    want = collections.Counter((i, len(h), "response" if i == first[h] else "revisit") for i, _, h in rows)
+    assert collections.Counter((r.page_id, r.payload_bytes, r.record_type) for r in read.collect()) == want
+
+
 def test_warc_damage_is_found(spark):
     data = warc.record(1, "u", b"payload" * 30, "d" * 64, 210, None)
     with pytest.raises(ValueError, match="damaged"):
