@@ -128,11 +128,15 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int = 120, rate: float = 0.15, p
 
 
 def learning_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, text, label) of at most ``most`` labelled, not held-out documents: those with the smallest id hashes."""
+    """(doc_id, text, label) of at most ``most`` labelled, not held-out documents: those with the smallest id hashes.
+
+    A label is the rounded mean of its rows, and an id is one row, however often it is repeated: that of the smallest text.
+    """
     known = labels.where(f"doc_id IS NOT NULL AND {label} IS NOT NULL").where(~shared.held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.round(F.avg(label)).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").dropna(subset=["doc_id"]).join(F.broadcast(known), "doc_id")  # at most `most` rows
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")  # at most `most` ids
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,9 +148,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> AdditiveModel:
     rows = learning_rows(docs, labels, "quality", most).mapInArrow(_measured, "doc_id long, x array<double>, label int").collect()
-    rows.sort(key=lambda r: (r[0], r[1]))
-    x = np.array([r[1] for r in rows[:most]]).reshape(-1, len(features.NAMES))
-    return train(x, np.array([r[2] for r in rows[:most]], float))
+    rows.sort(key=lambda r: r[0])
+    return train(np.array([r[1] for r in rows]).reshape(-1, len(features.NAMES)), np.array([r[2] for r in rows], float))
 
 
 def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
@@ -161,9 +164,9 @@ def score(docs: DataFrame, model: AdditiveModel) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
-def judged(scored: DataFrame, threshold: float) -> DataFrame:
+def judged(scored: DataFrame, threshold: float, *more: str) -> DataFrame:
     held = F.coalesce(shared.held_out(F.col("doc_id")), F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *more)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

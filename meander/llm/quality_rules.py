@@ -163,13 +163,17 @@ def learn(rows: list[tuple[list[float], bool]], names: list[str], min_cover: int
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS, **options) -> DecisionList:
-    """Learn from at most ``most`` labelled documents (ids with the smallest hashes; a label is the rounded mean of its rows)."""
+    """Learn from at most ``most`` labelled documents (ids with the smallest hashes; a label is the rounded mean of its rows).
+
+    An id is one row, however often it is repeated: that of the smallest statistics.
+    """
     known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.avg("quality").alias("_q"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     pool = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # at most `most` ids
     stats = text_stats(pool).where(~base_failed())
-    got = stats.select(F.xxhash64("doc_id"), "doc_id", F.array(*[F.expr(f"double({e})") for e in RATIOS.values()]), F.col("_q") < 0.5).collect()
-    return learn([(r[2], r[3]) for r in sorted(got)[:most]], list(RATIOS), **options)
+    rows = stats.select("doc_id", (F.col("_q") < 0.5).alias("bad"), F.array(*[F.expr(f"double({e})") for e in RATIOS.values()]).alias("x"))
+    got = rows.groupBy("doc_id", "bad").agg(F.min("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()  # a row an id
+    return learn([(r.x, r.bad) for r in got], list(RATIOS), **options)
 
 
 def judge(docs: DataFrame, rules: DecisionList) -> DataFrame:

@@ -16,7 +16,9 @@ also gives the offending spans (code points, end exclusive).
 
 Labels are learned from at most ``LEARN_ROWS`` documents (those with the
 smallest id hashes), never from held-out ones; lang, source and doc_id are no
-inputs. Edge cases: null and empty texts have no tokens and score as such;
+inputs. Equal texts are one learning document with the rounded mean of their
+labels. Of each learning document the field is trained on at most ``WINDOWS``
+windows around labelled tokens, evenly chosen, and one at random. Edge cases: null and empty texts have no tokens and score as such;
 repeated documents are scored one by one; an empty table gives an empty result;
 extra columns are ignored; without labels, or with one class only, all scores
 are the (smoothed) share of label 1.
@@ -37,8 +39,8 @@ from . import kernels, shared
 from .quality_classifier import judged, learning_rows
 
 LEARN_ROWS, THRESHOLD = 8192, 0.3
-#: Candidate words and beginnings for token labels at most; windows are of so many tokens to each side.
-CANDIDATES, AROUND = 1000, 12
+#: Candidate words and beginnings for token labels at most; windows of a learning document around labelled tokens at most; tokens to each side.
+CANDIDATES, WINDOWS, AROUND = 1000, 4, 12
 _BITS, _BEGINNINGS = 18, (4, 5, 6, 7)
 _TWICE = np.uint64(0xC2B2AE3D27D4EB4F)
 _FEATURES = 5 + len(_BEGINNINGS)
@@ -173,9 +175,8 @@ def _texts(column: pa.Array) -> Iterator[tuple[int, Tokens]]:
         yield i, tokens(pc.utf8_lower(text[i:j]))
 
 
-def _summary(model: Field, t: Tokens) -> np.ndarray:
+def _summary(logit: np.ndarray, t: Tokens) -> np.ndarray:
     """Per row: logit of the largest marginal, logs of the expected number of toxic tokens and of all."""
-    logit = model.marginals(t)
     n = np.diff(t.rows)
     out = np.column_stack([np.full(len(n), -30.0), np.full(len(n), np.log(1e-6)), np.log1p(n)])
     full = np.flatnonzero(n)
@@ -219,9 +220,10 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> set[int]:
     odds = F.log((F.col("n1") + 0.5) / (n_toxic + 1)) - F.log((F.col("n0") + 0.5) / (n_clean + 1))
     strong = counts.where((F.col("n1") >= 3) & (odds > 2.5)).orderBy(F.desc(odds * F.sqrt("n1")), "unit").limit(CANDIDATES).select("unit")
     only = np.sort(np.array([r[0] for r in strong.collect()], np.int64).view(np.uint64))
-    docs: dict[int, set] = {}
-    for unit, doc_id, _ in found(only).where("label = 1").collect():  # CANDIDATES times the sample's documents at most
-        docs.setdefault(unit, set()).add(doc_id)
+    held = found(only).where("label = 1").select("unit", "doc_id").orderBy("unit", "doc_id").toArrow()  # CANDIDATES times the sample's toxic documents at most
+    units, ids = (held.column(k).to_numpy() for k in range(2))
+    ends = np.flatnonzero(np.diff(units, append=0) != 0) + 1 if len(units) else np.zeros(0, int)
+    docs = {int(units[b - 1]): set(ids[a:b].tolist()) for a, b in zip(np.concatenate([[0], ends[:-1]]), ends)}
     # those of many toxic documents, and those that explain documents the others leave unexplained
     chosen = {u for u, d in docs.items() if len(d) >= max(3, n_toxic / 12)}
     known = set().union(*(docs[u] for u in chosen))
@@ -236,7 +238,8 @@ def _lexicon(sample: DataFrame, n_toxic: int, n_clean: int) -> set[int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
-    sample = shared.saved(learning_rows(docs, labels, "toxic", most).dropDuplicates(["text"]), "toxic-sample")
+    sample = learning_rows(docs, labels, "toxic", most).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.round(F.avg("label")).cast("int").alias("label"))
+    sample = shared.saved(sample.select("doc_id", "text", "label"), "toxic-sample")
     count = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     n1, n0 = count.get(1, 0), count.get(0, 0)
     if not n1 or not n0:
@@ -260,7 +263,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
                     hit = np.isin(unit, toxic) | ((count > 1) & np.isin(unit ^ _TWICE, toxic))
                     label[token[hit[which]]] = True
                     marked = np.flatnonzero(label[a:b]) + a
-                    centres = marked[:: max(1, len(marked) // 4)][:4].tolist() + [a + int(t.hashes[a] % np.uint64(b - a))]
+                    centres = marked[:: max(1, len(marked) // WINDOWS)][:WINDOWS].tolist() + [a + int(t.hashes[a] % np.uint64(b - a))]
                     for c in centres:
                         line = int(np.searchsorted(t.chains, c, "right")) - 1
                         x, z = max(c - AROUND, int(t.chains[line])), min(c + AROUND + 1, int(t.chains[line + 1]))
@@ -270,13 +273,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = LEARN_ROWS) -> Field:
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(feats, pa.list_(pa.int64())), pa.array(ys, pa.list_(pa.int64()))], ["doc_id", "f", "y"])
 
-    found = sorted(sample.mapInArrow(windows, "doc_id long, f array<long>, y array<long>").collect())  # 5 windows a document at most
-    model = train([(np.array(r[1]).reshape(_FEATURES, -1), np.array(r[2])) for r in found])
+    found = sample.mapInArrow(windows, "doc_id long, f array<long>, y array<long>").orderBy("doc_id", "f", "y").toArrow()  # WINDOWS + 1 a document at most
+    arrays = ([x.values.to_numpy() for x in found.column(name)] for name in ("f", "y"))
+    model = train([(f.reshape(_FEATURES, -1), y) for f, y in zip(*arrays)])
 
     @kernels.tidied
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.concatenate([np.zeros((0, 3)), *(_summary(model, t) for _, t in _texts(batch.column(1)))])
+            x = np.concatenate([np.zeros((0, 3)), *(_summary(model.marginals(t), t) for _, t in _texts(batch.column(1)))])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x[:, 0]), pa.array(x[:, 1]), pa.array(x[:, 2]), batch.column(2)], ["doc_id", "top", "sum", "n", "label"])
 
     got = np.array(sorted(sample.mapInArrow(summaries, "doc_id long, top double, sum double, n double, label int").collect()), float).reshape(-1, 5)
@@ -295,10 +299,11 @@ def tag(docs: DataFrame, model: Field, spans: bool = True) -> DataFrame:
             for i, j in kernels.blocks(text):
                 low = pc.utf8_lower(text[i:j])
                 t = tokens(low)
-                z = model.scale[0] + _summary(model, t) @ model.scale[1:]
+                logit = model.marginals(t)
+                z = model.scale[0] + _summary(logit, t) @ model.scale[1:]
                 scores.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
                 if spans:
-                    found += _spans(low, t, model.marginals(t))
+                    found += _spans(low, t, logit)
             columns = [batch.column(0).cast(pa.int64()), pa.array(np.concatenate(scores))]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(columns + [pa.array(found, kind)] * spans, ["doc_id", "score", "spans"][: 2 + spans])
@@ -309,22 +314,23 @@ def tag(docs: DataFrame, model: Field, spans: bool = True) -> DataFrame:
 def _spans(text: pa.Array, t: Tokens, logit: np.ndarray) -> list[list[dict]]:
     """Runs of toxic tokens of a chain, per row, in code points."""
     data, off = kernels.raw(text)
-    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     out: list[list[dict]] = [[] for _ in range(len(off) - 1)]
-    chain_of = np.searchsorted(t.chains, np.arange(len(logit)), "right")
-    row_of = np.searchsorted(t.rows, np.arange(len(logit)), "right") - 1
-    last = -2
-    for k in np.flatnonzero(logit >= 0).tolist():
-        row = int(row_of[k])
-        a, b = (int(points[x] - points[off[row]]) for x in (t.starts[k], t.ends[k]))
-        if k == last + 1 and chain_of[k] == chain_of[last]:
-            out[row][-1]["end"] = b
-        else:
-            out[row].append({"start": a, "end": b})
-        last = k
+    toxic = np.flatnonzero(logit >= 0)
+    if not len(toxic):
+        return out
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    chain = np.searchsorted(t.chains, toxic, "right")
+    row = np.searchsorted(t.rows, toxic, "right") - 1
+    opens = np.concatenate([[True], (np.diff(toxic) > 1) | (np.diff(chain) > 0)])
+    first, last = np.flatnonzero(opens), np.flatnonzero(np.append(opens[1:], True))
+    starts, ends = (points[x] - points[off[row[first]]] for x in (t.starts[toxic[first]], t.ends[toxic[last]]))
+    for r, a, b in zip(row[first].tolist(), starts.tolist(), ends.tolist()):
+        out[r].append({"start": a, "end": b})
     return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
+    """The contract's columns, and the offending spans."""
     docs = shared.table(spark, sf_dir, "documents")
-    return judged(tag(docs, fit(docs, shared.table(spark, sf_dir, "labels")), spans=False), THRESHOLD)
+    tagged = tag(docs, fit(docs, shared.table(spark, sf_dir, "labels")))
+    return judged(tagged, THRESHOLD, "spans")

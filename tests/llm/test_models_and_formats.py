@@ -1,14 +1,18 @@
 """Learned operators on held-out rows; archives and chats by round trip and DuckDB."""
 
+import bisect
 import collections
+import functools
 import itertools
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
-from meander.llm import chat_format, packing, quality_classifier, toxicity, url_filter, warc
+from meander.llm import chat_format, features, kernels, packing, quality_classifier, quality_rules, toxicity, url_filter, warc
 from pyspark.sql import functions as F
 
 from ..comparing import oracle, same
@@ -44,6 +48,115 @@ def test_edges(spark, module, label):
     assert module.judged(apply(module.fit(docs, none)).limit(0), 0.5).collect() == []
 
 
+def labelled(spark):
+    rng = random.Random(11)
+    text = lambda bad: " ".join(rng.choice("stone river cloud paper green".split() + (["vile", "rotten", "###"] if bad else ["calm", "kind"])) for _ in range(rng.randrange(52, 90)))
+    rows = [(k, text(k % 3 == 0), "x") for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    return docs, docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, 0).otherwise(1).alias("quality"), F.when(F.col("doc_id") % 3 == 0, 1).otherwise(0).alias("toxic"))
+
+
+def plain_model(model):
+    if isinstance(model, quality_rules.DecisionList):
+        return model.rules
+    if isinstance(model, toxicity.Field):
+        return [model.tables.tolist(), model.bias, model.moves.tolist(), model.scale.tolist()]
+    return [model.base, [x.tolist() for x in model.cuts + model.tables], [(p[0], p[1], *(x.tolist() for x in p[2:])) for p in model.pairs]]
+
+
+@pytest.mark.parametrize("module", [quality_rules, quality_classifier, toxicity])
+def test_a_repeated_id_is_one_learning_row(spark, module):
+    docs, labels = labelled(spark)
+    many = docs.unionByName(docs.where("doc_id IN (3, 4)").crossJoin(spark.range(20_000).drop("id"))).repartition(5)
+    once = plain_model(module.fit(docs, labels))
+    assert once and once == plain_model(module.fit(many, labels))
+
+
+def test_conflicting_labels_of_equal_texts(spark):
+    docs, labels = labelled(spark)
+    copies = docs.unionByName(docs.select((F.col("doc_id") + 1000).alias("doc_id"), "text", "label"))
+    told = labels.unionByName(labels.select((F.col("doc_id") + 1000).alias("doc_id"), "quality", F.when(F.col("doc_id") < 9, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("toxic")))
+    models = [plain_model(toxicity.fit(copies.repartition(n), told.repartition(n))) for n in (1, 7)]
+    assert models[0] == models[1]
+
+
+def features_brute(text):
+    """The eighteen numbers, one by one."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    if not words:
+        return [0.0] * 18
+    size, low, raw = [len(w.encode()) for w in words], [w.lower() for w in words], text.encode()
+    n, many = len(words), sum(size)
+    share = lambda chars: sum(c in chars for c in text)
+    lines = text.split("\n")
+    runs = collections.Counter(zip(low, low[1:], low[2:])) if n >= 3 else collections.Counter([tuple(low)])
+    equal, count = collections.Counter(x for x in lines if x), collections.Counter(low)
+    return [
+        np.log1p(n), many / n, share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / many, share("0123456789") / many, share(".,;:?-'\"()") / n, share("!") / n, share("#*$%&|<>") / many, share("@/\\_=+{}[]~^`") / many, sum(b >= 128 for b in raw) / many,
+        np.log1p(len(lines)), n / len(lines), sum(v for v in equal.values() if v > 1) / len(lines), sum(v for v in runs.values() if v > 1) / n, len(count) / n, max(count.values()) / n,
+        sum(s <= 3 for s in size) / n, sum(s >= 12 for s in size) / n, sum(w in features.STOP_WORDS for w in low) / n,
+    ]
+
+
+def test_quality_scores_against_plain_sums(spark):
+    rng = random.Random(9)
+    texts = ["", " \n", "one", "one two", "É!", "\n\n a \n\n"] + ["".join(rng.choice("ab Tthe é\n!#.7/ ") for _ in range(rng.randrange(400))) for _ in range(60)]
+    x = np.array([features_brute(t) for t in texts])
+    got = features.features(kernels.text_array(pa.array(texts)))
+    assert np.allclose(got, x, atol=1e-9), [(features.NAMES[b], repr(texts[a])) for a, b in zip(*np.nonzero(~np.isclose(got, x, atol=1e-9)))][:5]
+    model = quality_classifier.fit(*labelled(spark))
+    assert model.pairs
+    scores = {r.doc_id: r.score for r in quality_classifier.score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, row in enumerate(got.tolist()):
+        total = model.base + sum(table[bisect.bisect_right(cuts.tolist(), v)] for v, cuts, table in zip(row, model.cuts, model.tables))
+        total += sum(t[bisect.bisect_right(ca.tolist(), row[a]), bisect.bisect_right(cb.tolist(), row[b])] for a, b, ca, cb, t in model.pairs)
+        assert scores[k] == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_toxicity_scores_and_spans_against_plain_recursions(spark):
+    model = toxicity.fit(*labelled(spark))
+    rng = random.Random(10)
+    texts = ["", "\n \n", "vile", "Été vile!\nkind"] + [" ".join(rng.choice(["vile", "rotten", "calm", "stone", "é", "rot\n", "VILEST,", "paper;"]) for _ in range(rng.randrange(40))) for _ in range(40)]
+    mask = (1 << toxicity._BITS) - 1
+    hashed = lambda w: int(kernels.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+    kind = lambda v, k: int(kernels.mix(np.array([(v + (k << 56)) % 2**64], np.uint64))[0]) & mask
+    edge = lambda bs: functools.reduce(lambda h, b: (h * 257 + b) % 2**64, bs, 0)
+
+    def chain(line):
+        tokens = [m.group().encode() for m in re.finditer(r"[0-9a-z\x80-\U0010ffff]+", line)]
+        h = [hashed(w) for w in tokens]
+        unary = []
+        for k, w in enumerate(tokens):
+            parts = [(h[k - 1] if k else 1), (h[k + 1] if k + 1 < len(h) else 2), edge(w[min(i, len(w) - 1)] for i in range(3)), edge(w[max(len(w) - 1 - i, 0)] for i in range(3))] + [hashed(w[:n]) for n in toxicity._BEGINNINGS]
+            unary.append(model.bias + sum(model.tables[j, f] for j, f in enumerate([h[k] & mask] + [kind(v, j) for j, v in enumerate(parts, 1)])))
+        forward = [np.array([0.0, u]) for u in unary[:1]]
+        for u in unary[1:]:
+            forward.append(np.logaddexp.reduce(forward[-1][:, None] + model.moves, axis=0) + [0, u])
+        backward = [np.zeros(2)]
+        for u in unary[:0:-1]:
+            backward.insert(0, np.logaddexp.reduce(model.moves + (backward[0] + [0, u])[None], axis=1))
+        return [float((f + b) @ [-1, 1]) for f, b in zip(forward, backward)]
+
+    got = {r.doc_id: r for r in toxicity.tag(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        low, logits, spans, at = text.lower(), [], [], 0
+        for line in low.split("\n"):
+            found = chain(line)
+            last = None
+            for m, logit in zip(re.finditer(r"[0-9a-z\x80-\U0010ffff]+", line), found):
+                if logit >= 0 and last:
+                    spans[-1] = (spans[-1][0], at + m.end())
+                elif logit >= 0:
+                    spans.append((at + m.start(), at + m.end()))
+                last = logit >= 0
+            logits += [min(30, max(-30, x)) for x in found]
+            at += len(line) + 1
+        x = [max(logits, default=-30), np.log(1e-6 + sum(1 / (1 + np.exp(-v)) for v in logits)), np.log1p(len(logits))]
+        assert got[k].score == pytest.approx(1 / (1 + np.exp(-(model.scale[0] + model.scale[1:] @ x))), abs=1e-5), repr(text)
+        assert [(s.start, s.end) for s in got[k].spans] == spans
+    assert any(r.spans for r in got.values())
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(0)
     unary, moves, chains = rng.normal(size=9), rng.normal(size=(2, 2)), np.array([0, 4, 5, 9])
