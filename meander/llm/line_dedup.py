@@ -1,7 +1,8 @@
 """Line dedup by a deletion-neighbourhood join; DataFrame functions only.
 
-Lines are compared lower-cased and trimmed; lines of under ``MIN_CHARS``
-characters are left alone. Places are ordered by (doc_id, text, line number).
+Lines are compared lower-cased and trimmed; empty ones are left alone (and those
+of under ``min_chars`` characters, which a caller may raise from 1). Places are
+ordered by (doc_id, hash of the text, line number).
 A line is dropped if an equal line, or one within one edit (a character added,
 removed or replaced), stands at an earlier place; what is left of each text is
 put together again.
@@ -19,6 +20,9 @@ put together again.
    earliest with that hash: one candidate per member, never all pairs. The edit
    distance of each is then verified with ``levenshtein``.
 
+Which keys occur twice is written before it is joined, so that both sides of each
+join are plain exchanges and the rows of a hot key can be split.
+
 Edge cases: null text stays null, empty text empty; null ids come first; rows
 that repeat id and text are one document; an empty table gives an empty result;
 extra columns pass through (those named n_lines, n_kept or with a leading ``_ld_``
@@ -32,7 +36,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-MIN_CHARS, WINDOW = 12, 16
+WINDOW = 16
 
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -65,11 +69,14 @@ def _windows(lines: DataFrame) -> DataFrame:
 def _paired(rows: DataFrame, keys: Column, *ids: str) -> DataFrame:
     """The distinct ``ids`` of rows that share a key with another row."""
     keyed = rows.select(*ids, F.explode(keys).alias("key"))
-    twice = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keyed.join(twice, "key").select(*ids).distinct()
+    return keyed.join(_twice(keyed), "key").select(*ids).distinct()
+
+
+def _twice(keyed: DataFrame) -> DataFrame:
+    return shared.saved(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "twice")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """``docs`` with the remaining ``text``, ``n_lines`` (of the compared length) and ``n_kept`` of them."""
     lines = _lines(docs, min_chars)
     t, n = F.col("t"), F.length("t")
@@ -79,7 +86,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     first = shared.saved(first, "first")
 
     some = _paired(first, F.array_compact(F.array("e0", "e1", "e2", "e3")), "id", "row", "pos")
-    at = some.groupBy("id", "row").agg(F.sort_array(F.collect_list("pos")).alias("at"))
+    at = shared.saved(some.groupBy("id", "row").agg(F.sort_array(F.collect_list("pos")).alias("at")), "places")
     source = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n").alias("all"))
     texts = source.join(at, "row").where(F.col("_id").eqNullSafe(F.col("id")))
     texts = texts.select("id", "row", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.lower(F.trim(F.get("all", p))).alias("t")))).alias("x")).select("id", "row", "x.*").distinct()
@@ -90,7 +97,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     # the windows of about WINDOW characters outside which a line equals some other
     parts = shared.saved(_windows(near), "windows")
-    parts = shared.saved(parts.join(parts.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key"), "windows")
+    parts = shared.saved(parts.join(_twice(parts), "key"), "windows")
     size = F.length("inside")
     gap = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(i.alias("i"), F.concat(F.substr("inside", F.lit(1), i - 1), F.substr("inside", i + 1)).alias("v")))
     variant = lambda label, text, role: F.struct(F.xxhash64("key", label, text).alias("variant"), F.lit(role).alias("role"))
@@ -99,6 +106,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     )
     emitted = parts.select("place", F.explode(F.array_distinct(variants)).alias("x")).select("place", "x.*")
     groups = emitted.groupBy("variant").agg(F.count("*").alias("n"), F.min(F.when(F.col("role") == 0, F.col("place"))).alias("own"), F.min(F.when(F.col("role") != 0, F.col("place"))).alias("other")).where("n > 1")
+    groups = shared.saved(groups.drop("n"), "variants")
     earlier = F.when(F.col("role") == 1, F.col("own")).otherwise(F.col("other"))
     found = emitted.join(groups, "variant").select("place", earlier.alias("earlier")).where("earlier < place").distinct()
     found = found.join(near, "place").join(near.select(F.col("place").alias("earlier"), F.col("t").alias("u")), "earlier")
@@ -106,6 +114,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     kept = first.select("id", "row", "pos").alias("f").join(gone.alias("g"), F.expr("f.row = g.row AND f.pos = g.pos AND f.id <=> g.id"), "left_anti")
     kept = kept.groupBy(F.col("id").alias("_ld_id"), F.col("row").alias("_ld_row")).agg(F.collect_list("pos").alias("_ld_kept"))
+    kept = shared.saved(kept, "kept")
     out = docs.drop("n_lines", "n_kept").withColumn("_ld_key", F.xxhash64("doc_id", "text"))
     out = out.join(kept, F.expr("_ld_key = _ld_row AND doc_id <=> _ld_id"), "left")
     out = out.withColumn("_ld_lines", F.split("text", "\n")).withColumn("_ld_kept", F.coalesce("_ld_kept", F.array().cast("array<int>")))
