@@ -16,8 +16,15 @@ from pyspark.sql import functions as F
 from . import shared
 
 
+#: Nodes that a task's local union-find holds at once, about.
+HELD = 1_000_000
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Local union-find: each node of the partition with the smallest node it is joined to there."""
+    """Local union-find: each node of the partition with the smallest node it is joined to there.
+
+    When it holds ``HELD`` nodes, what it found is passed on and it begins anew; later steps join the parts.
+    """
     parent: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -28,18 +35,24 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = root, parent[x]
         return root
 
+    def found() -> Iterator[pa.RecordBatch]:
+        nodes = list(parent)
+        for i in range(0, len(nodes), 100_000):
+            part = [(x, r) for x in nodes[i : i + 100_000] if (r := find(x)) != x]
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["a", "b"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = find(a), find(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = list(parent)
-    for i in range(0, len(nodes), 100_000):
-        part = [(x, r) for x in nodes[i : i + 100_000] if (r := find(x)) != x]
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([r for _, r in part], pa.int64())], ["a", "b"])
+        if len(parent) >= HELD:
+            yield from found()
+            parent.clear()
+    yield from found()
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b) to (node, component): every linked node but the smallest of its component, with that smallest one.
 
     Self-links and links with a null end are ignored; an empty table gives an empty one.
@@ -47,7 +60,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     both = links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b")
     stars = shared.saved(both.mapInArrow(_contract, "a long, b long").distinct(), "links")
     state = None
-    for _ in range(most_rounds):
+    while True:  # each round that changes the forest hangs nodes on smaller ones, so it comes to an end
         near = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = near.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = near.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -59,6 +72,4 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == state:
             break
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))

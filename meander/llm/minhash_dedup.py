@@ -10,9 +10,13 @@
 3. Union-find groups the links. Documents in a bucket that still holds several
    components are compared across them, by prefix filtering: a set's shingles are
    ordered from the rarest; two sets that share nothing before rank r of either
-   share at most size - r, which bounds the size of a partner. Only pairs that
-   share a shingle, are of different components and meet both bounds are checked
-   on the full sets; the bounds lose none. The grouping is then repeated.
+   share at most size - r, which bounds the size of a partner. Of the pairs that
+   share a shingle, are of different components and meet both bounds, most still
+   differ too much: each set carries ``SKETCH`` parity bits (of how many of its
+   shingles fall to each), and two sets differ in at least as many shingles as
+   their parities do in bits. This too is exact, so the bounds lose none, and
+   texts of one template don't all meet. What is left is checked on the full sets
+   (hashed, written once), and the grouping is repeated.
 
 A pair of similarity 0.75 shares no band with a chance under 6e-6; for it to
 be lost, it must also not be joined through others.
@@ -26,6 +30,7 @@ an empty result; extra columns of any name are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +43,8 @@ from .components import components
 
 BANDS, ROWS, WORDS, PERCENT = 32, 4, 5, 75
 _SIZE = BANDS * ROWS  # 128, a power of two
+#: Bits of a set's parity sketch.
+SKETCH = 512
 _U = np.uint64
 _SIGNED = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
@@ -92,32 +99,24 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2", "bands"])
 
 
-def _check(percent: int):
-    @kernels.tidied
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            left, right = (kernels.text_array(batch.column(c)) for c in (2, 3))
-            keep = []
-            for x, y in zip(kernels.shingle_sets(left, WORDS), kernels.shingle_sets(right, WORDS)):
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
 @kernels.tidied
-def _explode_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashed set of each text, and its parities."""
     for batch in batches:
         text = kernels.text_array(batch.column(1))
-        for i, j in kernels.blocks(text, 500_000):
+        for i, j in kernels.blocks(text):
             sets = list(kernels.shingle_sets(text[i:j], WORDS))
-            n = np.array([len(s) for s in sets])
+            at = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
             flat = np.concatenate(sets)
-            own = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            columns = [np.repeat(batch.column(0)[i:j].to_numpy(), n), np.repeat(own, n), flat.view(np.int64), np.repeat(n, n)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["node", "own", "shingle", "size"])
+            bit = (np.repeat(np.arange(len(sets)), np.diff(at)) * SKETCH + (flat & _U(SKETCH - 1)).astype(np.int64)).astype(np.int64)
+            odd = (np.bincount(bit, minlength=len(sets) * SKETCH) & 1).astype(np.uint8).reshape(len(sets), SKETCH)
+            sketch = np.packbits(odd, axis=1).view(np.int64)
+            own = pa.array([int(s.sum(dtype=np.uint64).view(np.int64)) for s in sets], pa.int64())
+            columns = [batch.column(0)[i:j], own, pa.ListArray.from_arrays(pa.array(at), pa.array(flat.view(np.int64))), *(pa.array(x) for x in sketch.T)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "own", "shingles", *_PARITY])
+
+
+_PARITY = [f"p{k}" for k in range(SKETCH // 64)]
 
 
 def _several(rows: DataFrame) -> DataFrame:
@@ -131,11 +130,25 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(shared.saved(several.select("shingle"), "several"), "shingle", "left_semi")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough; ``texts`` holds (node, text)."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    full = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return full.select("a", "b", "text_a", "text_b").mapInArrow(_check(percent), "a long, b long")
+def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``sets`` holds (node, shingles)."""
+    with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("s")), "a")
+    full = with_a.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("t")), "b")
+    both = F.size(F.array_intersect("s", "t"))  # distinct shingles on both sides
+    near = full.select("a", "b", (F.size("s") + F.size("t")).alias("all"), both.alias("both"))
+    return near.where(f"both > 0 AND 100 * CAST(both AS long) >= {percent} * (CAST(all AS long) - both)").select("a", "b")
+
+
+def cross_pairs(live: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The distinct pairs (a, b) of different components that share a shingle of ``live`` and that the bounds leave."""
+    x, y = (live.select(*[F.col(c).alias(f"{side}_{c}") for c in live.columns]) for side in "xy")
+    bits = sets.select("node", "own", *_PARITY)
+    x, y = (one.join(bits.select(*[F.col(c).alias(f"{side}_{c}") for c in bits.columns]), [f"{side}_node", f"{side}_own"]) for one, side in ((x, "x"), (y, "y")))
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(f"x_{p}").bitwiseXOR(F.col(f"y_{p}"))) for p in _PARITY))
+    # sizes a and b share at most (a + b - apart) / 2, and must share percent / (100 + percent) of a + b
+    near = (100 + percent) * (F.col("x_size") + F.col("y_size") - apart) >= 2 * percent * (F.col("x_size") + F.col("y_size"))
+    fits = F.expr("x_shingle = y_shingle AND x_component <> y_component AND x_node < y_node AND y_size <= x_most AND x_size <= y_most")
+    return x.join(y, fits & near).select(F.col("x_node").alias("a"), F.col("y_node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -144,40 +157,46 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     signed = shared.saved(source.mapInArrow(_sign, _SIGNED), "signed")
     real = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = shared.saved(real.groupBy("h1", "h2").agg(F.min("doc_id").alias("node")), "classes")
-    reps = real.select(F.col("doc_id").alias("node"), "bands").join(classes.select("node"), "node", "left_semi")
+    ids = real.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi"))
+    again = shared.saved(ids.where("n > 1"), "repeated")
+    # of a node's rows (those of an id that is repeated), each set once
+    reps = real.select(F.col("doc_id").alias("node"), "h1", "h2", "bands").join(classes.select("node"), "node", "left_semi")
     keys = reps.select("node", F.explode("bands").alias("key"))
-    shared_keys = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = shared.saved(keys.join(shared_keys, "key"), "members")
-    nodes = members.groupBy("node").agg(F.sum("n").alias("score"))
-    texts = shared.saved(source.withColumnRenamed("doc_id", "node").join(nodes.select("node"), "node", "left_semi"), "texts")
+    shared_keys = shared.saved(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    members = shared.saved(keys.join(shared_keys, "key").distinct(), "members")
+    nodes = shared.saved(members.groupBy("node").agg(F.sum("n").alias("score")), "nodes")
+
+    texts = source.withColumnRenamed("doc_id", "node").join(nodes.select("node"), "node", "left_semi")
+    many = again.select(F.col("doc_id").alias("node"))
+    once = texts.join(many, "node", "left_semi").groupBy("node", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("node", "text")
+    kind = "node long, own long, shingles array<long>" + "".join(f", {p} long" for p in _PARITY)
+    sets = texts.join(many, "node", "left_anti").mapInArrow(_sets, kind).unionByName(once.mapInArrow(_sets, kind).dropDuplicates(["node", "own"]))
+    sets = shared.saved(sets, "sets")
 
     leaders = members.join(nodes, "node").groupBy("key").agg(F.max(F.struct("score", (-F.col("node")).alias("m"))).alias("x")).select("key", (-F.col("x.m")).alias("leader"))
-    star = members.join(leaders, "key").where("node <> leader")
-    star = star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = shared.saved(verified(star, texts, percent), "verified")
+    star = members.join(shared.saved(leaders, "leaders"), "key").where("node <> leader")
+    star = shared.saved(star.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links = shared.saved(verified(star, sets, percent).distinct(), "verified")
     # equal ids are one document: an id with several texts joins their classes
-    several = real.groupBy("doc_id").agg(F.min(F.struct("h1", "h2")).alias("lo"), F.max(F.struct("h1", "h2")).alias("hi")).where("lo <> hi")
-    same_id = real.join(several.select("doc_id"), "doc_id", "left_semi").join(classes, ["h1", "h2"])
+    same_id = real.join(again.where("lo <> hi").select("doc_id"), "doc_id", "left_semi").select("doc_id", "h1", "h2").distinct().join(classes, ["h1", "h2"])
     grouped = components(links.unionByName(same_id.select(F.col("doc_id").alias("a"), F.col("node").alias("b"))))
 
-    placed = members.join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
+    placed = shared.saved(members.join(grouped, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "placed")
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    open_ = shared.saved(placed.join(mixed, "key", "left_semi"), "open")
-    within = open_.select("node", "component").distinct()
-    sets = texts.join(within.select("node"), "node", "left_semi").mapInArrow(_explode_sets, "node long, own long, shingle long, size long")
-    sets = shared.saved(sets, "sets")
-    common = sets.groupBy("shingle").agg(F.count("*").alias("n"))
+    open_ = placed.join(shared.saved(mixed, "mixed"), "key", "left_semi")
+    within = shared.saved(open_.select("node", "component").distinct(), "open")
+    rows = sets.join(within, "node").select("node", "own", "component", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    rows = shared.saved(rows, "shingles")
+    common = shared.saved(rows.groupBy("shingle").agg(F.count("*").alias("n")), "common")
     rank = F.row_number().over(Window.partitionBy("node", "own").orderBy("n", "shingle")) - 1
-    ranked = sets.join(common, "shingle").withColumn("rank", rank)
+    ranked = rows.join(common, "shingle").withColumn("rank", rank)
     # what a set has from this shingle on limits the size of a partner that shares nothing rarer
     ranked = ranked.withColumn("most", (100 * F.col("size") - (100 + percent) * F.col("rank")) / percent)
-    ranked = ranked.where(f"n > 1 AND 100 * most >= {percent} * size").join(within, "node")
-    live = shared.saved(_several(ranked.select("shingle", "node", "component", "size", "most")), "live")
-    x, y = live.alias("x"), live.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.node") < F.col("y.node")) & (F.col("y.size") <= F.col("x.most")) & (F.col("x.size") <= F.col("y.most")))
-    pairs = pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = verified(pairs.join(tested, ["a", "b"], "left_anti"), texts, percent)
+    ranked = ranked.where(f"n > 1 AND 100 * most >= {percent} * size")
+    live = shared.saved(_several(ranked.select("shingle", "node", "own", "component", "size", "most")), "live")
+    pairs = cross_pairs(live, sets.join(within.select("node"), "node", "left_semi"), percent)
+    tested = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = verified(shared.saved(pairs.join(tested, ["a", "b"], "left_anti"), "pairs"), sets, percent)
     final = components(grouped.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     home = classes.join(final, "node", "left").select("h1", "h2", F.coalesce("component", "node").alias("component"))

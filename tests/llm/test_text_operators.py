@@ -87,6 +87,64 @@ def test_signatures_estimate_the_similarity():
     assert sorted((one >> np.uint64(56)).tolist()) == list(range(128))
 
 
+def test_signatures_vary_less_than_independent_ranks():
+    """Small sets: the ranks of an element differ between components, so estimates vary less than 128 draws would."""
+    rng = np.random.default_rng(5)
+    for size, common, most in ((24, 16, 0.75), (80, 60, 0.93)):
+        errors = []
+        for _ in range(1500):
+            pool = rng.integers(0, 2**63, 2 * size - common, dtype=np.uint64)
+            sig = minhash_dedup.signatures([np.sort(pool[:size]), np.sort(pool[size - common :])])
+            errors.append((sig[0] == sig[1]).mean() - common / len(pool))
+        j = common / (2 * size - common)
+        assert abs(np.mean(errors)) < 0.005 and np.std(errors) < most * np.sqrt(j * (1 - j) / 128)
+
+
+def test_templates_do_not_all_meet(spark, monkeypatch):
+    """Texts of one template, eight slots of 100 values: compared pairs grow about as the texts, components as brute force finds them."""
+    rng = random.Random(21)
+    fixed = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(1200):
+        w = list(fixed)
+        for slot in range(8):
+            w[3 + 7 * slot] = f"s{slot}v{rng.randrange(100)}"
+        rows.append((k, " ".join(w)))
+    for k in range(40):  # some are near copies of others
+        w = rows[k * 7][1].split()
+        w[3 + 7 * rng.randrange(8)] = "other"
+        rows.append((3000 + k, " ".join(w)))
+    compared, saved = [], minhash_dedup.shared.saved
+
+    def counting(df, name):
+        out = saved(df, name)
+        if name == "pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash_dedup.shared, "saved", counting)
+    for n in (300, 600, 1200):
+        some = [r for r in rows if r[0] < n or (r[0] >= 3000 and (r[0] - 3000) * 7 < n)]
+        got = minhash_dedup.near_duplicates(spark.createDataFrame(some, "doc_id long, text string")).collect()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == near_brute(some)
+    assert compared[2] <= 4 * max(compared[0], 50), compared
+
+
+def test_sets_of_a_repeated_id(spark):
+    text = " ".join(f"w{k}" for k in range(40))
+    rows = [(1, text)] * 50 + [(1, text.upper()), (2, text + " x y"), (3, "other " * 9), (1, "alone " + text[:20]), (4, "z " + text + " y z")]
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == near_brute(rows)
+
+
+def test_components_in_parts(spark, monkeypatch):
+    import meander.llm.components as module
+
+    monkeypatch.setattr(module, "HELD", 7)
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(70, 71)], "a long, b long").coalesce(1)
+    assert {r.node: r.component for r in components(links).collect()} == {i: 1 for i in range(2, 61)} | {71: 70}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 100), (200, 200), (102, 101), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect()}
@@ -183,7 +241,7 @@ def lines_brute(spark, rows):
 
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(doc_id, text) AS h")
     h = {(r.doc_id, r.text): r.h for r in frame.collect()}
-    own = lambda t: [(k, x.strip(" ").lower()) for k, x in enumerate(t.split("\n")) if len(x.strip(" ")) >= line_dedup.MIN_CHARS]
+    own = lambda t: [(k, x.strip(" ").lower()) for k, x in enumerate(t.split("\n")) if x.strip(" ")]
     first = {}
     for place, t in sorted((((i is not None, i or 0, h[i, x], k), t) for i, x in set(rows) if x is not None for k, t in own(x))):
         first.setdefault(t, place)
@@ -206,8 +264,8 @@ def test_line_dedup(spark):
         k, i = rng.randrange(4), rng.randrange(len(s))
         return [s, s[:i] + "q" + s[i + 1 :], s[:i] + s[i + 1 :], s[:i] + "z" + s[i:]][k]
 
-    line = lambda: edited(edited(rng.choice(base))) if rng.random() < 0.8 else rng.choice(["", "  ", "x"])
-    rows = [(rng.randrange(60), "\n".join(line() for _ in range(6))) for _ in range(60)]
+    line = lambda: edited(edited(rng.choice(base))) if rng.random() < 0.7 else rng.choice(["", "  ", "x", "É", "ab", "b c", "zero", "hero!", "heroes", "x1y2", "é" * rng.randrange(1, 14)])
+    rows = [(rng.randrange(60), "\n".join(line() for _ in range(6))) for _ in range(90)]
     rows += [(None, base[3]), (None, None), (5, None), (6, ""), (7, base[0] + "\n" + base[0]), (7, base[0] + "\n" + base[0]), (70, LONG), (71, LONG + "\nend of it all"), (72, base[1].upper())]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == lines_brute(spark, rows)
