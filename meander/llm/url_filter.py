@@ -6,20 +6,21 @@ the longest wins: the longest host, then the longest path. The rules of a url
 are looked up by its host's suffixes, not by trying all rules.
 
 Urls that rules allow and block are the two corpora of a variable-order Markov
-model over bytes. All of them are counted, by exact (order, context and byte), in
-a table in the shared folder that grows with the corpus: nothing is hashed,
-capped or collected. Probabilities are interpolated from order 0 up
-(Witten-Bell), so a byte's log-ratio depends on it and the ORDER bytes before it
-alone; it is computed once for each such run that occurs, and urls are scored by
-joining theirs with it. A url's statistic is the mean log-ratio of its bytes; it
-is blocked below a threshold calibrated on all ruled urls: the one of the fewest
-balanced errors over a histogram of their statistics. Equal urls are scored once
-and count as often as they occur.
-
-Edge cases: null urls, and those without ``://``, have an empty host and path,
-fit no rule and are scored as empty (statistic 0); repeated rows are judged one
-by one; an empty table gives an empty result; extra columns are ignored. If
-either class has no ruled url, all others are allowed.
+model over characters (code points). All of them are counted, by exact (order,
+context and character), in a table in the shared folder that grows with the
+corpus: nothing is hashed, capped or collected. Probabilities are interpolated
+from order 0 up (Witten-Bell), so a character's log-ratio depends on it and the
+ORDER characters before it alone; it is computed once for each such run that
+occurs, and urls are scored by joining theirs with it. A url's statistic is the
+mean log-ratio of its characters; it is blocked below a threshold calibrated on
+all ruled urls: the one of the fewest balanced errors over a histogram of their
+statistics. Equal urls are scored once and count as often as they occur.
+
+Edge cases: null urls, and those without ``://``, have an empty host and path and
+fit no rule. Null and empty urls have the statistic 0; all others, however long and
+also without ``://``, that of their characters. Repeated rows are judged one by
+one; an empty table gives an empty result; extra columns of any name are ignored.
+If either class has no ruled url, all others are allowed.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ from . import kernels, shared
 
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 5
-#: Bits of a symbol in a key: 0 stands before the url's begin, 1 to 256 for a byte. ORDER + 1 of them fit a long.
-SYMBOL = 9
+#: Bits of a symbol in a key: 0 stands before the url's begin, others are code points plus 1. A key is two longs of three symbols.
+SYMBOL, CHARS = 21, 0x110000
 #: Log-ratios are summed as integers of this unit, so that sums do not depend on the order of rows.
 UNIT = 2.0**-32
 #: Cells of the calibration histogram, over statistics from -SPAN to SPAN.
@@ -69,18 +70,38 @@ def with_rule(pages: DataFrame, rules=RULES) -> DataFrame:
     return cut.withColumn("_best", best).select("page_id", "url", "host", "path", F.concat("_best.host", "_best.path").alias("rule"), F.col("_best.verdict").alias("ruled"))
 
 
-def _grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per byte: the key of it (lowest symbol) and the ORDER before it, and its row."""
+def _points(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and row offsets of a large string array without nulls."""
+    data, off = kernels.raw(text)
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32), before[off]
+
+
+def _grams(points: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per character: the key of it (lowest symbol) and the ORDER before it, as two longs, and its row."""
     row = np.repeat(np.arange(len(off) - 1), np.diff(off))
-    at = np.arange(len(data)) - off[:-1][row]
-    gram = data.astype(np.int64) + 1
-    for k in range(1, ORDER + 1):
-        gram[k:] += np.where(at[k:] >= k, data[:-k].astype(np.int64) + 1, 0) << (SYMBOL * k)
-    return gram, row
+    at = np.arange(len(points)) - off[:-1][row]
+    symbol = points.astype(np.int64) + 1
+    keys = np.zeros((2, len(points)), np.int64)
+    for k in range(ORDER + 1):
+        keys[k // 3, k:] += np.where(at[k:] >= k, symbol[: len(symbol) - k], 0) << (SYMBOL * (k % 3))
+    return keys[1], keys[0], row
+
 
+def _distinct(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, and which of them each is."""
+    order = np.lexsort((low, high))
+    h, x = high[order], low[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (x[1:] != x[:-1])]) if len(h) else np.zeros(0, bool)
+    which = np.empty(len(h), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return h[new], x[new], which
 
-def _context(key: Column | str) -> Column:
-    return F.shiftright(key, SYMBOL)
+
+def _suffix(order: int) -> list[Column]:
+    """A key's lowest ``order`` + 1 symbols."""
+    held = [F.lit((1 << SYMBOL * n) - 1) for n in (max(0, order - 2), min(3, order + 1))]
+    return [F.col(c).bitwiseAND(mask).alias(c) for c, mask in zip(("high", "low"), held)]
 
 
 def distinct_urls(ruled: DataFrame) -> DataFrame:
@@ -90,30 +111,32 @@ def distinct_urls(ruled: DataFrame) -> DataFrame:
 
 
 def model_counts(urls: DataFrame) -> DataFrame:
-    """(order, key, good, bad): how often allowed and blocked urls have each byte after each context, over all runs that ``urls`` have."""
+    """(order, high, low, good, bad): how often allowed and blocked urls have each character after each context, over all runs that ``urls`` have."""
 
+    @kernels.tidied
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = kernels.text_array(batch.column(0))
             good, bad = (batch.column(k).to_numpy(zero_copy_only=False) for k in (1, 2))
             for i, j in kernels.blocks(text):
-                gram, row = _grams(*kernels.raw(text[i:j]))
-                key, which = np.unique(gram, return_inverse=True)
-                sums = [np.zeros(len(key), np.int64) for _ in range(2)]
+                *key, row = _grams(*_points(text[i:j]))
+                *key, which = _distinct(*key)
+                sums = [np.zeros(len(key[0]), np.int64) for _ in range(2)]
                 for out, n in zip(sums, (good, bad)):
                     np.add.at(out, which, n[i:j][row])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, *sums)], ["gram", "good", "bad"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*key, *sums)], ["high", "low", "good", "bad"])
 
     side = lambda name, held: F.when(held, F.col("copies")).otherwise(0).alias(name)
-    found = urls.select("url", side("good", F.col("allowed")), side("bad", ~F.col("allowed"))).mapInArrow(count, "gram long, good long, bad long")
-    grams = found.groupBy("gram").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), F.col("gram").bitwiseAND(F.lit((1 << SYMBOL * (k + 1)) - 1)).alias("key")) for k in range(ORDER + 1)]))
+    found = urls.select("url", side("good", F.col("allowed")), side("bad", ~F.col("allowed"))).mapInArrow(count, "high long, low long, good long, bad long")
+    sums = [F.sum(c).alias(c) for c in ("good", "bad")]
+    grams = found.groupBy("high", "low").agg(*sums)
+    orders = F.explode(F.array(*[F.struct(F.lit(k).alias("order"), *_suffix(k)) for k in range(ORDER + 1)]))
     each = grams.select(orders.alias("_"), "good", "bad").select("_.*", "good", "bad")
-    return shared.saved(each.groupBy("order", "key").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")), "url-counts")
+    return shared.saved(each.groupBy("order", "high", "low").agg(*sums), "url-counts")
 
 
 def counts(ruled: DataFrame) -> np.ndarray:
-    """The size of the model of ``ruled`` (url, allowed): [class; bytes, bytes after a context, distinct contexts and bytes; order]."""
+    """The size of the model of ``ruled`` (url, allowed): [class; characters, characters after a context, distinct contexts and characters; order]."""
     sums = [F.sum(c) for c in ("good", "bad")] + [F.count_if(F.col(c) > 0) for c in ("good", "bad")]
     out = np.zeros((2, 3, ORDER + 1))
     for r in model_counts(distinct_urls(ruled)).groupBy("order").agg(*sums).collect():  # a row an order
@@ -123,38 +146,40 @@ def counts(ruled: DataFrame) -> np.ndarray:
 
 
 def log_ratios(model: DataFrame) -> DataFrame:
-    """(gram, ratio): the log-ratio, in UNIT, of each run of the highest order in ``model``."""
-    same = Window.partitionBy("order", _context("key"))  # at most 256 rows, one a byte
+    """(high, low, ratio): the log-ratio, in UNIT, of each run of the highest order in ``model``."""
+    same = Window.partitionBy("order", "high", F.shiftright("low", SYMBOL))  # at most a row a character of the alphabet
     step = []
     for c in ("good", "bad"):
         # p = add + times * (the probability one order lower)
         n, kinds = F.sum(c).over(same), F.sum((F.col(c) > 0).cast("long")).over(same)
         step += [F.when(n > 0, F.col(c) / (n + kinds)).otherwise(0.0).alias(f"add_{c}"), F.when(n > 0, kinds / (n + kinds)).otherwise(1.0).alias(f"times_{c}")]
-    steps = shared.saved(model.select("order", "key", *step), "url-steps")
+    steps = shared.saved(model.select("order", "high", "low", *step), "url-steps")
     p = lambda c, low: (F.col(f"add_{c}") + F.col(f"times_{c}") * low).alias(f"p_{c}")
-    below = steps.where("order = 0").select("key", p("good", F.lit(1 / 256)), p("bad", F.lit(1 / 256)))
+    below = steps.where("order = 0").select("high", "low", p("good", F.lit(1 / CHARS)), p("bad", F.lit(1 / CHARS)))
     for k in range(1, ORDER + 1):
-        low = below.select(F.col("key").alias("_low"), F.col("p_good").alias("_good"), F.col("p_bad").alias("_bad"))
-        here = steps.where(F.col("order") == k).withColumn("_low", F.col("key").bitwiseAND(F.lit((1 << SYMBOL * k) - 1)))
-        below = here.join(low, "_low").select("key", p("good", F.col("_good")), p("bad", F.col("_bad")))
-    return below.select(F.col("key").alias("gram"), F.round((F.log("p_good") - F.log("p_bad")) / UNIT).cast("long").alias("ratio"))
+        lower = below.select(F.col("high").alias("_high"), F.col("low").alias("_low"), F.col("p_good").alias("_good"), F.col("p_bad").alias("_bad"))
+        here = steps.where(F.col("order") == k).withColumns(dict(zip(("_high", "_low"), _suffix(k - 1))))
+        below = here.join(lower, ["_high", "_low"]).select("high", "low", p("good", F.col("_good")), p("bad", F.col("_bad")))
+    ratios = below.select("high", "low", F.round((F.log("p_good") - F.log("p_bad")) / UNIT).cast("long").alias("ratio"))
+    return shared.saved(ratios, "url-ratios")  # so that the rows of a run that all urls have can be split in the join
 
 
 def scored(urls: DataFrame, ratios: DataFrame) -> DataFrame:
     """``urls`` with the column ``statistic``."""
 
+    @kernels.tidied
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = kernels.text_array(batch.column(1))
             for i, j in kernels.blocks(text):
-                gram, row = _grams(*kernels.raw(text[i:j]))
-                key, which = np.unique(gram, return_inverse=True)
+                *key, row = _grams(*_points(text[i:j]))
+                *key, which = _distinct(*key)
                 pair, n = np.unique((row << 32) | which, return_counts=True)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array((pair >> 32) + i)), pa.array(key[pair & 0xFFFFFFFF]), pa.array(n)], ["id", "gram", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array((pair >> 32) + i)), *(pa.array(x[pair & 0xFFFFFFFF]) for x in key), pa.array(n)], ["id", "high", "low", "n"])
 
-    grams = urls.select("id", "url").mapInArrow(runs, "id long, gram long, n long")
-    sums = grams.join(ratios, "gram").groupBy("id").agg(F.sum(F.col("n") * F.col("ratio")).alias("_sum"))
-    mean = F.coalesce(F.col("_sum") * F.lit(UNIT) / F.octet_length("url"), F.lit(0.0))
+    grams = urls.select("id", "url").mapInArrow(runs, "id long, high long, low long, n long")
+    sums = grams.join(ratios, ["high", "low"]).groupBy("id").agg(F.sum(F.col("n") * F.col("ratio")).alias("_sum"))
+    mean = F.coalesce(F.col("_sum") * F.lit(UNIT) / F.char_length("url"), F.lit(0.0))
     return urls.join(sums, "id", "left").select(*urls.columns, mean.alias("statistic"))
 
 
@@ -169,7 +194,7 @@ def calibrated(urls: DataFrame) -> float:
         return -np.inf
     # cut below cell k: allowed urls lost, blocked urls let through
     lost = np.concatenate([[0], np.cumsum(good)]) / good.sum() + 1 - np.concatenate([[0], np.cumsum(bad)]) / bad.sum()
-    best = np.flatnonzero(lost == lost.min())
+    best = np.flatnonzero(lost <= lost.min() + 1e-12)
     return float(best[len(best) // 2] * 2 * SPAN / CELLS - SPAN)
 
 
@@ -184,3 +209,48 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return judge(shared.table(spark, sf_dir, "pages").select("page_id", "url")).drop("statistic")
+
+
+def _sql() -> str:
+    """DuckDB: counts by order and run of characters (those at a url's begin are shorter), probabilities order by order, threshold, verdicts."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
+    up, low = _LOWER
+    levels = f"q0 AS (SELECT key, add_good + times_good / {CHARS} AS good, add_bad + times_bad / {CHARS} AS bad FROM steps WHERE k = 0)"
+    for k in range(1, ORDER + 1):
+        levels += f""", q{k} AS (SELECT s.key, s.add_good + s.times_good * q.good AS good, s.add_bad + s.times_bad * q.bad AS bad
+  FROM steps s JOIN q{k - 1} q ON q.key = right(s.key, {k}) WHERE s.k = {k})"""
+    side = lambda c: f"sum({c}) OVER same AS n_{c}, count(*) FILTER ({c} > 0) OVER same AS kinds_{c}"
+    step = lambda c: f"CASE WHEN n_{c} > 0 THEN {c} / (n_{c} + kinds_{c}) ELSE 0 END AS add_{c}, CASE WHEN n_{c} > 0 THEN kinds_{c} / (n_{c} + kinds_{c}) ELSE 1 END AS times_{c}"
+    return f"""
+WITH rules(verdict, h, p) AS (VALUES {rules}), cut AS (
+  SELECT page_id, coalesce(url, '') AS url, regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^?#]*') AS rest FROM pages
+), hosts AS (
+  SELECT page_id, url, translate(regexp_extract(rest, '^[^/]*'), '{up}', '{low}') AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM cut
+), fits AS (
+  SELECT page_id, h || p AS rule, verdict FROM hosts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(h) DESC, length(p) DESC) = 1
+), ruled AS (SELECT page_id, url, host, path, rule, verdict FROM hosts LEFT JOIN fits USING (page_id)
+), urls AS (SELECT url, any_value(verdict) AS verdict, count(*) AS copies FROM ruled GROUP BY url
+), places AS (SELECT url, verdict, copies, unnest(range(1, length(url) + 1)) AS i FROM urls
+), counts AS (
+  SELECT k, substr(url, greatest(1, i - k), least(i, k + 1)) AS key,
+    CAST(coalesce(sum(copies) FILTER (verdict = 'allow'), 0) AS DOUBLE) AS good, CAST(coalesce(sum(copies) FILTER (verdict = 'block'), 0) AS DOUBLE) AS bad
+  FROM places, range(0, {ORDER + 1}) o(k) GROUP BY ALL
+), sums AS (SELECT *, {side('good')}, {side('bad')} FROM counts WINDOW same AS (PARTITION BY k, left(key, length(key) - 1))
+), steps AS (SELECT k, key, {step('good')}, {step('bad')} FROM sums
+), {levels}, scored AS (
+  SELECT url, coalesce(sum(CAST(round((ln(q.good) - ln(q.bad)) / {UNIT!r}) AS HUGEINT)) * {UNIT!r} / length(url), 0) AS statistic
+  FROM urls LEFT JOIN places USING (url) LEFT JOIN q{ORDER} q ON q.key = substr(url, greatest(1, i - {ORDER}), least(i, {ORDER + 1})) GROUP BY url
+), cells AS (
+  SELECT CAST(least(greatest(floor((statistic + {SPAN}) * {CELLS / (2 * SPAN)}), 0), {CELLS - 1}) AS INT) AS cell,
+    sum(copies) FILTER (verdict = 'allow') AS good, sum(copies) FILTER (verdict = 'block') AS bad
+  FROM urls JOIN scored USING (url) WHERE verdict IS NOT NULL GROUP BY ALL
+), cuts AS (
+  SELECT c, coalesce(sum(good) FILTER (cell < c), 0) / sum(good) + 1 - coalesce(sum(bad) FILTER (cell < c), 0) / sum(bad) AS lost FROM range(0, {CELLS + 1}) r(c), cells GROUP BY c
+), best AS (SELECT list(c ORDER BY c) AS c FROM cuts WHERE lost <= (SELECT min(lost) FROM cuts) + 1e-12
+), threshold AS (SELECT coalesce(c[len(c) // 2 + 1] * {2 * SPAN / CELLS} - {SPAN}, CAST('-inf' AS DOUBLE)) AS t FROM best)
+SELECT page_id, host, path, rule, coalesce(ruled.verdict, CASE WHEN statistic < t THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled JOIN scored USING (url), threshold"""
+
+
+ORACLE_SQL = _sql()

@@ -230,7 +230,7 @@ def test_url_statistics_are_exact(spark):
     rng = random.Random(8)
     text = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzé0123456789\x00") for _ in range(rng.randrange(20, 60)))
     urls = [f"http://{rng.choice(('a.example.net/en/', 'b.net/', 'c.com/'))}{text()}" for _ in range(3000)]
-    urls += urls[:200] + [urls[0]] * 50 + ["", None, "\x00\x00"]
+    urls += urls[:200] + [urls[0]] * 50 + ["", None, "\x00\x00", "no scheme, \U0001f600 \U0010ffff", "http://c.com/" + text() * 3000]
     order = url_filter.ORDER
     grams = lambda u: [((-1,) * order + tuple(u))[k : k + order + 1] for k in range(len(u))]
     n, seen = collections.Counter(), collections.defaultdict(set)
@@ -238,7 +238,7 @@ def test_url_statistics_are_exact(spark):
         rule = rule_brute(u)[2]
         if rule:
             side = next(v for v, h, p in url_filter.RULES if h + p == rule) == "allow"
-            for g in grams(u.encode()):
+            for g in grams(u):
                 for k in range(order + 1):
                     context = (side, g[order - k : order])
                     n[context] += 1
@@ -249,7 +249,7 @@ def test_url_statistics_are_exact(spark):
     def statistic(u):
         total = 0.0
         for g in grams(u):
-            p = {True: 1 / 256, False: 1 / 256}
+            p = {True: 1 / 0x110000, False: 1 / 0x110000}
             for side in p:
                 for k in range(order + 1):
                     c = (side, g[order - k : order])
@@ -258,9 +258,14 @@ def test_url_statistics_are_exact(spark):
             total += np.log(p[True]) - np.log(p[False])
         return total / max(1, len(u))
 
-    got = url_filter.judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).collect()
+    pages = spark.createDataFrame([(k, u, "x", "y", "z") for k, u in enumerate(urls)], "page_id long, url string, host string, rule string, id string")
+    got = url_filter.judge(pages).collect()
     assert len(got) == len(urls)
-    assert np.allclose([r.statistic for r in got], [statistic((urls[r.page_id] or "").encode()) for r in got], rtol=0, atol=1e-8)
+    assert np.allclose([r.statistic for r in got], [statistic(urls[r.page_id] or "") for r in got], rtol=0, atol=1e-8)
+
+
+def test_url_query(spark):
+    same(url_filter.query(spark, "/root/testdata/sf0.01"), oracle("/root/testdata/sf0.01"), url_filter.ORACLE_SQL)
 
 
 def test_warc_round_trip(spark):
