@@ -21,7 +21,8 @@ put together again.
    distance of each is then verified with ``levenshtein``.
 
 Which keys occur twice is written before it is joined, so that both sides of each
-join are plain exchanges and the rows of a hot key can be split.
+join are plain exchanges and the rows of a hot key can be split. Tables of places
+grow with the documents: they are merged with the texts, never broadcast.
 
 Edge cases: null text stays null, empty text empty; null ids come first; rows
 that repeat id and text are one document; an empty table gives an empty result;
@@ -88,7 +89,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     some = _paired(first, F.array_compact(F.array("e0", "e1", "e2", "e3")), "id", "row", "pos")
     at = shared.saved(some.groupBy("id", "row").agg(F.sort_array(F.collect_list("pos")).alias("at")), "places")
     source = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("doc_id", "text").alias("row"), F.split("text", "\n").alias("all"))
-    texts = source.join(at, "row").where(F.col("_id").eqNullSafe(F.col("id")))
+    texts = source.join(at.hint("merge"), "row").where(F.col("_id").eqNullSafe(F.col("id")))
     texts = texts.select("id", "row", F.explode(F.transform("at", lambda p: F.struct(p.alias("pos"), F.lower(F.trim(F.get("all", p))).alias("t")))).alias("x")).select("id", "row", "x.*").distinct()
     texts = shared.saved(texts, "texts")
     close = _paired(texts, _shared_ends(t, n, True), "id", "row", "pos")
@@ -116,7 +117,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     kept = kept.groupBy(F.col("id").alias("_ld_id"), F.col("row").alias("_ld_row")).agg(F.collect_list("pos").alias("_ld_kept"))
     kept = shared.saved(kept, "kept")
     out = docs.drop("n_lines", "n_kept").withColumn("_ld_key", F.xxhash64("doc_id", "text"))
-    out = out.join(kept, F.expr("_ld_key = _ld_row AND doc_id <=> _ld_id"), "left")
+    out = out.join(kept.hint("merge"), F.expr("_ld_key = _ld_row AND doc_id <=> _ld_id"), "left")
     out = out.withColumn("_ld_lines", F.split("text", "\n")).withColumn("_ld_kept", F.coalesce("_ld_kept", F.array().cast("array<int>")))
     out = out.withColumn("_ld_short", F.filter(F.transform("_ld_lines", lambda x, i: F.when(F.length(F.trim(x)) < min_chars, i)), lambda i: i.isNotNull()))
     whole = F.array_join(F.transform(F.sort_array(F.concat("_ld_kept", "_ld_short")), lambda p: F.get("_ld_lines", p)), "\n")
