@@ -112,3 +112,25 @@ def with_virtual(df: DataFrame, virtual: Mapping[str, str]) -> DataFrame:
         return F.col(f"`{name}`")
 
     return df.withColumns({name: column(name, ()) for name in virtual})
+
+
+def constants(df: DataFrame, named: Mapping[str, str]) -> dict[str, str]:
+    """Values computed once over ``df``, as expressions to be used by name: ``{"top": "max(depth)"}`` gives ``{"top": "3.5"}``.
+
+    Each is one of mean, sum, max, min or count of an expression.
+    """
+    kinds = {"mean": F.avg, "sum": F.sum, "max": F.max, "min": F.min, "count": F.count}
+    picked = []
+    for name, text in named.items():
+        node = _parsed(text)
+        if not (isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id in kinds and len(node.args) == 1):
+            raise ExpressionError(f"{text!r}: one of {sorted(kinds)} of an expression")
+        inner = with_virtual(df, {"_x": ast.unparse(node.args[0])})
+        picked.append((name, kinds[node.func.id], inner))
+    out = {}
+    for name, kind, inner in picked:
+        value = inner.agg(kind("_x")).first()[0]
+        if value is None:
+            raise ExpressionError(f"{name} has no value")
+        out[name] = repr(float(value))
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words for operators in a symbol.
-OPERATOR_WORDS = {"**": "_pow_", "^": "_pow_", "+": "_plus_", "-": "_minus_", "*": "_mul_", "/": "_div_", ".": "_"}
+OPERATOR_WORDS = {"**": "_pow_", "^": "_pow_", "+": "_plus_", "-": "_minus_", "*": "_mul_", "/": "_div_", ".": "_dot_"}
 RESULT_FILE = r"^(.+)_rank(\d+)(?:_(\d{4}))?\.\w+$"
 
 
@@ -14,8 +14,7 @@ def symbol(text: Column) -> Column:
     """An expression as an identifier."""
     for mark, word in OPERATOR_WORDS.items():
         text = F.replace(text, F.lit(mark), F.lit(word))
-    text = F.regexp_replace(F.regexp_replace(text, "[^0-9A-Za-z]+", "_"), "^_+|_+$", "")
-    return F.when(text.rlike("^[0-9]"), F.concat(F.lit("_"), text)).otherwise(text)
+    return F.regexp_replace(F.regexp_replace(text, "[^0-9A-Za-z]+", "_"), "^_+|_+$", "")
 
 
 def result_file(name: Column) -> Column:

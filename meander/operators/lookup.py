@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expressions import with_virtual
+from ..sources import scratch
+
 
 class IntegrityError(ValueError):
     pass
@@ -37,20 +40,21 @@ RANKED = 1_000_000
 
 
 def with_positions(df: DataFrame, key: str, position: str = "position") -> DataFrame:
-    """``df`` with each integer key's place in key order, from 0: ranks within key ranges, plus the sizes of those before.
+    """``df`` with each key's place in key order, from 0 (null for null keys): ranks within ranges, plus the sizes of those before.
 
-    Ranges are equal stretches of keys, so the same row falls into the same one whenever it is computed again.
+    The ranges follow the data and may divide repeated keys, so an outlying or repeated key fills none of its own; they are
+    written, so that all later steps see the same.
     """
-    low, high, n = df.agg(F.min(key), F.max(key), F.count("*")).first()
-    if low is None:
-        return df.withColumn(position, F.lit(None).cast("long"))
-    width = (high - low) // (n // RANKED + 1) + 1
-    dealt = df.withColumn("_part", F.expr(f"(`{key}` - {low}L) div {width}L"))
+    parts = df.count() // RANKED + 1
+    tied = df.withColumn("_tie", F.monotonically_increasing_id())
+    dealt = tied.repartitionByRange(parts, F.asc_nulls_last(key), F.col("_tie")).withColumn("_part", F.spark_partition_id())
+    dealt = scratch.saved(dealt, "ranges")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row per RANKED rows
     before = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
-    return dealt.withColumn("_r", rank).join(before, "_part").withColumn(position, (F.col("_r") + F.col("_before")).cast("long")).drop("_part", "_r", "_before")
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_last(key), "_tie")) - 1
+    place = F.when(F.col(key).isNotNull(), (F.col("_r") + F.col("_before")).cast("long"))
+    return dealt.withColumn("_r", rank).join(before, "_part").withColumn(position, place).drop("_part", "_r", "_before", "_tie")
 
 
 def positions_of(df: DataFrame, key: str, target: DataFrame, target_key: str, miss: int = -1) -> DataFrame:
@@ -88,9 +92,11 @@ def balanced_ranks(sizes: list[tuple[object, int]], ranks: int) -> list[tuple[ob
     return out
 
 
-def ranked_groups(df: DataFrame, group: str, ranks: int) -> DataFrame:
-    """(group, size, rank) for a column of few groups (their sizes, not the rows, are balanced on the driver)."""
-    sizes = [(r[0], r[1]) for r in df.groupBy(group).count().collect()]
+def ranked_groups(df: DataFrame, group: str, ranks: int, most: int = 1_000_000) -> DataFrame:
+    """(group, size, rank) for a column of at most ``most`` groups (their sizes, not the rows, are balanced on the driver); more are an error."""
+    sizes = [(r[0], r[1]) for r in df.groupBy(group).count().limit(most + 1).collect()]
+    if len(sizes) > most:
+        raise IntegrityError(f"more than {most} groups in {group}")
     kind = df.schema[group].dataType.simpleString()
     return df.sparkSession.createDataFrame(balanced_ranks(sizes, ranks), f"{group} {kind}, size long, rank int")
 
@@ -142,3 +148,62 @@ def updated(df: DataFrame, column: str, value: Column | float, rows: DataFrame |
 def element_reduced(df: DataFrame, element: str, value: str, how: str) -> DataFrame:
     """(element, value): min, max or sum of each element over ranks."""
     return df.groupBy(element).agg({"min": F.min, "max": F.max, "sum": F.sum}[how](value).alias("value"))
+
+
+def referenced(df: DataFrame, key: str, target: DataFrame, target_key: str, *columns: str) -> DataFrame:
+    """``df`` with columns of the row it refers to; a key without target, or with several, is an error."""
+    require_references(df, key, require_unique(target, target_key), target_key)
+    return df.join(target.select(F.col(target_key).alias(key), *columns), key)
+
+
+def subset(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key is wanted; unknown keys are an error."""
+    if found := missing(wanted, key, df, key).limit(5).collect():
+        raise IntegrityError(f"unknown keys {[r[0] for r in found]}")
+    return df.join(wanted.select(key), key, "left_semi")
+
+
+def combined(left: DataFrame, right: DataFrame, on: list[str], expression: str, name: str = "value", value: str = "value") -> DataFrame:
+    """(on, name): an expression in a and b over two sources of the same times and points; rows that one lacks are an error."""
+    a, b = (df.select(*on, F.col(value).alias(c)) for df, c in ((left, "a"), (right, "b")))
+    both = require_unique(a, *on).join(require_unique(b, *on), on, "full")
+    lack = F.raise_error(F.concat_ws(" ", F.lit("only one source has"), *[F.col(c).cast("string") for c in on])).cast("double")
+    whole = {c: F.when(F.col("a").isNull() | F.col("b").isNull(), lack).otherwise(F.col(c)) for c in ("a", "b")}
+    return with_virtual(both.withColumns(whole), {name: expression}).select(*on, name)
+
+
+def trials(df: DataFrame, count: int) -> DataFrame:
+    """Each row once per trial, numbered from 0."""
+    if count < 1:
+        raise ValueError("a trial axis needs a trial")
+    return df.withColumn("trial", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))))
+
+
+def best_rows(df: DataFrame, by: list[str], value: str, k: int, ties: list[str], highest: bool = True) -> DataFrame:
+    """The k best rows of each group, numbered ``k`` from 0; equal values in the order of ``ties``."""
+    order = Window.partitionBy(*by).orderBy(F.desc_nulls_last(value) if highest else F.asc_nulls_last(value), *ties)
+    return df.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= k).withColumn("k", (F.col("_r") - 1).cast("long")).drop("_r")
+
+
+def integer_runs(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, low, high): the contiguous runs of a group's distinct integers."""
+    island = df.select(*by, value).distinct().withColumn("_g", F.col(value) - F.row_number().over(Window.partitionBy(*by).orderBy(value)))
+    return island.groupBy(*by, "_g").agg(F.min(value).alias("low"), F.max(value).alias("high")).drop("_g")
+
+
+def range_intersection(df: DataFrame, by: list[str], low: str, high: str) -> DataFrame:
+    """(by, low, high): what all ranges of a group have in common; null where they have nothing."""
+    found = df.groupBy(*by).agg(F.max(low).alias("_l"), F.min(high).alias("_h"))
+    some = F.col("_l") <= F.col("_h")
+    return found.select(*by, F.when(some, F.col("_l")).alias("low"), F.when(some, F.col("_h")).alias("high"))
+
+
+def own_shard(df: DataFrame, group: str, ranks: DataFrame, rank: int) -> DataFrame:
+    """A rank's rows: those whose group (group, rank) is its; groups without a rank are an error."""
+    require_references(df, group, ranks, group)
+    return df.join(ranks.where(F.col("rank") == rank).select(group), group, "left_semi")
+
+
+def with_static(df: DataFrame, key: str, table: DataFrame, *columns: str) -> DataFrame:
+    """``df`` with each point's constants."""
+    return referenced(df, key, table, key, *columns)

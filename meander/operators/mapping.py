@@ -13,6 +13,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+from ..sources.scan import X_NAMES, Y_NAMES, found_name
+from .lookup import IntegrityError
+
 #: Fixed value: the sphere's radius in metres.
 EARTH_RADIUS = 6371007.2
 
@@ -24,6 +28,23 @@ class Axis:
     n: int
     period: float | None = None
 
+    @classmethod
+    def from_centers(cls, coordinates: DataFrame, column: str, period: float | None = None, rough: float = 1e-6) -> Axis:
+        """The axis of a table's distinct cell centres; they must be evenly spaced (but for the share ``rough`` of a cell)."""
+        x = coordinates.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL").distinct()
+        low, high, n = x.agg(F.min("x"), F.max("x"), F.count("*")).first()
+        if n < 2:
+            raise IntegrityError(f"{column}: an axis needs two cells")
+        width = (high - low) / (n - 1)
+        place = (F.col("x") - low) / width
+        if uneven := x.where(F.abs(place - F.round(place)) > rough).limit(5).collect():
+            raise IntegrityError(f"{column} is not evenly spaced: {[r.x for r in uneven]}")
+        return cls(low - width / 2, width, n, period)
+
+    def close_to(self, other: Axis) -> bool:
+        near = lambda a, b: abs(a - b) <= 1e-8 + 1e-5 * abs(b)
+        return self.n == other.n and near(self.low, other.low) and near(self.high, other.high)
+
     @property
     def high(self) -> float:
         return self.low + self.width * self.n
@@ -51,6 +72,30 @@ class Grid:
     y: Axis
     geographic: bool = False
 
+    @classmethod
+    def from_coordinates(cls, coordinates: DataFrame, x: str | None = None, y: str | None = None, geographic: bool | None = None) -> Grid:
+        """The grid of a table of cell centres; x and y are found by name where not given (lon, lat, x, y and so on, in any case).
+
+        Coordinates may be two-dimensional (columns ix, iy): then x must depend on ix alone, and y on iy.
+        """
+        x, y = x or found_name(coordinates.columns, X_NAMES), y or found_name(coordinates.columns, Y_NAMES)
+        for index, column in (("ix", x), ("iy", y)):
+            if {"ix", "iy"} <= set(coordinates.columns):
+                spread = coordinates.groupBy(index).agg((F.max(column) - F.min(column)).alias("d"), F.max(F.abs(column)).alias("m"))
+                if spread.where("d > 1e-8 + 1e-5 * m").limit(1).count():
+                    raise IntegrityError(f"{column} is not an axis of a regular grid")
+        if {"ix", "iy"} <= set(coordinates.columns):
+            xs, ys = coordinates.groupBy("ix").agg(F.avg(x).alias(x)), coordinates.groupBy("iy").agg(F.avg(y).alias(y))
+        else:
+            xs = ys = coordinates
+        on_globe = x.lower() in X_NAMES[:3] if geographic is None else geographic
+        return cls(Axis.from_centers(xs, x, 360.0 if on_globe else None), Axis.from_centers(ys, y), on_globe)
+
+    def frame(self, cells: DataFrame, ix: str, iy: str) -> DataFrame:
+        """``cells`` with the rectangle (xmin, xmax, ymin, ymax) of each."""
+        (a, b), (c, d) = self.x.edges(F.col(ix)), self.y.edges(F.col(iy))
+        return cells.withColumns({"xmin": a, "xmax": b, "ymin": c, "ymax": d})
+
     def source(self, ix: Column, iy: Column) -> Column:
         return (iy * self.x.n + ix).cast("long")
 
@@ -159,27 +204,97 @@ def with_source_mask(mapping: DataFrame, valid: DataFrame, grid: Grid, empty_tar
 
 
 def nearest_cells(points: DataFrame, valid: DataFrame, grid: Grid) -> DataFrame:
-    """(target_id, source): for each (target_id, cx, cy) the valid cell in the nearest square ring, then by distance, then by number.
+    """(target_id, source): for each (target_id, cx, cy) the valid cell in the nearest square ring, and in it the nearest by distance.
 
-    Rings are tried in growing sizes: round k looks at cells up to 2 ** k away by an equality join, and only targets
-    without a hit go on, so most look at few cells.
+    Of cells at one distance the first in ring order is taken: the row below, then the row above, then the column to the left
+    and the one to the right, each by growing coordinates. Rings are looked at in growing bands by an equality join; only
+    targets without a hit go on, so most look at few cells. Each band's results are written.
     """
-    found, left, reach, seen = None, points, 1, 0
-    biggest = max(grid.x.n, grid.y.n)
+    valid = valid.select("source").distinct()
+    inside = F.pmod(F.col("cx"), F.lit(grid.x.n)) if grid.x.period is not None else F.least(F.greatest(F.col("cx"), F.lit(0)), F.lit(grid.x.n - 1))
+    left = points.select("target_id", inside.alias("cx"), F.least(F.greatest(F.col("cy"), F.lit(0)), F.lit(grid.y.n - 1)).alias("cy"))
+    found, reach, seen, biggest = None, 1, 0, max(grid.x.n, grid.y.n)
     while True:
-        around = F.sequence(F.lit(-reach), F.lit(reach))
-        near = left.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
-        near = near.where(F.greatest(F.abs("_dx"), F.abs("_dy")) >= seen)
-        x = F.col("cx") + F.col("_dx")
+        span = lambda a, b: F.sequence(F.lit(a), F.lit(b))
+        ends = F.concat(span(-reach, -seen), span(seen, reach)) if seen else span(-reach, reach)
+        near = left.withColumn("_dy", F.explode(span(-reach, reach)))
+        near = near.withColumn("_dx", F.explode(F.when(F.abs("_dy") >= seen, span(-reach, reach)).otherwise(ends)))
+        x, y = F.col("cx") + F.col("_dx"), F.col("cy") + F.col("_dy")
         x = F.pmod(x, F.lit(grid.x.n)) if grid.x.period is not None else F.when((x >= 0) & (x < grid.x.n), x)
-        y = F.col("cy") + F.col("_dy")
-        near = near.withColumn("source", grid.source(x, F.when((y >= 0) & (y < grid.y.n), y))).join(valid.select("source"), "source")
-        rank = F.struct(F.greatest(F.abs("_dx"), F.abs("_dy")).alias("r"), (F.col("_dx") ** 2 + F.col("_dy") ** 2).alias("d"), F.col("source"))
-        hits = near.groupBy("target_id").agg(F.min(rank).alias("x")).select("target_id", F.col("x.source").alias("source"))
+        near = near.withColumn("source", grid.source(x, F.when((y >= 0) & (y < grid.y.n), y))).join(valid, "source")
+        ring, far = F.greatest(F.abs("_dx"), F.abs("_dy")), F.abs("_dx")
+        far = F.least(far, F.lit(grid.x.n) - far) if grid.x.period is not None else far
+        row = F.abs("_dy") == ring
+        side = F.when(row, F.when(F.col("_dy") <= 0, 0).otherwise(1)).otherwise(F.when(F.col("_dx") < 0, 2).otherwise(3))
+        rank = F.struct(ring.alias("r"), (far * far + F.col("_dy") ** 2).alias("d"), side.alias("s"), F.when(row, F.col("_dx")).otherwise(F.col("_dy")).alias("p"), F.col("source"))
+        hits = scratch.saved(near.groupBy("target_id").agg(F.min(rank).alias("x")).select("target_id", F.col("x.source").alias("source")), "nearest")
         found = hits if found is None else found.unionByName(hits)
         if reach >= biggest:
             return found
-        left = left.join(hits.select("target_id"), "target_id", "left_anti")
+        left = scratch.saved(left.join(hits.select("target_id"), "target_id", "left_anti"), "farther")
         if left.isEmpty():
             return found
         reach, seen = min(reach * 4, biggest), reach + 1
+
+
+def point_mapping(points: DataFrame, grid: Grid, method: str = "overlap", size: float | None = None) -> DataFrame:
+    """(target_id, source, weight) of target cells given by their centres (target_id, x, y): ``nearest``, or by ``overlap`` of squares of ``size``."""
+    if method == "nearest":
+        return grid.cells(points, "x", "y", on_outside="error").select("target_id", "source", F.lit(1.0).alias("weight"))
+    if method != "overlap":
+        raise ValueError("method is nearest or overlap")
+    if size is None:
+        raise IntegrityError("overlap needs the size of the target cells")
+    half = size / 2
+    squares = points.select("target_id", *[(F.col(c) + sign * half).alias(f"{c}{end}") for c in "xy" for sign, end in ((-1, "min"), (1, "max"))])
+    return rectangle_overlap(squares, grid).drop("coverage")
+
+
+def first_frame_valid(frames: DataFrame, time: str, source: str, value: str) -> DataFrame:
+    """(source): the sources that have a value in the first frame."""
+    first = frames.agg(F.min(time)).first()[0]
+    return frames.where((F.col(time) == F.lit(first)) & F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).select(F.col(source).alias("source")).distinct()
+
+
+def generated(pixels: DataFrame, targets: DataFrame, grid: Grid, missing: str = "keep", valid: DataFrame | None = None) -> DataFrame:
+    """(target_id, source, weight) from pixels, specialised to the valid sources: ``keep`` all, ``drop`` the others, or ``nearest``: drop them and repair emptied targets."""
+    if missing not in ("keep", "drop", "nearest"):
+        raise ValueError("missing is keep, drop or nearest")
+    mapping = pixel_mapping(pixels, targets, grid)
+    if missing == "keep":
+        return mapping
+    if valid is None:
+        raise IntegrityError(f"{missing} needs the valid sources")
+    return with_source_mask(mapping, valid, grid, missing)
+
+
+def local_for(mapping: DataFrame, mapped: Grid, data: Grid, wanted: DataFrame) -> DataFrame:
+    """The wanted targets' rows of a mapping, if the data's grid is the one it was made for."""
+    if not (mapped.x.close_to(data.x) and mapped.y.close_to(data.y)):
+        raise IntegrityError("the data's coordinates are not those of the mapping; make the mapping anew")
+    if found := wanted.join(mapping.select("target_id"), "target_id", "left_anti").limit(5).collect():
+        raise IntegrityError(f"targets that the mapping lacks: {[r.target_id for r in found]}")
+    return local(mapping, wanted)
+
+
+def mapped_variables(frames: DataFrame, mapping: DataFrame, time: str, source: str, values: list[str]) -> DataFrame:
+    """(time, target_id, a column per value): several variables through one mapping, in one join (NaN and null as 0)."""
+    x = [F.coalesce(F.nanvl(F.col(v).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(f"_{v}") for v in values]
+    joined = frames.select(F.col(time), F.col(source).alias("source"), *x).join(mapping, "source")
+    return joined.groupBy(time, "target_id").agg(*[F.sum(F.col("weight") * F.col(f"_{v}")).alias(v) for v in values])
+
+
+def tile_pixels(pixels: DataFrame, tiles: DataFrame, west: float, east: float, south: float, north: float, nx: int, ny: int, shift: tuple[int, int] = (0, 0)) -> DataFrame:
+    """(pixel_target, area, x, y): the pixels of tiles inside a region that belong to one of its cells.
+
+    tiles (tile, tile_west, tile_north, size, nix, niy); pixels (tile, ix, iy, cx, cy, area), counted from a tile's north-west
+    corner; cx, cy: the low-resolution cell, counted from 1, none below 1. ``shift``: cells that the region begins after.
+    The target is x * ny + y.
+    """
+    w, n, size = F.col("tile_west"), F.col("tile_north"), F.col("size")
+    cut = lambda length, count: F.least(F.greatest(F.bround(length / size), F.lit(0)), count)
+    crop = tiles.select("tile", "tile_west", "tile_north", "size", cut(west - w, F.col("nix")).alias("_x0"), cut(east - w, F.col("nix")).alias("_x1"), cut(n - north, F.col("niy")).alias("_y0"), cut(n - south, F.col("niy")).alias("_y1"))
+    held = pixels.join(crop.where("_x0 < _x1 AND _y0 < _y1"), "tile").where("ix >= _x0 AND ix < _x1 AND iy >= _y0 AND iy < _y1 AND cx > 0")
+    vx, vy = F.col("cx") - 1 - shift[0], F.col("cy") - 1 - shift[1]
+    inside = held.where((vx >= 0) & (vx < nx) & (vy >= 0) & (vy < ny))
+    return inside.select((vx * ny + vy).cast("long").alias("pixel_target"), "area", (w + (F.col("ix") + 0.5) * size).alias("x"), (n - (F.col("iy") + 0.5) * size).alias("y"))

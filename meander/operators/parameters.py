@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lookup import with_positions
+
 
 def expanded(plans: DataFrame) -> DataFrame:
     """(target, step, kind, x): plans (target, start_step, kind, x, active_steps) by step; a SET acts once."""
@@ -37,3 +39,9 @@ def copied_input(df: DataFrame, value: str, when_none: str, point: str, step: st
     if when_none == "required":
         return df.withColumn(value, F.coalesce(value, F.raise_error(F.lit(f"{value} is required")).cast("double")))
     raise ValueError("when_none is zero, keep or required")
+
+
+def summary(plans: DataFrame) -> DataFrame:
+    """(place, start_step, name, kind, x, active_steps, target): the plans in the order in which they act, SETs before ADDs."""
+    keyed = plans.withColumn("_key", F.struct("start_step", "name", F.when(F.col("kind") == "SET", 0).otherwise(1), "target", "x"))
+    return with_positions(keyed, "_key", "place").drop("_key").select("place", "start_step", "name", "kind", "x", "active_steps", "target")

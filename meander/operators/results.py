@@ -2,12 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import scratch
 from .lookup import IntegrityError, require_unique
 
 
+class Results:
+    """Named results, each a sequence of tables with a time index; what is put is written at once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.held = spark, {}
+
+    def put(self, name: str, df: DataFrame) -> int:
+        """Adds a result; returns its time index."""
+        self.held.setdefault(name, []).append(scratch.saved(df, "result"))
+        return len(self.held[name]) - 1
+
+    def names(self) -> list[str]:
+        return sorted(self.held)
+
+    def one_by_one(self, name: str) -> list[DataFrame]:
+        if name not in self.held:
+            raise IntegrityError(f"no result {name}; there are {self.names()}")
+        return list(self.held[name])
+
+    def get(self, name: str) -> DataFrame:
+        """All tables of a result as one, with ``time_index``."""
+        parts = [df.withColumn("time_index", F.lit(k).cast("long")) for k, df in enumerate(self.one_by_one(name))]
+        if not parts:
+            raise IntegrityError(f"{name} is empty")
+        return reduce(DataFrame.unionByName, parts)
+
+    def pop(self, name: str) -> DataFrame:
+        """Removes and returns the newest table."""
+        if not self.one_by_one(name):
+            raise IntegrityError(f"no finished result of {name}")
+        return self.held[name].pop()
+
+    def reset(self) -> None:
+        """Empties all results; their names stay."""
+        self.held = {name: [] for name in self.held}
+
+
 def in_time_range(df: DataFrame, time: str, start, end) -> DataFrame:
     """Times from start to end, both included; a range that the table doesn't cover or that is empty is an error."""
     low, high = df.agg(F.min(time), F.max(time)).first()
@@ -50,3 +90,9 @@ def bounding_box(df: DataFrame, x: str, y: str, value: str, pad: int, nx: int, n
     """(x0, x1, y0, y1) of the cells with a value, padded and kept on the grid."""
     real = df.where(F.col(value).isNotNull() & ~F.isnan(value))
     return real.agg(F.greatest(F.min(x) - pad, F.lit(0)).alias("x0"), F.least(F.max(x) + pad, F.lit(nx - 1)).alias("x1"), F.greatest(F.min(y) - pad, F.lit(0)).alias("y0"), F.least(F.max(y) + pad, F.lit(ny - 1)).alias("y1"))
+
+
+def all_coordinates(ranks: list[DataFrame], point: str, ny: int) -> DataFrame:
+    """(x, y) of the points of all ranks; a point that two ranks have is an error."""
+    points = require_unique(reduce(DataFrame.unionByName, [df.select(point).distinct() for df in ranks]), point)
+    return unravelled(points, point, ny).select("x", "y")

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.temporal import ExplicitWindows, check_nested
+from .mapping import apply_mapping
 
 #: The aggregates.
 AGGREGATES = ("mean", "sum", "max", "min", "first", "last", "mid")
@@ -56,19 +57,31 @@ def operation(name: str) -> Operation:
 def _inner(kind: str, x: Column, w: Column, t: Column) -> Column:
     if kind == "mean":
         return F.try_divide(F.sum(x * w), F.sum(w))
-    if kind == "mid":  # the middle sample in time order
-        held = F.array_sort(F.collect_list(F.struct(t.alias("t"), x.alias("x"))))
-        return F.get(held, F.floor(F.size(held) / 2).cast("int"))["x"]
+    if kind == "mid":  # the middle sample in time order, marked beforehand
+        return F.max(F.when(F.col("_mid"), x))
     return {"sum": F.sum(x * w), "max": F.max(x), "min": F.min(x), "first": F.min_by(x, t), "last": F.max_by(x, t)}[kind]
 
 
+def _marked(df: DataFrame, keys: list[str], time: str, value: str, kinds: Iterable[str]) -> DataFrame:
+    """Marks each inner window's middle sample where it is asked for; equal times are ordered by value."""
+    if "mid" not in kinds:
+        return df
+    per = Window.partitionBy(*keys)
+    return df.withColumn("_mid", F.row_number().over(per.orderBy(time, value)) == F.floor(F.count("*").over(per) / 2) + 1)
+
+
+def _best(op: Operation) -> str:
+    return f"_{op.outer}_{op.inner}"
+
+
 def _outer(op: Operation) -> Column:
     v, at, n = F.col(f"_{op.inner}"), F.col("inner_start"), F.col("_ordinal")
     if op.arg or op.k > 1:
-        rank = F.struct((-v if op.outer == "max" else v).alias("r"), n.alias("n"), v.alias("v"))  # ties: the earliest
-        best = F.slice(F.sort_array(F.collect_list(rank)), 1, op.k)
-        out = F.transform(best, lambda b: b["n"] if op.arg else b["v"])
-        return out if op.k > 1 else F.get(out, 0)
+        rank = F.col(_best(op))  # from 1; ties: the earliest
+        if op.k == 1:
+            return F.max(F.when(rank == 1, n))
+        best = F.sort_array(F.collect_list(F.when(rank <= op.k, F.struct(rank.alias("r"), (n if op.arg else v).alias("x")))))  # K at most
+        return F.transform(best, lambda b: b["x"])
     return {"mean": F.avg(v), "sum": F.sum(v), "max": F.max(v), "min": F.min(v), "first": F.min_by(v, at), "last": F.max_by(v, at)}[op.outer]
 
 
@@ -83,7 +96,8 @@ def inner_windows(df: DataFrame, points: Iterable[str], time: str, value: str, r
 
     Sums and means are weighted (by durations, say); without a weight each sample weighs 1.
     """
-    keyed = _attached(df, rule, time, "inner_start")
+    kinds, points = list(kinds), list(points)
+    keyed = _marked(_attached(df, rule, time, "inner_start"), [*points, "inner_start"], time, value, kinds)
     w = F.col(weight) if weight else F.lit(1.0)
     return keyed.groupBy(*points, "inner_start").agg(*[_inner(k, F.col(value), w, F.col(time)).alias(k) for k in dict.fromkeys(kinds)])
 
@@ -106,12 +120,52 @@ def two_level(df: DataFrame, points: Iterable[str], time: str, value: str, inner
     if any(o.arg or o.k > 1 for o in ops):
         order = Window.partitionBy(*points, "outer_start").orderBy("inner_start")
         low = low.withColumn("_ordinal", (F.row_number().over(order) - 1).cast("long"))
+        for name, o in {_best(o): o for o in ops if o.arg or o.k > 1}.items():
+            v = F.col(f"_{o.inner}")
+            by = Window.partitionBy(*points, "outer_start").orderBy(F.asc_nulls_last(-v if o.outer == "max" else v), "_ordinal")
+            low = low.withColumn(name, F.row_number().over(by))
     high = low.groupBy(*points, "outer_start").agg(F.max("inner_start").alias("time"), F.count("*").alias("n_inner"), *[_outer(o).alias(o.name) for o in ops])
     if drop_after is not None:
         high = high.where(outer.end(F.col("outer_start")) <= F.lit(drop_after).cast("timestamp_ntz"))
     return high
 
 
+def open_windows(df: DataFrame, points: Iterable[str], time: str, value: str, inner, outer, operations: Iterable[str], now=None) -> DataFrame:
+    """``two_level`` of the outer windows that are still open at ``now`` (else after the last sample): what they hold so far."""
+    out = two_level(df, points, time, value, inner, outer, operations)
+    last = F.lit(now).cast("timestamp_ntz") if now is not None else F.lit(df.agg(F.max(time)).first()[0]).cast("timestamp_ntz")
+    return out.where(outer.end(F.col("outer_start")) > last)
+
+
+def climatology(frames: DataFrame, mapping: DataFrame, time: str, source: str, value: str) -> DataFrame:
+    """(target_id, value): the mean over all frames of the mapped values; frames in which a target has nothing count as 0."""
+    n = frames.agg(F.count_distinct(time)).first()[0]
+    held = apply_mapping(frames, mapping, time, source, value)
+    return held.groupBy("target_id").agg((F.sum("value") / n).alias("value"))
+
+
+def ordinals(df: DataFrame, points: Iterable[str], time: str, inner, outer) -> DataFrame:
+    """(points, outer_start, inner_start, ordinal): the inner windows that occur, counted within their outer one from 0."""
+    points = list(points)
+    low = _attached(_attached(df, outer, time, "outer_start"), inner, time, "inner_start").select(*points, "outer_start", "inner_start").distinct()
+    order = Window.partitionBy(*points, "outer_start").orderBy("inner_start")
+    return low.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+
+
+def manual_windows(df: DataFrame, points: Iterable[str], time: str, first: str = "first", last: str = "last", outer_first: str = "outer_first", outer_last: str = "outer_last") -> DataFrame:
+    """``df`` with inner and outer, numbers of windows that the caller's four flags open and close, from 0.
+
+    A step opens a window where its flag says so (and at the point's first step) and closes it likewise; outer flags on a step
+    that closes no inner window are an error.
+    """
+    bad = (F.col(outer_first) | F.col(outer_last)) & ~F.col(last)
+    stop = F.raise_error(F.concat(F.lit("outer flags need the inner window's last step: "), F.col(time).cast("string"))).cast("boolean")
+    steps = Window.partitionBy(*points).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    opened = lambda c: (F.sum(F.coalesce(F.when(bad, stop).otherwise(F.col(c)), F.lit(False)).cast("long")).over(steps))
+    begun = lambda c: F.first(c).over(steps).cast("long")
+    return df.withColumns({"inner": opened(first) - begun(first), "outer": opened(outer_first) - begun(outer_first)})
+
+
 def ranked(df: DataFrame, keys: Iterable[str], name: str) -> DataFrame:
     """A K-best array column as rows (keys, k, value)."""
     return df.select(*keys, F.posexplode(name).alias("k", "value"))

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EPOCH = datetime(1970, 1, 1)
+#: Explicit windows up to which they are sent to every task.
+MOST_BROADCAST = 10_000
 
 
 def micros(t: Column) -> Column:
@@ -97,7 +99,8 @@ class ExplicitWindows:
 
     def attach(self, df: DataFrame, time: str, name: str = "window", start: str = "window_start") -> DataFrame:
         table = df.sparkSession.createDataFrame(list(self.windows), "_n string, _s timestamp_ntz, _e timestamp_ntz")
-        joined = df.join(F.broadcast(table), (F.col(time) >= F.col("_s")) & (F.col(time) < F.col("_e")))  # a parameter's few rows
+        table = F.broadcast(table) if len(self.windows) <= MOST_BROADCAST else table
+        joined = df.join(table, (F.col(time) >= F.col("_s")) & (F.col(time) < F.col("_e")))  # a parameter's rows
         return joined.withColumn(name, F.col("_n")).withColumn(start, F.col("_s")).drop("_n", "_s", "_e")
 
 
@@ -186,3 +189,74 @@ def source_interval(df: DataFrame, time: str) -> DataFrame:
     gaps = inner.select("gap").unionByName(across).where("gap > 0")
     least = gaps.agg(F.min("gap")).first()[0]
     return gaps.groupBy(F.lit(least).cast("long").alias("interval_us")).agg(F.min(F.col("gap") % least == 0).alias("regular"))
+
+
+def crossing(steps: DataFrame, rule) -> DataFrame:
+    """The steps (start, end) that straddle a window's border."""
+    last = F.timestamp_add("MICROSECOND", F.lit(-1), F.col("end")).cast("timestamp_ntz")
+    return steps.where(rule.start(F.col("start")) != rule.start(last))
+
+
+def schedule_problems(steps: DataFrame) -> DataFrame:
+    """(step, problem) of an explicit schedule (step, start, end): ``index`` not following, ``empty``, or ``overlap`` with the step before; gaps are allowed."""
+    part = F.floor(F.col("step") / 1_000_000)  # so that no window is the whole schedule's
+    edge = steps.where(F.col("step") % 1_000_000 == 999_999).select((part + 1).alias("_part"), F.col("step").alias("_s"), F.col("end").alias("_e"))
+    order = Window.partitionBy("_part").orderBy("step", "start")
+    held = steps.withColumn("_part", part).join(edge, "_part", "left")
+    before_step, before_end = F.coalesce(F.lag("step").over(order), F.col("_s")), F.coalesce(F.lag("end").over(order), F.col("_e"))
+    held = held.withColumns({"_bs": before_step, "_be": before_end})
+    follows = F.when(F.col("_bs").isNull(), F.col("step") == 0).otherwise(F.col("step") == F.col("_bs") + 1)
+    problem = F.when(~follows, "index").when(F.col("start") >= F.col("end"), "empty").when(F.col("start") < F.col("_be"), "overlap")
+    return held.select("step", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+@dataclass(frozen=True)
+class Contract:
+    """What a source says of its times."""
+
+    start: datetime
+    interval: timedelta
+    count: int
+    calendar: str = "standard"
+    position: str = "start"
+
+    @classmethod
+    def of(cls, df: DataFrame, time: str, **options) -> Contract:
+        """The contract that a source's distinct times keep; a gap is an error."""
+        low, high, n = df.agg(F.min(time), F.max(time), F.count_distinct(time)).first()
+        interval = (high - low) / (n - 1) if n > 1 else timedelta(0)
+        uneven = df.select(micros(F.col(time)).alias("us")).where((F.col("us") - F.lit((low - EPOCH) // timedelta(microseconds=1))) % max(1, interval // timedelta(microseconds=1)) != 0)
+        if n > 1 and uneven.limit(1).count():
+            raise ValueError(f"{time} has gaps or uneven steps")
+        return cls(low, interval, n, **options)
+
+
+def agreed(contracts: dict[str, Contract]) -> Contract:
+    """The contract that all sources share; the first difference is an error."""
+    if not contracts:
+        raise ValueError("no contracts")
+    (name, first), *others = contracts.items()
+    for other, contract in others:
+        for attribute in ("calendar", "start", "interval", "count", "position"):
+            if getattr(contract, attribute) != getattr(first, attribute):
+                raise ValueError(f"{name} and {other} differ in {attribute}")
+    return first
+
+
+def step_counts(start: datetime, end: datetime, interval: timedelta, spin_up: tuple[datetime, datetime, int] | None = None) -> tuple[int, int, int]:
+    """(main, spin-up, all) steps; both ends of a period are steps. spin_up: first and last step of a cycle, and cycles."""
+
+    def inclusive(a: datetime, b: datetime) -> int:
+        n, rest = divmod(b - a, interval)
+        if rest or n < 0:
+            raise ValueError(f"{a} to {b} is not whole steps of {interval}")
+        return n + 1
+
+    main = inclusive(start, end)
+    again = inclusive(*spin_up[:2]) * spin_up[2] if spin_up and spin_up[2] > 0 else 0
+    return main, again, again + main
+
+
+def after_spin_up(df: DataFrame, step: str, first: int) -> DataFrame:
+    """Output from step ``first`` on, counted anew from 0; earlier steps ran, but have no output."""
+    return df.where(F.col(step) >= first).withColumn(step, F.col(step) - first)

@@ -12,10 +12,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import calendars, expressions, names
-from .operators import lookup, mapping, parameters, resample, results, statistics
-from .plans.temporal import CalendarWindow, ExplicitWindows, IntervalWindow, Schedule, micros, source_interval, timeline_problems, with_spin_up
-from .sources import tables
+from .functions import calendars, digests, expressions, names
+from .operators import lookup, mapping, overlay, parameters, resample, results, statistics
+from .plans.temporal import CalendarWindow, Contract, ExplicitWindows, IntervalWindow, Schedule, after_spin_up, agreed, crossing, micros, schedule_problems, source_interval, step_counts, timeline_problems, with_spin_up
+from .sources import scan, scratch, tables
 from .streaming import substeps
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -240,15 +240,12 @@ def _(spark, sf):
 
 @query("f7_window_crossing", f"SELECT step FROM ({_SCHEDULE_SQL}) WHERE date_trunc('day', start) <> date_trunc('day', \"end\" - INTERVAL 1 MICROSECOND)")
 def _(spark, sf):
-    last = F.timestamp_add("MICROSECOND", F.lit(-1), F.col("end")).cast("timestamp_ntz")
-    return _SEVEN.frame(spark).where(DAY.start(F.col("start")) != DAY.start(last)).select("step")
+    return crossing(_SEVEN.frame(spark), DAY).select("step")
 
 
 @query("f8_ordinals", "SELECT DISTINCT user_id, outer_start, i AS inner_start, dense_rank() OVER (PARTITION BY user_id, outer_start ORDER BY i) - 1 AS ordinal FROM (SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS outer_start, date_trunc('day', ts)::TIMESTAMP AS i FROM events)")
 def _(spark, sf):
-    low = _events(spark, sf).select("user_id", MONTH.start(F.col("ts")).alias("outer_start"), DAY.start(F.col("ts")).alias("inner_start")).distinct()
-    order = Window.partitionBy("user_id", "outer_start").orderBy("inner_start")
-    return low.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
+    return statistics.ordinals(_events(spark, sf), ["user_id"], "ts", DAY, MONTH)
 
 
 @query("f9_increments", "WITH h AS (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP + INTERVAL 1 HOUR AS t, sum(value) AS v FROM events GROUP BY ALL), c AS (SELECT *, sum(v) OVER (PARTITION BY user_id, date_trunc('day', t - INTERVAL 1 HOUR) ORDER BY t) AS total FROM h) SELECT user_id, t, round(v, 6) AS increment FROM c")
@@ -278,12 +275,6 @@ def _(spark, sf):
     return with_spin_up(steps, 4, 2).select("step", "phase", F.col("cycle").cast("long").alias("cycle"), "slot")
 
 
-@query("f14_gaps_between_steps", "SELECT user_id, CAST(count(*) AS BIGINT) AS gaps FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE before IS NOT NULL AND ts > before + INTERVAL 1 DAY GROUP BY ALL")
-def _(spark, sf):
-    before = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts"))
-    return _events(spark, sf).withColumn("gap", micros(F.col("ts")) - micros(before)).where(F.col("gap") > 86_400_000_000).groupBy("user_id").agg(F.count("*").alias("gaps"))
-
-
 @query("f17_source_interval", "WITH t AS (SELECT DISTINCT date_trunc('hour', ts) AS t FROM events), g AS (SELECT date_diff('microsecond', t, lead(t) OVER (ORDER BY t)) AS gap FROM t) SELECT min(gap) AS interval_us, bool_and(gap % (SELECT min(gap) FROM g) = 0) AS regular FROM g WHERE gap IS NOT NULL")
 def _(spark, sf):
     hours = _events(spark, sf).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"))
@@ -360,8 +351,7 @@ def _(spark, sf):
 
 @query("e13_climatology", f"SELECT target_id, round(sum(weight * x) / 3, 3) AS value FROM ({_MAP_SQL}) JOIN ({_FRAMES_SQL}) USING (source) GROUP BY ALL")
 def _(spark, sf):
-    mapped = mapping.apply_mapping(_frames(spark, sf), _weights(spark, sf), "t", "source", "x")
-    return mapped.groupBy("target_id").agg(F.round(F.avg("value"), 3).alias("value"))
+    return statistics.climatology(_frames(spark, sf), _weights(spark, sf), "t", "source", "x").withColumn("value", F.round("value", 3))
 
 
 def _corner() -> tuple[Column, Column]:
@@ -401,10 +391,10 @@ def _(spark, sf):
     return _round(mapping.with_source_mask(_weights(spark, sf), valid, _GRID, "drop"))
 
 
-@query("d12_nearest_valid_cell", "WITH t AS (SELECT n_nationkey, n_nationkey * 2 AS cx, n_nationkey AS cy FROM nation), v AS (SELECT s AS source, s % 50 AS x, s // 50 AS y FROM (SELECT unnest(generate_series(0, 1999)) AS s) WHERE s % 17 = 0), r AS (SELECT n_nationkey, source, row_number() OVER (PARTITION BY n_nationkey ORDER BY greatest(abs(x - cx), abs(y - cy)), (x - cx) ** 2 + (y - cy) ** 2, source) AS k FROM t, v) SELECT CAST(n_nationkey AS BIGINT) AS target_id, source FROM r WHERE k = 1")
+@query("d12_nearest_valid_cell", "WITH t AS (SELECT n_nationkey, n_nationkey * 2 AS cx, n_nationkey AS cy FROM nation), v AS (SELECT s AS source, s % 50 AS x, s // 50 AS y FROM (SELECT unnest(generate_series(0, 1999)) AS s) WHERE (s % 50 + 2 * (s // 50)) % 7 = 3), r AS (SELECT n_nationkey, source, row_number() OVER (PARTITION BY n_nationkey ORDER BY greatest(abs(x - cx), abs(y - cy)), (x - cx) ** 2 + (y - cy) ** 2, CASE WHEN abs(y - cy) >= abs(x - cx) THEN CASE WHEN y <= cy THEN 0 ELSE 1 END ELSE CASE WHEN x < cx THEN 2 ELSE 3 END END, CASE WHEN abs(y - cy) >= abs(x - cx) THEN x ELSE y END) AS k FROM t, v) SELECT CAST(n_nationkey AS BIGINT) AS target_id, source FROM r WHERE k = 1")
 def _(spark, sf):
     points = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("target_id"), (F.col("n_nationkey") * 2).alias("cx"), F.col("n_nationkey").alias("cy"))
-    return mapping.nearest_cells(points, spark.range(2000).where("id % 17 = 0").withColumnRenamed("id", "source"), _GRID)
+    return mapping.nearest_cells(points, spark.range(2000).where("(id % 50 + 2 * (id div 50)) % 7 = 3").withColumnRenamed("id", "source"), _GRID)
 
 
 @query("e12_weighted_center", f"SELECT target_id, CAST(round_even(sum(weight * (source % 50)) / sum(weight), 0) AS BIGINT) AS cx, CAST(round_even(sum(weight * (source // 50)) / sum(weight), 0) AS BIGINT) AS cy FROM ({_MAP_SQL}) GROUP BY ALL")
@@ -430,8 +420,8 @@ def _(spark, sf):
 
 @query("a5_multivariable", "SELECT user_id, day, round(click, 6) AS click, round(purchase, 6) AS purchase FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, sum(value) FILTER (event_type = 'click') AS click, sum(value) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY ALL) WHERE click IS NOT NULL AND purchase IS NOT NULL")
 def _(spark, sf):
-    one = lambda kind: _events(spark, sf).where(F.col("event_type") == kind).groupBy("user_id", DAY.start(F.col("ts")).alias("day")).agg(F.sum("value").alias(kind))
-    return _round(one("click").join(one("purchase"), ["user_id", "day"]))
+    one = lambda kind: _events(spark, sf).where(F.col("event_type") == kind).groupBy("user_id", DAY.start(F.col("ts")).alias("day")).agg(F.sum("value").alias("value"))
+    return _round(scan.wide({"click": one("click"), "purchase": one("purchase")}, ["user_id", "day"]))
 
 
 @query("a6_catalog_align", "SELECT s_suppkey, s_name, s_nationkey, round(sum(l_quantity), 6) AS quantity FROM supplier JOIN lineitem ON l_suppkey = s_suppkey GROUP BY ALL")
@@ -469,7 +459,7 @@ def _(spark, sf):
 
 @query("a22_axis", "SELECT DISTINCT date_trunc('day', ts)::TIMESTAMP AS t, event_type FROM events")
 def _(spark, sf):
-    return _events(spark, sf).select(DAY.start(F.col("ts")).alias("t"), "event_type").distinct()
+    return scan.axes(_events(spark, sf).withColumn("t", DAY.start(F.col("ts"))), "t", "event_type")
 
 
 @query("c1_projection", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
@@ -479,8 +469,8 @@ def _(spark, sf):
 
 @query("c2_subset", "SELECT c_custkey, c_name FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)")
 def _(spark, sf):
-    wanted = _t(spark, sf, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey"))
-    return _t(spark, sf, "customer").join(wanted, "c_nationkey", "left_semi").select("c_custkey", "c_name")
+    wanted = _t(spark, sf, "customer").join(_t(spark, sf, "nation").where("n_regionkey = 1"), F.expr("c_nationkey = n_nationkey")).select("c_custkey")
+    return lookup.subset(_t(spark, sf, "customer"), "c_custkey", wanted).select("c_custkey", "c_name")
 
 
 @query("c5_selection_order", "SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS position, s_suppkey, s_name FROM supplier WHERE s_acctbal > 0")
@@ -495,8 +485,7 @@ def _(spark, sf):
 
 @query("c8_level_slice", "SELECT vec_id, round(embedding[4]::DOUBLE, 6) AS value FROM embeddings")
 def _(spark, sf):
-    levels = _t(spark, sf, "embeddings").select("vec_id", F.posexplode("embedding").alias("level", "x"))
-    return levels.where("level = 3").select("vec_id", F.round(F.col("x").cast("double"), 6).alias("value"))
+    return _round(scan.level(_t(spark, sf, "embeddings").select("vec_id", "embedding"), "embedding", 3))
 
 
 @query("c9_missing_to_zero", "SELECT event_id, CASE WHEN value > 300 THEN 0.0 WHEN value < 100 THEN 0.0 ELSE round(value - 100, 6) END AS value FROM events")
@@ -523,9 +512,7 @@ def _(spark, sf):
 
 @query("d2_references", "SELECT o_orderkey, c_nationkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def _(spark, sf):
-    orders, customer = _t(spark, sf, "orders"), _t(spark, sf, "customer")
-    lookup.require_references(orders, "o_custkey", customer, "c_custkey")
-    return orders.join(customer, orders.o_custkey == customer.c_custkey).select("o_orderkey", "c_nationkey")
+    return lookup.referenced(_t(spark, sf, "orders"), "o_custkey", _t(spark, sf, "customer"), "c_custkey", "c_nationkey").select("o_orderkey", "c_nationkey")
 
 
 @query("d3_inverse_reference", "WITH r AS (SELECT s_nationkey, max(s_suppkey) AS p FROM supplier WHERE s_acctbal > 5000 GROUP BY ALL) SELECT n_nationkey, coalesce(p, -1) AS position FROM nation LEFT JOIN r ON s_nationkey = n_nationkey")
@@ -546,11 +533,13 @@ def _(spark, sf):
     return groups.join(ranks, "group").select("c_custkey", "rank")
 
 
-@query("d17_arithmetic", "SELECT user_id, day, round(2 * a + b / 4, 6) AS v FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, sum(value) FILTER (event_type = 'click') AS a, sum(value) FILTER (event_type = 'view') AS b FROM events GROUP BY ALL) WHERE a IS NOT NULL AND b IS NOT NULL")
+@query("d17_arithmetic", "SELECT user_id, day, round(2 * a + b / 4, 6) AS v FROM (SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS day, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) AS a, sum(CASE WHEN event_type = 'view' THEN value ELSE 0 END) AS b FROM events GROUP BY ALL)")
 def _(spark, sf):
-    one = lambda kind, name: _events(spark, sf).where(F.col("event_type") == kind).groupBy("user_id", DAY.start(F.col("ts")).alias("day")).agg(F.sum("value").alias(name))
-    both = one("click", "a").join(one("view", "b"), ["user_id", "day"])
-    return _round(expressions.with_virtual(both, {"v": "2 * a + b / 4"}).select("user_id", "day", "v"))
+    def one(kind):
+        held = _events(spark, sf).groupBy("user_id", DAY.start(F.col("ts")).alias("day")).agg(F.sum(F.when(F.col("event_type") == kind, F.col("value")).otherwise(0.0)).alias("value"))
+        return held
+
+    return _round(lookup.combined(one("click"), one("view"), ["user_id", "day"], "2 * a + b / 4", "v"))
 
 
 @query("d21_series", "SELECT position, user_id, ts, value FROM events JOIN (SELECT unnest([7, 3, 12]) AS user_id, unnest([0, 1, 2]) AS position) USING (user_id)")
@@ -561,7 +550,7 @@ def _(spark, sf):
 
 @query("d23_trials", "SELECT CAST(trial AS BIGINT) AS trial, n_nationkey FROM nation, (SELECT unnest([0, 1, 2]) AS trial)")
 def _(spark, sf):
-    return _t(spark, sf, "nation").select(F.explode(F.expr("array(0L, 1L, 2L)")).alias("trial"), "n_nationkey")
+    return lookup.trials(_t(spark, sf, "nation").select("n_nationkey"), 3)
 
 
 @query("d24_missing_keys", "SELECT DISTINCT o_custkey AS key FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
@@ -604,10 +593,11 @@ def _(spark, sf):
     return _round(results.vector(yearly, "t", datetime(1995, 1, 1)).select("l_suppkey", "value"))
 
 
-@query("i3_grid", "SELECT g // 40 AS x, g % 40 AS y, coalesce(round(p_retailprice, 6), -1.0::DOUBLE) AS value FROM (SELECT unnest(generate_series(0, 1999)) AS g) LEFT JOIN part ON p_partkey - 1 = g AND p_size < 10")
+@query("i3_grid", "SELECT g // 40 AS x, g % 40 AS y, coalesce(round(p_retailprice, 6), -1.0::DOUBLE) AS value FROM (SELECT unnest(generate_series(0, ((SELECT max(p_partkey) FROM part) // 40 + 1) * 40 - 1)) AS g) LEFT JOIN part ON p_partkey = g AND p_size < 10")
 def _(spark, sf):
-    parts = _t(spark, sf, "part").where("p_size < 10").select((F.col("p_partkey") - 1).alias("point"), F.col("p_retailprice").alias("v"))
-    return _round(results.grid(parts, "point", "v", 50, 40, -1.0))
+    parts = _t(spark, sf, "part").select(F.col("p_partkey").alias("point"), F.when(F.col("p_size") < 10, F.col("p_retailprice")).alias("v"))
+    nx = -(-(parts.agg(F.max("point")).first()[0] + 1) // 40)
+    return _round(results.grid(parts.where("v IS NOT NULL"), "point", "v", nx, 40, -1.0))
 
 
 @query("i7_noleap_days", "WITH d AS (SELECT DISTINCT o_orderdate::DATE AS d FROM orders WHERE NOT (month(o_orderdate) = 2 AND day(o_orderdate) = 29)) SELECT d::TIMESTAMP AS d, year(d) * 365 + (date_diff('day', make_date(2001, 1, 1), make_date(2001, month(d), day(d)))) AS n, year(d) * 360 + (month(d) - 1) * 30 + least(day(d), 30) - 1 AS n360 FROM d")
@@ -624,17 +614,16 @@ def _(spark, sf):
     return days.select(n.alias("n")).distinct().select(calendars.from_day_number(F.col("n"), "noleap").alias("x")).select("x.*")
 
 
-@query("i8_symbols", "SELECT DISTINCT p_brand || ' + 2*' || p_type AS text, regexp_replace(regexp_replace(replace(replace(p_brand || ' + 2*' || p_type, '+', '_plus_'), '*', '_mul_'), '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS symbol FROM part WHERE p_brand NOT LIKE '%-%' AND p_type NOT LIKE '%-%' UNION SELECT DISTINCT p_brand || ' + 2*' || p_type, regexp_replace(regexp_replace(replace(replace(replace(p_brand || ' + 2*' || p_type, '+', '_plus_'), '-', '_minus_'), '*', '_mul_'), '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g') FROM part")
+@query("i8_symbols", "WITH t AS (SELECT DISTINCT p_brand || ' + 2*base.' || p_type || '^2 / 0.5' AS text FROM part) SELECT text, regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(text, '^', '_pow_'), '+', '_plus_'), '-', '_minus_'), '*', '_mul_'), '/', '_div_'), '.', '_dot_'), '[^0-9A-Za-z]+', '_', 'g'), '^_+|_+$', '', 'g') AS symbol FROM t")
 def _(spark, sf):
-    text = F.concat(F.col("p_brand"), F.lit(" + 2*"), F.col("p_type"))
+    text = F.concat(F.col("p_brand"), F.lit(" + 2*base."), F.col("p_type"), F.lit("^2 / 0.5"))
     return _t(spark, sf, "part").select(text.alias("text")).distinct().withColumn("symbol", names.symbol(F.col("text")))
 
 
 @query("i10_fingerprints", "SELECT user_id, sha256(string_agg(event_id || ':' || event_type, ',' ORDER BY event_id)) AS digest FROM events GROUP BY ALL")
 def _(spark, sf):
-    held = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    text = F.array_join(F.transform(held, lambda x: F.concat(x.event_id.cast("string"), F.lit(":"), x.event_type)), ",")
-    return _events(spark, sf).groupBy("user_id").agg(F.sha2(text, 256).alias("digest"))
+    held = _events(spark, sf).select("user_id", "event_id", F.concat(F.col("event_id").cast("string"), F.lit(":"), "event_type").alias("text"))
+    return digests.sha256_by(held, "user_id", ["event_id"], "text", ",")
 
 
 @query("i13_update", "SELECT c_custkey, CASE WHEN c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) THEN 0.0::DOUBLE ELSE c_acctbal END AS c_acctbal FROM customer")
@@ -676,23 +665,6 @@ def _(spark, sf):
     return parameters.expanded(plans)
 
 
-@query("m1_gauge_overlay", _RUNS_SQL + f", u AS (SELECT user_id, user_id % 10 AS basin, arg_max(start, (length, -start)) AS start, max(length) AS length FROM r GROUP BY user_id), b AS (SELECT basin, max(start) AS shift, greatest(0, min(start + length) - max(start)) AS length FROM u GROUP BY basin) SELECT v.user_id, v.step, round(CASE WHEN v.step >= shift AND v.step < shift + length THEN v.v ELSE 0 END, 6) AS v FROM ({_DAILY_SQL}) v JOIN b ON b.basin = v.user_id % 10")
-def _(spark, sf):
-    daily = _daily(spark, sf)
-    runs = resample.longest_runs(daily, "user_id", "step").withColumn("basin", F.col("user_id") % 10)
-    spans = resample.common_spans(runs, "basin")
-    joined = daily.withColumn("basin", F.col("user_id") % 10).join(spans, "basin")
-    inside = (F.col("step") >= F.col("shift")) & (F.col("step") < F.col("shift") + F.col("length"))
-    return _round(joined.select("user_id", "step", F.when(inside, F.col("v")).otherwise(0.0).alias("v")))
-
-
-@query("m3_overlay_alignment", f"WITH d AS ({_DAILY_SQL}), g AS (SELECT DISTINCT user_id, t FROM d, (SELECT unnest(generate_series(5, 14)) AS t)) SELECT g.user_id, t - 5 AS step, round(v, 6) AS v FROM g LEFT JOIN d ON d.user_id = g.user_id AND d.step = t")
-def _(spark, sf):
-    moved = _daily(spark, sf).withColumn("step", F.col("step") - 5)
-    grid = moved.select("user_id").distinct().withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
-    return _round(grid.join(moved, ["user_id", "step"], "left"))
-
-
 @query("m8_coalesced_mapping", "SELECT l_partkey AS source, l_suppkey AS target_id, round(sum(l_quantity), 6) AS weight FROM lineitem GROUP BY ALL")
 def _(spark, sf):
     return _round(_t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target_id")).agg(F.sum("l_quantity").alias("weight")))
@@ -706,32 +678,17 @@ def _(spark, sf):
 
 @query("b3_year_split", "SELECT CAST(year(o_orderdate) AS VARCHAR) AS time_key, count(*) AS n, round(sum(o_totalprice), 3) AS total FROM orders WHERE o_orderdate >= TIMESTAMP '1993-01-01' AND o_orderdate < TIMESTAMP '1995-07-01' GROUP BY ALL")
 def _(spark, sf):
-    path = f"{_shared(spark)}/years-{_unique()}"
+    path = scratch.new_path(spark, "years")
     tables.write_by_time(_t(spark, sf, "orders"), path, "o_orderdate", "year")
     found = tables.read_by_time(spark, path, None, "o_orderdate", "year", datetime(1993, 1, 1), datetime(1995, 7, 1))
     return found.groupBy(F.col("time_key").cast("string").alias("time_key")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 3).alias("total"))
 
 
-def _shared(spark: SparkSession) -> str:
-    """The folder that all executors see."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    import tempfile
-
-    return tempfile.mkdtemp(prefix="spark-meander-")
-
-
-def _unique() -> str:
-    import uuid
-
-    return uuid.uuid4().hex
-
-
 @query("b5_static_columns", f"SELECT user_id, step, round(v, 6) AS v, c_mktsegment FROM ({_DAILY_SQL}) JOIN customer ON c_custkey = user_id")
 def _(spark, sf):
     static = _t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), "c_mktsegment")
-    return _round(_daily(spark, sf).join(static, "user_id"))
+    known = _daily(spark, sf).join(static, "user_id", "left_semi")
+    return _round(lookup.with_static(known, "user_id", static, "c_mktsegment"))
 
 
 @query("b8_normalized_export", f"SELECT t, target_id, round(sum(w * x), 4) AS value FROM (SELECT target_id, source, weight / sum(weight) OVER (PARTITION BY target_id) AS w FROM ({_MAP_SQL})) JOIN ({_FRAMES_SQL}) USING (source) GROUP BY ALL")
@@ -744,7 +701,7 @@ def _(spark, sf):
 def _(spark, sf):
     from .streaming import windows
 
-    folder = f"{_shared(spark)}/stream-{_unique()}"
+    folder = scratch.new_path(spark, "stream")
     _events(spark, sf).repartitionByRange(4, "ts").write.parquet(f"{folder}/in")
     source = windows.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, 64)
     out = windows.two_level_stream(source, ["user_id"], "ts", "value", "1 day", "5 days", ["max_mean", "min_max"])
@@ -759,14 +716,14 @@ def _(spark, sf):
 def _(spark, sf):
     from .sources import mapping_table
 
-    path = f"{_shared(spark)}/mapping-{_unique()}"
+    path = scratch.new_path(spark, "mapping")
     mapping_table.save_mapping(_weights(spark, sf), path)
     return _round(mapping_table.load_mapping(spark, path))
 
 
 @query("a12_rank_files", "SELECT CAST(o_custkey % 4 AS INTEGER) AS rank, o_custkey, round(sum(o_totalprice), 4) AS total FROM orders WHERE year(o_orderdate) = 1994 GROUP BY ALL")
 def _(spark, sf):
-    path = f"{_shared(spark)}/ranks-{_unique()}"
+    path = scratch.new_path(spark, "ranks")
     tables.write_by_time(_t(spark, sf, "orders").withColumn("rank", (F.col("o_custkey") % 4).cast("int")), path, "o_orderdate", "year", "rank")
     found = tables.read_by_time(spark, path, None, "o_orderdate", "year", datetime(1994, 1, 1), datetime(1995, 1, 1))
     return found.groupBy("rank", "o_custkey").agg(F.round(F.sum("o_totalprice"), 4).alias("total"))
@@ -781,19 +738,20 @@ def _(spark, sf):
 @query("b4_best_k_split", _RANKED_SQL.format("mean_ DESC", "round(mean_, 6)").replace("WHERE k < 3", "WHERE k = 1"))
 def _(spark, sf):
     out = statistics.two_level(_events(spark, sf), ["user_id"], "ts", "value", DAY, _FIVE, ["max3_mean"])
-    path = f"{_shared(spark)}/best-{_unique()}"
+    path = scratch.new_path(spark, "best")
     statistics.ranked(out, ["user_id", "outer_start"], "max3_mean").write.partitionBy("k").parquet(path)
     return _round(spark.read.parquet(path).where("k = 1").select("user_id", "outer_start", F.col("k").cast("long").alias("k"), "value"))
 
 
-@query("b11_dense_frames", "SELECT CAST(t AS BIGINT) AS t, 8000 AS bytes, n FROM (SELECT unnest([0, 1, 2]) AS t), (SELECT count(*) AS n FROM part WHERE p_partkey < 2000)")
+@query("b11_dense_frames", "SELECT CAST(t AS BIGINT) AS t, ((SELECT max(p_partkey) FROM part) + 1) * 4 AS bytes, n FROM (SELECT unnest([0, 1, 2]) AS t), (SELECT count(*) AS n FROM part)")
 def _(spark, sf):
     from .sources import mapping_table
 
-    inside = _frames(spark, sf).where("source < 2000")
-    frames = mapping_table.dense_frames(inside, "t", "source", "x", 2000, -9999.0)
-    held = inside.groupBy("t").agg(F.count("*").alias("n"))
-    return frames.select("t", F.octet_length("frame").alias("bytes")).join(held, "t")
+    frames = _frames(spark, sf)
+    size = frames.agg(F.max("source")).first()[0] + 1
+    held = frames.groupBy("t").agg(F.count("*").alias("n"))
+    dense = mapping_table.dense_frames(frames, "t", "source", "x", size, -9999.0)
+    return dense.select("t", F.octet_length("frame").cast("long").alias("bytes")).join(held, "t")
 
 
 @query("c3_dropped", "SELECT c_custkey, c_name, c_mktsegment FROM customer")
@@ -838,24 +796,22 @@ def _(spark, sf):
 
 @query("d25_resharded_state", "SELECT c_custkey, CAST(c_custkey % 3 AS INTEGER) AS rank, round(c_acctbal, 6) AS value FROM customer")
 def _(spark, sf):
-    path = f"{_shared(spark)}/state-{_unique()}"
-    saved = _t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 5).cast("int").alias("rank"), F.col("c_acctbal").alias("value"))
-    saved.write.partitionBy("rank").parquet(path)
+    from .sources import state
+
+    path = scratch.new_path(spark, "state")
+    state.save_state(_t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 5).cast("int").alias("rank"), F.col("c_acctbal").alias("value")), path)
     now = _t(spark, sf, "customer").select("c_custkey", (F.col("c_custkey") % 3).cast("int").alias("rank"))
-    return _round(lookup.aligned(now, [spark.read.parquet(path).drop("rank")], "c_custkey"))
+    return _round(state.load_state(spark, path, now, "c_custkey"))
 
 
 @query("g5_not_increasing", "SELECT user_id, count(*) AS n FROM (SELECT user_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts) AS b FROM events) WHERE value <= b GROUP BY ALL")
 def _(spark, sf):
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("ts"))
-    return _events(spark, sf).withColumn("b", before).where("value <= b").groupBy("user_id").agg(F.count("*").alias("n"))
+    return scan.not_increasing(_events(spark, sf), ["user_id"], ["ts"], "value").groupBy("user_id").agg(F.count("*").alias("n"))
 
 
 @query("g6_integer_runs", "WITH k AS (SELECT DISTINCT l_suppkey, l_partkey // 10 AS p FROM lineitem), r AS (SELECT *, p - row_number() OVER (PARTITION BY l_suppkey ORDER BY p) AS g FROM k) SELECT l_suppkey, min(p) AS low, max(p) AS high FROM r GROUP BY l_suppkey, g")
 def _(spark, sf):
-    keys = _t(spark, sf, "lineitem").select("l_suppkey", F.expr("l_partkey div 10").alias("p")).distinct()
-    island = keys.withColumn("g", F.col("p") - F.row_number().over(Window.partitionBy("l_suppkey").orderBy("p")))
-    return island.groupBy("l_suppkey", "g").agg(F.min("p").alias("low"), F.max("p").alias("high")).drop("g")
+    return lookup.integer_runs(_t(spark, sf, "lineitem").select("l_suppkey", F.expr("l_partkey div 10").alias("p")), ["l_suppkey"], "p")
 
 
 @query("h1_concatenated_shards", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY ALL")
@@ -909,54 +865,39 @@ def _(spark, sf):
 def _(spark, sf):
     groups = lookup.lineage(_t(spark, sf, "supplier"), [("s_nationkey", _t(spark, sf, "nation"), "n_nationkey", "n_regionkey")])
     ranks = _t(spark, sf, "region").select(F.col("r_regionkey").alias("group"), (F.col("r_regionkey") % 2).alias("rank"))
-    return groups.join(ranks, "group").where("rank = 1").select("s_suppkey", "group")
-
-
-@query("m2_loss_overlay", f"WITH d AS ({_DAILY_SQL}), g AS (SELECT DISTINCT user_id, t FROM d, (SELECT unnest(generate_series(0, 29)) AS t)) SELECT g.user_id, g.t AS step, round(d.v, 6) AS v FROM g LEFT JOIN d ON d.user_id = g.user_id AND d.step = g.t + g.user_id % 3")
-def _(spark, sf):
-    daily = _daily(spark, sf)
-    shifts = daily.select("user_id", (F.col("user_id") % 3).alias("shift")).distinct()
-    return _round(resample.shifted(daily, "user_id", "step", "v", shifts, 30, None))
-
-
-@query("m4_windowed_overlays", f"WITH d AS ({_DAILY_SQL}), w AS (SELECT user_id, s AS window_start, step - s AS \"offset\", v FROM d, (SELECT unnest(generate_series(0, 25, 5)) AS s) WHERE step >= s AND step < s + 5) SELECT w.user_id, window_start, w.\"offset\", round(w.v, 6) AS v, round(coalesce(l.v, 0), 6) AS later FROM w LEFT JOIN d l ON l.user_id = w.user_id AND l.step = window_start + w.\"offset\" + w.user_id % 5")
-def _(spark, sf):
-    daily = _daily(spark, sf)
-    shifts = daily.select("user_id", (F.col("user_id") % 5).alias("shift")).distinct()
-    later = resample.shifted(daily, "user_id", "step", "v", shifts, 30).withColumnRenamed("v", "later")
-    return _round(resample.sliding(daily.join(later, ["user_id", "step"]), "step", 30, 5).drop("step"))
+    return lookup.own_shard(groups, "group", ranks, 1).select("s_suppkey", "group")
 
 
 @query("m7_mask_targets", "SELECT p_partkey AS target_id, (p_partkey % 50)::DOUBLE AS xmin, (p_partkey % 50 + 1)::DOUBLE AS xmax, (p_partkey // 50)::DOUBLE AS ymin, (p_partkey // 50 + 1)::DOUBLE AS ymax FROM part WHERE p_size > 40")
 def _(spark, sf):
     cells = _t(spark, sf, "part").where("p_size > 40").select(F.col("p_partkey").alias("target_id"), (F.col("p_partkey") % 50).alias("i"), F.expr("p_partkey div 50").alias("j"))
-    (a, b), (c, d) = _GRID.x.edges(F.col("i")), _GRID.y.edges(F.col("j"))
-    return cells.select("target_id", a.alias("xmin"), b.alias("xmax"), c.alias("ymin"), d.alias("ymax"))
+    return _GRID.frame(cells, "i", "j").drop("i", "j")
 
 
-@query("m10_plan_summary", "SELECT c_custkey AS target, CASE WHEN c_custkey % 3 = 0 THEN 'SET' ELSE 'ADD' END AS kind, count(*) AS steps FROM customer, (SELECT unnest([0, 1, 2]) AS i) WHERE i = 0 OR c_custkey % 3 <> 0 GROUP BY ALL")
+@query("m10_plan_summary", "SELECT row_number() OVER (ORDER BY c_nationkey, c_mktsegment, c_custkey % 3 <> 0, c_custkey) - 1 AS place, CAST(c_nationkey AS BIGINT) AS start_step, c_mktsegment AS name, CASE WHEN c_custkey % 3 = 0 THEN 'SET' ELSE 'ADD' END AS kind, c_acctbal AS x, 3 AS active_steps, c_custkey AS target FROM customer")
 def _(spark, sf):
     kind = F.when(F.col("c_custkey") % 3 == 0, "SET").otherwise("ADD")
-    plans = _t(spark, sf, "customer").select(F.col("c_custkey").alias("target"), F.col("c_nationkey").alias("start_step"), kind.alias("kind"), F.col("c_acctbal").alias("x"), F.lit(3).alias("active_steps"))
-    return parameters.expanded(plans).groupBy("target", "kind").agg(F.count("*").alias("steps"))
+    plans = _t(spark, sf, "customer").select(F.col("c_custkey").alias("target"), F.col("c_nationkey").cast("long").alias("start_step"), F.col("c_mktsegment").alias("name"), kind.alias("kind"), F.col("c_acctbal").alias("x"), F.lit(3).alias("active_steps"))
+    return parameters.summary(plans)
 
 
 @query("m13_missing_files", "SELECT strftime(h, '%Y%m%d') AS time_key FROM (SELECT unnest(generate_series(TIMESTAMP '2023-12-30', TIMESTAMP '2024-01-10', INTERVAL 1 DAY)) AS h) WHERE NOT EXISTS (SELECT 1 FROM events WHERE date_trunc('day', ts) = h)")
 def _(spark, sf):
-    needed = Schedule(datetime(2023, 12, 30), datetime(2024, 1, 11), HOURS(24)).frame(spark).select(tables.time_key(F.col("start"), "day").alias("time_key"))
-    there = _events(spark, sf).select(tables.time_key(F.col("ts"), "day").alias("time_key")).distinct()
-    return needed.join(there, "time_key", "left_anti")
+    needed = Schedule(datetime(2023, 12, 30), datetime(2024, 1, 11), HOURS(24)).frame(spark)
+    return tables.missing_keys(needed, _events(spark, sf), "day", "ts")
 
 
-@query("j1_managed_steps", f"SELECT user_id, round(sum(value) + 1e-7, 5) AS total, 29 AS last_step FROM events GROUP BY ALL")
+@query("j1_managed_steps", f"SELECT user_id, round(sum(value) + 1e-7, 5) AS total, CAST((SELECT max(date_diff('day', TIMESTAMP '2024-01-01', ts)) FROM events) AS INTEGER) AS last_step FROM events GROUP BY ALL")
 def _(spark, sf):
     from .streaming import windows
     from .streaming.steps import StepRunner
 
-    folder = f"{_shared(spark)}/steps-{_unique()}"
+    folder = scratch.new_path(spark, "steps")
     step = F.datediff("ts", F.lit(START.date())).cast("long")
-    for k in range(3):  # three files of ten whole steps each, in order
-        _events(spark, sf).withColumn("step", step).where(F.expr(f"step div 10 = {k}")).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    steps = _events(spark, sf).withColumn("step", step)
+    files = 2
+    for k in range(steps.agg(F.max("step")).first()[0] // 10 + 1):  # ten whole steps to a batch, in order, each in so many files
+        steps.where(F.expr(f"step div 10 = {k}")).repartition(files).write.mode("append").parquet(f"{folder}/in")
     initial = _events(spark, sf).select("user_id").distinct().withColumn("total", F.lit(0.0))
 
     def advance(state: DataFrame, batch: DataFrame) -> DataFrame:
@@ -964,7 +905,7 @@ def _(spark, sf):
         return state.join(added, "user_id", "left").select("user_id", (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"))
 
     runner = StepRunner(spark, folder, initial, advance)
-    source = windows.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema)
+    source = windows.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files)
     query_ = runner.run(source)
     return runner.state(query_.lastProgress["batchId"]).select("user_id", F.round(F.col("total") + 1e-7, 5).alias("total"), F.col("last_step").cast("int").alias("last_step"))
 
@@ -987,10 +928,9 @@ def _(spark, sf):
 
 @query("c16_first_frame_mask", f"WITH m AS ({_MAP_SQL}), v AS (SELECT m.*, p_size <= 40 AS ok FROM m JOIN part ON p_partkey = source), s AS (SELECT *, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN ok THEN weight END) OVER (PARTITION BY target_id) AS g FROM v), w AS (SELECT target_id, source, weight * a / g AS weight FROM s WHERE ok) SELECT t, target_id, round(sum(weight * x), 3) AS value FROM w JOIN ({_FRAMES_SQL}) USING (source) GROUP BY ALL")
 def _(spark, sf):
-    """Sources without a value in the first frame are taken out of the mapping."""
     size = _t(spark, sf, "part").select(F.col("p_partkey").alias("source"), "p_size")
     frames = _frames(spark, sf).join(size, "source").withColumn("x", F.when(F.col("p_size") > 40, F.lit(float("nan"))).otherwise(F.col("x")))
-    valid = frames.where("t = 0 AND NOT isnan(x)").select("source")
+    valid = mapping.first_frame_valid(frames, "t", "source", "x")
     out = mapping.apply_mapping(frames, mapping.with_source_mask(_weights(spark, sf), valid, _GRID, "drop"), "t", "source", "x")
     return out.withColumn("value", F.round("value", 3))
 
@@ -998,7 +938,7 @@ def _(spark, sf):
 @query("d15_point_mapping", "SELECT c_custkey AS target_id, CAST((c_custkey * 3 % 40) * 50 + c_custkey * 7 % 50 AS BIGINT) AS source, 1.0::DOUBLE AS weight FROM customer")
 def _(spark, sf):
     points = _t(spark, sf, "customer").select(F.col("c_custkey").alias("target_id"), (F.col("c_custkey") * 7 % 50 + 0.25).alias("x"), (F.col("c_custkey") * 3 % 40 + 0.75).alias("y"))
-    return _GRID.cells(points, "x", "y").select("target_id", "source", F.lit(1.0).alias("weight"))
+    return mapping.point_mapping(points, _GRID, "nearest")
 
 
 @query("d16_range_lookup", "SELECT event_id, name FROM events JOIN (SELECT unnest(['a', 'b', 'c']) AS name, unnest([TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-10', TIMESTAMP '2024-01-11 12:00:00']) AS s, unnest([TIMESTAMP '2024-01-05', TIMESTAMP '2024-01-11 12:00:00', TIMESTAMP '2024-01-29']) AS e) ON ts >= s AND ts < e")
@@ -1009,35 +949,32 @@ def _(spark, sf):
 
 @query("e7_levels", "SELECT label, level, round(avg(x) + 1e-9, 5) AS mean, round(max(x) + 1e-9, 5) AS max FROM (SELECT label, unnest(generate_series(0, len(embedding) - 1)) AS level, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL")
 def _(spark, sf):
-    levels = _t(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("level", "x")).withColumn("x", F.col("x").cast("double"))
-    return levels.groupBy("label", F.col("level").cast("long").alias("level")).agg(F.round(F.avg("x") + 1e-9, 5).alias("mean"), F.round(F.max("x") + 1e-9, 5).alias("max"))
+    held = scan.levels(_t(spark, sf, "embeddings").select("label", "embedding"), "embedding", "x")
+    return held.groupBy("label", "level").agg(F.round(F.avg("x") + 1e-9, 5).alias("mean"), F.round(F.max("x") + 1e-9, 5).alias("max"))
 
 
 @query("g1_best_samples", "SELECT user_id, k, value FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, ts) - 1 AS k FROM events) WHERE k < 5")
 def _(spark, sf):
-    order = Window.partitionBy("user_id").orderBy(F.desc("value"), "ts")
-    best = _events(spark, sf).withColumn("r", F.row_number().over(order)).where("r <= 5")
-    return best.select("user_id", (F.col("r") - 1).cast("long").alias("k"), "value")
+    return lookup.best_rows(_events(spark, sf), ["user_id"], "value", 5, ["ts"]).select("user_id", "k", "value")
 
 
-@query("h4_range_intersection", "SELECT event_type, greatest(min(ts), TIMESTAMP '2024-01-10') AS low, least(max(ts), TIMESTAMP '2024-01-20') AS high FROM events GROUP BY ALL")
+@query("h4_range_intersection", "SELECT event_type, CASE WHEN max(a) <= min(b) THEN max(a) END AS low, CASE WHEN max(a) <= min(b) THEN min(b) END AS high FROM (SELECT user_id, event_type, min(ts) AS a, max(ts) AS b FROM events GROUP BY ALL) GROUP BY ALL")
 def _(spark, sf):
-    at = lambda d: F.lit(datetime(2024, 1, d)).cast("timestamp_ntz")
-    return _events(spark, sf).groupBy("event_type").agg(F.greatest(F.min("ts"), at(10)).alias("low"), F.least(F.max("ts"), at(20)).alias("high"))
+    seen = _events(spark, sf).groupBy("user_id", "event_type").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    return lookup.range_intersection(seen, ["event_type"], "a", "b")
 
 
 @query("j15_output_after_spin_up", f"SELECT user_id, step - 10 AS step, round(sum(v) OVER (PARTITION BY user_id ORDER BY step), 5) AS total FROM ({_DAILY_SQL}) QUALIFY step >= 10")
 def _(spark, sf):
     running = F.sum("v").over(Window.partitionBy("user_id").orderBy("step"))
-    return _daily(spark, sf).withColumn("total", F.round(running, 5)).where("step >= 10").select("user_id", (F.col("step") - 10).alias("step"), "total")
+    return after_spin_up(_daily(spark, sf).withColumn("total", F.round(running, 5)), "step", 10).select("user_id", "step", "total")
 
 
 @query("m5_mapped_variables", f"SELECT target_id, round(sum(weight * p_retailprice), 4) AS price, round(sum(weight * p_size), 4) AS size FROM ({_MAP_SQL}) JOIN part ON p_partkey = source GROUP BY ALL")
 def _(spark, sf):
-    part = _t(spark, sf, "part").select(F.lit(0).alias("t"), F.col("p_partkey").alias("source"), "p_retailprice", F.col("p_size").cast("double").alias("p_size"))
-    weights = _weights(spark, sf)
-    one = lambda c, n: mapping.apply_mapping(part, weights, "t", "source", c).select("target_id", F.round("value", 4).alias(n))
-    return lookup.aligned(one("p_retailprice", "price"), [one("p_size", "size")], "target_id")
+    part = _t(spark, sf, "part").select(F.lit(0).alias("t"), F.col("p_partkey").alias("source"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    out = mapping.mapped_variables(part, _weights(spark, sf), "t", "source", ["price", "size"])
+    return out.select("target_id", F.round("price", 4).alias("price"), F.round("size", 4).alias("size"))
 
 
 @query("m9_set_value", "SELECT s_suppkey, CASE WHEN s_acctbal < 0 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal FROM supplier")
@@ -1048,17 +985,19 @@ def _(spark, sf):
 
 @query("m12_all_coordinates", "SELECT DISTINCT p_partkey // 40 AS x, p_partkey % 40 AS y FROM part")
 def _(spark, sf):
-    return results.unravelled(_t(spark, sf, "part"), "p_partkey", 40).select("x", "y").distinct()
+    parts = _t(spark, sf, "part").select("p_partkey")
+    return results.all_coordinates([parts.where(F.col("p_partkey") % 3 == k) for k in range(3)], "p_partkey", 40)
 
 
-@query("a3_raw_frames", f"SELECT CAST(t AS VARCHAR) AS file, source // 50 AS y, source % 50 AS x, round(CAST(x AS FLOAT)::DOUBLE / 10 + 1e-7, 4) AS value FROM ({_FRAMES_SQL}) WHERE source < 2000")
+@query("a3_raw_frames", f"SELECT CAST(t AS VARCHAR) AS file, source // 50 AS y, source % 50 AS x, round(CAST(x AS FLOAT)::DOUBLE / 10 + 1e-7, 4) AS value FROM ({_FRAMES_SQL})")
 def _(spark, sf):
     """Grids as raw bytes, and back."""
     from .sources import binary, mapping_table
 
-    inside = _frames(spark, sf).where("source < 2000").withColumn("source", F.col("source").cast("int"))
-    held = mapping_table.dense_frames(inside, "t", "source", "x", 2000, -9999.0)
-    cells = binary.decoded(held.select(F.col("t").cast("string").alias("path"), F.col("frame").alias("content")), 40, 50, factor=10.0)
+    frames = _frames(spark, sf).withColumn("source", F.col("source").cast("int"))
+    ny = -(-(frames.agg(F.max("source")).first()[0] + 1) // 50)
+    held = mapping_table.dense_frames(frames, "t", "source", "x", ny * 50, -9999.0)
+    cells = binary.decoded(held.select(F.col("t").cast("string").alias("path"), F.col("frame").alias("content")), ny, 50, factor=10.0)
     return cells.where("value > -999").select("file", "y", "x", F.round(F.col("value") + 1e-7, 4).alias("value"))
 
 
@@ -1078,12 +1017,248 @@ def _(spark, sf):
 
 @query("d19_gauges_by_point", f"SELECT n_nationkey, step, round(sum(v), 5) AS v FROM ({_DAILY_SQL}) JOIN customer ON c_custkey = user_id JOIN nation ON n_nationkey = c_nationkey GROUP BY ALL")
 def _(spark, sf):
-    at = _t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("n_nationkey"))
-    return _daily(spark, sf).join(at, "user_id").groupBy("n_nationkey", "step").agg(F.round(resample.nan_sum(F.col("v")), 5).alias("v"))
+    at = _t(spark, sf, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("point"))
+    gauges = _daily(spark, sf).join(at, "user_id").select("point", "step", F.col("v").alias("value"))
+    found = overlay.by_point(gauges, gauges.select(F.col("point").alias("gauge")).distinct())
+    return found.select(F.col("gauge").alias("n_nationkey"), "step", F.round("value", 5).alias("v"))
 
 
 @query("j4_strict_order", f"SELECT user_id, step FROM (SELECT user_id, step, lag(step) OVER (PARTITION BY user_id ORDER BY step) AS b FROM ({_DAILY_SQL})) WHERE step <> b + 1")
 def _(spark, sf):
-    """Steps that don't follow the one before."""
-    before = F.lag("step").over(Window.partitionBy("user_id").orderBy("step"))
-    return _daily(spark, sf).withColumn("b", before).where("step <> b + 1").select("user_id", "step")
+    return scan.not_following(_daily(spark, sf), ["user_id"], "step").select("user_id", "step")
+
+
+# --- overlays ----------------------------------------------------------------------------------------------------------
+
+#: Gauges are users, basins are users modulo 10; 24 steps from the fourth day on, windows of 5 steps every 3.
+_OFFSET, _STEPS, _LENGTH, _STRIDE, _LAST = 3, 24, 5, 3, 18
+_GAUGES_SQL = f"d AS ({_DAILY_SQL}), ax AS (SELECT min(step) AS lo, max(step) AS hi FROM d), u AS (SELECT DISTINCT user_id FROM d)"
+_SLOTS_SQL = f"(SELECT unnest(generate_series(0, {_LAST}, {_STRIDE})) AS window_start) CROSS JOIN (SELECT unnest(generate_series(0, {_LENGTH - 1})) AS o)"
+
+
+def _aligned_sql(pad: str) -> str:
+    """(user_id, t, v): every eleventh value is missing."""
+    return f"SELECT u.user_id, t, CASE WHEN t + {_OFFSET} NOT BETWEEN lo AND hi THEN {pad} WHEN (d.user_id + d.step) % 11 = 0 THEN NULL ELSE d.v END AS v FROM u CROSS JOIN (SELECT unnest(generate_series(0, {_STEPS - 1})) AS t) CROSS JOIN ax LEFT JOIN d ON d.user_id = u.user_id AND d.step = t + {_OFFSET}"
+
+
+_INFLOW_SQL = f"WITH {_GAUGES_SQL}, g AS ({_aligned_sql('0')}), i AS (SELECT user_id, t, t - row_number() OVER (PARTITION BY user_id ORDER BY t) AS k FROM g WHERE v IS NOT NULL), r AS (SELECT user_id, min(t) AS s, count(*) AS n FROM i GROUP BY user_id, k), b AS (SELECT user_id, arg_max(s, (n, -s)) AS s, max(n) AS n FROM r GROUP BY user_id), basins AS (SELECT user_id % 10 AS basin, max(s) AS shift, greatest(0, min(s + n) - max(s)) AS length FROM b GROUP BY 1), f AS (SELECT user_id, t, CASE WHEN t >= shift AND t < shift + length THEN coalesce(v, 0) ELSE 0 END AS v, coalesce(shift, 0) AS shift, coalesce(length, 0) AS length FROM g LEFT JOIN basins ON basin = user_id % 10)"
+_LOSS_SQL = f"l AS (SELECT h.user_id, t, v, coalesce(shift, 0) AS shift FROM ({_aligned_sql('NULL')}) h LEFT JOIN basins ON basin = user_id % 10)"
+
+
+def _gauges(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(point, step, value) with NaN where missing, and (gauge, basin)."""
+    daily = _daily(spark, sf)
+    value = F.when((F.col("user_id") + F.col("step")) % 11 == 0, F.lit(float("nan"))).otherwise(F.col("v"))
+    points = daily.select(F.col("user_id").alias("gauge"), (F.col("user_id") % 10).alias("basin")).distinct()
+    return daily.select(F.col("user_id").alias("point"), "step", value.alias("value")), points
+
+
+@query("m1_gauge_overlay", _INFLOW_SQL + " SELECT user_id AS gauge, t AS step, round(v, 6) AS value, CAST(shift AS BIGINT) AS shift, CAST(length AS BIGINT) AS length FROM f")
+def _(spark, sf):
+    return _round(overlay.inflow(*_gauges(spark, sf), _OFFSET, _STEPS)[0])
+
+
+@query("m1_shifted_reads", _INFLOW_SQL + f" SELECT window_start, u.user_id AS gauge, o AS \"offset\", round(coalesce(f.v, 0), 6) AS value FROM u CROSS JOIN {_SLOTS_SQL} LEFT JOIN f ON f.user_id = u.user_id AND f.t = window_start + o + f.shift")
+def _(spark, sf):
+    flows, _ = overlay.inflow(*_gauges(spark, sf), _OFFSET, _STEPS)
+    return _round(overlay.read_windows(flows, _LAST, _LENGTH, 0.0, _STRIDE))
+
+
+@query("m2_loss_overlay", _INFLOW_SQL + ", " + _LOSS_SQL + " SELECT user_id AS gauge, t AS step, round(v, 6) AS value, CAST(shift AS BIGINT) AS shift FROM l")
+def _(spark, sf):
+    gauges, points = _gauges(spark, sf)
+    return _round(overlay.loss(gauges, points, overlay.inflow(gauges, points, _OFFSET, _STEPS)[1], _OFFSET, _STEPS))
+
+
+@query("m3_overlay_alignment", f"WITH {_GAUGES_SQL} SELECT u.user_id AS gauge, t AS step, CASE WHEN t - 4 NOT BETWEEN lo AND hi THEN -1.0 ELSE round(d.v, 6) END AS value FROM u CROSS JOIN (SELECT unnest(generate_series(0, 19)) AS t) CROSS JOIN ax LEFT JOIN d ON d.user_id = u.user_id AND d.step = t - 4")
+def _(spark, sf):
+    gauges = _daily(spark, sf).select(F.col("user_id").alias("gauge"), "step", F.col("v").alias("value"))
+    return _round(overlay.aligned_steps(gauges, -4, 20, -1.0))
+
+
+@query("m4_windowed_overlays", _INFLOW_SQL + ", " + _LOSS_SQL + f" SELECT window_start, u.user_id AS gauge, o AS \"offset\", round(coalesce(d.v, 0), 6) AS value, round(coalesce(f.v, 0), 6) AS inflow, round(l.v, 6) AS loss FROM u CROSS JOIN {_SLOTS_SQL} LEFT JOIN d ON d.user_id = u.user_id AND d.step = window_start + o LEFT JOIN f ON f.user_id = u.user_id AND f.t = window_start + o + f.shift LEFT JOIN l ON l.user_id = u.user_id AND l.t = window_start + o + l.shift")
+def _(spark, sf):
+    gauges, points = _gauges(spark, sf)
+    flows, basins = overlay.inflow(gauges, points, _OFFSET, _STEPS)
+    losses = overlay.loss(gauges, points, basins, _OFFSET, _STEPS)
+    source = _daily(spark, sf).select(F.col("user_id").alias("gauge"), "step", F.col("v").alias("value"))
+    return _round(overlay.with_overlays(source, {"inflow": (flows, 0.0), "loss": (losses, None)}, _LAST, _LENGTH, _STRIDE))
+
+
+# --- scans in one call, grids ------------------------------------------------------------------------------------------
+
+
+@query("a1_scan", "WITH h AS (SELECT user_id, time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS t, CASE WHEN count(*) % 3 = 0 THEN NULL ELSE sum(value) - 200 END AS v FROM events GROUP BY ALL) SELECT user_id, date_trunc('day', t)::TIMESTAMP AS time, round(max(greatest(coalesce(v, 0), 0)) / 1000, 6) AS value FROM h WHERE t >= TIMESTAMP '2024-01-05' AND t < TIMESTAMP '2024-01-20' GROUP BY ALL")
+def _(spark, sf):
+    rows = _events(spark, sf).groupBy("user_id", IntervalWindow(HOURS(6)).start(F.col("ts")).alias("t")).agg(F.when(F.count("*") % 3 == 0, F.lit(float("nan"))).otherwise(F.sum("value") - 200).alias("v"))
+    return _round(scan.scan(rows, ["user_id"], "t", "v", datetime(2024, 1, 5), datetime(2024, 1, 19), HOURS(6), factor=1000.0, clip=True, how="max", width=HOURS(24)))
+
+
+@query("a2_accumulated_scan", "WITH h AS (SELECT user_id, date_trunc('hour', ts)::TIMESTAMP AS t, sum(value) AS v FROM events GROUP BY ALL) SELECT user_id, t AS time, round(v / 3.6, 6) AS value FROM h WHERE t BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-19 23:00:00'")
+def _(spark, sf):
+    hours = _events(spark, sf).groupBy("user_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("h")).agg(F.sum("value").alias("v"))
+    total = F.sum("v").over(Window.partitionBy("user_id", F.date_trunc("day", "h")).orderBy("h"))
+    totals = hours.select("user_id", F.timestamp_add("HOUR", F.lit(1), F.col("h")).cast("timestamp_ntz").alias("t"), total.alias("total"))
+    return _round(scan.scan(totals, ["user_id"], "t", "total", datetime(2024, 1, 5), datetime(2024, 1, 19, 23), HOURS(1), factor=3.6, accumulated=True))
+
+
+@query("a4_point_series", "SELECT o_custkey % 7 AS point, CAST(date_trunc('year', o_orderdate) AS TIMESTAMP) AS t, round(sum(o_totalprice), 3) AS v FROM orders GROUP BY ALL")
+def _(spark, sf):
+    held = _t(spark, sf, "orders").groupBy((F.col("o_custkey") % 7).alias("point"), YEAR.start(F.col("o_orderdate")).alias("t")).agg(F.round(F.sum("o_totalprice"), 3).alias("v"))
+    return scan.require_shape(held, "t", "point", "v")
+
+
+_PIXEL_SQL = "SELECT l_linenumber AS tile, l_partkey % 60 AS ix, l_suppkey % 60 AS iy, l_orderkey % 24 - 2 AS cx, l_quantity::BIGINT % 20 AS cy, l_extendedprice AS area FROM lineitem"
+
+
+@query("a9_tile_pixels", f"WITH t AS (SELECT k AS tile, (k * 10 - 40)::DOUBLE AS w, (k * 5)::DOUBLE AS n FROM (SELECT unnest(generate_series(1, 7)) AS k)), p AS ({_PIXEL_SQL}), c AS (SELECT * FROM t JOIN p USING (tile) WHERE ix >= greatest(round((-12.0 - w) / 0.5), 0) AND ix < least(round((18.0 - w) / 0.5), 60) AND iy >= greatest(round((n - 21.0) / 0.5), 0) AND iy < least(round((n + 7.0) / 0.5), 60) AND cx > 0) SELECT CAST((cx - 3) * 12 + cy - 2 AS BIGINT) AS pixel_target, round((w + (ix + 0.5) * 0.5)::DOUBLE, 6) AS x, round((n - (iy + 0.5) * 0.5)::DOUBLE, 6) AS y, count(*) AS pixels, round(sum(area), 3) AS area FROM c WHERE cx - 3 BETWEEN 0 AND 14 AND cy - 2 BETWEEN 0 AND 11 GROUP BY ALL")
+def _(spark, sf):
+    tiles = spark.createDataFrame([(k, k * 10.0 - 40, k * 5.0, 0.5, 60, 60) for k in range(1, 8)], "tile int, tile_west double, tile_north double, size double, nix int, niy int")
+    pixels = _t(spark, sf, "lineitem").select(F.col("l_linenumber").alias("tile"), (F.col("l_partkey") % 60).alias("ix"), (F.col("l_suppkey") % 60).alias("iy"), (F.col("l_orderkey") % 24 - 2).alias("cx"), (F.col("l_quantity").cast("long") % 20).alias("cy"), F.col("l_extendedprice").alias("area"))
+    found = mapping.tile_pixels(pixels, tiles, -12.0, 18.0, -7.0, 21.0, 15, 12, (2, 1))
+    return found.groupBy("pixel_target", F.round("x", 6).alias("x"), F.round("y", 6).alias("y")).agg(F.count("*").alias("pixels"), F.round(F.sum("area"), 3).alias("area"))
+
+
+@query("a11_discovered_grid", "WITH c AS (SELECT p_partkey % 25 AS ix, p_partkey // 25 % 8 AS iy, 10 + 0.4::DOUBLE * (p_partkey % 25) AS x, -4 + 0.5::DOUBLE * (p_partkey // 25 % 8) AS y FROM part) SELECT CAST(count(DISTINCT ix) AS BIGINT) AS nx, CAST(count(DISTINCT iy) AS BIGINT) AS ny, round(min(x) - 0.2, 6) AS west, round(max(x) + 0.2, 6) AS east, round(min(y) - 0.25, 6) AS south, round(max(y) + 0.25, 6) AS north FROM c")
+def _(spark, sf):
+    cells = _t(spark, sf, "part").select((F.col("p_partkey") % 25).alias("ix"), F.expr("p_partkey div 25 % 8").alias("iy"))
+    held = cells.select("ix", "iy", (F.col("ix") * 0.4 + 10).alias("Longitude"), (F.col("iy") * 0.5 - 4).alias("LAT"))
+    g = mapping.Grid.from_coordinates(held)
+    return _round(spark.createDataFrame([(g.x.n, g.y.n, g.x.low, g.x.high, g.y.low, g.y.high)], "nx long, ny long, west double, east double, south double, north double"))
+
+
+@query("a14_map_shape", "SELECT count(DISTINCT n_regionkey) AS nx, max(n_nationkey)::BIGINT AS ny FROM nation")
+def _(spark, sf):
+    regions, last = _t(spark, sf, "nation").agg(F.count_distinct("n_regionkey"), F.max("n_nationkey")).first()
+    rows = [("dimension", "x", 0, 3), ("dimension", "y", 0, 4), ("variable", "nx", 0, 8), ("attribute", "map_shape", 0, 5), ("attribute", "map_shape", 1, 6), ("variable", "map_shape", 0, regions), ("variable", "map_shape", 1, last)]
+    return scan.map_shape(spark.createDataFrame(rows, "kind string, name string, position int, value long"))
+
+
+@query("d15_point_overlap", "WITH p AS (SELECT c_custkey AS target_id, c_custkey * 7 % 45 + 2.25 - 0.75 AS x0, c_custkey * 3 % 35 + 2.75 - 0.75 AS y0 FROM customer), c AS (SELECT i, j FROM (SELECT unnest(generate_series(0, 49)) AS i), (SELECT unnest(generate_series(0, 39)) AS j)), o AS (SELECT target_id, CAST(j * 50 + i AS BIGINT) AS source, (least(x0 + 1.5, i + 1) - greatest(x0, i)) * (least(y0 + 1.5, j + 1) - greatest(y0, j)) AS weight FROM p JOIN c ON i < x0 + 1.5 AND i + 1 > x0 AND j < y0 + 1.5 AND j + 1 > y0) SELECT target_id, source, round((weight / sum(weight) OVER (PARTITION BY target_id))::DOUBLE, 6) AS weight FROM o WHERE weight > 0")
+def _(spark, sf):
+    points = _t(spark, sf, "customer").select(F.col("c_custkey").alias("target_id"), (F.col("c_custkey") * 7 % 45 + 2.25).alias("x"), (F.col("c_custkey") * 3 % 35 + 2.75).alias("y"))
+    return _round(mapping.point_mapping(points, _GRID, "overlap", 1.5))
+
+
+_REPAIR_SQL = "m AS (SELECT l_suppkey AS target_id, CAST((l_suppkey * 7 % 45 + l_linenumber % 3) + 50 * (l_suppkey * 3 % 35) AS BIGINT) AS source, sum(l_quantity) AS weight FROM lineitem GROUP BY ALL), v AS (SELECT s AS source, s % 50 AS x, s // 50 AS y FROM (SELECT unnest(generate_series(0, 1999)) AS s) WHERE s % 3 = 1 AND s // 50 % 4 = 0), k AS (SELECT m.target_id, m.source, weight, v.source IS NOT NULL AS ok, sum(weight) OVER t AS a, sum(CASE WHEN v.source IS NOT NULL THEN weight END) OVER t AS g FROM m LEFT JOIN v USING (source) WINDOW t AS (PARTITION BY target_id)), e AS (SELECT target_id, max(a) AS a, round_even(sum(weight * (source % 50)) / sum(weight), 0) AS cx, round_even(sum(weight * (source // 50)) / sum(weight), 0) AS cy FROM k WHERE g IS NULL GROUP BY target_id), n AS (SELECT target_id, v.source, a FROM e, v QUALIFY row_number() OVER (PARTITION BY target_id ORDER BY greatest(abs(x - cx), abs(y - cy)), (x - cx) ** 2 + (y - cy) ** 2, CASE WHEN abs(y - cy) >= abs(x - cx) THEN CASE WHEN y <= cy THEN 0 ELSE 1 END ELSE CASE WHEN x < cx THEN 2 ELSE 3 END END, CASE WHEN abs(y - cy) >= abs(x - cx) THEN x ELSE y END) = 1)"
+
+
+@query("c12_repaired_mask", f"WITH {_REPAIR_SQL} SELECT target_id, source, round(weight * a / g, 6) AS weight FROM k WHERE ok UNION ALL SELECT target_id, source, round(a, 6) FROM n")
+def _(spark, sf):
+    at = F.col("l_suppkey") * 7 % 45 + F.col("l_linenumber") % 3 + 50 * (F.col("l_suppkey") * 3 % 35)
+    weights = _t(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("target_id"), at.cast("long").alias("source")).agg(F.sum("l_quantity").alias("weight"))
+    valid = spark.range(2000).where("id % 3 = 1 AND id div 50 % 4 = 0").withColumnRenamed("id", "source")
+    return _round(mapping.with_source_mask(weights, valid, _GRID, "nearest"))
+
+
+@query("m6_generated_local_mapping", "WITH m AS (SELECT l_suppkey AS target_id, CAST((l_partkey % 40) * 50 + l_orderkey % 50 AS BIGINT) AS source, sum(l_quantity) AS weight FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE s_acctbal > 0 GROUP BY ALL), k AS (SELECT *, source % 5 <> 0 AS ok, sum(weight) OVER (PARTITION BY target_id) AS a, sum(CASE WHEN source % 5 <> 0 THEN weight END) OVER (PARTITION BY target_id) AS g FROM m) SELECT CAST(dense_rank() OVER (ORDER BY target_id) - 1 AS BIGINT) AS position, target_id, source, round(weight * a / g, 6) AS weight FROM k WHERE ok AND target_id % 4 = 0")
+def _(spark, sf):
+    from .sources import mapping_table
+
+    pixels = _t(spark, sf, "lineitem").select(F.col("l_suppkey").alias("pixel_target"), (F.col("l_orderkey") % 50 + 0.5).alias("x"), (F.col("l_partkey") % 40 + 0.5).alias("y"), F.col("l_quantity").alias("area"))
+    targets = _t(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_suppkey").alias("target_id"))
+    frame = spark.range(2000).select(F.lit(0).alias("t"), F.col("id").alias("source"), F.when(F.col("id") % 5 == 0, F.lit(float("nan"))).otherwise(1.0).alias("x"))
+    path = scratch.new_path(spark, "generated")
+    mapping_table.save_mapping(mapping.generated(pixels, targets, _GRID, "drop", mapping.first_frame_valid(frame, "t", "source", "x")), path)
+    held = mapping_table.load_mapping(spark, path, 2000)
+    axes = spark.range(50).select((F.col("id") + 0.5).alias("x"), (F.col("id") % 40 + 0.5).alias("y"))
+    wanted = lookup.with_positions(held.where("target_id % 4 = 0").select("target_id").distinct(), "target_id")
+    return _round(mapping.local_for(held, _GRID, mapping.Grid.from_coordinates(axes, geographic=False), wanted).select("position", "target_id", "source", "weight"))
+
+
+# --- schedules, contracts, flags ---------------------------------------------------------------------------------------
+
+
+@query("f14_explicit_schedule", "WITH s AS (SELECT n_nationkey AS step, n_nationkey * 6 AS a, n_nationkey * 6 + CASE WHEN n_nationkey % 7 = 3 THEN 0 WHEN n_nationkey % 5 = 2 THEN 8 ELSE 5 END AS e FROM nation WHERE n_nationkey <> 13) SELECT CAST(step AS BIGINT) AS step, CASE WHEN step <> coalesce(lag(step) OVER (ORDER BY step) + 1, 0) THEN 'index' WHEN a >= e THEN 'empty' WHEN a < lag(e) OVER (ORDER BY step) THEN 'overlap' END AS problem FROM s QUALIFY problem IS NOT NULL")
+def _(spark, sf):
+    at = lambda h: F.timestamp_add("HOUR", h, F.lit(START).cast("timestamp_ntz")).cast("timestamp_ntz")
+    n = F.col("n_nationkey").cast("int")
+    long = F.when(n % 7 == 3, 0).when(n % 5 == 2, 8).otherwise(5)
+    return schedule_problems(_t(spark, sf, "nation").where("n_nationkey <> 13").select(n.cast("long").alias("step"), at(n * 6).alias("start"), at(n * 6 + long).alias("end")))
+
+
+@query("f16_agreed_contract", "SELECT TIMESTAMP '2024-01-01' + INTERVAL (min(r_regionkey)) DAY AS start, 86400.0::DOUBLE AS seconds, count(*) AS count FROM region")
+def _(spark, sf):
+    days = lambda df, c: df.select(F.timestamp_add("DAY", c.cast("int"), F.lit(START).cast("timestamp_ntz")).cast("timestamp_ntz").alias("t"))
+    sources = {"region": days(_t(spark, sf, "region"), F.col("r_regionkey")), "nation": days(_t(spark, sf, "nation"), F.col("n_regionkey"))}
+    found = agreed({name: Contract.of(df, "t") for name, df in sources.items()})
+    return spark.createDataFrame([(found.start, found.interval.total_seconds(), found.count)], "start timestamp_ntz, seconds double, count long")
+
+
+@query("m14_step_counts", "SELECT date_diff('day', min(d), max(d)) + 1 AS main, 3 * 5 AS spin_up, date_diff('day', min(d), max(d)) + 1 + 3 * 5 AS total FROM (SELECT date_trunc('day', ts) AS d FROM events)")
+def _(spark, sf):
+    low, high = _events(spark, sf).select(DAY.start(F.col("ts")).alias("d")).agg(F.min("d"), F.max("d")).first()
+    return spark.createDataFrame([step_counts(low, high, HOURS(24), (low, low + HOURS(96), 3))], "main long, spin_up long, total long")
+
+
+@query("c13_output_start", "SELECT event_id, ts FROM events WHERE ts >= TIMESTAMP '2024-01-11'")
+def _(spark, sf):
+    steps = _events(spark, sf).withColumn("step", F.datediff("ts", F.lit(START.date())))
+    return after_spin_up(steps, "step", 10).select("event_id", "ts")
+
+
+@query("m15_open_windows", f"WITH a AS ({_inner_sql(kinds=('mean', 'sum'))}) SELECT user_id, outer_start, max(i) AS time, count(*) AS n_inner, round(max(mean_), 6) AS max_mean, round(sum(sum_), 6) AS sum_sum FROM a WHERE outer_start + INTERVAL 5 DAY > TIMESTAMP '2024-01-17 06:00:00' GROUP BY ALL")
+def _(spark, sf):
+    return _round(statistics.open_windows(_events(spark, sf), ["user_id"], "ts", "value", DAY, _FIVE, ["max_mean", "sum_sum"], datetime(2024, 1, 17, 6)))
+
+
+@query("j3_manual_flags", f"WITH d AS ({_DAILY_SQL}), f AS (SELECT *, step % 3 = 0 AS a, step % 9 = 0 AS b FROM d), w AS (SELECT *, sum(a::INT) OVER p - first_value(a::INT) OVER p AS \"inner\", sum(b::INT) OVER p - first_value(b::INT) OVER p AS \"outer\" FROM f WINDOW p AS (PARTITION BY user_id ORDER BY step ROWS UNBOUNDED PRECEDING)) SELECT user_id, CAST(\"outer\" AS BIGINT) AS \"outer\", round(max(m), 6) AS max_mean FROM (SELECT user_id, \"outer\", \"inner\", avg(v) AS m FROM w GROUP BY ALL) GROUP BY ALL")
+def _(spark, sf):
+    s = F.col("step")
+    flags = _daily(spark, sf).withColumns({"first": s % 3 == 0, "last": s % 3 == 2, "outer_first": s % 9 == 0, "outer_last": s % 9 == 8})
+    held = statistics.manual_windows(flags.withColumn("last", F.col("last") | F.col("outer_first")), ["user_id"], "step")
+    low = held.groupBy("user_id", "outer", "inner").agg(F.avg("v").alias("m"))
+    return _round(low.groupBy("user_id", "outer").agg(F.max("m").alias("max_mean")))
+
+
+# --- results, state, streams -------------------------------------------------------------------------------------------
+
+
+@query("b6_results", f"SELECT 'kept' AS name, CAST(k AS BIGINT) AS time_index, user_id, round(sum(v * (k + 1)), 5) AS total FROM ({_DAILY_SQL}), (SELECT unnest([0, 1]) AS k) GROUP BY k, user_id UNION ALL SELECT 'popped', NULL, user_id, round(sum(v) * 3, 5) FROM ({_DAILY_SQL}) GROUP BY user_id")
+def _(spark, sf):
+    held = results.Results(spark)
+    total = _daily(spark, sf).groupBy("user_id").agg(F.sum("v").alias("v"))
+    for k in range(3):
+        held.put("total", total.select("user_id", F.round(F.col("v") * (k + 1), 5).alias("total")))
+    popped = held.pop("total").select(F.lit("popped").alias("name"), F.lit(None).cast("long").alias("time_index"), "user_id", "total")
+    return held.get("total").select(F.lit("kept").alias("name"), "time_index", "user_id", "total").unionByName(popped)
+
+
+@query("j5_bundled_sources", "SELECT 'events' AS source, user_id AS key, count(*) AS n FROM events GROUP BY ALL UNION ALL SELECT 'orders', o_custkey, count(*) FROM orders GROUP BY ALL")
+def _(spark, sf):
+    from .streaming import steps, windows
+
+    folder = scratch.new_path(spark, "bundle")
+    _events(spark, sf).select(F.col("user_id").alias("key")).write.parquet(f"{folder}/events")
+    _t(spark, sf, "orders").select(F.col("o_custkey").alias("key")).write.parquet(f"{folder}/orders")
+    streams = {name: windows.file_stream(spark, f"{folder}/{name}", "key long") for name in ("events", "orders")}
+    windows.run_to_table(steps.bundled(streams), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").groupBy("source", "key").agg(F.count("*").alias("n"))
+
+
+@query("j8_prepared_tables", f"SELECT a.user_id, round(a.v / b.m, 6) AS share FROM (SELECT user_id, sum(v) AS v FROM ({_DAILY_SQL}) GROUP BY ALL) a, (SELECT avg(v) AS m FROM (SELECT user_id, sum(v) AS v FROM ({_DAILY_SQL}) GROUP BY ALL)) b")
+def _(spark, sf):
+    from .streaming.steps import Prepared
+
+    prepared = Prepared()
+    total = lambda: prepared.get("total", lambda: _daily(spark, sf).groupBy("user_id").agg(F.sum("v").alias("v")))
+    mean = total().agg(F.avg("v")).first()[0]
+    return _round(total().select("user_id", (F.col("v") / mean).alias("share")))
+
+
+@query("j10_checked_state", "SELECT c_custkey, c_mktsegment, round(c_acctbal, 6) AS c_acctbal FROM customer")
+def _(spark, sf):
+    from .sources import state
+
+    path = scratch.new_path(spark, "state")
+    state.save_state(_t(spark, sf, "customer").select("c_custkey", "c_acctbal"), path, step="29")
+    now = _t(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    return _round(state.load_state(spark, path, now, "c_custkey"))
+
+
+@query("k5_named_values", "SELECT l_orderkey, l_linenumber, round((l_quantity - m) / (t - m) + 1e-9, 5) AS v FROM lineitem, (SELECT avg(l_quantity) AS m, max(l_quantity * 2) AS t FROM lineitem)")
+def _(spark, sf):
+    items = _t(spark, sf, "lineitem")
+    known = expressions.constants(items, {"middle": "mean(l_quantity)", "top": "max(l_quantity * 2)"})
+    out = expressions.with_virtual(items, {**known, "v": "(l_quantity - middle) / (top - middle)"})
+    return out.select("l_orderkey", "l_linenumber", F.round(F.col("v") + 1e-9, 5).alias("v"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,24 +29,29 @@ def dense_frames(df: DataFrame, time: str, index: str, value: str, size: int, fi
     """(time, frame): each time's grid as raw bytes, ``fill`` where there is no value. A frame is of a fixed size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, frame = object(), None
-        out: list[tuple] = []
+        now, frame, kind = None, None, None
+
+        def whole() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([frame.tobytes()], pa.binary())], [time, "frame"])
+
         for batch in batches:
-            for t, i, v in zip(*(c.to_pylist() for c in batch.columns)):
-                if t != now:
+            kind = batch.schema.field(0).type
+            times, at = batch.column(0), batch.column(1).to_numpy(zero_copy_only=False)
+            values = batch.column(2).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            if len(at) and not (0 <= at.min() and at.max() < size):
+                raise ValueError(f"{index} {at.min()} to {at.max()} are not in a grid of {size}")
+            runs = pc.run_end_encode(times)  # rows are sorted by time
+            begin = 0
+            for end, t in zip(runs.run_ends.to_pylist(), runs.values.to_pylist()):
+                if frame is None or t != now:
                     if frame is not None:
-                        out.append((now, frame.tobytes()))
+                        yield whole()
                     now, frame = t, np.full(size, fill, dtype)
-                if not 0 <= i < size:
-                    raise ValueError(f"{index} {i} is not in a grid of {size}")
-                if v is not None and np.isfinite(v):
-                    frame[i] = v
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in out], batch.schema.field(0).type), pa.array([b for _, b in out], pa.binary())], [time, "frame"])
-                kind, out = batch.schema.field(0).type, []
-            kind = batch.schema.field(0).type
+                there = np.isfinite(values[begin:end])
+                frame[at[begin:end][there]] = values[begin:end][there]
+                begin = end
         if frame is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([now], kind), pa.array([frame.tobytes()], pa.binary())], [time, "frame"])
+            yield whole()
 
     rows = df.select(time, index, value).repartition(time).sortWithinPartitions(time, index)
     return rows.mapInArrow(run, f"{time} {dict(df.dtypes)[time]}, frame binary")

@@ -51,3 +51,9 @@ def check_ranks(df: DataFrame, n_ranks: int, time: str, point: str) -> DataFrame
     if shared := df.groupBy(point).agg(F.count_distinct("rank").alias("n")).where("n > 1").limit(5).collect():
         raise IntegrityError(f"points of several ranks: {[r[0] for r in shared]}")
     return df
+
+
+def missing_keys(needed: DataFrame, there: DataFrame, kind: str, time: str, needed_time: str = "start") -> DataFrame:
+    """(time_key): the keys of the needed times under which the table has nothing."""
+    wanted = needed.select(time_key(F.col(needed_time), kind).alias("time_key")).distinct()
+    return wanted.join(there.select(time_key(F.col(time), kind).alias("time_key")).distinct(), "time_key", "left_anti")

@@ -6,6 +6,8 @@ from meander.queries import QUERIES, SQL
 from .comparing import oracle, same
 
 SF = "/root/testdata/sf0.001"
+#: Queries whose result changes its kind with the size of the tables (grids, ranges, rounds) are compared on more of them, too.
+LARGER = ("a3_raw_frames", "b11_dense_frames", "c12_repaired_mask", "c5_selection_order", "d12_nearest_valid_cell", "e3_max3_mean", "e1_single_level", "i3_grid", "i10_fingerprints", "m1_gauge_overlay", "m4_windowed_overlays", "j1_managed_steps")
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +20,11 @@ def test_query(spark, con, name):
     same(QUERIES[name](spark, SF), con, SQL[name])
 
 
+@pytest.mark.parametrize("name", LARGER)
+def test_query_on_more_rows(spark, name):
+    same(QUERIES[name](spark, "/root/testdata/sf0.01"), oracle("/root/testdata/sf0.01"), SQL[name])
+
+
 def test_entry_imports_without_the_optional_subpackage():
     import subprocess
     import sys
