@@ -135,3 +135,27 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = dedup_lines(rows)
     new = {"text": F.col("text"), "n_chars": F.length(F.coalesce("text", F.lit(""))).cast(dict(docs.dtypes).get("n_chars", "long"))}
     return out.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
+#: Lines that share half of their characters are compared character by character. Documents are taken to have distinct ids.
+ORACLE_SQL = """
+WITH l AS (
+  SELECT doc_id, pos, line, lower(trim(line, ' ')) AS t
+  FROM (SELECT doc_id, unnest(range(len(x))) AS pos, unnest(x) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents WHERE text IS NOT NULL))
+), f AS (SELECT t, min((doc_id, pos)) AS place, length(t) AS n FROM l WHERE t <> '' GROUP BY t
+), h AS (
+  SELECT t, place, n, m, side, CASE side WHEN 0 THEN left(t, m // 2) ELSE right(t, m - m // 2) END AS half
+  FROM (SELECT *, unnest([n, n - 1]) AS m FROM f), (SELECT unnest([0, 1]) AS side)
+), pairs AS (
+  SELECT DISTINCT a.place, a.t, b.t AS u FROM h a JOIN h b ON a.m = b.m AND a.side = b.side AND a.half = b.half AND b.place < a.place AND abs(a.n - b.n) <= 1
+), chars AS (
+  SELECT place, regexp_extract_all(CASE WHEN length(t) <= length(u) THEN t ELSE u END, '(?s).') AS s, regexp_extract_all(CASE WHEN length(t) <= length(u) THEN u ELSE t END, '(?s).') AS g FROM pairs
+), first AS (SELECT place, s, g, coalesce(nullif(list_position([z[1] IS DISTINCT FROM z[2] FOR z IN list_zip(s, g)], true), 0), len(s) + 1) AS p FROM chars
+), gone AS (SELECT DISTINCT place FROM first WHERE s[p + CASE WHEN len(s) = len(g) THEN 1 ELSE 0 END:] = g[p + 1:]
+), kept AS (SELECT place FROM f ANTI JOIN gone USING (place)
+), marked AS (SELECT l.*, t <> '' AS compared, kept.place IS NOT NULL AS stays FROM l LEFT JOIN kept ON kept.place = (l.doc_id, l.pos)
+), texts AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (stays OR NOT compared) AS text, count(*) FILTER (compared) AS n_lines, count(*) FILTER (stays) AS n_kept FROM marked GROUP BY doc_id
+)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(x.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_kept, 0) AS n_kept
+FROM documents d LEFT JOIN texts x ON x.doc_id = d.doc_id"""

@@ -25,4 +25,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL}
+    found = {"op1_decontaminate": decontaminate.ORACLE_SQL, "op4_line_dedup": line_dedup.ORACLE_SQL, "op5_minhash_dedup": minhash_dedup.ORACLE_SQL}
+    return found | {"op6_url_filter": url_filter.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op10_chat_format": chat_format.ORACLE_SQL}

@@ -2,37 +2,15 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words are runs of anything but these six ASCII characters.
-WORD_GAP = r"[ \t\n\x0B\f\r]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only if unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or _own_dir(spark.sparkContext.applicationId)).rstrip("/")
-
+from ..sources.scratch import new_path, saved
 
-@functools.cache
-def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-meander-")
+__all__ = ["WORD_GAP", "held_out", "new_path", "saved", "table", "words"]
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/meander/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Words are runs of anything but these six ASCII characters.
+WORD_GAP = r"[ \t\n\x0B\f\r]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -249,8 +249,9 @@ def test_leaks_in_passes(spark, monkeypatch):
     assert clean.count() == docs.count() - len({r.doc_id for r in whole})
 
 
-def test_leaks_query(spark):
-    same(decontaminate.query(spark, "/root/testdata/sf0.01"), oracle("/root/testdata/sf0.01"), decontaminate.ORACLE_SQL)
+@pytest.mark.parametrize("module", [decontaminate, line_dedup, minhash_dedup])
+def test_query_against_duckdb(spark, module):
+    same(module.query(spark, "/root/testdata/sf0.01"), oracle("/root/testdata/sf0.01"), module.ORACLE_SQL)
 
 
 def test_hamming_blocks_miss_nothing():
