@@ -114,6 +114,18 @@ def with_virtual(df: DataFrame, virtual: Mapping[str, str]) -> DataFrame:
     return df.withColumns({name: column(name, ()) for name in virtual})
 
 
+def dependency_order(virtual: Mapping[str, str]) -> list[str]:
+    """The virtual names so that each comes after those it uses, else in alphabetical order; a circle is an error."""
+    needs = {name: names(text) & virtual.keys() for name, text in virtual.items()}
+    out: list[str] = []
+    while len(out) < len(needs):
+        ready = sorted(n for n, used in needs.items() if n not in out and used <= set(out))
+        if not ready:
+            raise ExpressionError(f"circular: {sorted(set(needs) - set(out))}")
+        out.append(ready[0])
+    return out
+
+
 def constants(df: DataFrame, named: Mapping[str, str]) -> dict[str, str]:
     """Values computed once over ``df``, as expressions to be used by name: ``{"top": "max(depth)"}`` gives ``{"top": "3.5"}``.
 

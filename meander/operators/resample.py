@@ -122,6 +122,11 @@ def values_or_zero(x: Column, clip_negative: bool = False) -> Column:
     return F.greatest(out, F.lit(0.0)) if clip_negative else out
 
 
+def has_value(x: Column) -> Column:
+    """Neither null nor NaN."""
+    return x.isNotNull() & ~F.isnan(x.cast("double"))
+
+
 def longest_runs(df: DataFrame, key: str, step: str) -> DataFrame:
     """(key, start, length): each key's longest run of consecutive steps among its rows; the earliest of equals."""
     rows = df.select(key, step).distinct()

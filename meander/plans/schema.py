@@ -92,3 +92,16 @@ def request(operations: Mapping[str, Iterable[str | tuple[str, str] | dict[str,
                     raise ValueError(f"{op} of {alias} is asked for twice")
                 found.append((op, alias, expression))
     return found
+
+
+def cross_rank_references(df: DataFrame, key: str, target: DataFrame, target_key: str) -> DataFrame:
+    """(key, rank, target_rank): references that leave their rank. Both tables have a column rank; a shard that has any is not closed."""
+    there = target.select(F.col(target_key).alias(key), F.col("rank").alias("target_rank"))
+    return df.select(key, "rank").distinct().join(there, key).where("rank <> target_rank")
+
+
+def differing_replicas(df: DataFrame, key: str, *columns: str) -> DataFrame:
+    """(key): rows of a replicated table (with a column rank) that are not the same on all ranks, or not on all of them."""
+    ranks = df.select("rank").distinct().count()
+    found = df.groupBy(key).agg(F.count_distinct("rank").alias("_n"), F.count_distinct(F.xxhash64(*columns)).alias("_v"))
+    return found.where((F.col("_n") != ranks) | (F.col("_v") != 1)).select(key)

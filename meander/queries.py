@@ -1185,7 +1185,7 @@ def _(spark, sf):
     return spark.createDataFrame([(found.start, found.interval.total_seconds(), found.count)], "start timestamp_ntz, seconds double, count long")
 
 
-@query("m14_step_counts", "SELECT date_diff('day', min(d), max(d)) + 1 AS main, 3 * 5 AS spin_up, date_diff('day', min(d), max(d)) + 1 + 3 * 5 AS total FROM (SELECT date_trunc('day', ts) AS d FROM events)")
+@query("m14_step_counts", "SELECT date_diff('day', min(d), max(d)) + 1 AS main, CAST(3 * 5 AS BIGINT) AS spin_up, date_diff('day', min(d), max(d)) + 1 + 3 * 5 AS total FROM (SELECT date_trunc('day', ts) AS d FROM events)")
 def _(spark, sf):
     low, high = _events(spark, sf).select(DAY.start(F.col("ts")).alias("d")).agg(F.min("d"), F.max("d")).first()
     return spark.createDataFrame([step_counts(low, high, HOURS(24), (low, low + HOURS(96), 3))], "main long, spin_up long, total long")
@@ -1262,3 +1262,229 @@ def _(spark, sf):
     known = expressions.constants(items, {"middle": "mean(l_quantity)", "top": "max(l_quantity * 2)"})
     out = expressions.with_virtual(items, {**known, "v": "(l_quantity - middle) / (top - middle)"})
     return out.select("l_orderkey", "l_linenumber", F.round(F.col("v") + 1e-9, 5).alias("v"))
+
+
+# --- sinks, names, checks ----------------------------------------------------------------------------------------------
+
+
+@query("a7_fortran_frames", f"SELECT CAST(t AS VARCHAR) AS file, source % n AS y, source // n AS x, round(CAST(x AS FLOAT)::DOUBLE + 1e-7, 3) AS value FROM ({_FRAMES_SQL}), (SELECT max(p_partkey) // 50 + 1 AS n FROM part)")
+def _(spark, sf):
+    from .sources import binary, mapping_table
+
+    frames = _frames(spark, sf).withColumn("source", F.col("source").cast("int"))
+    ny = frames.agg(F.max("source")).first()[0] // 50 + 1
+    held = mapping_table.dense_frames(frames, "t", "source", "x", ny * 50, -9999.0)
+    cells = binary.decoded(held.select(F.col("t").cast("string").alias("path"), F.col("frame").alias("content")), ny, 50, fortran=True)
+    return cells.where("value > -999").select("file", "y", "x", F.round(F.col("value") + 1e-7, 3).alias("value"))
+
+
+@query("b1_stream_append", "SELECT user_id, count(*) AS n, round(sum(value), 5) AS total FROM events GROUP BY ALL")
+def _(spark, sf):
+    """Two runs of one query: the second appends what came since, nothing is repeated."""
+    from .streaming import windows
+
+    folder, events = scratch.new_path(spark, "append"), _events(spark, sf)
+    for k in range(2):
+        events.where(F.col("event_id") % 2 == k).write.mode("append").parquet(f"{folder}/in")
+        windows.run_to_table(windows.file_stream(spark, f"{folder}/in", events.schema), f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out").groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.sum("value"), 5).alias("total"))
+
+
+@query("b7_climatology_export", f"SELECT target_id, round(sum(weight * x) / 3, 3) AS value FROM ({_MAP_SQL}) JOIN ({_FRAMES_SQL}) USING (source) GROUP BY ALL")
+def _(spark, sf):
+    out = statistics.climatology(_frames(spark, sf), _weights(spark, sf), "t", "source", "x")
+    return scratch.saved(out, "climatology").withColumn("value", F.round("value", 3))
+
+
+@query("b9_quantile_export", f"SELECT user_id, 0.5::DOUBLE AS level, round(quantile_cont(v, 0.5), 6) AS value FROM ({_DAILY_SQL}) GROUP BY user_id")
+def _(spark, sf):
+    path = scratch.new_path(spark, "quantiles")
+    results.quantiles(_daily(spark, sf), ["user_id"], "v", [0.1, 0.5, 0.9]).write.partitionBy("level").parquet(path)
+    return _round(spark.read.parquet(path).where("level = 0.5").select("user_id", "level", "value"))
+
+
+@query("b10_mapped_export", f"SELECT CAST(t AS INTEGER) AS t, target_id, round(sum(weight * x), 3) AS value FROM ({_MAP_SQL}) JOIN ({_FRAMES_SQL}) USING (source) WHERE t = 1 GROUP BY ALL")
+def _(spark, sf):
+    path = scratch.new_path(spark, "mapped")
+    mapping.apply_mapping(_frames(spark, sf), _weights(spark, sf), "t", "source", "x").write.partitionBy("t").parquet(path)
+    return spark.read.parquet(path).where("t = 1").select("t", "target_id", F.round("value", 3).alias("value"))
+
+
+@query("b12_merged_catalog", "SELECT s_suppkey, s_name, CAST(s_suppkey % 3 AS INTEGER) AS rank FROM supplier")
+def _(spark, sf):
+    path, supplier = scratch.new_path(spark, "catalog"), _t(spark, sf, "supplier").select("s_suppkey", "s_name")
+    lookup.merged({r: supplier.where(F.col("s_suppkey") % 3 == r) for r in range(3)}, "s_suppkey").write.partitionBy("rank").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query("b13_mapping_of_few_targets", f"SELECT target_id, source, round(weight, 6) AS weight FROM ({_MAP_SQL}) WHERE target_id IN (3, 5)")
+def _(spark, sf):
+    from .sources import mapping_table
+
+    path = scratch.new_path(spark, "mapping")
+    mapping_table.save_mapping(_weights(spark, sf), path)
+    n = _t(spark, sf, "part").agg(F.max("p_partkey")).first()[0] + 1
+    return _round(mapping_table.load_mapping(spark, path, n).where("target_id IN (3, 5)"))
+
+
+@query("b16_compressed_years", "SELECT o_custkey, count(*) AS n FROM orders WHERE year(o_orderdate) = 1996 GROUP BY ALL")
+def _(spark, sf):
+    path = scratch.new_path(spark, "years")
+    tables.write_by_time(_t(spark, sf, "orders"), path, "o_orderdate", "year", compression="gzip")
+    return tables.read_by_time(spark, path, None, "o_orderdate", "year", datetime(1996, 1, 1), datetime(1997, 1, 1)).groupBy("o_custkey").agg(F.count("*").alias("n"))
+
+
+@query("c7_inclusive_range", "SELECT user_id, date_trunc('day', ts)::TIMESTAMP AS time, round(sum(value), 6) AS value FROM events WHERE ts >= TIMESTAMP '2024-01-04' AND ts < TIMESTAMP '2024-01-09' GROUP BY ALL")
+def _(spark, sf):
+    daily = _events(spark, sf).groupBy("user_id", DAY.start(F.col("ts")).alias("t")).agg(F.sum("value").alias("v"))
+    return _round(scan.scan(daily, ["user_id"], "t", "v", datetime(2024, 1, 4), datetime(2024, 1, 8), HOURS(24)))
+
+
+@query("c14_valid_steps", f"SELECT user_id, CAST(30 AS BIGINT) AS valid, CAST(5 AS BIGINT) AS padded FROM ({_DAILY_SQL}) GROUP BY user_id")
+def _(spark, sf):
+    out = resample.chunked(_daily(spark, sf), ["user_id"], "step", "v", 7, 30)
+    return out.groupBy("user_id").agg(F.count_if("valid").alias("valid"), F.count_if(~F.col("valid")).alias("padded"))
+
+
+@query("c18_checked_casts", "SELECT o_orderkey, CAST(o_custkey AS INTEGER) AS o_custkey, o_totalprice FROM orders")
+def _(spark, sf):
+    from .plans.schema import Field, conformed
+
+    return conformed(_t(spark, sf, "orders"), [Field("o_orderkey", "int"), Field("o_custkey", "idx"), Field("o_totalprice", "hpfloat")])
+
+
+@query("c19_valid_values", "SELECT event_type, count(*) FILTER (value <= 300 AND event_id % 5 <> 0) AS n FROM events GROUP BY ALL")
+def _(spark, sf):
+    x = F.when(F.col("event_id") % 5 != 0, F.when(F.col("value") > 300, F.lit(float("nan"))).otherwise(F.col("value")))
+    return _events(spark, sf).withColumn("x", x).groupBy("event_type").agg(F.count_if(resample.has_value(F.col("x"))).alias("n"))
+
+
+@query("d4_aligned_tables", "SELECT c_custkey, c_mktsegment, round(2 * c_acctbal, 6) AS a, c_nationkey + 1 AS b FROM customer")
+def _(spark, sf):
+    customer = _t(spark, sf, "customer")
+    parts = [customer.select("c_custkey", (F.col("c_acctbal") * 2).alias("a")), customer.select("c_custkey", (F.col("c_nationkey") + 1).alias("b"))]
+    return _round(lookup.aligned(customer.select("c_custkey", "c_mktsegment"), parts, "c_custkey"))
+
+
+@query("e6_operation_names", "SELECT * FROM (VALUES ('mean', 'mean', NULL, false, 1), ('max_mean', 'mean', 'max', false, 1), ('argmin3_last', 'last', 'min', true, 3), ('sum_max', 'max', 'sum', false, 1)) v(name, \"inner\", \"outer\", arg, k)")
+def _(spark, sf):
+    found = [statistics.operation(n) for n in ("mean", "max_mean", "argmin3_last", "sum_max")]
+    return spark.createDataFrame([(o.name, o.inner, o.outer, o.arg, o.k) for o in found], "name string, inner string, outer string, arg boolean, k int")
+
+
+SQL["e18_balanced_ranks"] = """
+WITH RECURSIVE g AS (SELECT c_nationkey, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS i FROM customer GROUP BY 1
+), s AS (
+  SELECT 0::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS loads, 0 AS c_nationkey, 0::BIGINT AS size, -1 AS rank
+  UNION ALL
+  SELECT g.i, [CASE WHEN k = list_position(loads, list_min(loads)) THEN loads[k] + g.size ELSE loads[k] END FOR k IN range(1, 5)], g.c_nationkey, g.size, CAST(list_position(loads, list_min(loads)) - 1 AS INTEGER)
+  FROM s JOIN g ON g.i = s.i + 1
+) SELECT c_nationkey, size, rank FROM s WHERE i > 0"""
+
+
+@query("g4_positions_of_names", "SELECT s_name, row_number() OVER (ORDER BY s_name) - 1 AS position FROM supplier")
+def _(spark, sf):
+    return lookup.with_positions(_t(spark, sf, "supplier").select("s_name"), "s_name")
+
+
+@query("g2_positions_or_miss", "SELECT l_orderkey, l_linenumber, coalesce(p, -7) AS position FROM lineitem LEFT JOIN (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS p FROM part WHERE p_size < 20) ON p_partkey = l_partkey")
+def _(spark, sf):
+    some = lookup.with_positions(_t(spark, sf, "part").where("p_size < 20").select("p_partkey"), "p_partkey")
+    return lookup.positions_of(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", some, "p_partkey", -7).drop("l_partkey")
+
+
+@query("g7_dependency_order", "SELECT unnest(['a', 'c', 'b', 'd']) AS name, unnest([0, 1, 2, 3])::BIGINT AS place")
+def _(spark, sf):
+    order = expressions.dependency_order({"d": "b + c", "b": "c * 2", "a": "x", "c": "a + y"})
+    return spark.createDataFrame([(n, k) for k, n in enumerate(order)], "name string, place long")
+
+
+@query("h5_coordinate_union", "SELECT l_suppkey AS key FROM lineitem UNION SELECT s_suppkey FROM supplier UNION SELECT c_custkey FROM customer")
+def _(spark, sf):
+    keys = [("lineitem", "l_suppkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey")]
+    parts = [_t(spark, sf, t).select(F.col(c).alias("key")) for t, c in keys]
+    return scan.axes(parts[0].unionByName(parts[1]).unionByName(parts[2]), "key")
+
+
+@query("i9_result_names", "SELECT n AS name, regexp_extract(n, '^(.+)_rank(\\d+)(?:_(\\d{4}))?\\.\\w+$', 1) AS variable, CAST(regexp_extract(n, '_rank(\\d+)', 1) AS INTEGER) AS rank, CAST(nullif(regexp_extract(n, '_(\\d{4})\\.', 1), '') AS INTEGER) AS year FROM (SELECT 'q_' || n_name || '_rank' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '_' || (1990 + n_nationkey) ELSE '' END || '.parquet' AS n FROM nation)")
+def _(spark, sf):
+    n = F.col("n_nationkey")
+    year = F.when(n % 2 == 0, F.concat(F.lit("_"), (n + 1990).cast("string"))).otherwise("")
+    held = _t(spark, sf, "nation").select(F.concat(F.lit("q_"), "n_name", F.lit("_rank"), n.cast("string"), year, F.lit(".parquet")).alias("name"))
+    return held.select("name", names.result_file(F.col("name")).alias("f")).select("name", "f.*")
+
+
+@query("j11_resumed_steps", "SELECT user_id, round(sum(value) + 1e-7, 5) AS total FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY ALL")
+def _(spark, sf):
+    """The runner stops after ten days and goes on in a second run, from its state and cursor."""
+    from .streaming import windows
+    from .streaming.steps import StepRunner
+
+    folder = scratch.new_path(spark, "steps")
+    steps = _events(spark, sf).withColumn("step", F.datediff("ts", F.lit(START.date())).cast("long"))
+    initial = steps.where("step < 20").select("user_id").distinct().withColumn("total", F.lit(0.0))
+
+    def advance(state: DataFrame, batch: DataFrame) -> DataFrame:
+        added = batch.groupBy("user_id").agg(F.sum("value").alias("added"))
+        return state.join(added, "user_id", "left").select("user_id", (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"))
+
+    for k in range(2):
+        steps.where(F.expr(f"step div 10 = {k}")).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        runner = StepRunner(spark, folder, initial, advance)
+        progress = runner.run(windows.file_stream(spark, f"{folder}/in", steps.schema, 2)).lastProgress
+    return runner.state(progress["batchId"]).select("user_id", F.round(F.col("total") + 1e-7, 5).alias("total"))
+
+
+@query("k2_pandas_form", "SELECT l_orderkey, l_linenumber, round(l_quantity * 2 + l_tax + 1e-9, 6) AS a, round(l_quantity * 2 + l_tax + 1e-9, 6) AS b FROM lineitem")
+def _(spark, sf):
+    from .functions.registry import Registry, Signature
+
+    r, f = Registry(), lambda l_quantity, l_tax, by: l_quantity * by + l_tax
+    r.register(Signature("mix", {"l_quantity": "double", "l_tax": "double"}, "double", ("by",)), f, f)
+    items = _t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")
+    out = r.apply(r.apply(items, "mix", "a", "expression", by=2.0), "mix", "b", "pandas", by=2.0)
+    return out.select("l_orderkey", "l_linenumber", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in "ab"])
+
+
+@query("l1_checked_model", "SELECT o_orderkey, o_custkey, CAST(c_nationkey AS INTEGER) AS c_nationkey FROM orders JOIN customer ON c_custkey = o_custkey")
+def _(spark, sf):
+    from .plans.schema import Field, check_model
+
+    tables_ = {t: _t(spark, sf, t) for t in ("orders", "customer", "nation")}
+    fields = {"orders": [Field("o_orderkey", "int", "coordinate"), Field("o_custkey", "int", "reference", "customer.c_custkey")], "customer": [Field("c_custkey", "int", "coordinate"), Field("c_nationkey", "idx", "reference", "nation.n_nationkey")], "nation": [Field("n_nationkey", "idx", "coordinate")]}
+    check_model(tables_, fields)
+    return lookup.referenced(tables_["orders"].select("o_orderkey", "o_custkey"), "o_custkey", tables_["customer"], "c_custkey", "c_nationkey").select("o_orderkey", "o_custkey", "c_nationkey")
+
+
+@query("l3_namespace", "SELECT unnest(['a.x', 'a.y', 'b.y', 'x', 'w']) AS name, unnest(['a.x', 'a.y', 'b.y', 'a.x', 'w']) AS field")
+def _(spark, sf):
+    from .plans.schema import namespace
+
+    return spark.createDataFrame(list(namespace({"a": ["x", "y"], "b": ["y"]}, ["w"]).items()), "name string, field string")
+
+
+@query("l4_partition_checks", "SELECT 'leaves' AS problem, c_nationkey AS key FROM customer WHERE c_custkey % 2 <> c_nationkey % 2 GROUP BY ALL UNION ALL SELECT 'differs', n_nationkey FROM nation WHERE n_nationkey % 5 = 0")
+def _(spark, sf):
+    from .plans.schema import cross_rank_references, differing_replicas
+
+    rank = lambda c: (F.col(c) % 2).cast("int")
+    customer, nation = _t(spark, sf, "customer").withColumn("rank", rank("c_custkey")), _t(spark, sf, "nation")
+    leaves = cross_rank_references(customer, "c_nationkey", nation.withColumn("rank", rank("n_nationkey")), "n_nationkey").select(F.lit("leaves").alias("problem"), F.col("c_nationkey").alias("key")).distinct()
+    copies = lookup.trials(nation.select("n_nationkey", "n_name"), 3).withColumnRenamed("trial", "rank")
+    copies = copies.withColumn("n_name", F.when((F.col("rank") == 1) & (F.col("n_nationkey") % 5 == 0), F.lit("?")).otherwise(F.col("n_name")))
+    return leaves.unionByName(differing_replicas(copies, "n_nationkey", "n_name").select(F.lit("differs").alias("problem"), F.col("n_nationkey").alias("key")))
+
+
+@query("l6_defaults", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -1.5 ELSE c_acctbal END AS c_acctbal, 7 AS extra FROM customer")
+def _(spark, sf):
+    from .plans.schema import Field, conformed
+
+    some = _t(spark, sf, "customer").withColumn("c_acctbal", F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal")))
+    return conformed(some, [Field("c_custkey", "int"), Field("c_acctbal", "float", default=-1.5), Field("extra", "idx", default=7)])
+
+
+@query("l8_request", "SELECT unnest(['max_mean', 'max_mean', 'sum']) AS operation, unnest(['depth', 'q', 'q']) AS alias, unnest(['depth', 'a * b', 'a * b']) AS expression")
+def _(spark, sf):
+    from .plans.schema import request
+
+    return spark.createDataFrame(request({"max_mean": ["depth", {"q": "a * b"}], "sum": [("q", "a * b")]}), "operation string, alias string, expression string")
