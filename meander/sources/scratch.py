@@ -24,8 +24,18 @@ def _own(application: str) -> str:
     return tempfile.mkdtemp(prefix="spark-meander-")
 
 
+def _of(spark: SparkSession) -> str:
+    return f"{folder(spark)}/meander/{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/meander/{name}-{uuid.uuid4().hex}"
+    return f"{_of(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete this application's intermediate tables; for when all results that read them have been written elsewhere."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_of(spark))
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:

@@ -138,6 +138,13 @@ def test_state_is_checked(spark):
         state.save_state(table, scratch.new_path(spark, "state"), open_windows=2)
 
 
+def test_scratch_tables_are_cleared(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(scratch, "folder", lambda spark: str(tmp_path))
+    assert scratch.saved(spark.range(3), "x").count() == 3 and list(tmp_path.rglob("*.parquet"))
+    scratch.clear(spark)
+    assert not list(tmp_path.rglob("*.parquet"))
+
+
 def test_results_and_prepared_tables(spark):
     held = results.Results(spark)
     for k in range(2):
