@@ -279,10 +279,11 @@ def pack(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = EN
 
 
 def sequences(packed: DataFrame, length: int = LENGTH, pad_id: int = 0) -> DataFrame:
-    """(sequence_id, ids, used): the padded sequences of a packing that kept its ids."""
+    """(sequence_id, ids, used): the sequences of a packing that kept its ids, padded to ``length`` unless they hold a power of two."""
     held = packed.groupBy("sequence_id").agg(F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("x"), F.sum("length").alias("used"))
-    ids = F.flatten(F.col("x.ids"))
-    return held.select("sequence_id", F.concat(ids, F.array_repeat(F.lit(pad_id), (length - F.col("used")).cast("int"))).alias("ids"), "used")
+    ids, power = F.flatten(F.col("x.ids")), F.col("used").bitwiseAND(F.col("used") - 1) == 0
+    padding = F.when(power, F.lit(0)).otherwise(length - F.col("used")).cast("int")
+    return held.select("sequence_id", F.concat(ids, F.array_repeat(F.lit(pad_id), padding)).alias("ids"), "used")
 
 
 def tokenizer_path() -> str:

@@ -439,7 +439,9 @@ def test_column_generation_reaches_the_optimum():
 def test_sequences(spark):
     packed = packing.pack(spark.createDataFrame([(1, "one two"), (2, "three")], "doc_id long, text string"), packing.tokenizer_path(), keep_ids=True)
     out = packing.sequences(packed, pad_id=-1).collect()
-    assert len(out) == 1 and len(out[0].ids) == 2048 and out[0].ids.count(-1) == 2048 - out[0].used and out[0].ids.count(1) == 2
+    assert len(out) == 1 and out[0].used == 5 and len(out[0].ids) == 2048 and out[0].ids.count(-1) == 2043 and out[0].ids.count(1) == 2
+    power = packing.sequences(packed.where("doc_id = 2"), pad_id=-1).collect()
+    assert power[0].used == 2 and len(power[0].ids) == 2
 
 
 def test_pipeline_columns(spark):
