@@ -51,13 +51,13 @@ def text_stats(docs: DataFrame, text: str = "text") -> DataFrame:
         {
             "n_words": F.size("_w").cast("long"),
             "_lines": F.filter(F.split("_t", "\n"), lambda x: x.rlike(r"[^ \t\n\x0B\f\r]")),
-            # every 3-word window as (hash, place), equal ones side by side
-            "_runs": F.expr(
-                "CASE WHEN size(_w) < 3 THEN array() ELSE sort_array(transform(sequence(0, size(_w) - 3), "
-                "i -> struct(xxhash64(_w[i], _w[i + 1], _w[i + 2]) AS h, i AS i))) END"
-            ),
+            # every 3-word window's hash
+            "_h": F.expr("CASE WHEN size(_w) < 3 THEN array() ELSE transform(sequence(0, size(_w) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END"),
         }
     )
+    # where any is found twice: (hash, place), equal ones side by side
+    pairs = "sort_array(transform(_h, (h, i) -> struct(h, i)))"
+    base = base.withColumn("_runs", F.expr(f"CASE WHEN size(array_distinct(_h)) < size(_h) THEN {pairs} ELSE array() END"))
     base = base.withColumns(
         {
             "_at": F.expr(
