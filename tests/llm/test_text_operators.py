@@ -3,6 +3,7 @@
 import collections
 import itertools
 import random
+import time
 import re
 import zlib
 
@@ -399,6 +400,18 @@ def test_any_run_of_blanks_is_encoded(spark):
     assert all(held[k].n == held[k]["all"] == len(code.ids(t)) + 1 for k, t in enumerate(texts))
 
 
+@pytest.mark.parametrize("blanks,runs", [(" ", 10), ("\t", 10), (" \n\u3000\t", 10), (" ", 3)])
+def test_runs_of_blanks_under_the_switch_take_linear_time(blanks, runs):
+    from tokenizers import Tokenizer
+
+    n = packing.BLANKS - 1 if runs == 10 else packing.BLANKS // 5
+    code, text = packing.encoder(packing.tokenizer_path()), "x".join([(blanks * n)[:n]] * runs)
+    began = time.perf_counter()
+    ids = code.ids(text).tolist()
+    assert time.perf_counter() - began < 5  # a search from every place of a run takes minutes
+    assert ids == Tokenizer.from_file(packing.tokenizer_path()).encode(text, add_special_tokens=False).ids
+
+
 def rounded(length):
     for longest, step, _ in packing.CLASSES:
         if longest is None or length <= longest:
