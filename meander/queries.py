@@ -721,11 +721,11 @@ def _(spark, sf):
     return _round(mapping_table.load_mapping(spark, path))
 
 
-@query("a12_rank_files", "SELECT CAST(o_custkey % 4 AS INTEGER) AS rank, o_custkey, round(sum(o_totalprice), 4) AS total FROM orders WHERE year(o_orderdate) = 1994 GROUP BY ALL")
+@query("a12_rank_files", "SELECT CAST(o_custkey % 4 AS INTEGER) AS rank, o_custkey, round(sum(o_totalprice), 4) AS total FROM orders WHERE year(o_orderdate) = 1996 GROUP BY ALL")
 def _(spark, sf):
     path = scratch.new_path(spark, "ranks")
     tables.write_by_time(_t(spark, sf, "orders").withColumn("rank", (F.col("o_custkey") % 4).cast("int")), path, "o_orderdate", "year", "rank")
-    found = tables.read_by_time(spark, path, None, "o_orderdate", "year", datetime(1994, 1, 1), datetime(1995, 1, 1))
+    found = tables.read_by_time(spark, path, None, "o_orderdate", "year", datetime(1996, 1, 1), datetime(1997, 1, 1))
     return found.groupBy("rank", "o_custkey").agg(F.round(F.sum("o_totalprice"), 4).alias("total"))
 
 
@@ -1488,3 +1488,6 @@ def _(spark, sf):
     from .plans.schema import request
 
     return spark.createDataFrame(request({"max_mean": ["depth", {"q": "a * b"}], "sum": [("q", "a * b")]}), "operation string, alias string, expression string")
+
+
+from . import queries_stored  # noqa: E402, F401  registers its queries

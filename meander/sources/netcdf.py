@@ -1,8 +1,10 @@
 """NetCDF classic files (CDF-1, CDF-2, CDF-5 headers without 64-bit types), one Spark row per value.
 
-Files are read by Spark's binaryFile source, each in one task, and emitted a
-slice of the leading dimension at a time. NetCDF-4 files are HDF5 and need a
-library that isn't assumed here.
+Headers are parsed from the first bytes of a file, and values are read by ranges
+of the leading dimension; ``netcdf_source`` plans Spark partitions from that.
+``variable`` is for stores that only Spark's own readers reach: there files come
+through the binaryFile source, each whole, in one task. NetCDF-4 files are HDF5
+and need a library that isn't assumed here.
 """
 
 from __future__ import annotations
@@ -54,6 +56,8 @@ class _Cursor:
         return x
 
     def padded(self, n: int) -> bytes:
+        if self.at + n > len(self.data):
+            raise IndexError("the header goes on")
         out = bytes(self.data[self.at : self.at + n])
         self.at += -(-n // 4) * 4
         return out
@@ -76,7 +80,8 @@ class _Cursor:
         return out
 
 
-def header(data: memoryview) -> Header:
+def header(data: memoryview, length: int | None = None) -> Header:
+    """The header at the start of ``data``; ``length`` is the whole file's, where data is less. Too little data is an IndexError or struct.error."""
     if bytes(data[:3]) != b"CDF" or data[3] not in (1, 2):
         raise ValueError("not a NetCDF classic file")
     c, out = _Cursor(data), Header()
@@ -97,7 +102,7 @@ def header(data: memoryview) -> Header:
     own = lambda v: int(np.prod(v.shape[1:])) * np.dtype(v.dtype).itemsize
     out.record_size = own(varying[0]) if len(varying) == 1 else sum(-(-own(v) // 4) * 4 for v in varying)
     if records < 0 and varying:  # still being written: as many as there are
-        records = (len(data) - min(v.begin for v in varying)) // out.record_size
+        records = ((length or len(data)) - min(v.begin for v in varying)) // out.record_size
     out.records = max(records, 0)
     for v in varying:
         v.shape[0] = out.records
@@ -108,16 +113,55 @@ def header(data: memoryview) -> Header:
 def slices(data: memoryview, head: Header, name: str) -> Iterator[np.ndarray]:
     """The variable along its leading dimension, each slice flat, as doubles; fill values become NaN; scaled."""
     v = head.variables[name]
-    count = int(np.prod(v.shape[1:]))
-    step = head.record_size if v.record else count * np.dtype(v.dtype).itemsize
-    a = v.attributes
+    count, step = extent(head, v)
     for k in range(v.shape[0] if v.shape else 1):
-        raw = np.frombuffer(data, v.dtype, count, v.begin + k * step)
-        x = raw.astype(float)
-        for fill in (a.get("_FillValue"), a.get("missing_value")):
-            if fill is not None:
-                x[raw == fill] = np.nan
-        yield x * a.get("scale_factor", 1.0) + a.get("add_offset", 0.0)
+        yield real(np.frombuffer(data, v.dtype, count, v.begin + k * step), v)
+
+
+def extent(head: Header, v: Variable) -> tuple[int, int]:
+    """Values of one slice of the leading dimension, and bytes from one slice to the next."""
+    count = int(np.prod(v.shape[1:]))
+    return count, head.record_size if v.record else count * np.dtype(v.dtype).itemsize
+
+
+def real(raw: np.ndarray, v: Variable) -> np.ndarray:
+    """Stored values as doubles: fill values become NaN, others are scaled."""
+    x, a = raw.astype(float), v.attributes
+    for fill in (a.get("_FillValue"), a.get("missing_value")):
+        if fill is not None:
+            x[raw == fill] = np.nan
+    return x * a.get("scale_factor", 1.0) + a.get("add_offset", 0.0)
+
+
+def packed(dims: dict[str, int | None], variables: dict[str, tuple[list[str], str, dict]], attributes: dict, records: int) -> tuple[bytes, dict[str, int], int]:
+    """A header (64-bit offsets), where each variable begins, and the bytes of a record. dims: length, or None for the leading, growing one; variables: (dims, type, attributes)."""
+    number = {t: n for n, t in TYPES.items()}
+
+    def text(x: str) -> bytes:
+        b = x.encode()
+        return struct.pack(">i", len(b)) + b + b"\0" * (-len(b) % 4)
+
+    def listed(tag: int, items: list[bytes]) -> bytes:
+        return struct.pack(">ii", tag if items else 0, len(items)) + b"".join(items)
+
+    def value(x) -> bytes:
+        kind, raw, n = (2, x.encode(), len(x.encode())) if isinstance(x, str) else (4, struct.pack(">i", x), 1) if isinstance(x, int) else (6, struct.pack(">d", x), 1)
+        return struct.pack(">ii", kind, n) + raw + b"\0" * (-len(raw) % 4)
+
+    attrs = lambda a: listed(ATTRIBUTES, [text(k) + value(x) for k, x in a.items()])
+    names = list(dims)
+    bytes_of = {v: -(-int(np.prod([dims[d] for d in ds if dims[d] is not None])) * np.dtype(t).itemsize // 4) * 4 for v, (ds, t, _) in variables.items()}
+    growing = [v for v, (ds, _, _) in variables.items() if ds and dims[ds[0]] is None]
+
+    def build(begin: dict[str, int]) -> bytes:
+        out = b"CDF\x02" + struct.pack(">i", records) + listed(DIMENSIONS, [text(d) + struct.pack(">i", n or 0) for d, n in dims.items()]) + attrs(attributes)
+        return out + listed(VARIABLES, [text(v) + struct.pack(f">i{len(ds)}i", len(ds), *(names.index(d) for d in ds)) + attrs(a) + struct.pack(">iiq", number[t], min(bytes_of[v], 2**31 - 4), begin.get(v, 0)) for v, (ds, t, a) in variables.items()])
+
+    at, begin = len(build({})), {}
+    for v in [v for v in variables if v not in growing] + growing:
+        begin[v] = at
+        at += bytes_of[v]
+    return build(begin), begin, sum(bytes_of[v] for v in growing)
 
 
 def times(values: np.ndarray, units: str) -> list[datetime]:
