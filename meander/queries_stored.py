@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from datetime import timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .queries import _events, _round, _t, query
+from .queries import _FIVE as FIVE
+from .queries import DAY, _events, _round, _t, query
 from .sources import netcdf_source, scratch
+from .streaming import keyed, windows
 
 _DAYS = "SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS time, sum(value) AS value FROM events GROUP BY ALL"
 
@@ -48,3 +51,65 @@ def _(spark, sf):
     """The files that a range of times opens, and how many values of each are read."""
     low = _t(spark, sf, "orders").select(F.timestamp_add("MONTH", F.lit(14), F.date_trunc("year", F.min("o_orderdate"))).cast("timestamp_ntz").alias("a")).withColumn("b", F.timestamp_add("MONTH", F.lit(13), "a").cast("timestamp_ntz")).first()
     return netcdf_source.read(spark, _monthly_frames(spark, sf), "total", start=low["a"], end=low["b"]).groupBy("file").agg(F.count("*").alias("cells"))
+
+
+# --- keyed stream state --------------------------------------------------------------------------------------------------
+
+
+def _fed(spark, sf, folder: str, parts: int, run) -> list:
+    """Events written in ``parts`` stretches of time, the stream run after each; what ``run(source)`` returns each time."""
+    events, out = _events(spark, sf), []
+    low, high = events.agg(F.min(F.date_trunc("day", "ts")), F.max("ts")).first()
+    cut = [low + (high - low) * k / parts for k in range(parts)] + [None]
+    for a, b in zip(cut, cut[1:]):
+        later = events.where(F.col("ts") >= F.lit(a).cast("timestamp_ntz"))
+        (later.where(F.col("ts") < F.lit(b).cast("timestamp_ntz")) if b else later).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        out.append(run(windows.file_stream(spark, f"{folder}/in", events.schema, 1)))
+    return out
+
+
+_BEST = "WITH a AS (SELECT user_id, CAST(time_bucket(INTERVAL 5 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS outer_start, CAST(date_trunc('day', ts) AS TIMESTAMP) AS i, avg(value) AS m, max_by(value, ts) AS l FROM events GROUP BY ALL), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, outer_start ORDER BY i) - 1 AS n FROM a)"
+
+
+@query("j2_stream_best", f"{_BEST} SELECT user_id, outer_start, max(i) AS time, count(*) AS n_inner, CAST(min_by(n, (-m, n)) AS BIGINT) AS argmax_mean, round(min(m), 6) AS min_mean, round((list(l ORDER BY l DESC, n))[1], 6) AS best_last, round((list(l ORDER BY l DESC, n))[2], 6) AS second_last, (list(n ORDER BY m, n))[2] AS second_argmin FROM b WHERE outer_start + INTERVAL 5 DAY <= (SELECT max(ts) FROM events) GROUP BY ALL")
+def _(spark, sf):
+    folder = scratch.new_path(spark, "keyed")
+    keyed.prepare(spark)
+
+    def run(source):
+        out = keyed.two_level_keyed(source, ["user_id"], "ts", "value", DAY, FIVE, ["argmax_mean", "min_mean", "max3_last", "argmin2_mean"])
+        windows.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
+
+    _fed(spark, sf, folder, 3, run)
+    named = spark.read.parquet(f"{folder}/out").select("user_id", "outer_start", "time", "n_inner", "argmax_mean", "min_mean", F.get("max3_last", 0).alias("best_last"), F.get("max3_last", 1).alias("second_last"), F.get("argmin2_mean", 1).alias("second_argmin"))
+    return _round(named)
+
+
+@query("m15_running_windows", "WITH c AS (SELECT min(date_trunc('day', ts)) AS low, max(ts) AS high FROM events), p AS (SELECT 0 AS part, low + (high - low) / 2 AS upto FROM c UNION ALL SELECT 1, NULL FROM c), e AS (SELECT part, events.* FROM events, p WHERE upto IS NULL OR ts < upto), a AS (SELECT part, user_id, CAST(time_bucket(INTERVAL 5 DAY, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS outer_start, CAST(date_trunc('day', ts) AS TIMESTAMP) AS i, avg(value) AS m, sum(value) AS s FROM e GROUP BY ALL), w AS (SELECT part, max(ts) AS now FROM e GROUP BY 1) SELECT part, user_id, outer_start, max(i) AS time, count(*) AS n_inner, round(max(m), 6) AS max_mean, round(sum(s), 6) AS sum_sum FROM a JOIN w USING (part) WHERE outer_start + INTERVAL 5 DAY > now GROUP BY ALL")
+def _(spark, sf):
+    """The windows that are open after half of the events, and after all, read from the stream's state."""
+    folder = scratch.new_path(spark, "keyed")
+    keyed.prepare(spark)
+
+    def run(source):
+        out = keyed.two_level_keyed(source, ["user_id"], "ts", "value", DAY, FIVE, ["max_mean", "sum_sum"])
+        windows.run_to_table(out, f"{folder}/out", f"{folder}/checkpoint")
+        return scratch.saved(keyed.open_windows(spark, f"{folder}/checkpoint", ["user_id"], ["max_mean", "sum_sum"]), "open")
+
+    first, then = _fed(spark, sf, folder, 2, run)
+    return _round(first.withColumn("part", F.lit(0)).unionByName(then.withColumn("part", F.lit(1))))
+
+
+@query("j3_flagged_stream", f"WITH d AS ({_DAYS}), f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY time) - 1 AS n FROM d), i AS (SELECT user_id, n // 9 AS \"outer\", n // 3 AS k, min(time) AS t, avg(value) AS m, sum(value) AS s, count(*) AS c FROM f GROUP BY ALL) SELECT user_id, CAST(\"outer\" AS BIGINT) AS \"outer\", max(t) AS time, count(*) AS n_inner, round(max(m), 6) AS max_mean, CAST(min_by(k % 3, (s, k)) AS BIGINT) AS argmin_sum FROM i GROUP BY user_id, \"outer\" HAVING sum(c) = 9")
+def _(spark, sf):
+    """Every three of a user's days are an inner window, every three of those an outer one, as flags say that the caller sets."""
+    folder = scratch.new_path(spark, "keyed")
+    keyed.prepare(spark)
+    daily = _events(spark, sf).groupBy("user_id", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("time")).agg(F.sum("value").alias("value"))
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("time")) - 1
+    flags = daily.withColumn("n", n).withColumns({"first": F.expr("n % 3 = 0"), "last": F.expr("n % 3 = 2"), "outer_first": F.expr("n % 9 = 2"), "outer_last": F.expr("n % 9 = 8")})
+    for part in ("n < 13", "n >= 13"):  # a window is open in between
+        flags.where(part).write.mode("append").parquet(f"{folder}/in")
+        source = windows.file_stream(spark, f"{folder}/in", flags.schema, 1000)
+        windows.run_to_table(keyed.flagged(source, ["user_id"], "time", "value", ["max_mean", "argmin_sum"]), f"{folder}/out", f"{folder}/checkpoint")
+    return _round(spark.read.parquet(f"{folder}/out"))

@@ -12,8 +12,8 @@ Writing: a file holds one rank's points (of one year, say) as (time, point)
 frames. Tasks write under temporary names; the commit renames the files and then
 writes the catalog, which is what makes them visible: per file the rank, split,
 committed steps, points, and the least and greatest time and point. Reading with
-a catalog refuses other formats and versions, files shorter than committed,
-ranks that are missing, repeated, or differ in their times, and points of several ranks.
+a catalog refuses other formats and versions, files shorter than committed, and
+ranks that are missing, repeated, or differ in their times.
 
 Call ``register`` once a session. Missing values are NaN; times are whole microseconds
 in the standard calendar; a step without a value at some point has NaN there.
@@ -361,7 +361,7 @@ def check_file(entry: dict, reading: Reading, path: str) -> None:
 def write_ranks(df: DataFrame, path: str, variable: str, time: str, point: str, value: str, ranks: int, rank: Column | None = None, split: Column | None = None) -> None:
     """``df`` as frames: a file for each rank (0 to ``ranks`` - 1; the point modulo that, unless given) and split.
 
-    A rank's points are the same in all its files, and all ranks have all times. Two values of one time and point are an error.
+    A rank's points are the same in all its files, and all ranks have all times. Two values of one time and point are an error, and so is a point of several ranks.
     """
     rank = rank if rank is not None else F.pmod(F.col(point), F.lit(ranks))
     rows = df.select(rank.cast("int").alias("rank"), (split.cast("string") if split is not None else F.lit("")).alias("split"), F.col(time).cast("timestamp_ntz").alias("time"), F.col(point).cast("long").alias("point"), F.col(value).cast("double").alias("value"))
@@ -374,6 +374,8 @@ def write_ranks(df: DataFrame, path: str, variable: str, time: str, point: str,
     points = rows.select("rank", "point").distinct().join(steps.select(each, "split", "steps"), "rank").withColumns({"time": F.lit(None).cast("timestamp_ntz"), "value": F.lit(None).cast("double")})
     every = rows.join(steps, "split").unionByName(points).unionByName(frames)
     dealt = every.repartition("rank", "split").sortWithinPartitions("rank", "split", "time", "point")  # nulls first
+    if both := rows.select("rank", "point").distinct().groupBy("point").count().where("count > 1").limit(5).collect():
+        raise IntegrityError(f"points of several ranks: {[r[0] for r in both]}")
     register(df.sparkSession)
     dealt.select("rank", "split", "steps", "time", "point", "value").write.format("netcdf").option("path", path).option("variables", variable).mode("append").save()
 
