@@ -887,29 +887,6 @@ def _(spark, sf):
     return tables.missing_keys(needed, _events(spark, sf), "day", "ts")
 
 
-@query("j1_managed_steps", f"SELECT user_id, round(sum(value) + 1e-7, 5) AS total, CAST((SELECT max(date_diff('day', TIMESTAMP '2024-01-01', ts)) FROM events) AS INTEGER) AS last_step FROM events GROUP BY ALL")
-def _(spark, sf):
-    from .streaming import windows
-    from .streaming.steps import StepRunner
-
-    folder = scratch.new_path(spark, "steps")
-    step = F.datediff("ts", F.lit(START.date())).cast("long")
-    steps = _events(spark, sf).withColumn("step", step)
-    files = 2
-    for k in range(steps.agg(F.max("step")).first()[0] // 10 + 1):  # ten whole steps to a batch, in order, each in so many files
-        steps.where(F.expr(f"step div 10 = {k}")).repartition(files).write.mode("append").parquet(f"{folder}/in")
-    initial = _events(spark, sf).select("user_id").distinct().withColumn("total", F.lit(0.0))
-
-    def advance(state: DataFrame, batch: DataFrame) -> DataFrame:
-        added = batch.groupBy("user_id").agg(F.sum("value").alias("added"))
-        return state.join(added, "user_id", "left").select("user_id", (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"))
-
-    runner = StepRunner(spark, folder, initial, advance)
-    source = windows.file_stream(spark, f"{folder}/in", spark.read.parquet(f"{folder}/in").schema, files)
-    query_ = runner.run(source)
-    return runner.state(query_.lastProgress["batchId"]).select("user_id", F.round(F.col("total") + 1e-7, 5).alias("total"), F.col("last_step").cast("int").alias("last_step"))
-
-
 # --- compositions ------------------------------------------------------------------------------------------------------
 
 
@@ -1414,27 +1391,6 @@ def _(spark, sf):
     return held.select("name", names.result_file(F.col("name")).alias("f")).select("name", "f.*")
 
 
-@query("j11_resumed_steps", "SELECT user_id, round(sum(value) + 1e-7, 5) AS total FROM events WHERE ts < TIMESTAMP '2024-01-21' GROUP BY ALL")
-def _(spark, sf):
-    """The runner stops after ten days and goes on in a second run, from its state and cursor."""
-    from .streaming import windows
-    from .streaming.steps import StepRunner
-
-    folder = scratch.new_path(spark, "steps")
-    steps = _events(spark, sf).withColumn("step", F.datediff("ts", F.lit(START.date())).cast("long"))
-    initial = steps.where("step < 20").select("user_id").distinct().withColumn("total", F.lit(0.0))
-
-    def advance(state: DataFrame, batch: DataFrame) -> DataFrame:
-        added = batch.groupBy("user_id").agg(F.sum("value").alias("added"))
-        return state.join(added, "user_id", "left").select("user_id", (F.col("total") + F.coalesce("added", F.lit(0.0))).alias("total"))
-
-    for k in range(2):
-        steps.where(F.expr(f"step div 10 = {k}")).repartition(2).write.mode("append").parquet(f"{folder}/in")
-        runner = StepRunner(spark, folder, initial, advance)
-        progress = runner.run(windows.file_stream(spark, f"{folder}/in", steps.schema, 2)).lastProgress
-    return runner.state(progress["batchId"]).select("user_id", F.round(F.col("total") + 1e-7, 5).alias("total"))
-
-
 @query("k2_pandas_form", "SELECT l_orderkey, l_linenumber, round(l_quantity * 2 + l_tax + 1e-9, 6) AS a, round(l_quantity * 2 + l_tax + 1e-9, 6) AS b FROM lineitem")
 def _(spark, sf):
     from .functions.registry import Registry, Signature

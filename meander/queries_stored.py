@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .queries import _FIVE as FIVE
 from .queries import DAY, _events, _round, _t, query
-from .sources import netcdf_source, scratch
+from .sources import files, netcdf_source, scratch
+from .sources.changelog import ChangeLog
 from .streaming import keyed, windows
+from .streaming.steps import ChangeRunner
 
 _DAYS = "SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS time, sum(value) AS value FROM events GROUP BY ALL"
 
@@ -113,3 +115,61 @@ def _(spark, sf):
         source = windows.file_stream(spark, f"{folder}/in", flags.schema, 1000)
         windows.run_to_table(keyed.flagged(source, ["user_id"], "time", "value", ["max_mean", "argmin_sum"]), f"{folder}/out", f"{folder}/checkpoint")
     return _round(spark.read.parquet(f"{folder}/out"))
+
+
+# --- steps whose state is kept as changes ----------------------------------------------------------------------------------
+
+
+def _totals(state, batch):
+    """The users of a batch, with what it adds."""
+    added = batch.groupBy("user_id").agg(F.sum("value").alias("added"), F.max("step").alias("seen"))
+    return state.drop("seen").join(added, "user_id").select("user_id", (F.col("total") + F.col("added")).alias("total"), "seen")
+
+
+def _stepped(spark, sf) -> tuple:
+    """Events by day, counted from the first, and a log of totals by user in four ranks."""
+    events = _events(spark, sf)
+    first = events.agg(F.to_date(F.min("ts"))).first()[0]
+    steps = events.withColumn("step", F.datediff("ts", F.lit(first)).cast("long"))
+    folder = scratch.new_path(spark, "steps")
+    log = ChangeLog(spark, f"{folder}/log", ["user_id"], 4, F.col("user_id") % 4, compact_every=2)
+    initial = events.select("user_id").distinct().select("user_id", F.lit(0.0).alias("total"), F.lit(None).cast("long").alias("seen"))
+    return steps, steps.agg(F.max("step")).first()[0], folder, log, initial
+
+
+_DAYED = "WITH e AS (SELECT *, date_diff('day', (SELECT min(ts) FROM events), ts) AS step FROM (SELECT * REPLACE (CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts) FROM events))"
+
+
+@query("j1_managed_steps", f"{_DAYED} SELECT user_id, round(sum(value) + 1e-7, 5) AS total, max(step) AS seen FROM e GROUP BY ALL")
+def _(spark, sf):
+    steps, last, folder, log, initial = _stepped(spark, sf)
+    for k in range(last // 10 + 1):  # ten whole steps to a batch, in order, each in two files
+        steps.where(F.expr(f"step div 10 = {k}")).repartition(2).write.mode("append").parquet(f"{folder}/in")
+    ChangeRunner(log, initial, _totals).run(windows.file_stream(spark, f"{folder}/in", steps.schema, 2))
+    log.verify()
+    return log.state().select("user_id", F.round(F.col("total") + 1e-7, 5).alias("total"), "seen")
+
+
+@query("j11_resumed_steps", f"{_DAYED} SELECT user_id, round(sum(value) + 1e-7, 5) AS total, max(step) AS seen FROM e GROUP BY ALL")
+def _(spark, sf):
+    """The runner stops after each batch of days, once half-way, and goes on from its state and cursor."""
+    steps, last, folder, log, initial = _stepped(spark, sf)
+    for k in range(last // 10 + 1):
+        steps.where(F.expr(f"step div 10 = {k}")).repartition(2).write.mode("append").parquet(f"{folder}/in")
+        if k == 1:  # as a driver leaves it that was lost between the phases of this step
+            files.publish(spark, f"{log.folder}/running.json", {"step": k, "attempt": "lost"})
+            log.prepare(k, "lost", log.state().withColumn("total", F.lit(0.0)))
+        ChangeRunner(log, initial, _totals).run(windows.file_stream(spark, f"{folder}/in", steps.schema, 2))
+    log.verify()
+    return log.state().select("user_id", F.round(F.col("total") + 1e-7, 5).alias("total"), "seen")
+
+
+@query("j10_state_by_rank", f"{_DAYED} SELECT CAST(user_id % 4 AS INTEGER) AS rank, count(*) AS rows, round(sum(total) + 1e-7, 4) AS total FROM (SELECT user_id, sum(value) AS total FROM e WHERE step <= (SELECT max(step) FROM e) // 2 GROUP BY 1 UNION ALL SELECT DISTINCT user_id, 0.0 FROM e WHERE user_id NOT IN (SELECT user_id FROM e WHERE step <= (SELECT max(step) FROM e) // 2)) GROUP BY 1")
+def _(spark, sf):
+    """Two steps are published, the second is taken back before its commit; what each rank then has."""
+    steps, last, _, log, initial = _stepped(spark, sf)
+    log.begin(initial)
+    log.run(0, lambda state: _totals(state, steps.where(F.col("step") <= last // 2)))
+    log.prepare(1, "never", _totals(log.state(), steps.where(F.col("step") > last // 2)))
+    log.verify()
+    return log.state().groupBy((F.col("user_id") % 4).cast("int").alias("rank")).agg(F.count("*").alias("rows"), F.round(F.sum("total") + 1e-7, 4).alias("total"))

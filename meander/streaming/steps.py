@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..sources import scratch
+from ..sources.changelog import ChangeLog
 from .windows import ordered_steps_only
 
 
@@ -49,6 +50,33 @@ class StepRunner:
         return query
 
 
+class ChangeRunner:
+    """Applies ``change(state, batch)``, which gives only the rows that change, to each batch of whole steps; state is a ``ChangeLog``.
+
+    A batch is a step of the log: a replayed one is skipped, a failed one leaves nothing, one that a lost driver left half-done
+    is taken back when ``run`` is called again.
+    """
+
+    def __init__(self, log: ChangeLog, initial: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], cursor: str = "last_step"):
+        self.log, self.change, self.cursor = log, change, cursor
+        log.begin(initial.withColumn(cursor, F.lit(-1).cast("long")))
+
+    def _batch(self, rows: DataFrame, number: int) -> None:
+        def body(state: DataFrame) -> DataFrame:
+            last = state.agg(F.max(self.cursor)).first()[0]
+            last = ordered_steps_only(rows, -1 if last is None else last)
+            return self.change(state.drop(self.cursor), rows).withColumn(self.cursor, F.lit(last).cast("long"))
+
+        self.log.run(number, body)
+
+    def run(self, stream: DataFrame) -> StreamingQuery:
+        """Works through what is available; called again, it goes on where it ended."""
+        self.log.recover()
+        query = stream.writeStream.foreachBatch(self._batch).option("checkpointLocation", f"{self.log.folder}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
+
 def bundled(streams: dict[str, DataFrame]) -> DataFrame:
     """Several sources as one stream, with ``source``: one query reads it, so that all offsets are committed together or not at all."""
     out = None

@@ -8,7 +8,7 @@ from meander.functions import digests, expressions
 from meander.operators import lookup, mapping, overlay, results, statistics
 from meander.operators.lookup import IntegrityError
 from meander.plans.temporal import CalendarWindow, Contract, Schedule, agreed, schedule_problems, step_counts
-from meander.sources import mapping_table, scan, scratch, state
+from meander.sources import files, mapping_table, scan, scratch, state
 from meander.streaming.steps import Prepared
 from pyspark.sql import functions as F
 
@@ -131,9 +131,18 @@ def test_state_is_checked(spark):
     path = scratch.new_path(spark, "state")
     state.save_state(table.repartition(4), path, label="x")
     assert sorted(state.load_state(spark, path).collect()) == sorted(table.collect())
-    table.limit(1).write.mode("append").parquet(f"{path}/rows")
+    folder = files.read_record(spark, f"{path}/manifest.json")["folder"]
+    table.limit(1).write.mode("append").parquet(f"{path}/{folder}")
     with pytest.raises(IntegrityError, match="manifest"):
         state.load_state(spark, path)
+    with pytest.raises(IntegrityError, match="already"):
+        state.save_state(table, path)
+    with pytest.raises(IntegrityError, match="no state"):
+        state.load_state(spark, path + "-none")
+    crashed = scratch.new_path(spark, "state")
+    table.write.parquet(f"{crashed}/rows-of-a-writer-that-was-lost")
+    state.save_state(table, crashed)
+    assert state.load_state(spark, crashed).count() == 20
     with pytest.raises(IntegrityError, match="open"):
         state.save_state(table, scratch.new_path(spark, "state"), open_windows=2)
 
