@@ -10,8 +10,8 @@ by the windows that are open, not by samples.
 ``open_windows`` reads the same state back from a stream's checkpoint, running or
 stopped: what the open outer windows hold so far.
 
-Windows end on whole milliseconds. Rows with a null value, time or point are left
-out, and so are late ones (the watermark decides). Equal values keep the earliest
+Windows end on whole milliseconds. Rows with a null or NaN value, or without time or
+point, are left out, and so are late ones (the watermark decides). Equal values keep the earliest
 inner window, as in batch. The RocksDB state store is needed: call ``prepare``.
 """
 
@@ -183,7 +183,7 @@ def two_level_keyed(stream: DataFrame, points: list[str], time: str, value: str,
     t = F.col(time).cast("timestamp_ntz")
     i, o = inner.start(t), outer.start(t)
     ms = lambda end: F.ceil(micros(end) / 1000).cast("long")
-    keyed = stream.where(F.col(value).isNotNull() & F.col(time).isNotNull()).dropna(subset=points)
+    keyed = stream.dropna(subset=[*points, time, value])  # of NaN, too
     keyed = keyed.select(*points, F.col(time).cast("timestamp").alias("_t"), micros(t).alias("_us"), F.col(value).cast("double").alias("_value"), micros(i).alias("_inner"), ms(inner.end(i)).alias("_inner_end"), micros(o).alias("_outer"), ms(outer.end(o)).alias("_outer_end"))
     out = f"{_types(stream.schema, points)}, outer_us bigint, last_us bigint, n_inner bigint, {Folds(ops).schema()}"
     found = keyed.withWatermark("_t", late).groupBy(*points).transformWithStateInPandas(TwoLevel(points, ops), out, "Append", "EventTime")

@@ -46,7 +46,7 @@ def test_partitions_follow_ranges(spark, written):
     count = lambda **o: netcdf_source.read(spark, path, "q", **o).rdd.getNumPartitions()
     assert count() == 6 and count(chunk=1) == 12  # six files of two steps
     assert count(chunk=1, start=DAYS[1], end=DAYS[3]) == 6 and count(start=DAYS[2]) == 3 and count(points=(6, 9)) == 2
-    bounded = netcdf_source.read(spark, path, "q", pushdown="true", chunk=1).where((F.col("time") >= DAYS[3]) & (F.col("point") < 1))
+    bounded = netcdf_source.read(spark, path, "q", pushdown="true", chunk=1).where((F.col("time") >= DAYS[3]) & (F.col("point") <= 0))
     assert bounded.rdd.getNumPartitions() == 1 and bounded.count() == 1
 
 
