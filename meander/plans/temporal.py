@@ -13,7 +13,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources import scratch
+
 EPOCH = datetime(1970, 1, 1)
+_WINDOW = "struct<name: string, start: timestamp_ntz, end: timestamp_ntz>"
 #: Explicit windows up to which they are sent to every task.
 MOST_BROADCAST = 10_000
 
@@ -99,11 +102,48 @@ class ExplicitWindows:
 
     def attach(self, df: DataFrame, time: str, name: str = "window", start: str = "window_start") -> DataFrame:
         table = df.sparkSession.createDataFrame(list(self.windows), "_n string, _s timestamp_ntz, _e timestamp_ntz")
-        table = F.broadcast(table) if len(self.windows) <= MOST_BROADCAST else table
+        if len(self.windows) > MOST_BROADCAST:
+            return attach_windows(df, time, table.toDF("name", "start", "end"), name, start)
+        table = F.broadcast(table)
         joined = df.join(table, (F.col(time) >= F.col("_s")) & (F.col(time) < F.col("_e")))  # a parameter's rows
         return joined.withColumn(name, F.col("_n")).withColumn(start, F.col("_s")).drop("_n", "_s", "_e")
 
 
+def attach_windows(df: DataFrame, time: str, windows: DataFrame, name: str = "window", start: str = "window_start") -> DataFrame:
+    """``df`` with the window (name, start, end) that holds each time, of a table of any size; rows in no window are dropped.
+
+    Windows must not overlap (``overlapping`` finds those that do): so a time can only be in the one that began last. Rows and
+    window starts are sorted together by ranges that follow the data, the last start is carried along within each range and
+    from range to range, and the ends are checked. Nothing is compared pair by pair, whatever the lengths and densities.
+    """
+    own = df.select(F.struct("*").alias("_row"), F.col(time).cast("timestamp_ntz").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(_WINDOW).alias("_w"))
+    starts = windows.select(F.lit(None).cast(own.schema["_row"].dataType).alias("_row"), F.col("start").alias("_t"), F.lit(0).alias("_kind"), F.struct(F.col("name").cast("string").alias("name"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end")).alias("_w"))
+    both = own.where(F.col("_t").isNotNull()).unionByName(starts.where("start < end"))
+    order = ["_t", "_kind", "_tie"]  # a window holds its start
+    both = both.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*order)
+    both = scratch.saved(both.withColumn("_part", F.spark_partition_id()), "windows")
+    along = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.groupBy("_part").agg(F.max_by("_w", F.when(F.col("_w").isNotNull(), F.struct(*order))).alias("_w"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    carried = carried.select("_part", F.last("_w", ignorenulls=True).over(before).alias("_c"))
+    held = both.withColumn("_l", F.last("_w", ignorenulls=True).over(along)).where("_kind = 1").join(F.broadcast(carried), "_part")
+    held = held.withColumn("_l", F.coalesce("_l", "_c")).where("_t < _l.end")
+    return held.select("_row.*", F.col("_l.name").alias(name), F.col("_l.start").alias(start))
+
+
+def overlapping(windows: DataFrame) -> DataFrame:
+    """The windows (name, start, end) that begin before an earlier one has ended, and those that are empty."""
+    ends = windows.select(F.col("name"), F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"))
+    sorted_ = ends.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange("start", "_tie").withColumn("_part", F.spark_partition_id())
+    sorted_ = scratch.saved(sorted_, "windows")
+    before = Window.partitionBy("_part").orderBy("start", "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sorted_.groupBy("_part").agg(F.max("end").alias("_e"))
+    parts = parts.select("_part", F.max("_e").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)).alias("_e"))  # a row a task
+    late = F.greatest(F.max("end").over(before), F.col("_e")) > F.col("start")
+    held = sorted_.join(F.broadcast(parts), "_part").withColumn("_late", F.coalesce(late, F.lit(False)) | (F.col("start") >= F.col("end")))
+    return held.where("_late").select("name", "start", "end")
+
+
 def check_nested(inner, outer) -> None:
     """An inner window must lie inside one outer window."""
     order = {"day": 0, "month": 1, "year": 2}

@@ -7,6 +7,8 @@ from datetime import timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from .operators import selection
+from .plans.temporal import at_micros, attach_windows, micros
 from .queries import _FIVE as FIVE
 from .queries import DAY, _events, _round, _t, query
 from .sources import files, netcdf_source, scratch
@@ -173,3 +175,35 @@ def _(spark, sf):
     log.prepare(1, "never", _totals(log.state(), steps.where(F.col("step") > last // 2)))
     log.verify()
     return log.state().groupBy((F.col("user_id") % 4).cast("int").alias("rank")).agg(F.count("*").alias("rows"), F.round(F.sum("total") + 1e-7, 4).alias("total"))
+
+
+# --- many windows, exact selection -------------------------------------------------------------------------------------------
+
+_SPANS = "WITH b AS (SELECT epoch_us(min(ts)) AS low, (epoch_us(max(ts)) - epoch_us(min(ts))) // (SELECT max(o_orderkey) + 1 FROM orders) AS width FROM events)"
+
+
+@query("d16_many_windows", f"{_SPANS}, w AS (SELECT o_orderkey, low + o_orderkey * width AS s, low + o_orderkey * width + width * (3 + o_orderkey % 5) // 8 AS e FROM orders, b) SELECT event_id, CAST(o_orderkey AS VARCHAR) AS \"window\", make_timestamp(s) AS window_start FROM (SELECT event_id, epoch_us(ts) AS us, (epoch_us(ts) - low) // width AS k FROM events, b) JOIN w ON o_orderkey = k AND us < e")
+def _(spark, sf):
+    """A window for every order, together as long as the events last, with gaps."""
+    events, orders = _events(spark, sf), _t(spark, sf, "orders").select("o_orderkey")
+    low, high = events.agg(F.min(micros(F.col("ts"))), F.max(micros(F.col("ts")))).first()
+    width = (high - low) // (orders.agg(F.max("o_orderkey")).first()[0] + 1)
+    start = F.lit(low) + F.col("o_orderkey") * width
+    table = orders.select(F.col("o_orderkey").cast("string").alias("name"), at_micros(start).alias("start"), at_micros(start + F.expr(f"{width} * (3 + o_orderkey % 5) div 8")).alias("end"))
+    return attach_windows(events.select("event_id", "ts"), "ts", table).drop("ts")
+
+
+_LEVELS = (0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0)
+_QUANTILES = " ".join(f"WHEN {q} THEN quantile_cont(x, {q})" for q in _LEVELS)
+
+
+@query("e14_one_group", f"SELECT level, round(CASE level {_QUANTILES} END, 6) AS value FROM (SELECT l_extendedprice AS x FROM lineitem), (SELECT unnest({list(_LEVELS)})::DOUBLE AS level) GROUP BY level")
+def _(spark, sf):
+    """All of lineitem is one group: selection by histograms, no buffer of values."""
+    return _round(selection.quantiles(_t(spark, sf, "lineitem"), [], "l_extendedprice", list(_LEVELS)))
+
+
+@query("e14_selected", f"SELECT l_suppkey, level, round(CASE level {_QUANTILES} END, 6) AS value FROM (SELECT l_suppkey, l_extendedprice * (1 - l_discount) AS x FROM lineitem), (SELECT unnest({list(_LEVELS)})::DOUBLE AS level) GROUP BY l_suppkey, level")
+def _(spark, sf):
+    items = _t(spark, sf, "lineitem").select("l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("x"))
+    return _round(selection.quantiles(items, ["l_suppkey"], "x", list(_LEVELS)))
