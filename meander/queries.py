@@ -228,21 +228,11 @@ _SCHEDULE_SQL = "SELECT i AS step, TIMESTAMP '2024-01-01' + INTERVAL (i * 7) HOU
 _SEVEN = Schedule(START, END, HOURS(7))
 
 
-@query("f13_schedule", _SCHEDULE_SQL)
-def _(spark, sf):
-    return _SEVEN.frame(spark)
-
-
 @query("f15_step_at", "SELECT event_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) // 25200000000 AS step FROM events")
 def _(spark, sf):
     return _events(spark, sf).select("event_id", _SEVEN.step_at(F.col("ts")).alias("step"))
 
 
-@query("f7_window_crossing", f"SELECT step FROM ({_SCHEDULE_SQL}) WHERE date_trunc('day', start) <> date_trunc('day', \"end\" - INTERVAL 1 MICROSECOND)")
-def _(spark, sf):
-    return crossing(_SEVEN.frame(spark), DAY).select("step")
-
-
 @query("f8_ordinals", "SELECT DISTINCT user_id, outer_start, i AS inner_start, dense_rank() OVER (PARTITION BY user_id, outer_start ORDER BY i) - 1 AS ordinal FROM (SELECT user_id, date_trunc('month', ts)::TIMESTAMP AS outer_start, date_trunc('day', ts)::TIMESTAMP AS i FROM events)")
 def _(spark, sf):
     return statistics.ordinals(_events(spark, sf), ["user_id"], "ts", DAY, MONTH)
@@ -269,12 +259,6 @@ def _(spark, sf):
     return _round(out)
 
 
-@query("f12_spin_up", "WITH s AS (SELECT unnest(generate_series(0, 29)) AS step) SELECT step, 'spin_up' AS phase, CAST(c AS BIGINT) AS cycle, c * 5 + step AS slot FROM s, (SELECT unnest([0, 1]) AS c) WHERE step < 5 UNION ALL SELECT step, 'main', 2, 10 + step FROM s")
-def _(spark, sf):
-    steps = Schedule(START, END, HOURS(24)).frame(spark)
-    return with_spin_up(steps, 4, 2).select("step", "phase", F.col("cycle").cast("long").alias("cycle"), "slot")
-
-
 @query("f17_source_interval", "WITH t AS (SELECT DISTINCT date_trunc('hour', ts) AS t FROM events), g AS (SELECT date_diff('microsecond', t, lead(t) OVER (ORDER BY t)) AS gap FROM t) SELECT min(gap) AS interval_us, bool_and(gap % (SELECT min(gap) FROM g) = 0) AS regular FROM g WHERE gap IS NOT NULL")
 def _(spark, sf):
     hours = _events(spark, sf).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("t"))
@@ -408,13 +392,6 @@ def _(spark, sf):
     return mapping.local(_weights(spark, sf), wanted).select("position", "target_id", "source", "weight")
 
 
-@query("i5_cell_area", "SELECT j * 50 + i AS source, round(6371007.2 ** 2 * radians(7.2) * (sin(radians(-90 + (j + 1) * 4.5)) - sin(radians(-90 + j * 4.5))) / 1e6, 3) AS area FROM (SELECT unnest(generate_series(0, 49)) AS i), (SELECT unnest(generate_series(0, 39)) AS j)")
-def _(spark, sf):
-    cells = spark.range(2000).select(F.col("id").alias("source"), (F.col("id") % 50).alias("i"), F.expr("id div 50").alias("j"))
-    (a, b), (c, d) = _GLOBE.x.edges(F.col("i")), _GLOBE.y.edges(F.col("j"))
-    return cells.select("source", F.round(_GLOBE.area(a, b, c, d) / 1e6, 3).alias("area"))
-
-
 # --- scans, projections, filters ---------------------------------------------------------------------------------------
 
 
@@ -433,12 +410,6 @@ def _(spark, sf):
 _FILES_SQL = "SELECT 'flow_max3_' || k || '_rank' || r || CASE WHEN r % 2 = 0 THEN '_' || (2000 + r) ELSE '' END || '.parquet' AS name, k, r FROM (SELECT unnest([0, 2, 10]) AS k), (SELECT unnest([0, 1, 2]) AS r)"
 
 
-@query("a13_list_results", f"SELECT 'flow_max3_' || k AS variable, 'flow_max3' AS base, k, r AS rank, CASE WHEN r % 2 = 0 THEN 2000 + r END AS year FROM ({_FILES_SQL})")
-def _(spark, sf):
-    found = spark.createDataFrame([(f"flow_max3_{k}_rank{r}" + (f"_{2000 + r}" if r % 2 == 0 else "") + ".parquet",) for k in (0, 2, 10) for r in (0, 1, 2)] + [("notes.txt",)], "name string")
-    return tables.listed(found)
-
-
 @query("a16_missing_steps", "SELECT CAST(h AS TIMESTAMP) AS time, 'missing' AS problem FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:50:00', INTERVAL 10 MINUTE)) AS h) WHERE h NOT IN (SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') FROM events)")
 def _(spark, sf):
     ten = timedelta(minutes=10)
@@ -635,12 +606,6 @@ def _(spark, sf):
 # --- stateful operators in batch form ----------------------------------------------------------------------------------
 
 
-@query("j6_fixed_substeps", f"SELECT step, CAST(sub_step AS INTEGER) AS sub_step, round(date_diff('second', start, \"end\") / 4.0, 6) AS dt, (sub_step + 0.5)::DOUBLE / 4 AS midpoint FROM ({_SCHEDULE_SQL}), (SELECT unnest([0, 1, 2, 3]) AS sub_step)")
-def _(spark, sf):
-    steps = _SEVEN.frame(spark).withColumn("seconds", (micros(F.col("end")) - micros(F.col("start"))) / 1_000_000)
-    return _round(substeps.fixed(steps, 4, "seconds").select("step", "sub_step", "dt", "midpoint"))
-
-
 @query("j7_adaptive_substeps", "WITH RECURSIVE s AS (SELECT o_orderkey, 0 AS sub_step, 0.0::DOUBLE AS t, least(1000.0 + o_orderkey % 7 * 100, 1500.0, 3600.0)::DOUBLE AS dt FROM orders UNION ALL SELECT o_orderkey, sub_step + 1, t + dt, least(1000.0 + o_orderkey % 7 * 100, 1500.0, 3600.0 - t - dt)::DOUBLE FROM s WHERE 3600.0 - t - dt > 1e-9) SELECT o_orderkey, sub_step, dt FROM s")
 def _(spark, sf):
     steps = _t(spark, sf, "orders").select("o_orderkey", F.lit(3600.0).alias("seconds"))
@@ -729,12 +694,6 @@ def _(spark, sf):
     return found.groupBy("rank", "o_custkey").agg(F.round(F.sum("o_totalprice"), 4).alias("total"))
 
 
-@query("a21_time_slots", "WITH s AS (SELECT unnest(generate_series(0, 29)) AS step) SELECT slot, step < 30 AS is_valid, spin AS is_spin_up FROM (SELECT c * 5 + step AS slot, step, true AS spin FROM s, (SELECT unnest([0, 1]) AS c) WHERE step < 5 UNION ALL SELECT 10 + step, step, false FROM s)")
-def _(spark, sf):
-    steps = with_spin_up(Schedule(START, END, HOURS(24)).frame(spark), 4, 2)
-    return steps.select("slot", (F.col("step") < 30).alias("is_valid"), (F.col("phase") == "spin_up").alias("is_spin_up"))
-
-
 @query("b4_best_k_split", _RANKED_SQL.format("mean_ DESC", "round(mean_, 6)").replace("WHERE k < 3", "WHERE k = 1"))
 def _(spark, sf):
     out = statistics.two_level(_events(spark, sf), ["user_id"], "ts", "value", DAY, _FIVE, ["max3_mean"])
@@ -1343,12 +1302,6 @@ def _(spark, sf):
     return _round(lookup.aligned(customer.select("c_custkey", "c_mktsegment"), parts, "c_custkey"))
 
 
-@query("e6_operation_names", "SELECT * FROM (VALUES ('mean', 'mean', NULL, false, 1), ('max_mean', 'mean', 'max', false, 1), ('argmin3_last', 'last', 'min', true, 3), ('sum_max', 'max', 'sum', false, 1)) v(name, \"inner\", \"outer\", arg, k)")
-def _(spark, sf):
-    found = [statistics.operation(n) for n in ("mean", "max_mean", "argmin3_last", "sum_max")]
-    return spark.createDataFrame([(o.name, o.inner, o.outer, o.arg, o.k) for o in found], "name string, inner string, outer string, arg boolean, k int")
-
-
 SQL["e18_balanced_ranks"] = """
 WITH RECURSIVE g AS (SELECT c_nationkey, count(*) AS size, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS i FROM customer GROUP BY 1
 ), s AS (
@@ -1370,12 +1323,6 @@ def _(spark, sf):
     return lookup.positions_of(_t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_partkey", some, "p_partkey", -7).drop("l_partkey")
 
 
-@query("g7_dependency_order", "SELECT unnest(['a', 'c', 'b', 'd']) AS name, unnest([0, 1, 2, 3])::BIGINT AS place")
-def _(spark, sf):
-    order = expressions.dependency_order({"d": "b + c", "b": "c * 2", "a": "x", "c": "a + y"})
-    return spark.createDataFrame([(n, k) for k, n in enumerate(order)], "name string, place long")
-
-
 @query("h5_coordinate_union", "SELECT l_suppkey AS key FROM lineitem UNION SELECT s_suppkey FROM supplier UNION SELECT c_custkey FROM customer")
 def _(spark, sf):
     keys = [("lineitem", "l_suppkey"), ("supplier", "s_suppkey"), ("customer", "c_custkey")]
@@ -1412,13 +1359,6 @@ def _(spark, sf):
     return lookup.referenced(tables_["orders"].select("o_orderkey", "o_custkey"), "o_custkey", tables_["customer"], "c_custkey", "c_nationkey").select("o_orderkey", "o_custkey", "c_nationkey")
 
 
-@query("l3_namespace", "SELECT unnest(['a.x', 'a.y', 'b.y', 'x', 'w']) AS name, unnest(['a.x', 'a.y', 'b.y', 'a.x', 'w']) AS field")
-def _(spark, sf):
-    from .plans.schema import namespace
-
-    return spark.createDataFrame(list(namespace({"a": ["x", "y"], "b": ["y"]}, ["w"]).items()), "name string, field string")
-
-
 @query("l4_partition_checks", "SELECT 'leaves' AS problem, c_nationkey AS key FROM customer WHERE c_custkey % 2 <> c_nationkey % 2 GROUP BY ALL UNION ALL SELECT 'differs', n_nationkey FROM nation WHERE n_nationkey % 5 = 0")
 def _(spark, sf):
     from .plans.schema import cross_rank_references, differing_replicas
@@ -1439,11 +1379,4 @@ def _(spark, sf):
     return conformed(some, [Field("c_custkey", "int"), Field("c_acctbal", "float", default=-1.5), Field("extra", "idx", default=7)])
 
 
-@query("l8_request", "SELECT unnest(['max_mean', 'max_mean', 'sum']) AS operation, unnest(['depth', 'q', 'q']) AS alias, unnest(['depth', 'a * b', 'a * b']) AS expression")
-def _(spark, sf):
-    from .plans.schema import request
-
-    return spark.createDataFrame(request({"max_mean": ["depth", {"q": "a * b"}], "sum": [("q", "a * b")]}), "operation string, alias string, expression string")
-
-
-from . import queries_stored  # noqa: E402, F401  registers its queries
+from . import queries_planned, queries_stored  # noqa: E402, F401  register their queries
