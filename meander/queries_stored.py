@@ -7,13 +7,14 @@ from datetime import timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import selection
-from .plans.temporal import at_micros, attach_windows, micros
+from .operators import selection, summed_area
+from .plans.temporal import IntervalWindow, Schedule, at_micros, attach_windows, micros
 from .queries import _FIVE as FIVE
-from .queries import DAY, _events, _round, _t, query
+from .queries import _FRAMES_SQL, _GRID, _RECT_SQL, DAY, _corner, _events, _frames, _round, _t, query
 from .sources import files, netcdf_source, scratch
 from .sources.changelog import ChangeLog
 from .streaming import keyed, windows
+from .streaming.bundle import Bundle, Source
 from .streaming.steps import ChangeRunner
 
 _DAYS = "SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS time, sum(value) AS value FROM events GROUP BY ALL"
@@ -207,3 +208,44 @@ def _(spark, sf):
 def _(spark, sf):
     items = _t(spark, sf, "lineitem").select("l_suppkey", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("x"))
     return _round(selection.quantiles(items, ["l_suppkey"], "x", list(_LEVELS)))
+
+
+# --- rectangles over many cells, steps that are run again ------------------------------------------------------------------------
+
+
+@query("d11_summed_area", f"WITH f AS ({_FRAMES_SQL}), o AS (SELECT target_id, t, (least(x0 + 3.3, source % 50 + 1) - greatest(x0, source % 50)) * (least(y0 + 2.6, source // 50 + 1) - greatest(y0, source // 50)) AS weight, x FROM ({_RECT_SQL}) JOIN f ON source % 50 < x0 + 3.3 AND source % 50 + 1 > x0 AND source // 50 < y0 + 2.6 AND source // 50 + 1 > y0 WHERE source < 2000), v AS (SELECT t, target_id, sum(weight * x) / (3.3 * 2.6) AS value FROM o GROUP BY ALL) SELECT CAST(q.t AS BIGINT) AS t, s_suppkey AS target_id, round(coalesce(value, 0) + 1e-6, 4) AS value FROM supplier CROSS JOIN (SELECT unnest([0, 1, 2]) AS t) q LEFT JOIN v ON v.target_id = s_suppkey AND v.t = q.t")
+def _(spark, sf):
+    x, y = _corner()
+    targets = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("target_id"), x.alias("xmin"), (x + 3.3).alias("xmax"), y.alias("ymin"), (y + 2.6).alias("ymax"))
+    out = summed_area.rectangle_sums(_frames(spark, sf), targets, _GRID, "t", "source", "x")
+    return out.withColumn("value", F.round(F.col("value") + 1e-6, 4))
+
+
+@query("j5_retried_bundle", "WITH b AS (SELECT date_trunc('day', min(ts)) AS low FROM events), e AS (SELECT date_diff('day', low, date_trunc('day', ts)) // 5 AS step, event_type, value FROM events, b), r AS (SELECT step // 2 AS k, avg(value) AS rate FROM e GROUP BY 1) SELECT CAST(step AS INTEGER) AS step, event_type, count(*) AS n, round(sum(value) / any_value(rate), 5) AS total FROM e JOIN r ON k = step // 2 GROUP BY ALL")
+def _(spark, sf):
+    """Events by the day and a rate of every ten days, in steps of five. Every other step fails once, and rows come late before it is run again."""
+    folder = scratch.new_path(spark, "bundle")
+    events = _events(spark, sf)
+    low, high = events.agg(F.min(F.date_trunc("day", "ts")).cast("timestamp_ntz"), F.max("ts")).first()
+    events.write.parquet(f"{folder}/events")
+    ten = IntervalWindow(timedelta(days=10), low).start(F.col("ts"))
+    events.groupBy(ten.alias("at")).agg(F.avg("value").alias("rate")).write.parquet(f"{folder}/rates")
+    days = lambda n: timedelta(days=n)
+    sources = {"events": Source(f"{folder}/events", events.schema, "ts", days(1), low), "rates": Source(f"{folder}/rates", spark.read.parquet(f"{folder}/rates").schema, "at", days(10), low)}
+    bundle = Bundle(spark, f"{folder}/bundle", Schedule(low, high + timedelta(microseconds=1), days(5)), sources)
+
+    def body(step, rows):
+        if step % 2 and not files.exists(spark, f"{folder}/late-{step}.json"):
+            rows["events"].limit(50).withColumn("value", F.lit(1e6)).write.mode("append").parquet(f"{folder}/events")
+            files.publish(spark, f"{folder}/late-{step}.json", {})
+            raise InterruptedError
+        total = rows["events"].withColumn("at", IntervalWindow(days(10), low).start(F.col("ts"))).join(rows["rates"], "at")
+        total = total.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value") / F.max("rate"), 5).alias("total"))
+        total.withColumn("step", F.lit(step)).write.mode("overwrite").parquet(f"{folder}/out/part={step}")
+
+    while bundle.next_step() < len(bundle.schedule):
+        try:
+            bundle.run(body)
+        except InterruptedError:
+            continue
+    return spark.read.parquet(f"{folder}/out").select("step", "event_type", "n", "total")

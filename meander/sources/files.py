@@ -53,3 +53,10 @@ def publish(spark: SparkSession, path: str, record: dict) -> bool:
         fs.delete(temporary, False)
         return False
     return True
+
+
+def sizes(spark: SparkSession, path: str) -> dict[str, int]:
+    """The data files of a folder, with their lengths."""
+    fs, p = _at(spark, path)
+    found = fs.listStatus(p) if fs.exists(p) else []
+    return {n: f.getLen() for f in found if f.isFile() and not (n := f.getPath().getName()).startswith((".", "_"))}
