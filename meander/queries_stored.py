@@ -7,11 +7,11 @@ from datetime import timedelta
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import selection, summed_area
+from .operators import mapping, selection, summed_area
 from .plans.temporal import IntervalWindow, Schedule, at_micros, attach_windows, micros
 from .queries import _FIVE as FIVE
-from .queries import _FRAMES_SQL, _GRID, _RECT_SQL, DAY, _corner, _events, _frames, _round, _t, query
-from .sources import files, netcdf_source, scratch
+from .queries import _FRAMES_SQL, _GRID, _MAP_SQL, _RECT_SQL, DAY, _corner, _events, _frames, _round, _t, _weights, query
+from .sources import bucketed, files, netcdf_source, scratch
 from .sources.changelog import ChangeLog
 from .streaming import keyed, windows
 from .streaming.bundle import Bundle, Source
@@ -249,3 +249,27 @@ def _(spark, sf):
         except InterruptedError:
             continue
     return spark.read.parquet(f"{folder}/out").select("step", "event_type", "n", "total")
+
+
+# --- layouts -----------------------------------------------------------------------------------------------------------------------
+
+
+@query("d7_laid_out_mapping", f"SELECT t, target_id, round(sum(weight * x), 4) AS value FROM ({_MAP_SQL}) m JOIN ({_FRAMES_SQL}) f USING (source) GROUP BY ALL")
+def _(spark, sf):
+    """Frames and mapping are laid out by cell once; each frame's mapping joins them bucket by bucket."""
+    frames = bucketed.laid_out(_frames(spark, sf), ["source"], 8, "frames")
+    weights = bucketed.laid_out(_weights(spark, sf), ["source"], 8, "mapping")
+    return mapping.apply_mapping(frames, weights, "t", "source", "x").withColumn("value", F.round("value", 4))
+
+
+@query("d25_laid_out_state", "SELECT o_custkey AS c_custkey, count(*) AS n, round(any_value(c_acctbal) + sum(o_totalprice) + 1e-7, 4) AS balance FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY 1")
+def _(spark, sf):
+    """State laid out by key is joined with rows of two steps that are laid out alike: the new state needs no exchange."""
+    state = bucketed.laid_out(_t(spark, sf, "customer").select("c_custkey", F.lit(0).cast("long").alias("n"), F.col("c_acctbal").alias("balance")), ["c_custkey"], 8, "state")
+    orders = _t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey", "o_totalprice")
+    for part in (0, 1):
+        rows = bucketed.laid_out(orders.where(F.col("o_orderkey") % 2 == part), ["c_custkey"], 8, "rows")
+        added = rows.groupBy("c_custkey").agg(F.count("*").alias("a"), F.sum("o_totalprice").alias("s"))
+        state = state.join(added, "c_custkey", "left").select("c_custkey", (F.col("n") + F.coalesce("a", F.lit(0))).alias("n"), (F.col("balance") + F.coalesce("s", F.lit(0.0))).alias("balance"))
+        state = bucketed.laid_out(state, ["c_custkey"], 8, "state")
+    return state.where("n > 0").select("c_custkey", "n", F.round(F.col("balance") + 1e-7, 4).alias("balance"))
