@@ -11,12 +11,14 @@ missed. A candidate counts if the n words at the item's place are similar enough
 to it: weighted Jaccard over the multisets of 5-word shingles, a shingle weighing
 the sum of its words' weights, 100 * intersection >= 75 * union, in integers.
 
-Fingerprints alone would miss similar windows that are further off. So each item
-also has anchors: its heaviest shingles, up to more than 100 - PERCENT percent of
-its weight. A window without any of them shares too little, so that each similar
-window holds one; every window around a found anchor is compared by running
-counts. Items of under five words need none: they are one shingle, and its
-fingerprint is found at distance 0. Together no similar window is missed.
+Similar windows may be further off than any radius that can be searched. So each
+item has fingerprints of parts as well: of its heaviest runs of five words, up to more than
+100 - PERCENT percent of its weight. A window in which every part is changed shares
+too little to be similar, so in each similar window one part stands unchanged, at distance
+0; parts within ``PART_RADIUS`` bits are found through the same kind of blocks, and
+every window around a found part is compared by running counts. Items of under five
+words need no parts: they are one shingle, and its fingerprint is found at distance
+0. Together no similar window is missed, and none is found but through a fingerprint.
 
 The index of all items, or of the next ``PASS_ITEMS`` of them or ``PASS_BYTES`` of
 their text, is built once, on the driver, by vector operations, and broadcast;
@@ -28,7 +30,7 @@ end of the text is cut there, but holds at least half the item's words (all of u
 to 8); repeated documents are judged one by one; repeated items count once per
 item_id; empty tables give empty results; extra columns of any name pass through
 ``clean`` and are ignored by ``leaks``. ``hamming`` is the distance of the nearer of
-the item's two fingerprints at the window: it exceeds RADIUS where an anchor alone
+the item's two fingerprints at the window: it exceeds RADIUS where a part alone
 led there, and is null where neither lies inside the text.
 """
 
@@ -45,7 +47,7 @@ from pyspark.sql import DataFrame
 
 from . import kernels, shared
 
-WORDS, PERCENT, RADIUS, BLOCKS = 5, 75, 7, 4
+WORDS, PERCENT, RADIUS, BLOCKS, PART_RADIUS = 5, 75, 7, 4, 3
 #: Benchmark items, and bytes of their texts, in one index at most (or one item).
 PASS_ITEMS, PASS_BYTES = 1 << 16, 32 << 20
 _FOUND = "doc_id long, item_id long, start_word long, n_words long, similarity double, hamming int"
@@ -111,7 +113,7 @@ class Sums:
 
 
 class Index:
-    """The items of one pass as arrays: by size class and 16-bit block, by anchor, and their shingles."""
+    """The items of one pass as arrays: whole fingerprints by size class and 16-bit block, parts by block, and shingles."""
 
     def __init__(self, items: list[tuple[int, str]], radius: int = RADIUS, percent: int = PERCENT):
         self.radius = radius
@@ -128,26 +130,27 @@ class Index:
         #: Per fingerprint: itself, its item, and where in the item it begins. An item's first is twice its number.
         self.marks, self.item_of, self.shift = (np.empty(2 * len(self.n), np.uint64), np.repeat(np.arange(len(self.n)), 2), np.zeros(2 * len(self.n), np.int64))
         self.marks[0::2], self.marks[1::2], self.shift[1::2] = join("head"), join("tail"), self.n - self.width
-        flips = np.array([sum(1 << b for b in bits) for r in range(radius // BLOCKS + 1) for bits in combinations(range(16), r)], np.int64)
         self.classes = {}
         for w in np.unique(self.width).tolist():
             own = np.flatnonzero((self.width[self.item_of] == w) & ((self.shift > 0) | (np.arange(len(self.marks)) % 2 == 0)))
-            blocks = []
-            for b in range(BLOCKS):
-                key = ((self.marks[own] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
-                near = (key[:, None] ^ flips[None]).reshape(-1)
-                order = np.argsort(near, kind="stable")
-                at = np.searchsorted(near[order], np.arange(65537)).astype(np.int32)
-                blocks.append((at[1:] > at[:-1], at, np.repeat(own, len(flips))[order].astype(np.int32)))
-            self.classes[w] = blocks
-        anchors, item = join("anchor"), shifted("anchor_item")
-        order = np.argsort(anchors, kind="stable")
-        self.anchors, self.anchor_item = anchors[order], item[order]
-        #: By the highest 20 bits: whether an anchor begins with them.
-        self.begun = np.zeros(1 << 20, bool)
-        self.begun[self.anchors >> np.uint64(44)] = True
+            self.classes[w] = self._blocks(self.marks, own, radius)
+        self.parts, self.part_item = join("part"), shifted("part_item")
+        self.part_blocks = self._blocks(self.parts, np.arange(len(self.parts)), PART_RADIUS)
         self._bags: dict[int, Counter] = {}
 
+    @staticmethod
+    def _blocks(marks: np.ndarray, own: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per 16-bit block: whether a key is used, where its fingerprints begin, and those (of ``own``) that are near enough to the key in the block."""
+        flips = np.array([sum(1 << b for b in bits) for r in range(radius // BLOCKS + 1) for bits in combinations(range(16), r)], np.int64)
+        blocks = []
+        for b in range(BLOCKS):
+            key = ((marks[own] >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)
+            near = (key[:, None] ^ flips[None]).reshape(-1)
+            order = np.argsort(near, kind="stable")
+            at = np.searchsorted(near[order], np.arange(65537)).astype(np.int32)
+            blocks.append((at[1:] > at[:-1], at, np.repeat(own, len(flips))[order].astype(np.int32)))
+        return blocks
+
     @staticmethod
     def _block(ids: list[int], text: pa.Array, percent: int) -> dict[str, np.ndarray]:
         """What the index holds of a block of items, those without words left out."""
@@ -162,7 +165,7 @@ class Index:
         at = np.arange(len(s)) - s_rows[:-1][item] + rows[:-1][item]
         weight = total[at + np.minimum(WORDS, n)[item]] - total[at]
         order = np.lexsort((s, item))
-        s, item, weight = s[order], item[order], weight[order]
+        s, item, weight, at = s[order], item[order], weight[order], at[order]
         new = np.flatnonzero(np.concatenate([[True], (np.diff(item) > 0) | (s[1:] != s[:-1])])) if len(s) else np.zeros(0, int)
         bag_key, bag_item, bag_weight = s[new], item[new], np.add.reduceat(weight, new) if len(new) else weight
         # the heaviest shingles, so many that windows without all of them are less similar than asked
@@ -173,13 +176,14 @@ class Index:
         held = run - run[bag_rows[:-1][bag_item[order]]]
         chosen = order[(100 * held <= (100 - percent) * whole[bag_item[order]]) & (n[bag_item[order]] >= WORDS)]
         width = np.array([size_class(k) for k in n.tolist()], np.int64)
-        head, tail = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64)
+        head, tail, part = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), np.zeros(0, np.uint64)
         if len(n):
             sums = Sums(h, weights, int(width.max()))
+            part = sums.windows(WORDS)[at[new][chosen]] if len(chosen) else part
             for w in np.unique(width).tolist():
                 at, marks = np.flatnonzero(width == w), sums.windows(w)
                 head[at], tail[at] = marks[rows[:-1][at]], marks[rows[1:][at] - w]
-        return {"item_id": np.array(ids, np.int64)[full], "n": n, "width": width, "bag_rows": bag_rows, "bag_key": bag_key, "bag_weight": bag_weight, "head": head, "tail": tail, "anchor": bag_key[chosen], "anchor_item": bag_item[chosen]}
+        return {"item_id": np.array(ids, np.int64)[full], "n": n, "width": width, "bag_rows": bag_rows, "bag_key": bag_key, "bag_weight": bag_weight, "head": head, "tail": tail, "part": part, "part_item": bag_item[chosen]}
 
     def bag(self, x: int) -> Counter:
         """Item x's shingles with their weights."""
@@ -192,29 +196,32 @@ class Index:
 
     def candidates(self, w: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """All (window, fingerprint, distance) of class w within the radius."""
-        keys = np.ascontiguousarray(found.view(np.uint16).reshape(-1, BLOCKS).T)
-        at_all, item_all, far_all = [], [], []
-        for b, (used, at, items) in enumerate(self.classes[w]):
-            hit = np.flatnonzero(used[keys[b]])
-            key = keys[b][hit].astype(np.int64)
-            n = (at[key + 1] - at[key]).astype(np.int64)
-            here = np.repeat(hit, n)
-            item = items[np.repeat(at[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64)
-            far = np.bitwise_count(found[here] ^ self.marks[item])
-            ok = far <= self.radius
-            at_all.append(here[ok])
-            item_all.append(item[ok])
-            far_all.append(far[ok])
-        at, item, far = map(np.concatenate, (at_all, item_all, far_all))
-        _, one = np.unique(at * max(1, len(self.marks)) + item, return_index=True)
-        return at[one], item[one], far[one]
-
-    def anchored(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (place in ``shingles``, item) where an anchor of the item is."""
-        at = np.flatnonzero(self.begun[shingles >> np.uint64(44)])
-        first, last = (np.searchsorted(self.anchors, shingles[at], side) for side in ("left", "right"))
-        n = last - first
-        return np.repeat(at, n), self.anchor_item[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return _near(self.classes[w], self.marks, self.radius, found)
+
+    def parted(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (place, item) where a run of five words is within ``PART_RADIUS`` of a part of the item."""
+        at, part, _ = _near(self.part_blocks, self.parts, PART_RADIUS, found)
+        return at, self.part_item[part]
+
+
+def _near(blocks: list, marks: np.ndarray, radius: int, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All (place in ``found``, place in ``marks``, distance) within the radius, through the blocks."""
+    keys = np.ascontiguousarray(found.view(np.uint16).reshape(-1, BLOCKS).T)
+    at_all, item_all, far_all = [], [], []
+    for b, (used, at, items) in enumerate(blocks):
+        hit = np.flatnonzero(used[keys[b]])
+        key = keys[b][hit].astype(np.int64)
+        n = (at[key + 1] - at[key]).astype(np.int64)
+        here = np.repeat(hit, n)
+        item = items[np.repeat(at[key] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))].astype(np.int64)
+        far = np.bitwise_count(found[here] ^ marks[item])
+        ok = far <= radius
+        at_all.append(here[ok])
+        item_all.append(item[ok])
+        far_all.append(far[ok])
+    at, item, far = map(np.concatenate, (at_all, item_all, far_all))
+    _, one = np.unique(at * max(1, len(marks)) + item, return_index=True)
+    return at[one], item[one], far[one]
 
 
 def _best_start(lo: int, hi: int, n: int, want: Counter, s: list[int], weight: list[int], percent: int) -> tuple[int, int, int] | None:
@@ -246,20 +253,20 @@ def _best_start(lo: int, hi: int, n: int, want: Counter, s: list[int], weight: l
     return found
 
 
-def _around(index: Index, s: np.ndarray, s_rows: np.ndarray, rows: np.ndarray) -> dict[int, list[list[int]]]:
-    """By size class: (row, item, first start, last start) of all runs of windows that hold an anchor; starts are counted in the row."""
-    at, item = index.anchored(s)
+def _around(index: Index, parts: np.ndarray, row_of: np.ndarray, rows: np.ndarray) -> dict[int, list[list[int]]]:
+    """By size class: (row, item, first start, last start) of all runs of windows that hold a part; starts are counted in the row."""
+    at, item = index.parted(parts)
     if not len(at):
         return {}
-    row = np.searchsorted(s_rows, at, "right") - 1
+    row = row_of[at]
     n = index.n[item]
     least = np.where(n <= 8, n, (n + 1) // 2)
-    place, size = at - s_rows[row], (rows[1:] - rows[:-1])[row]
+    place, size = at - rows[row], (rows[1:] - rows[:-1])[row]
     lo, hi = np.maximum(place + WORDS - n, least - n), np.minimum(place, size - least)
-    ok = (lo <= hi) & (size >= WORDS)
+    ok = (lo <= hi) & (place + WORDS <= size)
     out: dict[int, list] = {}
     last = None
-    for r, x, a, z in sorted(zip(*(v[ok].tolist() for v in (row, item, lo, hi)))):
+    for r, x, a, z in sorted(set(zip(*(v[ok].tolist() for v in (row, item, lo, hi))))):
         if last and last[:2] == [r, x] and a <= last[3] + 1:
             last[3] = max(last[3], z)
         else:
@@ -297,7 +304,7 @@ def _search(index: Index, text: pa.Array, percent: int) -> list[tuple[int, int,
         sums = Sums(h, weights, max(index.classes))
         row_of = np.repeat(np.arange(j - i), np.diff(rows))
         s, s_rows = kernels.shingles(h, rows, WORDS)
-        around = _around(index, s, s_rows, rows)
+        around = _around(index, sums.windows(WORDS), row_of, rows)
         for w in index.classes:
             marks = sums.windows(w)
             for r, x, lo, hi in around.get(w, ()):

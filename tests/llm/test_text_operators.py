@@ -3,13 +3,13 @@
 import collections
 import itertools
 import random
-import time
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
-from meander.llm import decontaminate, line_dedup, minhash_dedup, packing, quality_rules
+from meander.llm import decontaminate, kernels, line_dedup, minhash_dedup, packing, quality_rules
 from meander.llm.components import components
 from pyspark.sql import functions as F
 
@@ -268,6 +268,32 @@ def test_hamming_blocks_miss_nothing():
     assert set(zip(at.tolist(), item.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(far <= decontaminate.RADIUS))))
 
 
+def test_each_similar_window_holds_an_unchanged_part():
+    """Parts weigh so much that a window similar enough has one at distance 0; those within the part radius are all found."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice(["a", "stone", "considerable", "of", f"w{rng.randrange(400)}"]) for _ in range(rng.randrange(5, 60))) for _ in range(60)]
+    index = decontaminate.Index(list(enumerate(texts)))
+    assert len(index.parts) and len(index.parts) == len(index.part_item)
+    for k, text in enumerate(texts):
+        words = text.split()
+        weigh = lambda ws: np.clip(np.array([len(w) for w in ws]) // 3, 1, 3)
+        hashed = lambda ws: kernels.word_hashes(np.frombuffer(" ".join(ws).encode(), np.uint8), *kernels.word_bounds(np.frombuffer(" ".join(ws).encode(), np.uint8), np.array([0, len(" ".join(ws))]))[:2])
+        own = decontaminate.weighted_shingles(hashed(words), weigh(words).astype(np.uint8))
+        for _ in range(20):
+            edited = list(words)
+            for _ in range(rng.randrange(1, 6)):
+                edited[rng.choice([0, -1, rng.randrange(len(edited))])] = f"other{rng.randrange(9)}"
+            h, w = hashed(edited), weigh(edited).astype(np.uint8)
+            both, either = decontaminate.overlap(decontaminate.weighted_shingles(h, w), own)
+            if 100 * both >= decontaminate.PERCENT * either:
+                runs = decontaminate.Sums(h, w, len(edited)).windows(5)
+                assert k in index.parted(runs)[1].tolist()
+    near = np.array([int(m) ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for m in index.parts for _ in range(5)], np.uint64)
+    at, item = index.parted(near)
+    far = np.bitwise_count(near[:, None] ^ index.parts[None]) <= decontaminate.PART_RADIUS
+    assert set(zip(at.tolist(), item.tolist())) == {(a, int(index.part_item[p])) for a, p in zip(*map(np.ndarray.tolist, np.nonzero(far)))}
+
+
 def lines_brute(spark, rows):
     def close(a, b):
         if abs(len(a) - len(b)) > 1:
