@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 from ..sources.scan import X_NAMES, Y_NAMES, found_name
-from .lookup import IntegrityError
+from .lookup import IntegrityError, require_unique
 
 #: Fixed value: the sphere's radius in metres.
 EARTH_RADIUS = 6371007.2
@@ -137,6 +137,35 @@ def rectangle_overlap(targets: DataFrame, grid: Grid, mode: str = "mean", least_
     return out if mode == "sum" else normalized(out)
 
 
+def mask_targets(mask: DataFrame, grid: Grid, inside: Column, ix: str = "ix", iy: str = "iy", target_id: str | None = None) -> DataFrame:
+    """(target_id, source, x, y, xmin, xmax, ymin, ymax): the cells of a mask (one row a cell) where ``inside`` is true, as targets with centre and bounds.
+
+    ``target_id`` is a column of the mask, by default the cell's number. Cells off the grid and repeated cells or ids are errors.
+    """
+    cells = mask.where(inside)
+    off = ~(F.col(ix).between(0, grid.x.n - 1) & F.col(iy).between(0, grid.y.n - 1))
+    bad = F.raise_error(F.concat(F.lit("a mask cell is off the grid: "), F.concat_ws(", ", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in (ix, iy)))))
+    source = F.when(F.coalesce(off, F.lit(True)), bad.cast("long")).otherwise(grid.source(F.col(ix), F.col(iy)))
+    (a, b), (c, d) = grid.x.edges(F.col(ix)), grid.y.edges(F.col(iy))
+    out = cells.select((F.col(target_id) if target_id else source).cast("long").alias("target_id"), source.alias("source"), ((a + b) / 2).alias("x"), ((c + d) / 2).alias("y"), a.alias("xmin"), b.alias("xmax"), c.alias("ymin"), d.alias("ymax"))
+    require_unique(out, "source")
+    return require_unique(out, "target_id")
+
+
+def point_targets(points: DataFrame, x: str, y: str, target_id: str, cell_size: float | tuple[float, float] | None = None) -> DataFrame:
+    """(target_id, x, y), with ``cell_size`` (of both axes, or of each) also the bounds of a cell around each point; repeated ids are an error."""
+    out = require_unique(points.select(F.col(target_id).cast("long").alias("target_id"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), "target_id")
+    if cell_size is None:
+        return out
+    dx, dy = cell_size if isinstance(cell_size, tuple) else (cell_size, cell_size)
+    return out.withColumns({"xmin": F.col("x") - dx / 2, "xmax": F.col("x") + dx / 2, "ymin": F.col("y") - dy / 2, "ymax": F.col("y") + dy / 2})
+
+
+def coalesced(mapping: DataFrame) -> DataFrame:
+    """(target_id, source, weight) with one row for each pair: weights of repeated pairs are summed."""
+    return mapping.groupBy("target_id", "source").agg(F.sum("weight").alias("weight"))
+
+
 def normalized(mapping: DataFrame) -> DataFrame:
     """Weights divided by their sum per target; targets whose weights sum to 0 keep theirs."""
     total = F.sum("weight").over(Window.partitionBy("target_id"))

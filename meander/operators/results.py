@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import scratch
@@ -71,6 +72,16 @@ def grid(df: DataFrame, point: str, value: str, nx: int, ny: int, fill: float) -
     return unravelled(cells.join(df.select(point, value), point, "left"), point, ny).select("x", "y", F.coalesce(value, F.lit(fill)).alias("value"))
 
 
+def converted(df: DataFrame, point: str, converter: Callable[[Column], tuple[Column, Column]]) -> DataFrame:
+    """``df`` with x and y, which the caller's converter makes of the point: two integer expressions, or an error; null ones stop the query."""
+    x, y = converter(F.col(point))
+    out = df.withColumns({"x": x, "y": y})
+    if wrong := [c for c in ("x", "y") if out.schema[c].dataType.typeName() not in ("byte", "short", "integer", "long")]:
+        raise TypeError(f"a converter gives integers, not {[(c, out.schema[c].dataType.simpleString()) for c in wrong]}")
+    bad = F.raise_error(F.concat(F.lit("the converter has no place for "), F.coalesce(F.col(point).cast("string"), F.lit("null"))))
+    return out.withColumns({c: F.coalesce(F.col(c), bad.cast(out.schema[c].dataType)) for c in ("x", "y")})
+
+
 def series(df: DataFrame, point: str, wanted: DataFrame) -> DataFrame:
     """The rows of the wanted points (position, point), with their position; repeated or unknown points are errors."""
     require_unique(wanted, point)

@@ -152,6 +152,17 @@ def ordinals(df: DataFrame, points: Iterable[str], time: str, inner, outer) -> D
     return low.withColumn("ordinal", (F.row_number().over(order) - 1).cast("long"))
 
 
+def arg_times(out: DataFrame, order: DataFrame, points: Iterable[str], name: str) -> DataFrame:
+    """(points, outer_start, k, ordinal, time): the times of an arg operation's results, k from 0.
+
+    ``out`` is of ``two_level``, ``order`` of ``ordinals`` with the same points and windows.
+    """
+    keys = [*points, "outer_start"]
+    found = F.col(name) if out.schema[name].dataType.typeName() == "array" else F.array(name)
+    long = out.select(*keys, F.posexplode(found).alias("k", "ordinal"))
+    return long.join(order.select(*keys, "ordinal", F.col("inner_start").alias("time")), [*keys, "ordinal"]).select(*keys, "k", "ordinal", "time")
+
+
 def manual_windows(df: DataFrame, points: Iterable[str], time: str, first: str = "first", last: str = "last", outer_first: str = "outer_first", outer_last: str = "outer_last") -> DataFrame:
     """``df`` with inner and outer, numbers of windows that the caller's four flags open and close, from 0.
 

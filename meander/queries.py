@@ -111,8 +111,9 @@ def _(spark, sf):
 
 @query("d26_arg_time", f"WITH a AS ({_inner_sql(kinds=('mean',))}) SELECT user_id, outer_start, min_by(i, (-mean_, i)) AS at FROM a GROUP BY ALL")
 def _(spark, sf):
-    low = statistics.inner_windows(_events(spark, sf), ["user_id"], "ts", "value", DAY, ["mean"]).withColumn("outer_start", _FIVE.start(F.col("inner_start")))
-    return low.groupBy("user_id", "outer_start").agg(F.min_by("inner_start", F.struct(-F.col("mean"), F.col("inner_start"))).alias("at"))
+    out = statistics.two_level(_events(spark, sf), ["user_id"], "ts", "value", DAY, _FIVE, ["argmax_mean"])
+    order = statistics.ordinals(_events(spark, sf), ["user_id"], "ts", DAY, _FIVE)
+    return statistics.arg_times(out, order, ["user_id"], "argmax_mean").select("user_id", "outer_start", F.col("time").alias("at"))
 
 
 @query("e8_scatter_sum", "SELECT n_nationkey, round(coalesce(sum(c_acctbal), 0), 6) AS scatter_sum, round(coalesce(avg(c_acctbal), 0), 6) AS scatter_mean FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY ALL")
@@ -632,7 +633,7 @@ def _(spark, sf):
 
 @query("m8_coalesced_mapping", "SELECT l_partkey AS source, l_suppkey AS target_id, round(sum(l_quantity), 6) AS weight FROM lineitem GROUP BY ALL")
 def _(spark, sf):
-    return _round(_t(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target_id")).agg(F.sum("l_quantity").alias("weight")))
+    return _round(mapping.coalesced(_t(spark, sf, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("target_id"), F.col("l_quantity").alias("weight"))))
 
 
 @query("m11_copied_input", "SELECT user_id, event_id, round(coalesce(last_value(CASE WHEN event_type = 'click' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 0), 6) AS value FROM events")
@@ -827,10 +828,10 @@ def _(spark, sf):
     return lookup.own_shard(groups, "group", ranks, 1).select("s_suppkey", "group")
 
 
-@query("m7_mask_targets", "SELECT p_partkey AS target_id, (p_partkey % 50)::DOUBLE AS xmin, (p_partkey % 50 + 1)::DOUBLE AS xmax, (p_partkey // 50)::DOUBLE AS ymin, (p_partkey // 50 + 1)::DOUBLE AS ymax FROM part WHERE p_size > 40")
+@query("m7_mask_targets", "SELECT p_partkey AS target_id, (p_partkey % 50)::DOUBLE AS xmin, (p_partkey % 50 + 1)::DOUBLE AS xmax, (p_partkey // 50)::DOUBLE AS ymin, (p_partkey // 50 + 1)::DOUBLE AS ymax FROM part WHERE p_size > 40 AND p_partkey < 2000")
 def _(spark, sf):
-    cells = _t(spark, sf, "part").where("p_size > 40").select(F.col("p_partkey").alias("target_id"), (F.col("p_partkey") % 50).alias("i"), F.expr("p_partkey div 50").alias("j"))
-    return _GRID.frame(cells, "i", "j").drop("i", "j")
+    mask = _t(spark, sf, "part").where("p_partkey < 2000").select("p_partkey", "p_size", (F.col("p_partkey") % 50).alias("ix"), F.expr("p_partkey div 50").alias("iy"))
+    return mapping.mask_targets(mask, _GRID, F.col("p_size") > 40, target_id="p_partkey").drop("source", "x", "y")
 
 
 @query("m10_plan_summary", "SELECT row_number() OVER (ORDER BY c_nationkey, c_mktsegment, c_custkey % 3 <> 0, c_custkey) - 1 AS place, CAST(c_nationkey AS BIGINT) AS start_step, c_mktsegment AS name, CASE WHEN c_custkey % 3 = 0 THEN 'SET' ELSE 'ADD' END AS kind, c_acctbal AS x, 3 AS active_steps, c_custkey AS target FROM customer")

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import expressions
-from .operators import statistics
+from .operators import mapping, results, statistics
 from .plans import schema
 from .plans.temporal import Schedule, crossing, micros, with_spin_up
 from .queries import _FIVE, _GLOBE, _KINDS, _OUTER_SQL, DAY, HOURS, _events, _inner_sql, _round, _t, query
-from .sources import tables
+from .sources import scratch, tables
 from .streaming import substeps
 
 # --- schedules that last as long as the events -----------------------------------------------------------------------------
@@ -148,3 +148,31 @@ def _(spark, sf):
     how = {"max": F.max, "sum": lambda c: F.round(F.sum(c) + 1e-7, 4)}
     out = items.groupBy("l_suppkey").agg(*(how[op](alias).alias(f"{op}_{alias}") for op, alias, _ in found))
     return out.withColumn("max_net", F.round("max_net", 6))
+
+
+# --- what callers supply, and times of ordinals ------------------------------------------------------------------------------------
+
+
+@query("d26_best_times", f"WITH a AS ({_inner_sql(kinds=('mean',))}), b AS (SELECT *, row_number() OVER (PARTITION BY user_id, outer_start ORDER BY i) - 1 AS n FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY user_id, outer_start ORDER BY mean_, n) - 1 AS k FROM b) SELECT user_id, outer_start, CAST(k AS INTEGER) AS k, n AS ordinal, i AS time FROM c WHERE k < 3")
+def _(spark, sf):
+    out = statistics.two_level(_events(spark, sf), ["user_id"], "ts", "value", DAY, _FIVE, ["argmin3_mean"])
+    return statistics.arg_times(out, statistics.ordinals(_events(spark, sf), ["user_id"], "ts", DAY, _FIVE), ["user_id"], "argmin3_mean")
+
+
+@query("k7_user_callables", "WITH b AS (SELECT date_trunc('day', min(ts)) + INTERVAL 8 DAY AS low FROM events) SELECT user_id // 40 AS x, user_id % 40 AS y, count(*) AS n, round(sum(value), 6) AS total FROM events, b WHERE ts >= low AND ts < low + INTERVAL 10 DAY GROUP BY ALL")
+def _(spark, sf):
+    """Files by a key that the caller makes of the time (the week of the year), and places that the caller makes of the point."""
+    path = scratch.new_path(spark, "weeks")
+    week = lambda t: F.concat_ws("w", F.year(t).cast("string"), F.lpad(F.floor((F.dayofyear(t) - 1) / 7).cast("string"), 2, "0"))
+    tables.write_by_time(_events(spark, sf), path, "ts", week)
+    low = _events(spark, sf).select(F.timestamp_add("DAY", F.lit(8), F.date_trunc("day", F.min("ts"))).cast("timestamp_ntz")).first()[0]
+    found = tables.read_by_time(spark, path, None, "ts", week, low, low + HOURS(240))
+    placed = results.converted(found, "user_id", lambda p: (F.floor(p / 40).cast("long"), p % 40))
+    return _round(placed.groupBy("x", "y").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+
+
+@query("m7_point_targets", "SELECT s_suppkey AS target_id, (s_suppkey % 50)::DOUBLE AS x, s_suppkey / 50.0::DOUBLE AS y, s_suppkey % 50 - 0.5::DOUBLE AS xmin, s_suppkey % 50 + 0.5::DOUBLE AS xmax, s_suppkey / 50.0::DOUBLE - 1 AS ymin, s_suppkey / 50.0::DOUBLE + 1 AS ymax FROM supplier")
+def _(spark, sf):
+    k = F.col("s_suppkey")
+    points = _t(spark, sf, "supplier").select("s_suppkey", (k % 50).cast("double").alias("lon"), (k / 50).alias("lat"))
+    return mapping.point_targets(points, "lon", "lat", "s_suppkey", (1.0, 2.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from ..operators.lookup import IntegrityError
 TIME_KEYS = {"single": "''", "day": "yyyyMMdd", "month": "yyyy_MM", "year": "yyyy"}
 
 
-def time_key(t: Column, kind: str) -> Column:
+def time_key(t: Column, kind: str | Callable[[Column], Column]) -> Column:
+    """The key of a time: a named kind, or the caller's function, whose keys must sort as the times do."""
+    if callable(kind):
+        return kind(t).cast("string")
     return F.date_format(t, TIME_KEYS[kind]) if kind != "single" else F.lit("")
 
 
-def write_by_time(df: DataFrame, path: str, time: str, kind: str, *more: str, mode: str = "errorifexists", compression: str = "zstd") -> None:
+def write_by_time(df: DataFrame, path: str, time: str, kind: str | Callable[[Column], Column], *more: str, mode: str = "errorifexists", compression: str = "zstd") -> None:
     """One folder per time key (and per further column); rows of a key are gathered first, so files are few."""
     if compression not in ("none", "snappy", "gzip", "zstd", "lz4"):
         raise ValueError(f"unknown compression {compression}")
@@ -25,10 +30,10 @@ def write_by_time(df: DataFrame, path: str, time: str, kind: str, *more: str, mo
     keyed.hint("rebalance", "time_key", *more).write.mode(mode).partitionBy("time_key", *more).option("compression", compression).parquet(path)
 
 
-def read_by_time(spark: SparkSession, path: str, schema, time: str, kind: str, start, end) -> DataFrame:
+def read_by_time(spark: SparkSession, path: str, schema, time: str, kind: str | Callable[[Column], Column], start, end) -> DataFrame:
     """Rows with start <= time < end; only the folders of these keys are read."""
     df = spark.read.schema(schema).parquet(path) if schema else spark.read.parquet(path)
-    low, high = (F.date_format(F.lit(t).cast("timestamp_ntz"), TIME_KEYS[kind]) for t in (start, end))
+    low, high = (time_key(F.lit(t).cast("timestamp_ntz"), kind) for t in (start, end))
     pruned = df.where((F.col("time_key") >= low) & (F.col("time_key") <= high)) if kind != "single" else df
     return pruned.where((F.col(time) >= F.lit(start)) & (F.col(time) < F.lit(end)))
 
