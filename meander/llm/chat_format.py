@@ -43,16 +43,19 @@ FIRST_ID = 50257
 #: Turn numbers summed together.
 RANGE = 1024
 _ID = {m: FIRST_ID + k for k, m in enumerate(MARKERS)}
+_OPENS = sorted({m[0] for m in MARKERS})
 _MARKED = re.compile("|".join(rf"({re.escape(m[0])})(\\*)({re.escape(m[1:])})" for m in MARKERS))
 _ESCAPED = re.compile("|".join(rf"({re.escape(m[0])})\\(\\*)({re.escape(m[1:])})" for m in MARKERS))
 
 
 def escape(text: str) -> str:
+    if not any(c in text for c in _OPENS):  # most texts: no marker can begin
+        return text
     return _MARKED.sub(lambda m: "".join((g := [x for x in m.groups() if x is not None])[:1]) + "\\" + "".join(g[1:]), text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: "".join(x for x in m.groups() if x is not None), text)
+    return text if "\\" not in text else _ESCAPED.sub(lambda m: "".join(x for x in m.groups() if x is not None), text)
 
 
 def segments(role: str, text: str, first: bool) -> list[tuple[bool, str, bool]]:
@@ -74,24 +77,24 @@ def encoded(conversations: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = packing.encoder(tokenizer)
         for batch in batches:
-            roles, texts = (kernels.text_array(batch.column(k)).to_pylist() for k in (2, 3))
-            ids, masks = [np.zeros(0, np.int32)], [np.zeros(0, bool)]
-            sizes = []
-            for role, text in zip(roles, texts):
-                parts = segments(escape(role) if role not in ("user", "system", "assistant") else role, escape(text), False)
-                tokens = [np.array([_ID[x]], np.int32) if marker else code.ids(x, special=False).astype(np.int32) for marker, x, _ in parts]
-                # 1 where a segment's loss begins, -1 where it ends: the running sum is the mask
-                ends = np.cumsum([0] + [len(t) for t in tokens])
-                edge = np.zeros(ends[-1] + 1, np.int8)
-                for (_, _, loss), a, b in zip(parts, ends[:-1], ends[1:]):
-                    edge[a] += loss
-                    edge[b] -= loss
-                ids += tokens
-                masks.append(np.cumsum(edge[:-1]).astype(bool))
-                sizes.append(int(ends[-1]))
-            at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-            columns = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (ids, masks)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(roles, pa.string()), pa.array(texts, pa.string()), *columns], ["conv_id", "turn", "role", "text", "ids", "mask"])
+            role, text = (kernels.text_array(batch.column(k)) for k in (2, 3))
+            for i, j in kernels.blocks(text):
+                ids, masks, sizes = [np.zeros(0, np.int32)], [np.zeros(0, bool)], []
+                for r, t in zip(role[i:j].to_pylist(), text[i:j].to_pylist()):
+                    parts = segments(escape(r) if r not in ("user", "system", "assistant") else r, escape(t), False)
+                    tokens = [np.array([_ID[x]], np.int32) if marker else code.ids(x, special=False).astype(np.int32) for marker, x, _ in parts]
+                    # 1 where a segment's loss begins, -1 where it ends: the running sum is the mask
+                    ends = np.cumsum([0] + [len(k) for k in tokens])
+                    edge = np.zeros(ends[-1] + 1, np.int8)
+                    for (_, _, loss), a, b in zip(parts, ends[:-1], ends[1:]):
+                        edge[a] += loss
+                        edge[b] -= loss
+                    ids += tokens
+                    masks.append(np.cumsum(edge[:-1]).astype(bool))
+                    sizes.append(int(ends[-1]))
+                at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+                columns = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (ids, masks)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[i:j], batch.column(1)[i:j], role[i:j].cast(pa.string()), text[i:j].cast(pa.string()), *columns], ["conv_id", "turn", "role", "text", "ids", "mask"])
 
     source = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     return source.mapInArrow(run, "conv_id long, turn long, role string, text string, ids array<int>, mask array<boolean>")
