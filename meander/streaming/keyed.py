@@ -1,11 +1,12 @@
 """Two-level windows over streams by keyed state: arg and best-of-K results, and windows that the caller's flags open and close.
 
-State is kept per point with ``transformWithState``: a map of open inner windows
-(a few numbers each), a map of open outer ones (what their closed inner windows
-have come to: K pairs per best-of-K), and a timer at each window's end. When the
+State is kept per bucket of points with ``transformWithState``: the open inner windows
+(a few numbers each, as columns), the open outer ones (what their closed inner windows
+have come to: K pairs per best-of-K), and a timer at the first end. When the
 watermark passes an inner window's end, the window is numbered and folded into
 its outer one; when it passes an outer window's end, the row comes out. State is thus bounded
-by the windows that are open, not by samples.
+by the windows that are open, not by samples. Points share buckets because a call to the
+state costs more than a window's arithmetic; a bucket's samples are reduced frame by frame.
 
 ``open_windows`` reads the same state back from a stream's checkpoint, running or
 stopped: what the open outer windows hold so far.
@@ -18,22 +19,24 @@ inner window, as in batch. The RocksDB state store is needed: call ``prepare``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..functions.sums import SUM_PARTS, joined, split
 from ..operators.statistics import Operation, operation
 from ..plans.temporal import at_micros, check_nested, micros
 
-_INNER = "start long, outer_start long, outer_end long, total double, n long, most double, least double, first_at long, first double, last_at long, last double"
-_OUTER = "end_ms long, n long, last long, slots array<double>"
+#: Columns of a point's part of an inner window: sums (``functions/sums.py``), count, extrema, first and last.
+_PART = {**{c: "double" for c in SUM_PARTS}, "n": "long", "most": "double", "least": "double", "first_at": "long", "first": "double", "last_at": "long", "last": "double"}
+_WINDOW = {"end_ms": "long", "start": "long", "outer_start": "long", "outer_end": "long"}
 #: Columns behind the points, as the processors get them: by place, since Spark renames them.
-_SAMPLE = ("_t", "_us", "_value", "_inner", "_inner_end", "_outer", "_outer_end")
+_SAMPLE = ("_t", "_us", "_value", "start", "end_ms", "outer_start", "outer_end")
 _STEP = ("_us", "_value", "_first", "_last", "_outer_first", "_outer_last")
 _STEPS = "total double, n long, most double, least double, first double, last double"
 
@@ -122,72 +125,133 @@ def _row(points: tuple, outer: int, last: int, n: int, results: list, names: lis
     return pd.DataFrame({c: [v] for c, v in zip(names, (*points, outer, last, n, *results))})
 
 
+def _carried(schema: StructType, points: list[str]) -> dict[str, str]:
+    """Names and types by which points pass through Python: times as microseconds and bytes as text, which are the same on both sides."""
+    as_is = lambda t: ("p", t)
+    found = [{"timestamp": ("t", "bigint"), "timestamp_ntz": ("z", "bigint"), "binary": ("b", "string")}.get(t, as_is(t)) for t in (schema[p].dataType.simpleString() for p in points)]
+    return {f"_{how}{k}": kind for k, (how, kind) in enumerate(found)}
+
+
+def _encoded(carried: Iterable[str], points: list[str]) -> list[Column]:
+    to = {"p": lambda c: c, "t": F.unix_micros, "z": micros, "b": F.hex}
+    return [to[name[1]](F.col(p)).alias(name) for name, p in zip(carried, points)]
+
+
+def _decoded(carried: Iterable[str], points: list[str]) -> list[Column]:
+    back = {"p": lambda c: c, "t": F.timestamp_micros, "z": at_micros, "b": F.unhex}
+    return [back[name[1]](F.col(name)).alias(p) for name, p in zip(carried, points)]
+
+
+def _reduced(parts: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """One row a group: ``merged`` over its rows, in their order."""
+    if len(parts) < 2:
+        return parts
+    code = parts.groupby(by, sort=False).ngroup().to_numpy()
+    size = int(code.max()) + 1
+    early, late = np.lexsort((parts["first_at"].to_numpy(), code)), np.lexsort((parts["last_at"].to_numpy(), code))  # stable
+    edges = np.searchsorted(code[early], np.arange(size + 1))
+    heads, tails = early[edges[:-1]], late[edges[1:] - 1]
+    out = parts.iloc[heads].reset_index(drop=True)
+    for c in (*SUM_PARTS, "n"):
+        out[c] = np.bincount(code, weights=parts[c].to_numpy(), minlength=size).astype(out[c].dtype)
+    out["most"], out["least"] = (f.reduceat(parts[c].to_numpy()[early], edges[:-1]) for f, c in ((np.maximum, "most"), (np.minimum, "least")))
+    for c in ("last_at", "last"):
+        out[c] = parts[c].to_numpy()[tails]
+    return out
+
+
+def _samples(frame: pd.DataFrame) -> pd.DataFrame:
+    """Samples as parts of their inner windows."""
+    x, us = frame["_value"].to_numpy(), frame["_us"].to_numpy()
+    found = dict(zip(SUM_PARTS, split(x))) | {"n": np.ones(len(x), "int64"), "most": x, "least": x, "first_at": us, "first": x, "last_at": us, "last": x}
+    return frame.drop(columns=["_t", "_us", "_value"]).assign(**found)
+
+
 class TwoLevel(StatefulProcessor):
-    def __init__(self, points: list[str], ops: list[Operation]):
-        self.points, self.folds, self.names = points, Folds(ops), [*points, "outer_us", "last_us", "n_inner", *(o.name for o in ops)]
+    def __init__(self, carried: dict[str, str], ops: list[Operation]):
+        self.points, self.folds = list(carried), Folds(ops)
+        self.kinds = (_WINDOW | carried | _PART, {"end_ms": "long", "outer_start": "long"} | carried | {"n": "long", "last": "long", "slots": "array<double>"})
+        self.names = [*self.points, "outer_us", "last_us", "n_inner", *(o.name for o in ops)]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        arrays = lambda kinds: ", ".join(f"{c} array<{t}>" for c, t in kinds.items())
         self.handle = handle
-        self.inner = handle.getMapState("inner", "end_ms long", _INNER)
-        self.outer = handle.getMapState("outer", "outer_start long", _OUTER)
+        self.inner, self.outer = (handle.getValueState(name, arrays(kinds)) for name, kinds in zip(("inner", "outer"), self.kinds))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        parts: dict[int, tuple] = {}
-        for frame in (f.set_axis([*self.points, *_SAMPLE], axis=1) for f in rows if len(f)):
-            for end, some in frame.sort_values("_us", kind="stable").groupby("_inner_end"):
-                x, us = some["_value"].to_numpy(), some["_us"].to_numpy()
-                most = np.nan if np.isnan(x).any() else x.max()
-                least = np.nan if np.isnan(x).all() else np.nanmin(x)
-                new = (float(x.sum()), len(x), float(most), float(least), int(us[0]), float(x[0]), int(us[-1]), float(x[-1]))
-                head = tuple(int(some[c].iloc[0]) for c in ("_inner", "_outer", "_outer_end"))
-                parts[int(end)] = (*head, *merged(parts[int(end)][3:] if int(end) in parts else None, new))
-        for end, part in parts.items():
-            if self.inner.containsKey((end,)):
-                part = (*part[:3], *merged(tuple(self.inner.getValue((end,)))[3:], part[3:]))
-            else:
-                self.handle.registerTimer(end)
-                self.handle.registerTimer(part[2])
-            self.inner.updateValue((end,), part)
+        by, columns = ["end_ms", *self.points], list(self.kinds[0])
+        parts = [_reduced(_samples(f.set_axis(["_bucket", *self.points, *_SAMPLE], axis=1)), by)[columns] for f in rows if len(f)]
+        if parts:
+            if self.inner.exists():
+                parts.insert(0, pd.DataFrame(dict(zip(columns, self.inner.get()))).astype(dict(parts[0].dtypes)))
+            both = _reduced(pd.concat(parts, ignore_index=True), by)
+            self.inner.update(tuple(both[c].tolist() for c in columns))
+            self.handle.registerTimer(int(both["end_ms"].min()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        if self.inner.containsKey((now,)):  # windows close in time order
-            w = tuple(self.inner.getValue((now,)))
-            self.inner.removeKey((now,))
-            held = tuple(self.outer.getValue((w[1],))) if self.outer.containsKey((w[1],)) else (w[2], 0, 0, None)
-            self.outer.updateValue((w[1],), (w[2], held[1] + 1, w[0], self.folds.folded(held[3], held[1], w[3:])))
-        for outer, held in [(k[0], tuple(v)) for k, v in self.outer.iterator() if v[0] <= now]:
-            self.outer.removeKey((outer,))
-            yield _row(key, outer, held[2], held[1], self.folds.results(list(held[3]), held[1]), self.names)
+        """Folds all windows that the watermark has passed; the next timer is the first end among the others."""
+        now, width = timerValues.getCurrentWatermarkInMs(), len(self.points)
+        inner = list(zip(*self.inner.get())) if self.inner.exists() else []
+        held = {r[: 2 + width]: r[2 + width :] for r in zip(*self.outer.get())} if self.outer.exists() else {}
+        at = len(_WINDOW) + width
+        for w in sorted((w for w in inner if w[0] <= now), key=lambda w: w[0]):  # windows close in time order
+            end, start, outer_start, outer_end = w[:4]
+            outer = (outer_end, outer_start, *w[4:at])
+            n, _, slots = held.get(outer, (0, 0, None))
+            held[outer] = (n + 1, start, self.folds.folded(slots, n, (joined(*w[at : at + len(SUM_PARTS)]), *w[at + len(SUM_PARTS) :])))
+        opened = [w for w in inner if w[0] > now]
+        rest = [(*o, *h) for o, h in held.items() if o[0] > now]
+        if len(opened) < len(inner):
+            _keep(self.inner, opened)
+        if len(opened) < len(inner) or len(rest) < len(held):
+            _keep(self.outer, rest)
+        if ends := [r[0] for r in opened + rest]:
+            self.handle.registerTimer(min(ends))
+        done = [(*o[2:], o[1], last, n, *self.folds.results(list(slots), n)) for o, (n, last, slots) in held.items() if o[0] <= now]
+        if done:
+            yield pd.DataFrame(dict(zip(self.names, map(list, zip(*done)))))
 
     def close(self) -> None:
         pass
 
 
-def _named(df: DataFrame, points: list[str], ops: list[Operation]) -> DataFrame:
-    return df.select(*points, at_micros(F.col("outer_us")).alias("outer_start"), at_micros(F.col("last_us")).alias("time"), "n_inner", *(o.name for o in ops))
+def _keep(state, rows: list[tuple]) -> None:
+    if rows:
+        state.update(tuple(map(list, zip(*rows))))
+    else:
+        state.clear()
+
+
+def _named(df: DataFrame, carried: Iterable[str], points: list[str], ops: list[Operation]) -> DataFrame:
+    return df.select(*_decoded(carried, points), at_micros(F.col("outer_us")).alias("outer_start"), at_micros(F.col("last_us")).alias("time"), "n_inner", *(o.name for o in ops))
 
 
 def _types(schema: StructType, points: list[str]) -> str:
     return ", ".join(f"`{p}` {schema[p].dataType.simpleString()}" for p in points)
 
 
-def two_level_keyed(stream: DataFrame, points: list[str], time: str, value: str, inner, outer, operations: list[str], late: str = "0 seconds") -> DataFrame:
+def _kinds(carried: dict[str, str]) -> str:
+    return ", ".join(f"`{c}` {t}" for c, t in carried.items())
+
+
+def two_level_keyed(stream: DataFrame, points: list[str], time: str, value: str, inner, outer, operations: list[str], late: str = "0 seconds", buckets: int = 256) -> DataFrame:
     """``two_level`` of a stream, any operation but mid: (points, outer_start, time, n_inner, a column per operation), a row when the outer window has passed.
 
-    ``inner`` and ``outer`` are window rules with starts and ends (calendar or interval windows).
+    ``inner`` and ``outer`` are window rules with starts and ends (calendar or interval windows). ``buckets``: how many groups
+    of points keep their state together; tasks have whole buckets, and the number is fixed as long as a checkpoint lives.
     """
     check_nested(inner, outer)
-    ops = _ops(operations)
+    ops, carried = _ops(operations), _carried(stream.schema, points)
     t = F.col(time).cast("timestamp_ntz")
     i, o = inner.start(t), outer.start(t)
     ms = lambda end: F.ceil(micros(end) / 1000).cast("long")
     keyed = stream.dropna(subset=[*points, time, value])  # of NaN, too
-    keyed = keyed.select(*points, F.col(time).cast("timestamp").alias("_t"), micros(t).alias("_us"), F.col(value).cast("double").alias("_value"), micros(i).alias("_inner"), ms(inner.end(i)).alias("_inner_end"), micros(o).alias("_outer"), ms(outer.end(o)).alias("_outer_end"))
-    out = f"{_types(stream.schema, points)}, outer_us bigint, last_us bigint, n_inner bigint, {Folds(ops).schema()}"
-    found = keyed.withWatermark("_t", late).groupBy(*points).transformWithStateInPandas(TwoLevel(points, ops), out, "Append", "EventTime")
-    return _named(found, points, ops)
+    bucket = F.pmod(F.xxhash64(*points), F.lit(buckets)).cast("int").alias("_bucket")
+    keyed = keyed.select(bucket, *_encoded(carried, points), F.col(time).cast("timestamp").alias("_t"), micros(t).alias("_us"), F.col(value).cast("double").alias("_value"), micros(i).alias("start"), ms(inner.end(i)).alias("end_ms"), micros(o).alias("outer_start"), ms(outer.end(o)).alias("outer_end"))
+    out = f"{_kinds(carried)}, outer_us bigint, last_us bigint, n_inner bigint, {Folds(ops).schema()}"
+    found = keyed.withWatermark("_t", late).groupBy("_bucket").transformWithStateInPandas(TwoLevel(carried, ops), out, "Append", "EventTime")
+    return _named(found, carried, points, ops)
 
 
 def open_windows(spark: SparkSession, checkpoint: str, points: list[str], operations: list[str], operator: int = 0) -> DataFrame:
@@ -197,12 +261,16 @@ def open_windows(spark: SparkSession, checkpoint: str, points: list[str], operat
     """
     ops = _ops(operations)
     folds = Folds(ops)
-    read = lambda name: spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name).option("flattenCollectionTypes", "true").load(checkpoint)
-    opened = read("inner").select("key.*", "user_map_value.*")
-    inner = opened.select(*points, F.col("outer_start").alias("outer_us"), F.struct("start", "total", "n", "most", "least", "first_at", "first", "last_at", "last").alias("w"))
-    outer = read("outer").select("key.*", F.col("user_map_key.outer_start").alias("outer_us"), F.struct("user_map_value.n", "user_map_value.last", "user_map_value.slots").alias("h"))
-    both = inner.groupBy(*points, "outer_us").agg(F.sort_array(F.collect_list("w")).alias("ws"))  # the open inner windows of one outer window
-    both = both.join(outer, [*points, "outer_us"], "full").select(*points, "outer_us", "ws", "h")
+    read = lambda name: spark.read.format("statestore").option("operatorId", operator).option("stateVarName", name).load(checkpoint)
+    opened, outer = (read(name).select("value.*") for name in ("inner", "outer"))
+    carried = dict(t for t in ((f.name, f.dataType.elementType.simpleString()) for f in outer.schema if f.name.startswith("_")))
+    keys = [*carried, "outer_us"]
+    opened = opened.select(F.inline(F.arrays_zip(*opened.columns))).withColumnRenamed("outer_start", "outer_us")
+    total = joined(*(F.col(c) for c in SUM_PARTS)).alias("total")
+    inner = opened.select(*keys, F.struct("start", total, "n", "most", "least", "first_at", "first", "last_at", "last").alias("w"))
+    outer = outer.select(F.inline(F.arrays_zip(*outer.columns))).withColumnRenamed("outer_start", "outer_us").select(*keys, F.struct("n", "last", "slots").alias("h"))
+    both = inner.groupBy(*keys).agg(F.sort_array(F.collect_list("w")).alias("ws"))  # the open inner windows of one outer window
+    both = both.join(outer, keys, "full").select(*keys, "ws", "h")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -214,9 +282,9 @@ def open_windows(spark: SparkSession, checkpoint: str, points: list[str], operat
                     n, last = n + 1, w["start"]
                 done.append((last, n, *folds.results(slots, n)))
             named = pd.DataFrame({c: list(x) for c, x in zip(["last_us", "n_inner", *(o.name for o in ops)], zip(*done))}) if done else pd.DataFrame(columns=["last_us", "n_inner", *(o.name for o in ops)])
-            yield pd.concat([f[[*points, "outer_us"]].reset_index(drop=True), named], axis=1)
+            yield pd.concat([f[keys].reset_index(drop=True), named], axis=1)
 
-    return _named(both.mapInPandas(run, f"{_types(both.schema, points)}, outer_us bigint, last_us bigint, n_inner bigint, {folds.schema()}"), points, ops)
+    return _named(both.mapInPandas(run, f"{_kinds(carried)}, outer_us bigint, last_us bigint, n_inner bigint, {folds.schema()}"), carried, points, ops)
 
 
 class Flagged(StatefulProcessor):

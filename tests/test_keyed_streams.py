@@ -68,6 +68,29 @@ def test_streams_equal_batch(spark):
     assert any(outer_end(k[1]) <= rows[-1][0] for k in batch) and any(outer_end(k[1]) > rows[-1][0] for k in batch)
 
 
+def test_points_share_state(spark):
+    """Points of several types in two buckets: state rows follow the buckets, not the points; results are those of the batch."""
+    keyed.prepare(spark)
+    folder, rng = scratch.new_path(spark, "keyed"), random.Random(5)
+    schema = "t timestamp_ntz, a timestamp, b binary, c date, d timestamp_ntz, v double"
+    start, points = datetime(2024, 3, 1, 12), ["a", "b", "c", "d"]
+    key = lambda k: (start + timedelta(microseconds=k), bytes([k, 255]), (start + timedelta(days=k)).date(), start - timedelta(microseconds=k))
+    rows = [(start + timedelta(seconds=rng.randrange(15 * 86_400)), *key(rng.randrange(40)), rng.choice([1.1, 2.2, 3.3])) for _ in range(1500)]
+    names = ["sum_mean", "max2_last", "argmin2_sum"]
+    inner, outer = CalendarWindow("day"), IntervalWindow(timedelta(days=5))
+    rows = sorted({(r[0], r[2]): r for r in rows}.values())
+    for part in (rows[:700], rows[700:]):
+        spark.createDataFrame(part, schema).repartition(3).write.mode("append").parquet(f"{folder}/in")
+        stream = windows.file_stream(spark, f"{folder}/in", spark.createDataFrame([], schema).schema, 1000)
+        ran = windows.run_to_table(keyed.two_level_keyed(stream, points, "t", "v", inner, outer, names, buckets=2), f"{folder}/out", f"{folder}/checkpoint")
+        assert all(p["stateOperators"][0]["numRowsTotal"] <= 4 * 2 for p in ran.recentProgress)  # values, timers
+    found = spark.read.parquet(f"{folder}/out").unionByName(keyed.open_windows(spark, f"{folder}/checkpoint", points, names))
+    want = statistics.two_level(spark.createDataFrame(rows, schema), points, "t", "v", inner, outer, names)
+    assert dict(found.dtypes) == {"a": "timestamp", "b": "binary", "c": "date", "d": "timestamp_ntz", "outer_start": "timestamp_ntz", "time": "timestamp_ntz", "n_inner": "bigint", "sum_mean": "double", "max2_last": "array<double>", "argmin2_sum": "array<bigint>"}
+    shown = lambda df: sorted((str(r.asDict() | {"sum_mean": round(r.sum_mean, 9)}) for r in df.select(sorted(df.columns)).collect()))
+    assert shown(found) == shown(want) and want.count() > 100
+
+
 def outer_end(start):
     return datetime(start.year + start.month // 12, start.month % 12 + 1, 1)
 
