@@ -62,14 +62,14 @@ def _(spark, sf):
 
 
 def _fed(spark, sf, folder: str, parts: int, run) -> list:
-    """Events written in ``parts`` stretches of time, the stream run after each; what ``run(source)`` returns each time."""
+    """Events written in ``parts`` stretches of time, the stream run after each (one batch); what ``run(source)`` returns each time."""
     events, out = _events(spark, sf), []
     low, high = events.agg(F.min(F.date_trunc("day", "ts")), F.max("ts")).first()
     cut = [low + (high - low) * k / parts for k in range(parts)] + [None]
     for a, b in zip(cut, cut[1:]):
         later = events.where(F.col("ts") >= F.lit(a).cast("timestamp_ntz"))
-        (later.where(F.col("ts") < F.lit(b).cast("timestamp_ntz")) if b else later).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        out.append(run(windows.file_stream(spark, f"{folder}/in", events.schema, 1)))
+        (later.where(F.col("ts") < F.lit(b).cast("timestamp_ntz")) if b else later).write.mode("append").parquet(f"{folder}/in")
+        out.append(run(windows.file_stream(spark, f"{folder}/in", events.schema, 1_000_000)))
     return out
 
 
