@@ -39,6 +39,11 @@ def require_references(df: DataFrame, key: str, target: DataFrame, target_key: s
 RANKED = 1_000_000
 
 
+def tasks_for(df: DataFrame, rows: int = 500_000) -> int:
+    """Among how many tasks ``df`` is dealt so that each gets about so many rows."""
+    return df.count() // rows + 1
+
+
 def with_positions(df: DataFrame, key: str, position: str = "position") -> DataFrame:
     """``df`` with each key's place in key order, from 0 (null for null keys): ranks within ranges, plus the sizes of those before.
 
@@ -186,8 +191,13 @@ def best_rows(df: DataFrame, by: list[str], value: str, k: int, ties: list[str],
 
 
 def integer_runs(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, low, high): the contiguous runs of a group's distinct integers."""
-    island = df.select(*by, value).distinct().withColumn("_g", F.col(value) - F.row_number().over(Window.partitionBy(*by).orderBy(value)))
+    """(by, low, high): the contiguous runs of a group's distinct integers.
+
+    Rows are dealt to as many tasks as their number asks for; equal ones meet first, so that a group is ordered without them.
+    """
+    parts = tasks_for(df)
+    distinct = df.select(*by, value).repartition(parts, *by, value).distinct()
+    island = distinct.repartition(parts, *by).withColumn("_g", F.col(value) - F.row_number().over(Window.partitionBy(*by).orderBy(value)))
     return island.groupBy(*by, "_g").agg(F.min(value).alias("low"), F.max(value).alias("high")).drop("_g")
 
 
