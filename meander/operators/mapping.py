@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources import scratch
 from ..sources.scan import X_NAMES, Y_NAMES, found_name
-from .lookup import IntegrityError, require_unique
+from .lookup import IntegrityError, require_unique, tasks_for
 
 #: Fixed value: the sphere's radius in metres.
 EARTH_RADIUS = 6371007.2
@@ -175,7 +175,8 @@ def normalized(mapping: DataFrame) -> DataFrame:
 def pixel_mapping(pixels: DataFrame, targets: DataFrame, grid: Grid) -> DataFrame:
     """(target_id, source, weight): the area of each target's pixels (pixel_target, x, y, area) by cell. Others are dropped."""
     known = pixels.join(targets.select(F.col("target_id").alias("pixel_target")).distinct(), "pixel_target")
-    return grid.cells(known, "x", "y").groupBy(F.col("pixel_target").alias("target_id"), "source").agg(F.sum("area").alias("weight"))
+    cells = grid.cells(known, "x", "y").select(F.col("pixel_target").alias("target_id"), "source", "area")
+    return cells.repartition(tasks_for(pixels), "target_id", "source").groupBy("target_id", "source").agg(F.sum("area").alias("weight"))
 
 
 def coverage(mapping: DataFrame) -> DataFrame:
@@ -215,8 +216,11 @@ def with_source_mask(mapping: DataFrame, valid: DataFrame, grid: Grid, empty_tar
     """The mapping on valid sources only; a target's weights keep their sum.
 
     empty_targets: what becomes of targets without valid source: ``nearest`` takes the valid cell in the nearest ring
-    around the target's centre (in it, the nearest by distance, then by number), ``drop``, or ``error``.
+    around the target's centre (in it, the nearest by distance, then by number), ``drop``, or ``error``. The mapping is written
+    first, so that its size says among how many tasks its targets are dealt.
     """
+    mapping = scratch.saved(mapping, "unmasked")
+    mapping = mapping.repartition(tasks_for(mapping), "target_id")
     full = Window.partitionBy("target_id")
     marked = mapping.join(valid.select("source", F.lit(True).alias("_ok")), "source", "left").withColumn("_ok", F.coalesce("_ok", F.lit(False)))
     marked = marked.withColumns({"_all": F.sum("weight").over(full), "_good": F.sum(F.when(F.col("_ok"), F.col("weight"))).over(full)})
@@ -301,6 +305,8 @@ def local_for(mapping: DataFrame, mapped: Grid, data: Grid, wanted: DataFrame) -
     """The wanted targets' rows of a mapping, if the data's grid is the one it was made for."""
     if not (mapped.x.close_to(data.x) and mapped.y.close_to(data.y)):
         raise IntegrityError("the data's coordinates are not those of the mapping; make the mapping anew")
+    parts = tasks_for(mapping)
+    mapping, wanted = mapping.repartition(parts, "target_id"), wanted.repartition(parts, "target_id")
     if found := wanted.join(mapping.select("target_id"), "target_id", "left_anti").limit(5).collect():
         raise IntegrityError(f"targets that the mapping lacks: {[r.target_id for r in found]}")
     return local(mapping, wanted)

@@ -10,12 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.lookup import IntegrityError
+from ..operators.lookup import IntegrityError, tasks_for
+from . import scratch
 
 
 def save_mapping(mapping: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Written by target, so that a few targets' rows are found in few files."""
-    mapping.select("target_id", "source", "weight").repartitionByRange(F.col("target_id")).sortWithinPartitions("target_id", "source").write.mode(mode).parquet(path)
+    rows = scratch.saved(mapping.select("target_id", "source", "weight"), "unsorted")
+    rows.repartitionByRange(tasks_for(rows), F.col("target_id")).sortWithinPartitions("target_id", "source").write.mode(mode).parquet(path)
 
 
 def load_mapping(spark: SparkSession, path: str, n_sources: int | None = None) -> DataFrame:
