@@ -12,7 +12,6 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SUM_PARTS = ("high", "middle", "low")
 _HIGH, _MIDDLE, _MOST = 2.0**10, 2.0**50, 2.0**43
 
 

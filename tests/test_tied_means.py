@@ -10,6 +10,7 @@ import pytest
 from meander.operators import statistics
 from meander.plans.temporal import CalendarWindow
 from meander.queries import QUERIES, SQL
+from meander.streaming import keyed
 
 from .comparing import oracle, rows_of
 
@@ -54,7 +55,7 @@ def folder(events, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["d26_best_times"])
+@pytest.mark.parametrize("name", ["d26_best_times", "j2_stream_best"])
 def test_query(spark, folder, name):
     df, found = QUERIES[name](spark, folder), oracle(folder).execute(SQL[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in found.description], found.fetchall())
@@ -76,3 +77,21 @@ def test_samples_are_added_in_order_of_time(spark, events, weighted):
         df = spark.createDataFrame(data, "t timestamp_ntz, p long, v double, w double").repartition(parts)
         out = statistics.two_level(df, ["p"], "t", "v", CalendarWindow("day"), CalendarWindow("month"), ["argmin5_mean"], "w" if weighted else None)
         assert {r.p: r.argmin5_mean for r in out.collect()} == want
+
+
+def test_streamed_samples_are_added_in_order_of_time(events, monkeypatch):
+    """Frame by frame in any order, behind what an earlier batch has come to; also as blocks, which are ordered each."""
+    rows = events[events["user_id"] < 40].assign(_t=0, start=0, outer_start=0, outer_end=0, end_ms=lambda f: f["ts"].dt.day, p=lambda f: f["user_id"], _us=lambda f: f["ts"].astype("int64"), _value=lambda f: f["value"])
+    rows = rows[["p", *keyed._SAMPLE]]
+    own = lambda f: {k: added(g.sort_values("_us")["_value"]) for k, g in f.groupby(["end_ms", "p"])}
+    totals = lambda f: {(r.end_ms, r.p): r.total for r in f.itertuples()}
+    mixed = rows.sample(frac=1, random_state=1)
+    blocks = list(keyed._blocks(mixed.iloc[k : k + 50] for k in range(0, len(mixed), 50)))
+    assert len(blocks) == 1 and totals(keyed._reduced(keyed._samples(blocks[0]), ["end_ms", "p"])) == own(rows)
+    early = keyed._reduced(keyed._samples(mixed[mixed["_us"] % 3 == 0]), ["end_ms", "p"])
+    late = mixed[mixed["_us"] % 3 != 0]
+    both = keyed._reduced(pd.concat([early, keyed._samples(late)], ignore_index=True), ["end_ms", "p"])
+    assert totals(both) == {k: added([*([totals(early)[k]] if k in totals(early) else []), *late[(late["end_ms"] == k[0]) & (late["p"] == k[1])].sort_values("_us")["_value"]]) for k in own(rows)}
+    monkeypatch.setattr(keyed, "HELD", 100)
+    blocks = list(keyed._blocks(mixed.iloc[k : k + 50] for k in range(0, len(mixed), 50)))
+    assert [len(b) for b in blocks] == [100] * (len(mixed) // 100) + [len(mixed) % 100]
