@@ -55,7 +55,7 @@ def folder(events, tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["d26_best_times", "j2_stream_best", "d26_arg_time", "e4_arg"])
+@pytest.mark.parametrize("name", ["d26_best_times", "j2_stream_best", "d26_arg_time", "e4_arg", "e5_argmax3_mean"])
 def test_query(spark, folder, name):
     df, found = QUERIES[name](spark, folder), oracle(folder).execute(SQL[name])
     assert rows_of(df.columns, df.collect()) == rows_of([d[0] for d in found.description], found.fetchall())
